@@ -1 +1,358 @@
-CHECKS = []
+"""Extraction, cache, requests and answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from clearfold.checks import base as b
+from clearfold.checks.base import Check
+from clearfold.functions.hashing import cache_key
+from clearfold.functions.text import clean_phrases, keep_mark, score_stars
+from clearfold.operators import extraction as ex
+from clearfold.operators import metrics as m
+from clearfold.operators import requests as rq
+from clearfold.operators.featuredefs import record_schema
+from clearfold.operators.ordered import hash_head
+from clearfold.operators.sampling import stratified_sample
+
+# -- a service that fails and refuses on a fixed pattern --------------------------------
+
+LEVEL = T.StructType([T.StructField("level", T.IntegerType())])
+
+
+def unreliable_service():
+    """Fails for good on some texts and refuses others on the first try."""
+    seen: set[str] = set()
+
+    def extract(text: str, ident: str) -> ex.Extraction:
+        if len(text) % 7 == 0:
+            raise ValueError("service error")
+        if len(text) % 5 == 0 and ident not in seen:
+            seen.add(ident)
+            raise ex.Refused("declined")
+        return ex.Extraction({"level": len(text) % 5 + 1}, len(text), 7)
+
+    return extract
+
+
+def _no_wait(attempt: int) -> float:
+    return 0.0
+
+
+def _documents(spark, d):
+    return b.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+
+
+def _extracted(spark, d):
+    return ex.run_extractor(
+        _documents(spark, d), lambda: unreliable_service(), LEVEL, max_concurrent=8, requests_per_minute=None, backoff=_no_wait
+    )
+
+
+SERVICE = """calls AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, CASE WHEN length(text) % 7 = 0 THEN 'failed' ELSE 'ok' END AS status,
+  CAST(CASE WHEN length(text) % 7 = 0 THEN 3 WHEN length(text) % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempt,
+  CASE WHEN length(text) % 7 = 0 THEN 'service error' END AS error,
+  CASE WHEN length(text) % 7 <> 0 THEN length(text) END AS input_tokens,
+  CASE WHEN length(text) % 7 <> 0 THEN CAST(7 AS BIGINT) END AS output_tokens,
+  CASE WHEN length(text) % 7 <> 0 THEN CAST(length(text) % 5 + 1 AS INTEGER) END AS level FROM documents)"""
+
+
+def _batch(spark, d):
+    """Every document through the cache table; copies of a text are extracted once."""
+    docs = ex.with_cache_key(_documents(spark, d), "abc123")
+    cache = ex.extract_into_cache(
+        docs, b.scratch(spark, "cache"), lambda: unreliable_service(), LEVEL, batches=2, max_concurrent=4,
+        requests_per_minute=None, backoff=_no_wait,
+    )
+    return docs.join(cache, "cache_key").select(F.col("id").cast("string").alias("id"), "status", F.col("record.level").alias("level"))
+
+
+def _cache_split(spark, d):
+    docs = b.table(spark, d, "documents")
+    cache = ex.with_cache_key(docs.where(F.col("lang") == "en"), "abc123", "text").select("cache_key").distinct()
+    keyed = ex.with_cache_key(docs.select("doc_id", "text"), "abc123", "text")
+    hits = ex.cache_hits(keyed, cache).select("cache_key", F.lit("hit").alias("side"), F.col("doc_id"))
+    misses = ex.cache_misses(keyed, cache, "text").select("cache_key", F.lit("miss").alias("side"), F.lit(None).cast("bigint").alias("doc_id"))
+    return hits.unionByName(misses)
+
+
+TIGHT_DEFS = [
+    {"name": "comma_level", "type": "scale", "min": 2, "max": 3, "values": None, "description": ""},
+    {"name": "has_digit", "type": "bool", "min": None, "max": None, "values": None, "description": ""},
+    {"name": "tongue", "type": "categorical", "min": None, "max": None, "values": ["english"], "description": ""},
+]
+
+
+def _validated(spark, d):
+    missing = F.col("length_level") == 3
+    r = b.records(spark, d).select(
+        "id", "comma_level", F.when(~missing, F.col("has_digit")).alias("has_digit"), F.when(~missing, F.col("tongue")).alias("tongue")
+    )
+    return ex.check_records(r, TIGHT_DEFS).select("id", "valid", F.array_join("errors", "; ").alias("errors"))
+
+
+def _typed(spark, d):
+    """Records sent through JSON and read back under the schema of their configuration."""
+    schema = record_schema(b.SIGNAL_DEFS)
+    raw = b.records(spark, d).select("id", F.to_json(F.struct(*b.SIGNAL_NAMES)).alias("j"))
+    return raw.select("id", F.from_json("j", schema).alias("r")).select("id", "r.*")
+
+
+# -- requests --------------------------------------------------------------------------
+
+
+def detailed(spark, d):
+    preds = b.predictions(spark, d)
+    texts = b.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return m.attach_features(m.attach_texts(preds, texts), b.records(spark, d))
+
+
+RENDER = """'---' || chr(10) || 'TRUE: ' || true_label || ' | PREDICTED: ' || predicted_label || ' | CONFIDENCE: ' || printf('%.2f', confidence) || chr(10) ||
+  'TEXT: ' || CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || '...' ELSE text END || chr(10) || 'FEATURES: {"comma_level":' || comma_level ||
+  ',"length_level":' || length_level || ',"line_level":' || line_level || ',"has_digit":' || has_digit || ',"has_symbol":' || has_symbol ||
+  ',"tongue":"' || tongue || '"}' || chr(10)"""
+DETAILED = f"""{b.PREDICTIONS}, full_preds AS (SELECT p.*, d.text, comma_level, length_level, line_level, has_digit, has_symbol, tongue
+  FROM preds p JOIN documents d ON p.id = d.doc_id JOIN records r ON r.id = p.id)"""
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _residual(spark, d):
+    wrong = m.first_misclassified(detailed(spark, d), rq.RESIDUAL_EXAMPLES, "id")
+    return rq.residual_request(wrong, b.SIGNAL_NAMES)
+
+
+def _broad(spark, d):
+    docs = b.quality_labels(spark, d)
+    drawn = stratified_sample(docs, "label", 200, seed=2026)
+    texts = b.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return rq.broad_request(drawn.join(texts, "id"), "label", "text")
+
+
+def _contrast(spark, d):
+    full = detailed(spark, d)
+    right = hash_head(m.correctly_classified(full), "id", 42, 5)
+    wrong = hash_head(m.misclassified(full), "id", 42, 5)
+    return rq.sample_request(right, wrong, b.SIGNAL_NAMES, ["pattern one", "pattern two"])
+
+
+def _budget_lines(spark, d):
+    o = b.table(spark, d, "orders")
+    budgets = o.select("o_orderkey", (F.col("o_custkey") % 40).cast("int").alias("effective_dim"), F.lit(18).alias("budget"))
+    return rq.budget_lines(budgets).select("o_orderkey", "budget_lines")
+
+
+def _coefficient_lines(spark, d):
+    return rq.coefficient_lines(m.top_coefficients(b.coefs(spark, d), 10))
+
+
+def _definition_lines(spark, d):
+    return rq.definition_lines(b.definitions(spark, d))
+
+
+# -- answers ---------------------------------------------------------------------------
+
+
+def _answers(spark, d):
+    """One answer per configuration, written as JSON from its definitions and proposals."""
+    defs, props = b.definitions(spark, d), b.proposals(spark, d)
+    evaluations = defs.groupBy("config_id").agg(
+        F.sort_array(
+            F.collect_list(
+                F.struct(
+                    "pos", F.col("name").alias("feature_name"), ((F.col("pos") * 7) % 5 + 1).alias("usefulness_score"),
+                    F.lit("because").alias("reasoning"), (F.col("pos") % 3 != 0).alias("keep"),
+                )
+            )
+        ).alias("e"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("pos") % 3 == 0, F.struct("pos", "name")))), lambda x: x["name"]).alias("r"),
+    )
+    added = props.groupBy("config_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "name", "feature_type", "description", "min_val", "max_val", "values"))).alias("p")
+    )
+    return evaluations.join(added, "config_id").select(
+        "config_id",
+        F.to_json(
+            F.struct(
+                F.lit("ok").alias("summary"), F.col("e").alias("feature_evaluations"), F.col("r").alias("features_to_remove"),
+                F.col("p").alias("proposed_features"), F.lit("some").alias("expected_improvement"),
+            )
+        ).alias("response"),
+    )
+
+
+def _parsed(spark, d):
+    return rq.parse_answers(_answers(spark, d), rq.ITERATION_DDL)
+
+
+def _evaluations(spark, d):
+    e = rq.feature_evaluations(_parsed(spark, d), ["config_id"])
+    return e.select("config_id", "pos", "feature_name", "usefulness_score", "keep")
+
+
+def _additions(spark, d):
+    a = rq.requested_additions(_parsed(spark, d), ["config_id"])
+    return a.select("config_id", "pos", "name", "feature_type", "min_val", "max_val", F.array_join("values", ",").alias("domain"))
+
+
+def _hypotheses(spark, d):
+    """Residual answers, some with a field missing."""
+    p = b.table(spark, d, "part")
+    answers = p.select(
+        "p_partkey",
+        F.to_json(
+            F.struct(
+                F.col("p_name").alias("pattern_summary"),
+                F.array(
+                    F.struct(
+                        F.col("p_brand").alias("feature_name"), F.lit("boolean").alias("feature_type"),
+                        F.when(F.col("p_size") > 10, F.col("p_type")).alias("description"), F.lit("ask").alias("extraction_prompt"),
+                    )
+                ).alias("hypotheses"),
+            )
+        ).alias("response"),
+    )
+    h = rq.hypotheses(rq.parse_answers(answers, rq.RESIDUAL_DDL), ["p_partkey"])
+    return h.select("p_partkey", "feature_name", "description", "complete")
+
+
+def _stars(spark, d):
+    e = _evaluations(spark, d)
+    return e.select("config_id", "pos", score_stars(F.col("usefulness_score")).alias("stars"), keep_mark(F.col("keep")).alias("mark"))
+
+
+def _phrases(spark, d):
+    p = F.split("text", "[.\n]")
+    return b.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(clean_phrases(p), "|").alias("phrases"))
+
+
+EVAL_SQL = f"""WITH {b.DEFINITIONS} SELECT config_id, pos, name AS feature_name, CAST((pos * 7) % 5 + 1 AS INTEGER) AS usefulness_score, pos % 3 <> 0 AS keep
+FROM defs WHERE config_id IN (SELECT 'c' || CAST(p_partkey // 12 AS VARCHAR) FROM part WHERE p_partkey % 12 < 5)"""
+
+CHECKS = [
+    Check("j7_signal_features", b.records, f"WITH {b.RECORDS} SELECT * FROM records"),
+    Check(
+        "b9_feature_validate",
+        _validated,
+        f"""WITH {b.RECORDS}, r AS (SELECT id, comma_level, CASE WHEN length_level <> 3 THEN has_digit END AS has_digit,
+  CASE WHEN length_level <> 3 THEN tongue END AS tongue FROM records),
+e AS (SELECT id, concat_ws('; ', CASE WHEN comma_level < 2 THEN 'comma_level: below 2' END, CASE WHEN comma_level > 3 THEN 'comma_level: above 3' END,
+  CASE WHEN has_digit IS NULL THEN 'has_digit: missing' END, CASE WHEN tongue IS NULL THEN 'tongue: missing' END) AS errors FROM r)
+SELECT id, errors = '' AS valid, errors FROM e""",
+    ),
+    Check(
+        "i4_cache_keys",
+        lambda s, d: b.table(s, d, "documents").select("doc_id", cache_key("abc123", F.col("text")).alias("cache_key")),
+        "SELECT doc_id, md5('abc123:' || text) AS cache_key FROM documents",
+    ),
+    Check(
+        "c9_cache_split",
+        _cache_split,
+        """WITH k AS (SELECT doc_id, lang, md5('abc123:' || text) AS cache_key FROM documents), c AS (SELECT DISTINCT cache_key FROM k WHERE lang = 'en')
+SELECT cache_key, 'hit' AS side, doc_id FROM k WHERE cache_key IN (SELECT cache_key FROM c)
+UNION ALL SELECT DISTINCT cache_key, 'miss', CAST(NULL AS BIGINT) FROM k WHERE cache_key NOT IN (SELECT cache_key FROM c)""",
+    ),
+    Check(
+        "j1_extract_with_retries",
+        lambda s, d: _extracted(s, d).select("id", "status", "attempt", "error", "input_tokens", "output_tokens", "record.level"),
+        f"WITH {SERVICE} SELECT id, status, attempt, error, input_tokens, output_tokens, level FROM calls",
+    ),
+    Check("j2_extract_batch", _batch, f"WITH {SERVICE} SELECT id, status, level FROM calls"),
+    Check(
+        "j4_extraction_log",
+        lambda s, d: ex.extraction_log(_extracted(s, d), "gpt-5-mini").select("post_id", "model", "attempt", "usage.input_tokens", "usage.output_tokens"),
+        f"WITH {SERVICE} SELECT id AS post_id, 'gpt-5-mini' AS model, attempt, input_tokens, output_tokens FROM calls WHERE status = 'ok'",
+    ),
+    Check("j5_typed_records", _typed, f"WITH {b.RECORDS} SELECT * FROM records"),
+    Check(
+        "j8_extraction_requests",
+        lambda s, d: rq.extraction_requests(_documents(s, d), "signals", "Text signals"),
+        f"""SELECT CAST(doc_id AS VARCHAR) AS id, {_sql_text(rq.EXTRACTION_SYSTEM.format(name='signals', description='Text signals'))} AS system,
+  {_sql_text(rq.EXTRACTION_USER)} || text AS user FROM documents""",
+    ),
+    Check(
+        "j9_rendered_samples",
+        lambda s, d: detailed(s, d).select("id", rq.rendered_sample(b.SIGNAL_NAMES).alias("sample")),
+        f"WITH {DETAILED} SELECT id, {RENDER} AS sample FROM full_preds",
+    ),
+    Check(
+        "j10_residual_request",
+        _residual,
+        f"""WITH {DETAILED}, w AS (SELECT * FROM full_preds WHERE true_label <> predicted_label ORDER BY id LIMIT 5)
+SELECT count(*) AS n_examples, {_sql_text(rq.RESIDUAL_HEAD + ', '.join(b.SIGNAL_NAMES) + chr(10) * 2)} || string_agg('---' || chr(10) || 'TRUE LABEL: ' || true_label ||
+  chr(10) || 'PREDICTED: ' || predicted_label || chr(10) || 'TEXT: ' || substring(text, 1, 500) || chr(10), chr(10) ORDER BY id) AS prompt FROM w""",
+    ),
+    Check(
+        "j11_broad_request",
+        _broad,
+        f"""WITH {b.QUALITY}, r AS (SELECT *, md5('2026:' || CAST(id AS VARCHAR)) AS h, row_number() OVER (PARTITION BY label ORDER BY md5('2026:' || CAST(id AS VARCHAR)), id) AS rn,
+  count(*) OVER (PARTITION BY label) AS nc, count(*) OVER () AS na FROM quality),
+k AS (SELECT * FROM r WHERE rn <= greatest(1, floor(200 * nc / na)) ORDER BY h, id LIMIT 200)
+SELECT count(*) AS n_examples, {_sql_text(rq.BROAD_HEAD)} || string_agg('- LABEL: ' || label || chr(10) || '  TEXT: ' ||
+  CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END, chr(10) ORDER BY id) AS prompt FROM k JOIN documents ON id = doc_id""",
+    ),
+    Check(
+        "j11_sample_request",
+        _contrast,
+        f"""WITH {DETAILED}, x AS (SELECT id, true_label = predicted_label AS ok, {RENDER} AS s,
+  row_number() OVER (PARTITION BY true_label = predicted_label ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) AS rn FROM full_preds)
+SELECT {_sql_text(rq.SAMPLE_HEAD + 'Known patterns:' + chr(10) + '- pattern one' + chr(10) + '- pattern two' + chr(10) * 2 + 'RIGHT:' + chr(10))} ||
+  string_agg(s, chr(10) ORDER BY id) FILTER (ok) || {_sql_text(chr(10) * 2 + 'WRONG:' + chr(10))} || string_agg(s, chr(10) ORDER BY id) FILTER (NOT ok) AS prompt
+FROM x WHERE rn <= 5""",
+    ),
+    Check(
+        "j11_budget_lines",
+        _budget_lines,
+        """SELECT o_orderkey, '- Columns in use: ' || e || chr(10) || '- Column budget: 18' || chr(10) || '- Columns left: ' || CASE WHEN 18 - e >= 0 THEN '+' ELSE '' END ||
+  (18 - e) || chr(10) AS budget_lines FROM (SELECT o_orderkey, o_custkey % 40 AS e FROM orders)""",
+    ),
+    Check(
+        "j11_coefficient_lines",
+        _coefficient_lines,
+        f"""WITH {b.COEFS}, k AS (SELECT *, abs(coefficient) AS a, exp(coefficient) AS o FROM coefs ORDER BY a DESC, feature LIMIT 10)
+SELECT string_agg('  ' || feature || ' coef=' || CASE WHEN coefficient >= 0 THEN '+' ELSE '' END || printf('%.4f', coefficient) || ' (OR=' || printf('%.3f', o) || ')', chr(10)
+  ORDER BY a DESC, feature) AS coefficient_lines FROM k""",
+    ),
+    Check(
+        "j11_definition_lines",
+        _definition_lines,
+        f"WITH {b.DEFINITIONS} SELECT config_id, string_agg('  ' || name || ': ' || description, chr(10) ORDER BY pos) AS definition_lines FROM defs GROUP BY config_id",
+    ),
+    Check("j12_parse_evaluations", _evaluations, EVAL_SQL),
+    Check(
+        "j12_parse_removals",
+        lambda s, d: rq.requested_removals(_parsed(s, d), ["config_id"]),
+        f"""WITH {b.DEFINITIONS} SELECT config_id, CAST(row_number() OVER (PARTITION BY config_id ORDER BY pos) - 1 AS INTEGER) AS pos, name FROM defs
+WHERE pos % 3 = 0 AND config_id IN (SELECT 'c' || CAST(p_partkey // 12 AS VARCHAR) FROM part WHERE p_partkey % 12 < 5)""",
+    ),
+    Check(
+        "j12_parse_additions",
+        _additions,
+        f"WITH {b.PROPOSALS} SELECT config_id, pos, name, feature_type, min_val, max_val, array_to_string(values, ',') AS domain FROM proposals",
+    ),
+    Check(
+        "j12_parse_hypotheses",
+        _hypotheses,
+        """SELECT p_partkey, p_brand AS feature_name, CASE WHEN p_size > 10 THEN p_type END AS description, p_size > 10 AS complete FROM part""",
+    ),
+    Check(
+        "f5_weakest_features_first",
+        lambda s, d: rq.weakest_first(_evaluations(s, d)),
+        EVAL_SQL,
+    ),
+    Check(
+        "i7_score_stars",
+        _stars,
+        f"""WITH e AS ({EVAL_SQL}) SELECT config_id, pos, repeat('★', usefulness_score) || repeat('☆', 5 - usefulness_score) AS stars,
+  CASE WHEN keep THEN 'keep' ELSE 'remove' END AS mark FROM e""",
+    ),
+    Check(
+        "i8_clean_phrases",
+        _phrases,
+        r"""SELECT conv_id, turn, array_to_string(list_slice(list_filter(list_transform(string_split_regex(text, '[.\n]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
+  lambda x: x <> ''), 1, 15), '|') AS phrases FROM conversations""",
+    ),
+]
