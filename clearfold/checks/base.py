@@ -216,10 +216,9 @@ defs AS (SELECT 'c' || CAST(p_partkey // 12 AS VARCHAR) AS config_id, CAST(p_par
 
 
 def proposals(spark: SparkSession, d: str) -> DataFrame:
-    """Proposed features per configuration, read off the suppliers of its parts."""
-    li = table(spark, d, "part").where(F.col("p_partkey") % 12 < 5)
+    """Twelve proposed features per configuration, read off the same parts under other rules."""
     size = F.col("p_size")
-    return li.select(
+    return table(spark, d, "part").select(
         F.concat(F.lit("c"), F.floor(F.col("p_partkey") / 12).cast("string")).alias("config_id"),
         (F.col("p_partkey") % 12).cast("int").alias("pos"),
         F.concat_ws("_", F.split("p_name", " ")[1], (size % 9).cast("string")).alias("name"),
@@ -235,7 +234,7 @@ PROPOSALS = """proposals AS (SELECT 'c' || CAST(p_partkey // 12 AS VARCHAR) AS c
   split_part(p_name, ' ', 2) || '_' || CAST(p_size % 9 AS VARCHAR) AS name,
   CASE WHEN p_size % 3 = 0 THEN 'scale' WHEN p_size % 3 = 1 THEN 'bool' ELSE 'categorical' END AS feature_type,
   p_brand AS description, CASE WHEN p_size % 2 = 0 THEN 2 END AS min_val, CASE WHEN p_size % 4 = 0 THEN 7 END AS max_val,
-  CASE WHEN p_size % 5 <> 0 THEN ['x', 'y', 'z'] END AS values FROM part WHERE p_partkey % 12 < 5)"""
+  CASE WHEN p_size % 5 <> 0 THEN ['x', 'y', 'z'] END AS values FROM part)"""
 
 
 def usage(spark: SparkSession, d: str) -> DataFrame:

@@ -1 +1,182 @@
-CHECKS = []
+"""Model fits and the end-to-end runs. SQL cannot fit models; the tests check them by property."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clearfold.checks import base as b
+from clearfold.checks.base import Check
+from clearfold.operators import metrics as m
+from clearfold.operators import model as md
+from clearfold.operators.ordered import hash_rank
+from clearfold.operators.profile import class_counts
+from clearfold.operators.sampling import make_splits
+from clearfold.plans.feature_run import run, signal_extraction
+from clearfold.plans.improvement import Changes, improve
+from clearfold.session import cut
+
+LINE_FEATURES = ["quantity_level", "discount_level", "line_no", "tax_high", "status"]
+
+
+def line_records(spark, d):
+    """Typed records of every line, keyed by a digest of the whole line."""
+    li = b.table(spark, d, "lineitem")
+    level = F.least(F.lit(4), F.floor(F.col("l_quantity") / 11)).cast("int") + 1
+    price = F.least(F.lit(4), F.floor(F.col("l_discount") * 50)).cast("int") + 1
+    return li.select(
+        F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in li.columns])).alias("id"),
+        level.alias("quantity_level"),
+        price.alias("discount_level"),
+        F.col("l_linenumber").alias("line_no"),
+        (F.col("l_tax") > 0.04).alias("tax_high"),
+        F.col("l_linestatus").alias("status"),
+        F.when((F.col("l_quantity") + F.length("l_returnflag") + F.col("l_extendedprice") % 37) > 40, "high").otherwise("low").alias("label"),
+    ).dropDuplicates(["id"])
+
+
+def _lines(spark, d):
+    r = line_records(spark, d)
+    return r.drop("label"), r.select("id", "label")
+
+
+def _docs(spark, d):
+    return b.records(spark, d), b.quality_labels(spark, d)
+
+
+def _fixed_c(spark, d):
+    feats, labels = _lines(spark, d)
+    fitted = md.fit_fixed_c(feats, labels, LINE_FEATURES)
+    return m.coefficient_table(md.coefficients(fitted, feats))
+
+
+def _nested(spark, d):
+    feats, labels = _docs(spark, d)
+    e = md.fit_and_evaluate(feats, labels, b.SIGNAL_NAMES)
+    rows = [(i, float(x)) for i, x in enumerate(e.fold_scores)]
+    return spark.createDataFrame(rows, "fold int, score double")
+
+
+def _select_c(spark, d):
+    feats, labels = _lines(spark, d)
+    e = md.fit_and_evaluate(feats, labels, LINE_FEATURES, outer=False)
+    table = m.coefficient_table(md.coefficients(e.fitted, feats))
+    return table.withColumn("c", F.lit(e.fitted.c))
+
+
+def _top_of_model(spark, d):
+    feats, labels = _docs(spark, d)
+    fitted = md.fit_fixed_c(feats, labels, b.SIGNAL_NAMES)
+    return m.top_coefficients(md.coefficients(fitted, feats), 10)
+
+
+def _predicted(spark, d):
+    feats, labels = _lines(spark, d)
+    return md.predict(md.fit_fixed_c(feats, labels, LINE_FEATURES), feats)
+
+
+def _split_sets(spark, d):
+    feats, labels = _docs(spark, d)
+    keys = labels.withColumn("id", F.col("id").cast("string"))
+    n = keys.count()
+    splits = cut(make_splits(keys, "label", n // 5, n // 5, n // 4, 5))
+
+    def rows(role, fold=None):
+        s = splits.where(F.col("role") == role)
+        s = s if fold is None else s.where(F.col("fold") == fold)
+        return feats.withColumn("id", F.col("id").cast("string")).join(s.select("id"), "id", "left_semi")
+
+    return rows, keys
+
+
+def _split_evaluation(spark, d):
+    """Each rotating training fold scored on the one validation set."""
+    rows, keys = _split_sets(spark, d)
+    held = rows("validation")
+    out = None
+    for fold in range(2):
+        fitted = md.fit_and_evaluate(rows("train", fold), keys, b.SIGNAL_NAMES, outer=False).fitted
+        preds = md.predict(fitted, held).join(keys.withColumnRenamed("label", "true_label"), "id")
+        row = m.accuracy_summary(preds).withColumn("train_fold", F.lit(fold))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _test_evaluation(spark, d):
+    rows, keys = _split_sets(spark, d)
+    fitted = md.fit_and_evaluate(rows("train", 0), keys, b.SIGNAL_NAMES, outer=False).fitted
+    preds = md.predict(fitted, rows("test")).join(keys.withColumnRenamed("label", "true_label"), "id")
+    return m.per_class_metrics(preds, class_counts(keys, "label").select(F.col("label").alias("class")))
+
+
+def _detailed(spark, d):
+    feats, labels = _docs(spark, d)
+    texts = b.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    fitted = md.fit_fixed_c(feats, labels, b.SIGNAL_NAMES)
+    return md.detailed_predictions(fitted, feats, labels, texts)
+
+
+def corpus_of(spark, d):
+    docs = b.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"))
+    labels = b.quality_labels(spark, d).select(F.col("id").cast("string").alias("id"), F.col("label").alias("verdict"))
+    return docs.join(labels, "id")
+
+
+def _run(spark, d):
+    report = run(corpus_of(spark, d), b.SIGNAL_DEFS, signal_extraction(b.SIGNALS), n_folds=3)
+    return report.coefficients.withColumn("cv_accuracy", F.lit(report.evaluation.mean))
+
+
+def planned(context) -> Changes:
+    """A fixed plan in place of an analysis service."""
+    if context.iteration == 1:
+        return Changes(remove=["line_level"], add=[b.SIGNALS[4].definition(), b.SIGNALS[5].definition()])
+    return Changes(remove=["has_digit"])
+
+
+def _loop(spark, d):
+    corpus = corpus_of(spark, d)
+    n = corpus.count()
+    out = improve(
+        corpus, b.SIGNAL_DEFS[:4], signal_extraction(b.SIGNALS), planned, 2, sample_size=n // 4,
+        validation_size=n // 5, test_size=n // 5, n_train_folds=2,
+    )
+    if out.error:
+        raise RuntimeError(out.error)
+    keep = ["iteration", "train_fold", "train_cv_accuracy", "val_accuracy", "n_train", "n_val", "effective_dimensionality", "is_best"]
+    return out.history.select(*keep, F.array_join("features_used", ",").alias("features_used")).withColumn(
+        "test_accuracy", F.lit(out.test_accuracy)
+    )
+
+
+def _ablation(spark, d):
+    """Cross-validated accuracy with each feature left out in turn, next to the full set."""
+    feats, labels = _docs(spark, d)
+    rows = []
+    for gone in [None, *b.SIGNAL_NAMES[:2]]:
+        names = [n for n in b.SIGNAL_NAMES if n != gone]
+        e = md.fit_and_evaluate(feats, labels, names, n_folds=2, grid=(1.0,))
+        rows.append((gone or "(none)", e.mean))
+    return spark.createDataFrame(rows, "left_out string, cv_accuracy double")
+
+
+def _slots(spark, d):
+    """Slot of every line, from which all fold memberships follow."""
+    _, labels = _lines(spark, d)
+    ranked = hash_rank(labels, ["label"], "id", md.SEED, "rank")
+    return ranked.select("id", "label", (F.col("rank") % 15).cast("int").alias("slot"))
+
+
+CHECKS = [
+    Check("k5_elastic_net_fit", _fixed_c),
+    Check("k6_select_c", _select_c),
+    Check("k7_nested_cross_validation", _nested),
+    Check("k8_coefficient_table", _top_of_model),
+    Check("k9_predictions", _predicted),
+    Check("k13_split_evaluation", _split_evaluation),
+    Check("k14_detailed_predictions", _detailed),
+    Check("k15_test_evaluation", _test_evaluation),
+    Check("k16_feature_run", _run),
+    Check("k17_improvement_loop", _loop),
+    Check("p4_ablation", _ablation),
+    Check("k7_fold_slots", _slots),
+]
