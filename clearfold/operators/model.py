@@ -19,8 +19,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,10 @@ C_GRID = (0.01, 0.1, 1.0, 10.0)
 L1_RATIO = 0.5
 MAX_ITER = 5000
 SEED = 42
+TOL = 1e-6  # of fits whose coefficients are reported
+TOL_SELECT = 1e-4  # of fits that only rank C or score a fold
 PARALLEL_FITS = 8
+ROWS_PER_PARTITION = 50_000  # collapsed rows one task of a fit works on
 
 FULL = -1  # outer part that holds every row; inner part that holds its whole training part
 
@@ -151,13 +155,27 @@ def part_statistics(collapsed: DataFrame, columns: Sequence[str], layout: FoldLa
     return scalers, sizes
 
 
-def vectors(df: DataFrame, columns: Sequence[str], scaler: Scaler, keep: Sequence[str]) -> DataFrame:
-    scaled = df.select(*keep, *[scaler.scaled(c).alias(f"__f{i}") for i, c in enumerate(columns)])
-    assembled = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="features").transform(scaled)
-    return assembled.select(*keep, "features")
+def raw_vectors(df: DataFrame, columns: Sequence[str], fill: dict[str, float], keep: Sequence[str]) -> DataFrame:
+    """The columns as one vector, gaps filled with ``fill``."""
+    plain = [F.coalesce(F.col(c).cast("double"), F.lit(float(fill[c]))).alias(f"__f{i}") for i, c in enumerate(columns)]
+    names = [f"__f{i}" for i in range(len(columns))]
+    assembler = VectorAssembler(inputCols=names, outputCol="raw", handleInvalid="keep")
+    return assembler.transform(df.select(*keep, *plain)).select(*keep, "raw")
 
 
-def fit_logistic(train: DataFrame, c: float, total_weight: float, weight: str = "weight") -> LogisticRegressionModel:
+def scaled_vectors(df: DataFrame, columns: Sequence[str], scaler: Scaler) -> DataFrame:
+    """Add ``features``: the raw vector over the spread of each column.
+
+    The mean is not taken off: the intercept is free of any penalty, so a shift of a column
+    moves the intercept and leaves coefficients and predictions as they are.
+    """
+    factors = Vectors.dense([1.0 / scaler.std[c] for c in columns])
+    return ElementwiseProduct(scalingVec=factors, inputCol="raw", outputCol="features").transform(df)
+
+
+def fit_logistic(
+    train: DataFrame, c: float, total_weight: float, weight: str = "weight", tol: float = TOL
+) -> LogisticRegressionModel:
     """Minimise ``c * sum(weight * loss) + penalty`` with an even L1/L2 mix.
 
     Spark minimises the weighted mean loss plus ``regParam`` times the penalty, hence
@@ -170,6 +188,7 @@ def fit_logistic(train: DataFrame, c: float, total_weight: float, weight: str =
         regParam=1.0 / (c * total_weight),
         elasticNetParam=L1_RATIO,
         maxIter=MAX_ITER,
+        tol=tol,
         standardization=False,
     )
     return lr.fit(train)
@@ -177,53 +196,76 @@ def fit_logistic(train: DataFrame, c: float, total_weight: float, weight: str =
 
 def _weighted(df: DataFrame, sizes: dict[int, int]) -> DataFrame:
     total, k = sum(sizes.values()), len(sizes)
-    weight = F.lit(0.0)
-    for label, n in sizes.items():
-        weight = F.when(F.col("label_idx") == label, F.col("n") * F.lit(total / (k * n))).otherwise(weight)
-    return df.withColumn("weight", weight)
+    per_class = [total / (k * sizes[i]) if i in sizes else 0.0 for i in range(max(sizes) + 1)]
+    return df.withColumn("weight", F.col("n") * F.element_at(F.lit(per_class), F.col("label_idx") + 1))
 
 
-def _accuracy(model: LogisticRegressionModel | int, rows: DataFrame) -> float:
-    scored = rows.withColumn("prediction", F.lit(model)) if isinstance(model, int) else model.transform(rows)
-    hit = F.when(F.col("prediction") == F.col("label_idx"), F.col("n")).otherwise(0)
-    r = scored.agg(F.sum(hit).alias("h"), F.sum("n").alias("n")).first()
-    return (r["h"] or 0) / r["n"] if r["n"] else 0.0
+def _accuracies(models: Sequence[LogisticRegressionModel | int], rows: DataFrame) -> list[float]:
+    """Accuracy of several models on the same rows, read once."""
+    hits = []
+    for i, model in enumerate(models):
+        name = f"__p{i}"
+        if isinstance(model, int):
+            rows = rows.withColumn(name, F.lit(float(model)))
+        else:
+            scorer = model.copy().setPredictionCol(name).setProbabilityCol("").setRawPredictionCol("")
+            rows = scorer.transform(rows)
+        hits.append(F.sum(F.when(F.col(name) == F.col("label_idx"), F.col("n")).otherwise(0)).alias(name))
+    r = rows.agg(F.sum("n").alias("n"), *hits).first()
+    return [(r[f"__p{i}"] or 0) / r["n"] if r["n"] else 0.0 for i in range(len(models))]
 
 
 class NestedFit:
-    """Runs the fits of one collapsed matrix; independent fits share a small thread pool."""
+    """Runs the fits of one collapsed matrix; independent fits share a small thread pool.
+
+    What differs between fits (slots, weights, spreads) goes in as array and vector values,
+    so that all of them run the same generated code.
+    """
 
     def __init__(self, collapsed: DataFrame, columns: list[str], layout: FoldLayout):
-        self.rows, self.columns, self.layout = collapsed, columns, layout
+        self.columns, self.layout = columns, layout
         self.scalers, self.sizes = part_statistics(collapsed, columns, layout)
-
-    def _slots(self, slots: list[int]) -> DataFrame:
-        return self.rows if len(slots) == self.layout.n_slots else self.rows.where(F.col("slot").isin(slots))
-
-    def _train(self, f: int, g: int, c: float) -> LogisticRegressionModel | int:
-        """The fitted model, or the only class where the part has just one."""
+        self.collapsed = collapsed
+        gaps = collapsed.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(columns)], F.count(F.lit(1)).alias("n"))
+        row = gaps.first()
+        self.complete = all(row[f"g{i}"] == 0 for i in range(len(columns)))
+        self.partitions = max(1, row["n"] // ROWS_PER_PARTITION)
+        self.rows = self._vectors(dict.fromkeys(columns, 0.0)).persist() if self.complete else None
+
+    def close(self) -> None:
+        if self.rows is not None:
+            self.rows.unpersist()
+
+    def _vectors(self, fill: dict[str, float]) -> DataFrame:
+        return raw_vectors(self.collapsed, self.columns, fill, ["label_idx", "slot", "n"]).coalesce(self.partitions)
+
+    def _slots(self, slots: list[int], scaler: Scaler) -> DataFrame:
+        rows = self.rows if self.complete else self._vectors(scaler.median)
+        return scaled_vectors(rows.where(F.array_contains(F.lit(slots), F.col("slot"))), self.columns, scaler)
+
+    def train(self, f: int, g: int, grid: Sequence[float]) -> list[LogisticRegressionModel | int]:
+        """One fitted model per C, or the only class where the part has just one."""
         sizes = self.sizes[(f, g)]
         if len(sizes) < 2:
-            return next(iter(sizes))
-        rows = _weighted(self._slots(self.layout.train_slots(f, g)), sizes)
-        data = vectors(rows, self.columns, self.scalers[(f, g)], ["label_idx", "weight"])
-        return fit_logistic(data, c, float(sum(sizes.values())))
-
-    def _score(self, model: LogisticRegressionModel | int, f: int, g: int) -> float:
-        rows = self._slots(self.layout.score_slots(f, g))
-        return _accuracy(model, vectors(rows, self.columns, self.scalers[(f, g)], ["label_idx", "n"]))
+            return [next(iter(sizes))] * len(grid)
+        slots = self._slots(self.layout.train_slots(f, g), self.scalers[(f, g)])
+        data = _weighted(slots, sizes).select("label_idx", "weight", "features").persist()
+        try:
+            tol = TOL if (f, g) == (FULL, FULL) else TOL_SELECT
+            return [fit_logistic(data, c, float(sum(sizes.values())), tol=tol) for c in grid]
+        finally:
+            data.unpersist()
+
+    def score(self, models: Sequence[LogisticRegressionModel | int], f: int, g: int) -> list[float]:
+        return _accuracies(models, self._slots(self.layout.score_slots(f, g), self.scalers[(f, g)]))
 
     def inner_scores(self, outers: Sequence[int], grid: Sequence[float] = C_GRID) -> dict[int, dict[float, float]]:
         """Mean inner accuracy per outer part and C."""
-        jobs = [(f, g, c) for f in outers for g in range(self.layout.inner) for c in grid]
-
-        def one(job):
-            f, g, c = job
-            return job, self._score(self._train(f, g, c), f, g)
-
+        jobs = [(f, g) for f in outers for g in range(self.layout.inner)]
         with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            done = dict(pool.map(one, jobs))
-        return {f: {c: float(np.mean([done[(f, g, c)] for g in range(self.layout.inner)])) for c in grid} for f in outers}
+            done = dict(zip(jobs, pool.map(lambda j: self.score(self.train(*j, grid), *j), jobs)))
+        folds = range(self.layout.inner)
+        return {f: {c: float(np.mean([done[(f, g)][i] for g in folds])) for i, c in enumerate(grid)} for f in outers}
 
     def best_c(self, scores: dict[float, float]) -> float:
         """The best C; the smallest of equals."""
@@ -232,11 +274,14 @@ class NestedFit:
     def run(self, grid: Sequence[float] = C_GRID, outer: bool = True) -> tuple[list[float], LogisticRegressionModel, float]:
         """(outer fold scores, model refitted on all rows, its C)."""
         outers = [FULL] + (list(range(self.layout.outer)) if outer else [])
-        chosen = {f: self.best_c(s) for f, s in self.inner_scores(outers, grid).items()}
+        if len(grid) == 1:
+            chosen = dict.fromkeys(outers, grid[0])
+        else:
+            chosen = {f: self.best_c(s) for f, s in self.inner_scores(outers, grid).items()}
         with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            models = dict(zip(outers, pool.map(lambda f: self._train(f, FULL, chosen[f]), outers)))
+            models = dict(zip(outers, pool.map(lambda f: self.train(f, FULL, [chosen[f]])[0], outers)))
             held = [f for f in outers if f != FULL]
-            scores = list(pool.map(lambda f: self._score(models[f], f, FULL), held))
+            scores = list(pool.map(lambda f: self.score([models[f]], f, FULL)[0], held))
         return scores, models[FULL], chosen[FULL]
 
 
@@ -273,6 +318,7 @@ def fit_and_evaluate(
     try:
         nested = NestedFit(collapsed, columns, layout)
         scores, model, c = nested.run(grid, outer)
+        nested.close()
     finally:
         collapsed.unpersist()
     scaler = nested.scalers[(FULL, FULL)]
@@ -294,7 +340,8 @@ def fit_fixed_c(features: DataFrame, labels: DataFrame, raw_columns: Sequence[st
     rows = matrix.groupBy(*columns, "label_idx").agg(F.count(F.lit(1)).alias("n")).withColumn("slot", F.lit(0)).persist()
     try:
         nested = NestedFit(rows, columns, one)
-        model = nested._train(FULL, FULL, c)
+        model = nested.train(FULL, FULL, [c])[0]
+        nested.close()
     finally:
         rows.unpersist()
     return Fitted(model, columns, list(raw_columns), vocabulary, nested.scalers[(FULL, FULL)], names, c)
@@ -306,7 +353,9 @@ def predict(fitted: Fitted, features: DataFrame, keep: Sequence[str] = ("id",))
     extra = [c for c in fitted.columns if c not in matrix.columns]
     if extra:
         matrix = with_interactions(matrix, [tuple(c.split("__x__", 1)) for c in extra])
-    data = vectors(matrix, fitted.columns, fitted.scaler, list(keep))
+    data = scaled_vectors(
+        raw_vectors(matrix, fitted.columns, fitted.scaler.median, list(keep)), fitted.columns, fitted.scaler
+    )
     names = F.array(*[F.lit(n) for n in fitted.labels])
     return fitted.model.transform(data).select(
         *keep,
