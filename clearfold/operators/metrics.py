@@ -262,11 +262,19 @@ def _long(df: DataFrame, columns: list[str], extra: list[str]) -> DataFrame:
     return df.select(*extra, pairs).select(*extra, "p.*")
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Pearson correlation, null where one side is constant."""
+    known = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(known, F.col(a).cast("double")), F.when(known, F.col(b).cast("double"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
 def feature_quality(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Variance of every feature and its correlation with a numeric target, in one pass."""
     aggs = []
     for i, c in enumerate(columns):
-        aggs += [F.var_pop(c).alias(f"v{i}"), F.corr(c, target).alias(f"r{i}")]
+        aggs += [F.var_pop(c).alias(f"v{i}"), _correlation(c, target).alias(f"r{i}")]
     rows = F.explode(
         F.array(
             *[
@@ -281,7 +289,7 @@ def feature_quality(df: DataFrame, columns: list[str], target: str) -> DataFrame
 def redundant_pairs(df: DataFrame, columns: list[str], limit: float = 0.8) -> DataFrame:
     """Feature pairs whose correlation exceeds ``limit`` in size, all pairs in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[_correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.explode(
         F.array(
             *[
