@@ -31,12 +31,7 @@ def line_records(spark, d):
         (F.col("l_tax") > 0.04).alias("tax_high"),
         F.col("l_linestatus").alias("status"),
         F.when((F.col("l_quantity") + F.length("l_returnflag") + F.col("l_extendedprice") % 37) > 40, "high").otherwise("low").alias("label"),
-    ).dropDuplicates(["id"])
-
-
-def _lines(spark, d):
-    r = line_records(spark, d)
-    return r.drop("label"), r.select("id", "label")
+    )
 
 
 def _docs(spark, d):
@@ -44,8 +39,8 @@ def _docs(spark, d):
 
 
 def _fixed_c(spark, d):
-    feats, labels = _lines(spark, d)
-    fitted = md.fit_fixed_c(feats, labels, LINE_FEATURES)
+    feats = line_records(spark, d)
+    fitted = md.fit_fixed_c(feats, None, LINE_FEATURES)
     return m.coefficient_table(md.coefficients(fitted, feats))
 
 
@@ -57,8 +52,8 @@ def _nested(spark, d):
 
 
 def _select_c(spark, d):
-    feats, labels = _lines(spark, d)
-    e = md.fit_and_evaluate(feats, labels, LINE_FEATURES, outer=False)
+    feats = line_records(spark, d)
+    e = md.fit_and_evaluate(feats, None, LINE_FEATURES, outer=False)
     table = m.coefficient_table(md.coefficients(e.fitted, feats))
     return table.withColumn("c", F.lit(e.fitted.c))
 
@@ -70,8 +65,8 @@ def _top_of_model(spark, d):
 
 
 def _predicted(spark, d):
-    feats, labels = _lines(spark, d)
-    return md.predict(md.fit_fixed_c(feats, labels, LINE_FEATURES), feats)
+    feats = line_records(spark, d)
+    return md.predict(md.fit_fixed_c(feats, None, LINE_FEATURES), feats)
 
 
 def _split_sets(spark, d):
@@ -161,8 +156,7 @@ def _ablation(spark, d):
 
 def _slots(spark, d):
     """Slot of every line, from which all fold memberships follow."""
-    _, labels = _lines(spark, d)
-    ranked = hash_rank(labels, ["label"], "id", md.SEED, "rank")
+    ranked = hash_rank(line_records(spark, d).select("id", "label"), ["label"], "id", md.SEED, "rank")
     return ranked.select("id", "label", (F.col("rank") % 15).cast("int").alias("slot"))
 
 

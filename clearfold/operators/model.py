@@ -18,11 +18,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearfold.operators.matrix import Scaler, encode, encoded_columns, fit_vocabulary, join_labels, with_interactions
@@ -232,7 +233,7 @@ class NestedFit:
         self.partitions = max(1, row["n"] // ROWS_PER_PARTITION)
         self.rows = self._vectors(dict.fromkeys(columns, 0.0)).persist() if self.complete else None
 
-    def close(self) -> None:
+    def unpersist(self) -> None:
         if self.rows is not None:
             self.rows.unpersist()
 
@@ -285,9 +286,18 @@ class NestedFit:
         return scores, models[FULL], chosen[FULL]
 
 
+def _training_rows(features: DataFrame, labels: DataFrame | None, raw_columns: Sequence[str], label: str) -> DataFrame:
+    rows = features if labels is None else join_labels(features, labels.select("id", label))
+    return rows.select("id", *raw_columns, label).where(F.col(label).isNotNull())
+
+
+def _index_of(names: Sequence[str], label: str) -> Column:
+    return (F.array_position(F.lit(list(names)), F.col(label)) - 1).cast("int")
+
+
 def fit_and_evaluate(
     features: DataFrame,
-    labels: DataFrame,
+    labels: DataFrame | None,
     raw_columns: Sequence[str],
     label: str = "label",
     n_folds: int = 5,
@@ -297,53 +307,59 @@ def fit_and_evaluate(
 ) -> Evaluation:
     """Nested cross-validation and final fit of records ``features`` against ``labels``.
 
-    Choice of C, imputation and scaling all happen inside each training part. The category
-    vocabulary is that of the whole input: it only names columns, and one without a row
-    in a training part gets coefficient 0 there.
+    ``labels=None`` takes the label from ``features`` itself. Choice of C, imputation and
+    scaling all happen inside each training part. The category vocabulary is that of the
+    whole input: it only names columns, and one without a row in a training part gets
+    coefficient 0 there.
     """
-    joined = join_labels(features, labels.select("id", label)).where(F.col(label).isNotNull())
-    vocabulary = fit_vocabulary(joined, raw_columns)
-    columns = encoded_columns(raw_columns, vocabulary)
-    names = [r[label] for r in label_index(joined, label).orderBy("label_idx").collect()]
-    if len(names) < 2:
-        raise ValueError("a classifier needs at least two classes")
-    counts = safe_fold_counts(joined, label, n_folds).first()
-    layout = FoldLayout(int(counts["outer_folds"]), int(counts["inner_folds"]))
-    idx = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(label)) - 1
-    matrix = encode(joined.withColumn("label_idx", idx.cast("int")), raw_columns, vocabulary, ["id", "label_idx"])
-    if terms:
-        matrix = with_interactions(matrix, terms)
-        columns = columns + [f"{a}__x__{b}" for a, b in terms]
-    collapsed = collapse(matrix, columns, layout).persist()
+    rows = _training_rows(features, labels, raw_columns, label).persist(StorageLevel.MEMORY_AND_DISK)
+    collapsed = nested = None
     try:
-        nested = NestedFit(collapsed, columns, layout)
+        names = [r[label] for r in label_index(rows, label).orderBy("label_idx").collect()]
+        if len(names) < 2:
+            raise ValueError("a classifier needs at least two classes")
+        counts = safe_fold_counts(rows, label, n_folds).first()
+        layout = FoldLayout(int(counts["outer_folds"]), int(counts["inner_folds"]))
+        indexed = rows.withColumn("label_idx", _index_of(names, label))
+        raw = collapse(indexed, raw_columns, layout).persist()
+        vocabulary = fit_vocabulary(raw, raw_columns)
+        columns = encoded_columns(raw_columns, vocabulary)
+        matrix = encode(raw, raw_columns, vocabulary, ["label_idx", "slot", "n"])
+        if terms:
+            matrix = with_interactions(matrix, terms)
+            columns = columns + [f"{a}__x__{b}" for a, b in terms]
+        collapsed = raw
+        nested = NestedFit(matrix, columns, layout)
         scores, model, c = nested.run(grid, outer)
-        nested.close()
     finally:
-        collapsed.unpersist()
+        for held in (nested, collapsed, rows):
+            if held is not None:
+                held.unpersist()
     scaler = nested.scalers[(FULL, FULL)]
     fitted = Fitted(model, columns, list(raw_columns), vocabulary, scaler, names, c)
     return Evaluation(scores, fitted, int(counts["n_rows"]))
 
 
-def fit_fixed_c(features: DataFrame, labels: DataFrame, raw_columns: Sequence[str], label: str = "label", c: float = 1.0) -> Fitted:
-    """One fit at a given C on all rows, without cross-validation."""
-    joined = join_labels(features, labels.select("id", label)).where(F.col(label).isNotNull())
-    vocabulary = fit_vocabulary(joined, raw_columns)
-    columns = encoded_columns(raw_columns, vocabulary)
-    names = [r[label] for r in label_index(joined, label).orderBy("label_idx").collect()]
-    if len(names) < 2:
-        raise ValueError("a classifier needs at least two classes")
-    idx = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(label)) - 1
-    matrix = encode(joined.withColumn("label_idx", idx.cast("int")), raw_columns, vocabulary, ["id", "label_idx"])
-    one = FoldLayout(1, 1)
-    rows = matrix.groupBy(*columns, "label_idx").agg(F.count(F.lit(1)).alias("n")).withColumn("slot", F.lit(0)).persist()
+def fit_fixed_c(
+    features: DataFrame, labels: DataFrame | None, raw_columns: Sequence[str], label: str = "label", c: float = 1.0
+) -> Fitted:
+    """One fit at a given C on all rows, without cross-validation; the input is read once."""
+    rows = _training_rows(features, labels, raw_columns, label)
+    counted = rows.groupBy(*raw_columns, label).agg(F.count(F.lit(1)).alias("n")).withColumn("slot", F.lit(0)).persist()
+    nested = None
     try:
-        nested = NestedFit(rows, columns, one)
+        names = [r[label] for r in label_index(counted, label).orderBy("label_idx").collect()]
+        if len(names) < 2:
+            raise ValueError("a classifier needs at least two classes")
+        vocabulary = fit_vocabulary(counted, raw_columns)
+        columns = encoded_columns(raw_columns, vocabulary)
+        indexed = counted.withColumn("label_idx", _index_of(names, label))
+        nested = NestedFit(encode(indexed, raw_columns, vocabulary, ["label_idx", "slot", "n"]), columns, FoldLayout(1, 1))
         model = nested.train(FULL, FULL, [c])[0]
-        nested.close()
     finally:
-        rows.unpersist()
+        for held in (nested, counted):
+            if held is not None:
+                held.unpersist()
     return Fitted(model, columns, list(raw_columns), vocabulary, nested.scalers[(FULL, FULL)], names, c)
 
 
