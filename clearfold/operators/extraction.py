@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clearfold.functions.hashing import cache_key
+from clearfold.session import shared_dir
 
 # Defaults of the extraction job.
 MAX_RETRIES = 2
@@ -84,7 +86,8 @@ def run_extractor(
     ``factory`` builds one client per task. At most ``max_concurrent`` tasks run, each
     paced at its share of the rate cap, so the caps hold across the cluster without any
     coordination. Write the result before using it twice: every evaluation calls the
-    service again.
+    service again. For a paid service leave ``spark.speculation`` off, since a speculative
+    copy of a task calls it again too.
     """
     pace_s = 60.0 * max_concurrent / requests_per_minute if requests_per_minute else 0.0
     names = record.fieldNames()
@@ -155,20 +158,27 @@ def extract_into_cache(
 ) -> DataFrame:
     """Extract what the cache table at ``path`` lacks and return the table.
 
-    Misses are worked off in ``batches`` slices of the key space; each slice is written
-    when done, so a lost job repeats one slice at most. Failed rows are written too, under
-    their status, and are tried again by the next call. ``call_id`` marks the rows of this
-    call, which are the ones it paid for.
+    With several ``batches`` the distinct misses are written once, cut by key, and worked
+    off slice by slice; each slice's results are written when done, so a lost executor or
+    job repeats one slice at most. Failed rows are written too, under their status, and are
+    tried again by the next call. ``call_id`` marks the rows of this call, which are the
+    ones it paid for.
     """
     spark = keyed.sparkSession
     key, call = T.StructField("cache_key", T.StringType()), T.StructField("call_id", T.StringType())
     schema = T.StructType([key, *output_schema(record).fields[1:], call])
     empty = spark.createDataFrame([], schema)
-    for b in range(batches):
-        cache = _read_or(spark, path, schema, empty)
-        part = keyed.where(F.pmod(F.xxhash64("cache_key"), F.lit(batches)) == b) if batches > 1 else keyed
-        todo = cache_misses(part, cache.where(F.col("status") == "ok"), text_col)
-        out = run_extractor(todo, factory, record, "cache_key", text_col, **options)
+    done = _read_or(spark, path, schema, empty).where(F.col("status") == "ok")
+    todo = cache_misses(keyed, done, text_col)
+    slices = [todo]
+    if batches > 1:
+        folder = f"{shared_dir(spark)}/todo-{uuid.uuid4().hex}"
+        sliced = todo.withColumn("slice", F.pmod(F.xxhash64("cache_key"), F.lit(batches)).cast("int"))
+        sliced.write.partitionBy("slice").parquet(folder)
+        waiting = spark.read.schema(f"cache_key string, {text_col} string, slice int").parquet(folder)
+        slices = [waiting.where(F.col("slice") == b) for b in range(batches)]
+    for part in slices:
+        out = run_extractor(part, factory, record, "cache_key", text_col, **options)
         out.withColumnRenamed("id", "cache_key").withColumn("call_id", F.lit(call_id)).write.mode("append").parquet(path)
     return _read_or(spark, path, schema, empty)
 
@@ -231,7 +241,12 @@ class Signal:
             for value, pattern in reversed(list(self.choices)):
                 out = F.when(text.rlike(pattern), F.lit(value)).otherwise(out)
             return out
-        count = F.length(text) if self.pattern is None else F.regexp_count(text, F.lit(self.pattern))
+        if self.pattern is None:
+            count = F.length(text)
+        elif len(self.pattern) == 1 and self.pattern not in r".^$*+?{}[]\|()":
+            count = F.length(text) - F.length(F.replace(text, F.lit(self.pattern), F.lit("")))
+        else:
+            count = F.regexp_count(text, F.lit(self.pattern))
         level = F.least(F.lit(self.max - 1), F.floor(count / F.lit(self.every))) + 1
         return level.cast("int")
 

@@ -109,48 +109,39 @@ def collapse(matrix: DataFrame, columns: Sequence[str], layout: FoldLayout, id_c
 
 
 def part_statistics(collapsed: DataFrame, columns: Sequence[str], layout: FoldLayout) -> tuple[dict, dict]:
-    """Scaler and class sizes of every training part, from one pass over the collapsed rows.
+    """Scaler and class sizes of every training part, from two passes over the collapsed rows.
 
-    The pass counts values per slot and column. Parts overlap, so each count is then spread
-    over the parts its slot belongs to; parts, columns and classes bound what is collected.
+    Values are counted per slot and column first; parts overlap, so each count is then
+    spread over the parts its slot belongs to. Only parts x columns rows are collected.
     """
-    spark = collapsed.sparkSession
-    member = [(f, g, s) for f, g in layout.parts() for s in layout.train_slots(f, g)]
-    parts = F.broadcast(spark.createDataFrame(member, "f int, g int, slot int"))  # fold layout: fixed size
+    parts = layout.parts()
+    of_slot = [[p for p, (f, g) in enumerate(parts) if s in layout.train_slots(f, g)] for s in range(layout.n_slots)]
+    sizes: dict = {part: {} for part in parts}
+    for r in collapsed.groupBy("slot", "label_idx").agg(F.sum("n").alias("n")).collect():
+        for p in of_slot[r["slot"]]:
+            size = sizes[parts[p]]
+            size[r["label_idx"]] = size.get(r["label_idx"], 0) + r["n"]
+
     pairs = [F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
-    pairs.append(F.struct(F.lit(-1).alias("i"), F.col("label_idx").cast("double").alias("v")))
     values = collapsed.select("slot", "n", F.explode(F.array(*pairs)).alias("p")).groupBy("slot", "p.i", "p.v")
-    spread = values.agg(F.sum("n").alias("n")).join(parts, "slot").groupBy("f", "g", "i", "v").agg(F.sum("n").alias("n"))
-    spread = spread.persist()
-    try:
-        sizes: dict = {}
-        for r in spread.where(F.col("i") == -1).select("f", "g", "v", "n").collect():
-            sizes.setdefault((r["f"], r["g"]), {})[int(r["v"])] = r["n"]
-        known = F.col("v").isNotNull()
-        weighted = F.sum(F.when(known, F.col("v") * F.col("n")))
-        squares = F.sum(F.when(known, F.col("v") * F.col("v") * F.col("n")))
-        stats = (
-            spread.where(F.col("i") >= 0)
-            .groupBy("f", "g", "i")
-            .agg(
-                F.percentile("v", F.lit(0.5), F.col("n")).alias("median"),
-                F.coalesce(weighted, F.lit(0.0)).alias("s1"),
-                F.coalesce(squares, F.lit(0.0)).alias("s2"),
-                F.sum("n").alias("n"),
-                F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("gaps"),
-            )
-            .collect()
-        )
-    finally:
-        spread.unpersist()
+    member = F.element_at(F.array(*[F.lit(x).cast("array<int>") for x in of_slot]), F.col("slot") + 1)
+    spread = values.agg(F.sum("n").alias("n")).select("i", "v", "n", F.explode(member).alias("part"))
+    known = F.col("v").isNotNull()
+    stats = spread.groupBy("part", "i").agg(
+        F.percentile("v", F.lit(0.5), F.col("n")).alias("median"),
+        F.coalesce(F.sum(F.when(known, F.col("v") * F.col("n"))), F.lit(0.0)).alias("s1"),
+        F.coalesce(F.sum(F.when(known, F.col("v") * F.col("v") * F.col("n"))), F.lit(0.0)).alias("s2"),
+        F.sum("n").alias("n"),
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("gaps"),
+    )
     scalers: dict = {}
-    for r in stats:
+    for r in stats.collect():
         median = 0.0 if r["median"] is None else r["median"]
         total, total2 = r["s1"] + r["gaps"] * median, r["s2"] + r["gaps"] * median * median
         mean = total / r["n"]
         var = max(total2 / r["n"] - mean * mean, 0.0)
-        std = var**0.5 if var > 1e-24 else 1.0
-        sc = scalers.setdefault((r["f"], r["g"]), Scaler({}, {}, {}))
+        std = var**0.5 if var > 1e-12 * max(1.0, mean * mean) else 1.0
+        sc = scalers.setdefault(parts[r["part"]], Scaler({}, {}, {}))
         name = columns[r["i"]]
         sc.median[name], sc.mean[name], sc.std[name] = median, mean, std
     return scalers, sizes

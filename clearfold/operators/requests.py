@@ -16,6 +16,10 @@ RESIDUAL_CHARS = 500
 RESIDUAL_EXAMPLES = 5
 BROAD_PATTERNS = 15
 
+# Layout of one rendered prediction and of one residual example.
+SAMPLE_LAYOUT = ("---\nTRUE: ", " | PREDICTED: ", " | CONFIDENCE: ", "\nTEXT: ", "\nFEATURES: ", "\n")
+RESIDUAL_LAYOUT = ("---\nTRUE LABEL: ", "\nPREDICTED: ", "\nTEXT: ", "\n")
+
 EXTRACTION_SYSTEM = (
     "Read the text and fill in the requested features. Judge only what is written and how; "
     "do not guess at the outcome.\n\nFeature set: {name}\n{description}"
@@ -54,20 +58,19 @@ def extraction_requests(
 
 def rendered_sample(features: Sequence[str], limit: int = SAMPLE_CHARS, prefix: str = "feat_") -> Column:
     """One prediction as text: labels, confidence, shortened text and feature values."""
-    values = F.to_json(F.struct(*[F.col(prefix + c).alias(c) for c in features]))
-    return F.concat(
-        F.lit("---\nTRUE: "),
+    values = [
         F.col("true_label"),
-        F.lit(" | PREDICTED: "),
         F.col("predicted_label"),
-        F.lit(" | CONFIDENCE: "),
         F.format_string("%.2f", F.col("confidence")),
-        F.lit("\nTEXT: "),
         truncate(F.col("text"), limit),
-        F.lit("\nFEATURES: "),
-        values,
-        F.lit("\n"),
-    )
+        F.to_json(F.struct(*[F.col(prefix + c).alias(c) for c in features])),
+    ]
+    return _laid_out(SAMPLE_LAYOUT, values)
+
+
+def _laid_out(layout: Sequence[str], values: Sequence[Column]) -> Column:
+    pieces = [c for text, value in zip(layout, values) for c in (F.lit(text), value)]
+    return F.concat(*pieces, F.lit(layout[-1]))
 
 
 def joined_in_order(order: str, line: Column, sep: str = "\n") -> Column:
@@ -78,15 +81,8 @@ def joined_in_order(order: str, line: Column, sep: str = "\n") -> Column:
 
 def residual_request(wrong: DataFrame, feature_names: Sequence[str], order: str = "id") -> DataFrame:
     """One request from the misclassified examples chosen beforehand; no row when there are none."""
-    line = F.concat(
-        F.lit("---\nTRUE LABEL: "),
-        F.col("true_label"),
-        F.lit("\nPREDICTED: "),
-        F.col("predicted_label"),
-        F.lit("\nTEXT: "),
-        truncate(F.col("text"), RESIDUAL_CHARS, ellipsis=False),
-        F.lit("\n"),
-    )
+    shown = truncate(F.col("text"), RESIDUAL_CHARS, ellipsis=False)
+    line = _laid_out(RESIDUAL_LAYOUT, [F.col("true_label"), F.col("predicted_label"), shown])
     head = RESIDUAL_HEAD + ", ".join(feature_names) + "\n\n"
     joined = wrong.agg(F.count(F.lit(1)).alias("n_examples"), joined_in_order(order, line).alias("examples"))
     return joined.where(F.col("n_examples") > 0).select(

@@ -21,7 +21,7 @@ def test_label_position_and_case(spark):
 
 
 def test_meta_titles(spark):
-    titles = [("META: rules",), ("AITA for metal music",), ("Rule 5 reminder",), ("Rule five",), ("welcome to the sub",), ("My story",)]
+    titles = [("META: rules",), ("Advice on metal music",), ("Rule 5 reminder",), ("Rule five",), ("welcome to the sub",), ("My story",)]
     assert one(spark, titles, "t string", is_meta_title(F.col("t"))) == [True, True, True, False, True, False]
 
 
