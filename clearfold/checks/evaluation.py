@@ -207,6 +207,19 @@ def _redundant(spark, d):
     return rounded(m.redundant_pairs(_numeric_records(spark, d), SIG_NUM), 6)
 
 
+def _rank_corr(spark, d):
+    return rounded(m.rank_correlation(_numeric_records(spark, d), SIG_NUM, "y"), 6)
+
+
+def _rank_sql() -> str:
+    def mean_rank(c: str) -> str:
+        return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS r_{c}"
+
+    ranks = ", ".join(mean_rank(c) for c in (*SIG_NUM, "y"))
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr(r_{c}, r_y), 6) AS rank_corr FROM k" for c in SIG_NUM)
+    return f"WITH {NUM}, k AS (SELECT {ranks} FROM n) {parts}"
+
+
 def _coverage(spark, d):
     p = b.table(spark, d, "part")
     patterns = p.select(F.col("p_partkey").alias("pattern_id"), F.col("p_name").alias("pattern"))
@@ -400,6 +413,7 @@ SELECT n, k AS n_correct, round(p, 9) AS accuracy, round(((p + z * z / (2 * n))
         _quality,
         f"WITH {NUM} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(var_pop({c}), 6) AS variance, round(corr({c}, y), 6) AS target_corr FROM n" for c in SIG_NUM),
     ),
+    Check("p5_rank_correlation", _rank_corr, _rank_sql()),
     Check("p5_redundant_pairs", _redundant, f"WITH {NUM} {_corr_sql(PAIRS)}"),
     Check(
         "p6_value_distribution",

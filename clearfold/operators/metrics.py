@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clearfold.functions.text import change_summary
@@ -301,6 +301,40 @@ def redundant_pairs(df: DataFrame, columns: list[str], limit: float = 0.8) -> Da
     return one.select(rows).select("s.*").withColumn("redundant", F.coalesce(F.abs("r") > limit, F.lit(False)))
 
 
+def rank_correlation(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """Spearman correlation of every feature with a target, ties sharing their mean rank.
+
+    Rows are collapsed to counts per combination of values, and the mean rank of a value
+    follows from the counts of the values below it, so no row is ranked by itself.
+    """
+    every = [*columns, target]
+    counted = df.select(*every).dropna().groupBy(*every).agg(F.count(F.lit(1)).alias("__n"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in every])).alias("p")
+    values = counted.select("__n", pairs).groupBy("p.c", "p.v").agg(F.sum("__n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("c").orderBy("v"))
+    ranks = values.select("c", "v", (upto - (F.col("n") - 1) / 2).alias("r"))
+    ranked = counted
+    for i, c in enumerate(every):
+        mine = ranks.where(F.col("c") == c).select(F.col("v").alias(f"__v{i}"), F.col("r").alias(f"__r{i}"))
+        ranked = ranked.join(mine, F.col(c).cast("double") == F.col(f"__v{i}"))
+    t = len(columns)
+    n, y = F.col("__n"), F.col(f"__r{t}")
+    sums = [F.sum(n).alias("n"), F.sum(n * y).alias("sy"), F.sum(n * y * y).alias("syy")]
+    for i in range(t):
+        x = F.col(f"__r{i}")
+        sums += [F.sum(n * x).alias(f"sx{i}"), F.sum(n * x * x).alias(f"sxx{i}"), F.sum(n * x * y).alias(f"sxy{i}")]
+
+    def corr(i: int) -> Column:
+        m = F.col("n")
+        cov = F.col(f"sxy{i}") / m - F.col(f"sx{i}") / m * F.col("sy") / m
+        vx = F.col(f"sxx{i}") / m - F.pow(F.col(f"sx{i}") / m, 2)
+        vy = F.col("syy") / m - F.pow(F.col("sy") / m, 2)
+        return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), corr(i).alias("rank_corr")) for i, c in enumerate(columns)])).alias("s")
+    return ranked.agg(*sums).select(rows).select("s.*")
+
+
 def value_distribution(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """Rows per feature value and label."""
     return _long(df, columns, [label]).groupBy("feature", "value", label).agg(F.count(F.lit(1)).alias("n"))

@@ -354,6 +354,36 @@ def fit_fixed_c(
     return Fitted(model, columns, list(raw_columns), vocabulary, nested.scalers[(FULL, FULL)], names, c)
 
 
+def ablation(
+    features: DataFrame,
+    labels: DataFrame | None,
+    raw_columns: Sequence[str],
+    leave_out: Sequence[str],
+    label: str = "label",
+    n_folds: int = 5,
+    grid: Sequence[float] = C_GRID,
+) -> DataFrame:
+    """Cross-validated accuracy of all features and without each of ``leave_out``, one by one.
+
+    Features whose coefficients are all zero are the usual candidates.
+    """
+    rows = []
+    for gone in (None, *leave_out):
+        kept = [c for c in raw_columns if c != gone]
+        e = fit_and_evaluate(features, labels, kept, label, n_folds, grid)
+        rows.append((gone, e.mean, e.std, e.fitted.c))
+    ddl = "left_out string, cv_accuracy double, cv_std double, c double"
+    return features.sparkSession.createDataFrame(rows, ddl)
+
+
+def zeroed_features(fitted: Fitted, threshold: float = 1e-6) -> list[str]:
+    """Raw features none of whose matrix columns kept a coefficient."""
+    size = np.abs(fitted.model.coefficientMatrix.toArray()).max(axis=0)
+    alive = {c for c, s in zip(fitted.columns, size) if s > threshold}
+    columns_of = {c: [f"{c}_{v}" for v in fitted.vocabulary[c][1:]] if c in fitted.vocabulary else [c] for c in fitted.raw_columns}
+    return [c for c, mine in columns_of.items() if not alive & set(mine)]
+
+
 def predict(fitted: Fitted, features: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:
     """``predicted_label`` and ``confidence``, the largest class probability, per record."""
     matrix = encode(features, fitted.raw_columns, fitted.vocabulary, keep)

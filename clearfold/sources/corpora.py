@@ -22,9 +22,31 @@ def read_comments(spark: SparkSession, source: str, fmt: str = "parquet", **opti
     return spark.read.format(fmt).options(**options).load(source).select(*COMMENT_COLUMNS)
 
 
+# Twelve short invented posts to try the package on, nine NTA and three YTA.
+SAMPLE_POSTS = (
+    ("NTA", "My flatmate borrowed my bike without asking and came back with a bent wheel. I asked for the repair money and now our friends call me stingy."),
+    ("NTA", "I left a family dinner early because my uncle kept joking about my job. My aunt says I ruined the evening for everyone."),
+    ("YTA", "I promised my cousin a ride to the airport, overslept, and told them a taxi would teach them to plan better. They missed the flight."),
+    ("NTA", "My manager wanted me to cancel my leave two days before the trip. I said no, and the team had to cover for me."),
+    ("NTA", "A neighbour parks across our driveway every weekend. After five polite notes I had the car towed."),
+    ("YTA", "I read my partner's diary because I was curious, then argued about what it said. They have moved to the guest room."),
+    ("NTA", "My brother asked me to lend him money for the third time this year without paying back the first two loans. I refused."),
+    ("NTA", "I told a guest to leave my party after they insulted my sister. Half of the group went with them."),
+    ("NTA", "My mother gave away my old guitar without a word to me. I said that I will not leave things at her house again."),
+    ("YTA", "I laughed at a colleague's first presentation and called it honest feedback. They have not spoken to me since."),
+    ("NTA", "I did not invite a friend to my wedding because they told everyone about my proposal before I had made it."),
+    ("NTA", "My gym partner is always an hour late. I started without them last week and they said I had let them down."),
+)
+
+
+def sample_corpus(spark: SparkSession) -> DataFrame:
+    rows = [(f"sample_{i:03d}", body, verdict) for i, (verdict, body) in enumerate(SAMPLE_POSTS, start=1)]
+    return spark.createDataFrame(rows, CORPUS_DDL)
+
+
 def read_corpus(
     spark: SparkSession,
-    path: str,
+    path: str | None = None,
     text_col: str = "body",
     label_col: str = "verdict",
     binary_labels: bool = True,
@@ -32,9 +54,12 @@ def read_corpus(
 ) -> DataFrame:
     """A labelled CSV with quoted multi-line texts; missing columns are an error.
 
-    Give ``schema`` for large files: without one every column is read as a string, which
-    needs no extra pass over the data.
+    Without a path, the sample posts as they are. Without ``schema`` every column is read
+    as a string, which needs no extra pass over the data. A file with multi-line texts
+    cannot be split, so keep large corpora in many files, or in parquet.
     """
+    if path is None:
+        return sample_corpus(spark)
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
     df = (reader.schema(schema) if schema else reader).csv(path)
     for kind, name in (("text", text_col), ("label", label_col)):

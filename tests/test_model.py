@@ -186,3 +186,13 @@ def test_constant_column_scale(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 10)], "c int, v int")
     s = fit_scaler(df, ["c", "v"])
     assert s.std["c"] == 1.0 and s.median["v"] == 2.5 and s.std["v"] == pytest.approx(np.std([1, 2, 3, 10]))
+
+
+def test_ablation_and_zeroed_features(data):
+    df, _ = data
+    feats, labels = df.drop("label").withColumn("still", F.lit(1)), df.select("id", "label")
+    fitted = md.fit_fixed_c(feats, labels, [*NAMES, "still"], c=1.0)
+    assert "still" in md.zeroed_features(fitted) and "a" not in md.zeroed_features(fitted)
+    table = md.ablation(feats, labels, ["a", "b", "still"], ["a", "still"], n_folds=2, grid=(1.0,))
+    got = {r.left_out: r.cv_accuracy for r in table.collect()}
+    assert got["still"] == pytest.approx(got[None]) and got["a"] < got[None]

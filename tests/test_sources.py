@@ -60,3 +60,8 @@ def test_feature_matrix_keeps_types(spark, tmp_path):
     results.write_features(df, str(tmp_path / "f"), "a")
     results.write_features(df.limit(0), str(tmp_path / "f"), "b")
     assert results.read_features(spark, str(tmp_path / "f"), "a", df.schema).collect() == df.collect()
+
+
+def test_sample_posts(spark):
+    rows = corpora.read_corpus(spark).collect()
+    assert len({r.id for r in rows}) == 12 and sorted(r.verdict for r in rows) == ["NTA"] * 9 + ["YTA"] * 3
