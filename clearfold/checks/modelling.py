@@ -106,8 +106,7 @@ def _test_evaluation(spark, d):
 def _detailed(spark, d):
     feats, labels = _docs(spark, d)
     texts = b.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
-    fitted = md.fit_fixed_c(feats, labels, b.SIGNAL_NAMES)
-    return md.detailed_predictions(fitted, feats, labels, texts)
+    return md.in_sample_predictions(feats, labels, texts, b.SIGNAL_NAMES)
 
 
 def corpus_of(spark, d):

@@ -143,14 +143,14 @@ def scaler_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             ]
         )
     ).alias("s")
-    filled = one.select(rows).select("s.*").withColumn("f", F.col("c") / F.col("n"))
-    mean = F.col("m") * F.col("f") + F.col("median") * (1 - F.col("f"))
+    filled = one.select(rows).select("s.*").withColumn("f", F.col("c") / F.nullif(F.col("n"), F.lit(0)))
+    mean = F.coalesce(F.col("m") * F.col("f") + F.col("median") * (1 - F.col("f")), F.lit(0.0))
     gap = F.col("m") - F.col("median")
     var = F.col("v") * F.col("f") + F.col("f") * (1 - F.col("f")) * gap * gap
     spread = F.sqrt(var)
     return filled.select(
         "column",
-        "median",
+        F.coalesce("median", F.lit(0.0)).alias("median"),
         mean.alias("mean"),
         F.when(spread > 0, spread).otherwise(F.lit(1.0)).alias("std"),
     )

@@ -102,7 +102,8 @@ def macro_f1(per_class: DataFrame) -> DataFrame:
 
 def wilson_interval(summary: DataFrame, z: float = 1.959963984540054) -> DataFrame:
     """Score interval of an accuracy from ``n`` and ``n_correct``."""
-    n, p = F.col("n"), F.col("n_correct") / F.col("n")
+    n = F.nullif(F.col("n"), F.lit(0))
+    p = F.col("n_correct") / n
     centre = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return summary.select("n", "n_correct", p.alias("accuracy"), (centre - half).alias("low"), (centre + half).alias("high"))

@@ -26,7 +26,16 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearfold.operators.matrix import Scaler, encode, encoded_columns, fit_vocabulary, join_labels, with_interactions
+from clearfold.operators.matrix import (
+    Scaler,
+    align,
+    encode,
+    encoded_columns,
+    fit_vocabulary,
+    join_labels,
+    single_class_predictions,
+    with_interactions,
+)
 from clearfold.operators.metrics import attach_features, attach_texts
 from clearfold.operators.ordered import hash_rank
 from clearfold.operators.profile import label_index, safe_fold_counts
@@ -414,3 +423,21 @@ def detailed_predictions(fitted: Fitted, features: DataFrame, labels: DataFrame,
     scored = join_labels(predict(fitted, features), labels.select("id", F.col(label).alias("true_label")))
     scored = scored.withColumn("correct", F.col("true_label") == F.col("predicted_label"))
     return attach_features(attach_texts(scored, texts), features.select("id", *fitted.raw_columns))
+
+
+def in_sample_predictions(
+    features: DataFrame, labels: DataFrame, texts: DataFrame, raw_columns: Sequence[str], label: str = "label", c: float = 1.0
+) -> DataFrame:
+    """Detailed predictions of a plain fit on the very rows it was fitted on.
+
+    Only rows with features, a label and a text take part; none at all is an error. Where
+    they carry a single class there is nothing to fit, and that class is predicted.
+    """
+    rows = align(features, labels.select("id", label), texts.select("id", "text"), check=True).persist(StorageLevel.MEMORY_AND_DISK)
+    names = rows.where(F.col(label).isNotNull()).select(label).distinct().limit(2).collect()
+    own = rows.select("id", *raw_columns)
+    if len(names) < 2:
+        only = single_class_predictions(rows.select("id", "text", label), label).withColumnRenamed(label, "true_label")
+        return attach_features(only, own)
+    fitted = fit_fixed_c(rows.select("id", *raw_columns, label), None, raw_columns, label, c)
+    return detailed_predictions(fitted, own, rows.select("id", label), rows.select("id", "text"), label)

@@ -89,9 +89,8 @@ def run(
     labels = corpus.select("id", label)
     evaluation = md.fit_and_evaluate(records, labels, names, label, n_folds, grid)
     coefs = m.coefficient_table(md.coefficients(evaluation.fitted, records))
-    plain = md.fit_fixed_c(records, labels, names, label)
     texts = corpus.select(F.col("id").cast("string").alias("id"), F.col("body").alias("text"))
-    predictions = md.detailed_predictions(plain, records, labels, texts, label)
+    predictions = md.in_sample_predictions(records, labels, texts, names, label)
     wrong = m.first_misclassified(predictions, rq.RESIDUAL_EXAMPLES, "id")
     residual = rq.residual_request(wrong, evaluation.fitted.columns)
     costs = m.cost_by_model(usage)

@@ -19,6 +19,7 @@ def test_per_class_with_absent_class(spark):
 def test_accuracy_of_nothing(spark):
     r = m.accuracy_summary(preds(spark, ("a", "a")).limit(0)).first()
     assert r.n == 0 and r.accuracy is None
+    assert m.wilson_interval(m.accuracy_summary(preds(spark, ("a", "a")).limit(0))).first().low is None
 
 
 def test_unknown_model_costs_the_default(spark):

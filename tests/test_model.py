@@ -196,3 +196,19 @@ def test_ablation_and_zeroed_features(data):
     table = md.ablation(feats, labels, ["a", "b", "still"], ["a", "still"], n_folds=2, grid=(1.0,))
     got = {r.left_out: r.cv_accuracy for r in table.collect()}
     assert got["still"] == pytest.approx(got[None]) and got["a"] < got[None]
+
+
+def test_in_sample_predictions_with_one_class(data):
+    df, _ = data
+    texts = df.select("id", F.lit("t").alias("text")).limit(20)
+    got = md.in_sample_predictions(df.drop("label"), df.select("id", F.lit("pos").alias("label")), texts, NAMES)
+    rows = got.collect()
+    assert len(rows) == 20 and all(r.correct and r.confidence == 1.0 and r.predicted_label == "pos" for r in rows)
+    assert {"feat_a", "feat_kind", "text", "true_label"} <= set(got.columns)
+    both = md.in_sample_predictions(df.drop("label"), df.select("id", "label"), df.select("id", F.lit("t").alias("text")), NAMES)
+    assert both.count() == 240 and 0.6 < both.agg(F.avg(F.col("correct").cast("int"))).first()[0] <= 1
+
+
+def test_scaler_of_nothing(spark):
+    s = fit_scaler(spark.createDataFrame([], "v int"), ["v"])
+    assert (s.median["v"], s.mean["v"], s.std["v"]) == (0.0, 0.0, 1.0)
