@@ -149,11 +149,16 @@ def _ablation(spark, d):
 
 
 def _slots(spark, d):
-    """Slot of every line, from which all fold memberships follow."""
-    ranked = hash_rank(line_records(spark, d).select("id", "label"), ["label"], "id", md.SEED, "rank")
-    return ranked.select("id", "label", (F.col("rank") % 15).cast("int").alias("slot"))
+    """Slot of every order under its status, from which all fold memberships follow."""
+    orders = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("label"))
+    n_slots = md.FoldLayout(5, 3).n_slots
+    ranked = hash_rank(orders, ["label"], "id", md.SEED, "rank")
+    return ranked.select("id", "label", (F.col("rank") % n_slots).cast("int").alias("slot"))
 
 
+SLOTS = """SELECT o_orderkey AS id, o_orderstatus AS label, CAST((row_number() OVER (PARTITION BY o_orderstatus
+  ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1) % 15 AS INTEGER) AS slot FROM orders"""
+
 CHECKS = [
     Check("k5_elastic_net_fit", _fixed_c),
     Check("k6_select_c", _select_c),
@@ -166,5 +171,5 @@ CHECKS = [
     Check("k16_feature_run", _run),
     Check("k17_improvement_loop", _loop),
     Check("p4_ablation", _ablation),
-    Check("k7_fold_slots", _slots),
+    Check("k7_fold_slots", _slots, SLOTS),
 ]
