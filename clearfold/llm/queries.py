@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearfold.checks.base import Check, table
-from clearfold.llm import decontaminate, neardup, quality
+from clearfold.llm import decontaminate, mixing, neardup, quality
 
 
 def op3_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
@@ -57,8 +57,37 @@ def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "rule")
 
 
+def op9_weighted_fair_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(table(spark, d, "documents"))
+
+
+OP9_SQL = r"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(CAST(doc_id AS VARCHAR) || ':' || md5(coalesce(text, ''))) AS o FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
+weighted AS (SELECT *, 3 * source_size AS cap, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS BIGINT) AS w FROM src),
+levels AS (SELECT *, row_number() OVER o AS place,
+    CAST((SELECT sum(source_size) FROM src) - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS remaining,
+    CAST((SELECT sum(w) FROM weighted) - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS w_left
+  FROM weighted WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / w, source NULLS LAST)),
+level AS (SELECT remaining, w_left FROM levels WHERE cap * w_left >= remaining * w ORDER BY place LIMIT 1),
+targets AS (SELECT source, source_size, CASE WHEN l.cap * l.w_left >= l.remaining * l.w
+    THEN CAST(l.w * v.remaining AS DOUBLE) / CAST(v.w_left AS DOUBLE) ELSE CAST(l.cap AS DOUBLE) END AS target FROM levels l, level v),
+queued AS (SELECT s.*, source_size, target,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead_in_source
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+slots AS (SELECT *, (CAST(r * source_size + ahead_in_source AS DOUBLE) + CAST(size AS DOUBLE) / CAST(2 AS DOUBLE)) / target AS finish
+  FROM queued, (SELECT unnest([0, 1, 2]) AS r) WHERE size > 0),
+lined AS (SELECT *, coalesce(sum(size) OVER (ORDER BY finish, source NULLS LAST, o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM slots),
+times AS (SELECT doc_id, count(*) AS n FROM lined WHERE CAST(ahead AS DOUBLE) + CAST(size AS DOUBLE) / CAST(2 AS DOUBLE) <= (SELECT sum(source_size) FROM src) GROUP BY 1)
+SELECT q.doc_id, size, source_size, target, CAST(coalesce(n, 0) * size AS BIGINT) AS taken, CAST(coalesce(n, 0) AS BIGINT) AS times
+FROM queued q LEFT JOIN times t ON q.doc_id = t.doc_id
+"""
+
+
 CHECKS = [
     Check("op3_benchmark_decontamination", op3_benchmark_decontamination, OP3_SQL),
     Check("op5_minhash_near_dedup", op5_minhash_near_dedup, OP5_SQL),
+    Check("op9_weighted_fair_mix", op9_weighted_fair_mix, OP9_SQL),
     Check("op7_quality_rules", op7_quality_rules),
 ]
