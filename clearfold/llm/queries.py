@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearfold.checks.base import Check, table
-from clearfold.llm import decontaminate, mixing, neardup, quality
+from clearfold.llm import decontaminate, mixing, neardup, quality, tokens, warc
+
+
+def op1_token_output(spark: SparkSession, d: str) -> DataFrame:
+    manifest = tokens.write_shards(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read_shards(manifest)
+
+
+def op2_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, d, "pages")))
+
+
+OP2_SQL = """
+WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS hex FROM pages),
+firsts AS (SELECT hex, max(page_id) AS response FROM payloads GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(p.hex || '0', CAST(i * 5 // 4 + 1 AS INTEGER), 2) AS INTEGER) >> (3 - CAST(i * 5 % 4 AS INTEGER))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to, true AS verified
+FROM payloads p JOIN firsts f ON p.hex = f.hex
+"""
 
 
 def op3_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +108,8 @@ FROM queued q LEFT JOIN times t ON q.doc_id = t.doc_id
 
 
 CHECKS = [
+    Check("op1_token_output", op1_token_output),
+    Check("op2_warc", op2_warc, OP2_SQL),
     Check("op3_benchmark_decontamination", op3_benchmark_decontamination, OP3_SQL),
     Check("op5_minhash_near_dedup", op5_minhash_near_dedup, OP5_SQL),
     Check("op9_weighted_fair_mix", op9_weighted_fair_mix, OP9_SQL),

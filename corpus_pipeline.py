@@ -1,12 +1,13 @@
-"""The corpus pipeline: documents that pass the quality rules, without near-duplicates and benchmark passages."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark passages, source weights, token shards."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearfold.checks.base import Check, table
-from clearfold.llm import decontaminate, neardup, quality
+from clearfold.llm import decontaminate, mixing, neardup, quality, tokens
 from clearfold.session import cut
 
 
@@ -26,10 +27,22 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def weighted_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources; a document that is taken several times is there as many times."""
+    return mixing.take(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards of the mix, read back: one row per document of it, in ascending order of ids."""
+    return tokens.read_shards(tokens.write_shards(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("weighted_mix", weighted_mix),
+    ("token_output", token_output),
 ]
 ORACLE_SQL = None
 
