@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearfold.checks.base import Check, table
-from clearfold.llm import decontaminate, mixing, neardup, quality, tokens, warc
+from clearfold.llm import chat, decontaminate, htmltext, licences, mixing, neardup, quality, tokens, warc
 
 
 def op1_token_output(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +54,32 @@ FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op4_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
+    odd = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))]))
+    extra = spark.range(1).select(odd.alias("t")).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), "t.turn", "t.role", F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.report(turns.unionByName(extra))
+
+
+OP4_SQL = r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (SELECT *, len(text) + len(text) - len(replace(text, '\', ''))
+    + 2 * len(regexp_extract_all(text, '<</SYS>>|<<SYS>>|\[/INST\]|\[/ROLE\]|\[INST\]|\[ROLE\]|\[END\]|\[OUT\]|</s>|<s>'))
+    + CASE role WHEN 'system' THEN 8 + 10 WHEN 'user' THEN 10 + 8 WHEN 'assistant' THEN 6 + 5 ELSE 7 + 9 + 6 + len(role) END AS chars,
+    lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn) AS prior,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS from_end FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  bool_and((prior || '>' || role) IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user')) AND bool_or(from_end = 1 AND role = 'assistant') AS valid
+FROM sized GROUP BY conv_id
+"""
+
+
 def op5_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return neardup.report(table(spark, d, "documents"))
 
@@ -72,6 +98,10 @@ SELECT c.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, c.d
 """
 
 
+def op6_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return htmltext.extract(table(spark, d, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     judged = quality.judge(docs, quality.learn_rules(docs, labels))
@@ -79,6 +109,10 @@ def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "rule")
 
 
+def op8_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return licences.report(table(spark, d, "documents"))
+
+
 def op9_weighted_fair_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(table(spark, d, "documents"))
 
@@ -111,7 +145,10 @@ CHECKS = [
     Check("op1_token_output", op1_token_output),
     Check("op2_warc", op2_warc, OP2_SQL),
     Check("op3_benchmark_decontamination", op3_benchmark_decontamination, OP3_SQL),
+    Check("op4_chat_formatting", op4_chat_formatting, OP4_SQL),
     Check("op5_minhash_near_dedup", op5_minhash_near_dedup, OP5_SQL),
-    Check("op9_weighted_fair_mix", op9_weighted_fair_mix, OP9_SQL),
+    Check("op6_html_extraction", op6_html_extraction),
     Check("op7_quality_rules", op7_quality_rules),
+    Check("op8_license_scan", op8_license_scan, licences.SQL),
+    Check("op9_weighted_fair_mix", op9_weighted_fair_mix, OP9_SQL),
 ]
