@@ -27,8 +27,8 @@ from clearfold.session import cut
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5  # a pair at 0.85 shares no band with probability (1 - 0.85**5)**24 = 8e-7
-SAMPLES = 192  # MinHash samples folded into the sketch; the bands use the first 120
-SKETCH_BITS = 1024
+SAMPLES = 512  # MinHash samples folded into the sketch; the bands use the first 120
+SKETCH_BITS = 2048
 TILE = 1024  # members of a band that one tile holds on either side
 MEMO = 400_000  # words whose hash a worker remembers
 _U = np.uint64
@@ -73,13 +73,13 @@ def sketch(shingles: np.ndarray, buffer: np.ndarray) -> tuple[np.ndarray, np.nda
     wide = least.astype(_U)
     rows = wide[: BANDS * ROWS].reshape(BANDS, ROWS)
     keys = _mixed((_mixed(rows + _FOLD[:ROWS]) * _FOLD[:ROWS]).sum(axis=1, dtype=_U) + np.arange(BANDS, dtype=_U) * _U(0x9FB21C651E98DF25))
-    places = (_mixed(wide + np.arange(SAMPLES, dtype=_U) * _U(0x9FB21C651E98DF25)) >> _U(54)).astype(np.int64)
+    places = (_mixed(wide + np.arange(SAMPLES, dtype=_U) * _U(0x9FB21C651E98DF25)) >> _U(65 - SKETCH_BITS.bit_length())).astype(np.int64)
     odd = np.packbits((np.bincount(places, minlength=SKETCH_BITS) & 1).astype(np.uint8))
     return keys.view(np.int64), odd.view(np.int64)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo, buffer = _WordHashes(), np.empty((1024, SAMPLES), np.uint32)
+    memo, buffer = _WordHashes(), np.empty((512, SAMPLES), np.uint32)
     for batch in batches:
         if len(memo) > MEMO:
             memo.clear()
@@ -97,15 +97,15 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def most_different_bits(percent: int) -> int:
-    """Population count of the XOR that pairs at the threshold exceed about once in a million times.
+    """Population count of the XOR that pairs at the threshold exceed less than once in a million times.
 
-    Of the samples, a binomial share differs; each differing one flips a bit in either sketch,
-    and bits flipped twice vanish. Both the share and the vanishing are allowed five standard
-    deviations.
+    A binomial share of the samples differs, each differing one flips a bit in either sketch,
+    and bits flipped twice vanish. Five standard deviations of both together are allowed.
     """
-    miss = 1 - percent / 100
-    flips = 2 * (SAMPLES * miss + 5 * math.sqrt(SAMPLES * miss * (1 - miss)))
-    return math.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** flips) + 5 * math.sqrt(flips * flips / SKETCH_BITS / 2))
+    miss, n = 1 - percent / 100, SKETCH_BITS
+    flips, spread = 2 * SAMPLES * miss, 2 * math.sqrt(SAMPLES * miss * (1 - miss))
+    left = (1 - 2 / n) ** flips
+    return math.ceil(n / 2 * (1 - left) + 5 * math.hypot(left * spread, flips / math.sqrt(2 * n)))
 
 
 def _different_bits(a: Column, b: Column) -> Column:
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = cut(reps.select("rep", F.explode("keys").alias("key")).distinct())
     bands = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where(F.col("n") > 1))
     members = cut(attach(entries, bands, ["key"], "n").select("key", "rep", "leader"))
-    traits = reps.select("rep", "n_shingles", "odd")
+    traits = reps.select("rep", "n_shingles", "odd", "keys")
 
     starred = cut(members.where(F.col("rep") != F.col("leader")).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
     per_leader = starred.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
@@ -213,7 +213,8 @@ def _crossing(members: DataFrame, grouped: DataFrame, traits: DataFrame, percent
 
     Of a band with n members, s of them outside its largest component, every member meets
     only those s. Both sides are dealt into tiles of about ``TILE`` by ``TILE`` members, so
-    no task holds a band; pairs are compared inside the join and only plausible ones leave it.
+    no task holds a band; pairs are compared inside the join and only plausible ones leave it,
+    each in the first of the bands that it shares.
     """
     own = members.join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = cut(own.select("key", "rep", F.coalesce("component", "rep").alias("label")))
@@ -225,17 +226,19 @@ def _crossing(members: DataFrame, grouped: DataFrame, traits: DataFrame, percent
     )
     rows = attach(labelled, mixed, ["key"], "n").join(traits, "rep")
     left = rows.select(
-        "key", F.col("rep").alias("a"), F.col("label").alias("la"), "main", F.col("n_shingles").alias("na"), F.col("odd").alias("oa"),
+        "key", F.col("rep").alias("a"), F.col("label").alias("la"), "main", F.col("n_shingles").alias("na"), F.col("odd").alias("oa"), F.col("keys").alias("ka"),
         F.pmod(F.xxhash64("rep"), F.col("across")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"),
     )
     right = rows.where(F.col("label") != F.col("main")).select(
-        "key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("odd").alias("ob"),
+        "key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("odd").alias("ob"), F.col("keys").alias("kb"),
         F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("down")).cast("int").alias("y"),
     )
     tile = (left["key"] == right["key"]) & (left["x"] == right["x"]) & (left["y"] == right["y"])
     apart = (F.col("la") != F.col("lb")) & ((F.col("la") == F.col("main")) | (F.col("a") < F.col("b")))
     close = _plausible(percent, F.col("na"), F.col("nb"), F.col("oa"), F.col("ob"))
-    return left.join(right, tile & apart & close).select("a", "b").distinct()
+    shared = F.filter(F.zip_with("ka", "kb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    once = F.get(shared, F.lit(0)) == left["key"]
+    return left.join(right, tile & apart & close & once).select("a", "b").distinct()
 
 
 def report(docs: DataFrame) -> DataFrame:
