@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearfold.checks.base import Check, table
-from clearfold.llm import chat, decontaminate, htmltext, licences, mixing, neardup, quality, tokens, warc
+from clearfold.llm import chat, decontaminate, htmltext, licences, lmscore, mixing, neardup, quality, tokens, warc
 
 
 def op1_token_output(spark: SparkSession, d: str) -> DataFrame:
@@ -141,6 +141,10 @@ FROM queued q LEFT JOIN times t ON q.doc_id = t.doc_id
 """
 
 
+def op10_recurrent_lm(spark: SparkSession, d: str) -> DataFrame:
+    return lmscore.report(table(spark, d, "documents"))
+
+
 CHECKS = [
     Check("op1_token_output", op1_token_output),
     Check("op2_warc", op2_warc, OP2_SQL),
@@ -151,4 +155,5 @@ CHECKS = [
     Check("op7_quality_rules", op7_quality_rules),
     Check("op8_license_scan", op8_license_scan, licences.SQL),
     Check("op9_weighted_fair_mix", op9_weighted_fair_mix, OP9_SQL),
+    Check("op10_recurrent_lm", op10_recurrent_lm),
 ]
