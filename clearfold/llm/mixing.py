@@ -19,7 +19,7 @@ from clearfold.session import cut
 
 PASSES = 3
 WEIGHTS = (1, 2, 3)
-CHUNK_ROWS = 20_000  # rows of one chunk of a cumulative sum, about
+CHUNK_ROWS = 10_000  # rows of one chunk of a cumulative sum, about
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -53,7 +53,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes:
 
 
 def _chunks(n: int) -> int:
-    return max(16, min(1 << 20, 1 << (n // CHUNK_ROWS).bit_length()))
+    return max(64, min(1 << 20, 1 << (n // CHUNK_ROWS).bit_length()))
 
 
 def mix(
@@ -83,8 +83,9 @@ def mix(
     rounds = F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("round")
     middle = F.col("round") * F.col("source_size") + F.coalesce("before", F.lit(0)) + F.col("sum") / 2
     slots = timed.select(*keys, "size", "sum", "before", "target", "source_size", rounds).withColumn("finish", middle / F.col("target"))
-    scale = max(16, _chunks(passes * n))
-    slots = cut(slots.withColumn("chunk", F.least(F.floor(F.col("finish") * scale), F.lit(4 * scale))))
+    scale = _chunks(passes * n)
+    late = 2 * scale + F.floor(F.log2("finish") * scale)  # far beyond the cut, where sources are that have much more than they may give
+    slots = cut(slots.withColumn("chunk", F.when(F.col("finish") < 2, F.floor(F.col("finish") * scale)).otherwise(late)))
     budget = targets.agg(F.sum("source_size")).first()[0] or 0
     global_order = running(slots, [], F.col("chunk"), ["finish", F.col("source").asc_nulls_last(), "__o", "__id"], F.col("sum"), "ahead")
     within = global_order.where(F.coalesce("ahead", F.lit(0)) + F.col("sum") / 2 <= F.lit(budget))
