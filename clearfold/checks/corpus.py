@@ -10,7 +10,8 @@ from clearfold.functions.text import is_meta_title, iso_stamp, label_from_text,
 from clearfold.operators import corpus as c
 from clearfold.operators import profile as pf
 from clearfold.plans.corpus_build import build_corpus, vote_consensus
-from clearfold.sources.corpora import read_corpus, write_corpus
+from clearfold.session import cut
+from clearfold.sources.corpora import read_comments, read_corpus, read_posts, write_corpus
 
 
 def _line_order():
@@ -52,8 +53,8 @@ LABELLED = f"""labelled AS (SELECT post_id, comment_id, score,
 
 def corpus_sql() -> str:
     return f"""WITH {b.POSTS}, {b.COMMENTS}, {VALID}, {LABELLED},
-size AS (SELECT (SELECT count(*) FROM conversations) // 12 AS n),
-wanted AS (SELECT post_id FROM (SELECT post_id, row_number() OVER (ORDER BY md5('42:' || CAST(post_id AS VARCHAR)), post_id) AS rn FROM valid WHERE post_id IN (SELECT post_id FROM comments))
+size AS (SELECT (SELECT count(*) FROM documents) // 2 AS n),
+wanted AS (SELECT post_id FROM (SELECT post_id, row_number() OVER (ORDER BY md5('42:' || CAST(post_id AS VARCHAR)), post_id) AS rn FROM valid)
   WHERE rn <= (SELECT CAST(floor(n * 1.5) AS BIGINT) FROM size)),
 top AS (SELECT * FROM (SELECT l.*, row_number() OVER (PARTITION BY l.post_id ORDER BY score DESC, comment_id) AS rn
   FROM labelled l WHERE l.post_id IN (SELECT post_id FROM wanted)) WHERE rn <= 3),
@@ -72,11 +73,52 @@ FROM kept k JOIN posts p ON k.post_id = p.post_id WHERE ra <= (SELECT n FROM siz
 
 
 def corpus_build(spark, d):
-    size = b.table(spark, d, "conversations").count() // 12
-    discussed = b.comments(spark, d).select("post_id")
-    return build_corpus(
-        b.posts(spark, d).join(discussed, "post_id", "left_semi"), b.comments(spark, d), size, 3, 1, 1, labels=b.WORDS, patterns=b.TITLE_PATTERNS
-    )
+    size = b.table(spark, d, "documents").count() // 2
+    return build_corpus(b.posts(spark, d), b.comments(spark, d), size, 3, 1, 1, labels=b.WORDS, patterns=b.TITLE_PATTERNS)
+
+
+def _corpus_of_orders(spark, d):
+    """The whole build with its default size and gates: orders as posts, their lines as comments."""
+    posts = b.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("post_id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
+        F.repeat("o_orderpriority", F.lit(20)).alias("body"), (F.col("o_custkey") % 100).alias("score"),
+    )
+    lines = b.line_votes(spark, d).withColumn("message", F.concat(F.lit("I say "), F.col("label"), F.lit("."))).drop("label")
+    return build_corpus(posts, lines, labels=("A", "N", "R"), order=_line_order())
+
+
+CORPUS_OF_ORDERS = f"""WITH {b.LINE_VOTES},
+wanted AS (SELECT o_orderkey AS post_id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS rn FROM orders
+  WHERE length(o_orderpriority) * 20 >= 100) WHERE rn <= 7500),
+top AS (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY post_id ORDER BY {LINE_ORDER_SQL}) AS rn FROM votes v WHERE post_id IN (SELECT post_id FROM wanted)) WHERE rn <= 50),
+t AS (SELECT post_id, label, sum(greatest(score, 0)) AS s, count(*) AS n FROM top GROUP BY post_id, label),
+g AS (SELECT post_id, sum(n) AS num, sum(s) AS tot FROM t GROUP BY post_id),
+w AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY s DESC, n DESC, label) AS r FROM t),
+win AS (SELECT w.post_id, label AS verdict, s, tot, num FROM w JOIN g ON w.post_id = g.post_id WHERE r = 1 AND num >= 3 AND tot >= 5),
+ranked AS (SELECT *, md5('42:' || CAST(post_id AS VARCHAR)) AS h, count(*) OVER () AS n_all, count(*) OVER (PARTITION BY verdict) AS n_v,
+  row_number() OVER (PARTITION BY verdict ORDER BY md5('42:' || CAST(post_id AS VARCHAR)), post_id) AS rv FROM win),
+drawn AS (SELECT * FROM ranked WHERE n_all <= 5000 OR rv <= greatest(1, floor(5000 * n_v / n_all))),
+kept AS (SELECT *, row_number() OVER (ORDER BY h, post_id) AS ra FROM drawn)
+SELECT k.post_id AS id, repeat(o_orderpriority, 20) AS body, verdict, o_custkey % 100 AS submission_score, CAST(s AS BIGINT) AS verdict_score,
+  CAST(tot AS BIGINT) AS total_verdict_score, CAST(s AS DOUBLE) / CAST(tot AS DOUBLE) AS confidence, CAST(num AS BIGINT) AS num_verdict_comments
+FROM kept k JOIN orders ON k.post_id = o_orderkey WHERE ra <= 5000"""
+
+
+def _read_posts(spark, d):
+    """Posts written in the layout of the source and read back by its reader."""
+    path = b.scratch(spark, "posts")
+    own = b.posts(spark, d).select(F.col("post_id").alias("id"), F.concat(F.lit("s"), F.col("post_id").cast("string")).alias("submission_id"), "title", F.col("body").alias("selftext"), "score")
+    own.withColumn("unused", F.lit(1)).write.parquet(path)
+    return read_posts(spark, path)
+
+
+def _read_comments(spark, d):
+    """Comments read by the reader, of valid posts, the two best of each."""
+    path = b.scratch(spark, "comments")
+    own = b.comments(spark, d).select("comment_id", F.col("post_id").alias("submission_id"), "message", "score")
+    own.withColumn("unused", F.lit(1)).write.parquet(path)
+    valid = cut(c.valid_posts(b.posts(spark, d), patterns=b.TITLE_PATTERNS).select(F.col("post_id").alias("submission_id")))
+    return c.top_votes(c.comments_of(read_comments(spark, path), valid, "submission_id"), 2, "submission_id")
 
 
 def _corpus_csv(spark, d):
@@ -148,18 +190,17 @@ CHECKS = [
         consensus_sql(b.LINE_VOTES, 0, 1, 0, LINE_ORDER_SQL),
     ),
     Check("corpus_build", corpus_build, corpus_sql()),
+    Check("corpus_build_orders", _corpus_of_orders, CORPUS_OF_ORDERS),
     Check(
         "a1_submission_scan",
-        lambda s, d: b.posts(s, d),
-        f"WITH {b.POSTS} SELECT * FROM posts",
+        _read_posts,
+        f"WITH {b.POSTS} SELECT post_id AS id, 's' || CAST(post_id AS VARCHAR) AS submission_id, title, body AS selftext, score FROM posts",
     ),
     Check(
         "a2_comment_scan",
-        lambda s, d: c.top_votes(
-            c.comments_of(b.comments(s, d), c.valid_posts(b.posts(s, d), patterns=b.TITLE_PATTERNS)), 2
-        ),
+        _read_comments,
         f"""WITH {b.POSTS}, {b.COMMENTS}, {VALID}
-SELECT post_id, comment_id, message, score FROM (SELECT c.*, row_number() OVER (PARTITION BY post_id ORDER BY score DESC, comment_id) AS rn
+SELECT comment_id, post_id AS submission_id, message, score FROM (SELECT c.*, row_number() OVER (PARTITION BY post_id ORDER BY score DESC, comment_id) AS rn
   FROM comments c WHERE post_id IN (SELECT post_id FROM valid)) WHERE rn <= 2""",
     ),
     Check(

@@ -8,7 +8,7 @@ from clearfold.checks import base as b
 from clearfold.checks.base import Check
 from clearfold.operators import matrix as mx
 from clearfold.operators import metrics as m
-from clearfold.operators.ordered import hash_sample
+from clearfold.operators.ordered import hash_head
 from clearfold.operators.profile import class_counts
 from clearfold.operators.sampling import kfold
 from clearfold.sources import results as rs
@@ -184,7 +184,7 @@ def _fold_scores(spark, d):
 
 
 def _shuffled_head(spark, d):
-    return hash_sample(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus"), [], "id", 42, F.lit(100))
+    return hash_head(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus"), "id", 42, 100)
 
 
 def _history_summary(spark, d):

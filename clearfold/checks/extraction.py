@@ -108,10 +108,9 @@ def detailed(spark, d):
     return m.attach_features(m.attach_texts(preds, texts), b.records(spark, d))
 
 
-RENDER = """'---' || chr(10) || 'TRUE: ' || true_label || ' | PREDICTED: ' || predicted_label || ' | CONFIDENCE: ' || printf('%.2f', confidence) || chr(10) ||
-  'TEXT: ' || CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || '...' ELSE text END || chr(10) || 'FEATURES: {"comma_level":' || comma_level ||
+RENDER = """'* ' || CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || '...' ELSE text END || chr(10) || '  values {"comma_level":' || comma_level ||
   ',"length_level":' || length_level || ',"line_level":' || line_level || ',"has_digit":' || has_digit || ',"has_symbol":' || has_symbol ||
-  ',"tongue":"' || tongue || '"}' || chr(10)"""
+  ',"tongue":"' || tongue || '"}' || chr(10) || '  judged ' || predicted_label || ' (sure to ' || printf('%.2f', confidence) || '), in truth ' || true_label"""
 DETAILED = f"""{b.PREDICTIONS}, full_preds AS (SELECT p.*, d.text, comma_level, length_level, line_level, has_digit, has_symbol, tongue
   FROM preds p JOIN documents d ON p.id = d.doc_id JOIN records r ON r.id = p.id)"""
 
@@ -146,7 +145,7 @@ def _budget_lines(spark, d):
 
 
 def _coefficient_lines(spark, d):
-    return rq.coefficient_lines(m.top_coefficients(b.coefs(spark, d), 10))
+    return rq.coefficient_lines(m.coefficient_table(b.coefs(spark, d)))
 
 
 def _definition_lines(spark, d):
@@ -282,8 +281,8 @@ UNION ALL SELECT DISTINCT cache_key, 'miss', CAST(NULL AS BIGINT) FROM k WHERE c
         "j10_residual_request",
         _residual,
         f"""WITH {DETAILED}, w AS (SELECT * FROM full_preds WHERE true_label <> predicted_label ORDER BY id LIMIT 5)
-SELECT count(*) AS n_examples, {_sql_text(rq.RESIDUAL_HEAD + ', '.join(b.SIGNAL_NAMES) + chr(10) * 2)} || string_agg('---' || chr(10) || 'TRUE LABEL: ' || true_label ||
-  chr(10) || 'PREDICTED: ' || predicted_label || chr(10) || 'TEXT: ' || substring(text, 1, 500) || chr(10), chr(10) ORDER BY id) AS prompt FROM w""",
+SELECT count(*) AS n_examples, {_sql_text(rq.RESIDUAL_HEAD + ', '.join(b.SIGNAL_NAMES) + chr(10) * 2)} || string_agg('* judged ' || predicted_label || ' instead of ' || true_label || ': ' ||
+  substring(text, 1, 500), chr(10) ORDER BY id) AS prompt FROM w""",
     ),
     Check(
         "j11_broad_request",
@@ -312,9 +311,8 @@ FROM x WHERE rn <= 5""",
     Check(
         "j11_coefficient_lines",
         _coefficient_lines,
-        f"""WITH {b.COEFS}, k AS (SELECT *, abs(coefficient) AS a, exp(coefficient) AS o FROM coefs ORDER BY a DESC, feature LIMIT 10)
-SELECT string_agg('  ' || feature || ' coef=' || CASE WHEN coefficient >= 0 THEN '+' ELSE '' END || printf('%.4f', coefficient) || ' (OR=' || printf('%.3f', o) || ')', chr(10)
-  ORDER BY a DESC, feature) AS coefficient_lines FROM k""",
+        f"""WITH {b.COEFS} SELECT string_agg(CASE WHEN coefficient >= 0 THEN '+' ELSE '' END || printf('%.4f', coefficient) || ' ' || feature || ', odds x ' ||
+  printf('%.3f', exp(coefficient)), chr(10) ORDER BY abs(coefficient) DESC, feature) AS coefficient_lines FROM coefs""",
     ),
     Check(
         "j11_definition_lines",
@@ -340,8 +338,8 @@ WHERE pos % 3 = 0""",
     ),
     Check(
         "f5_weakest_features_first",
-        lambda s, d: rq.weakest_first(_evaluations(s, d)),
-        EVAL_SQL,
+        lambda s, d: rq.weakest_first(_evaluations(s, d), ["config_id"]),
+        f"""WITH e AS ({EVAL_SQL}) SELECT *, CAST(row_number() OVER (PARTITION BY config_id ORDER BY usefulness_score, pos) AS INTEGER) AS place FROM e""",
     ),
     Check(
         "i7_score_stars",

@@ -32,8 +32,9 @@ def valid_posts(
 def comments_of(comments: DataFrame, posts: DataFrame, key: str = "post_id") -> DataFrame:
     """Comments that belong to one of ``posts``.
 
-    Written before any window or aggregation on purpose: the small side then filters the
-    comment scan, and adaptive execution broadcasts it when its measured size allows.
+    Comes before any window or aggregation on purpose. Hand in ``posts`` as a written table:
+    its size is then known when the join is planned, and a small one filters the comment scan
+    without a shuffle.
     """
     return comments.join(posts.select(key), key, "left_semi")
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +17,8 @@ from clearfold.session import shared_dir
 
 # Defaults of the extraction job.
 MAX_RETRIES = 2
-MAX_CONCURRENT = 20
-REQUESTS_PER_MINUTE = 500.0
+MAX_CONCURRENT = 30
+REQUESTS_PER_MINUTE = 1200.0
 
 
 class Refused(Exception):
@@ -52,11 +52,23 @@ def output_schema(record: T.StructType) -> T.StructType:
     )
 
 
-def _attempts(extract: Extractor, text: str, ident: str, max_retries: int, pace_s: float, backoff: Callable[[int], float]):
+class Pace:
+    """Slots of a fixed length, one call each; time that a call takes counts towards its slot."""
+
+    def __init__(self, slot_s: float):
+        self.slot_s, self.next = slot_s, 0.0
+
+    def wait(self) -> None:
+        now = time.monotonic()
+        if self.next > now:
+            time.sleep(self.next - now)
+        self.next = max(self.next, now) + self.slot_s
+
+
+def _attempts(extract: Extractor, text: str, ident: str, max_retries: int, pace: Pace, backoff: Callable[[int], float]):
     error = None
     for attempt in range(max_retries + 1):
-        if pace_s:
-            time.sleep(pace_s)
+        pace.wait()
         started = time.monotonic()
         try:
             got = extract(text, ident)
@@ -85,7 +97,7 @@ def run_extractor(
 
     ``factory`` builds one client per task. At most ``max_concurrent`` tasks run, each
     paced at its share of the rate cap, so the caps hold across the cluster without any
-    coordination. Write the result before using it twice: every evaluation calls the
+    coordination. Without a rate cap (None) the partitions stay as they are. Write the result before using it twice: every evaluation calls the
     service again. For a paid service leave ``spark.speculation`` off, since a speculative
     copy of a task calls it again too.
     """
@@ -94,11 +106,11 @@ def run_extractor(
     columns = output_schema(record).fieldNames()
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extract = factory()
+        extract, pace = factory(), Pace(pace_s)
         for pdf in batches:
             rows = []
             for ident, text in zip(pdf["id"], pdf["text"]):
-                status, attempt, error, elapsed, got = _attempts(extract, text, ident, max_retries, pace_s, backoff)
+                status, attempt, error, elapsed, got = _attempts(extract, text, ident, max_retries, pace, backoff)
                 rec = {n: got.record.get(n) for n in names} if got else None
                 tokens = (got.input_tokens, got.output_tokens) if got else (None, None)
                 rows.append((ident, status, attempt, error, elapsed, *tokens, rec))
@@ -106,7 +118,8 @@ def run_extractor(
             yield out
 
     tasks = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return tasks.repartition(max_concurrent).mapInPandas(task, output_schema(record))
+    dealt = tasks.repartition(max_concurrent) if requests_per_minute else tasks
+    return dealt.mapInPandas(task, output_schema(record))
 
 
 def split_status(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -167,8 +180,8 @@ def extract_into_cache(
     spark = keyed.sparkSession
     key, call = T.StructField("cache_key", T.StringType()), T.StructField("call_id", T.StringType())
     schema = T.StructType([key, *output_schema(record).fields[1:], call])
-    empty = spark.createDataFrame([], schema)
-    done = _read_or(spark, path, schema, empty).where(F.col("status") == "ok")
+    spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(path)  # so that there is a table to read
+    done = read_cache(spark, path, schema).where(F.col("status") == "ok")
     todo = cache_misses(keyed, done, text_col)
     slices = [todo]
     if batches > 1:
@@ -180,13 +193,20 @@ def extract_into_cache(
     for part in slices:
         out = run_extractor(part, factory, record, "cache_key", text_col, **options)
         out.withColumnRenamed("id", "cache_key").withColumn("call_id", F.lit(call_id)).write.mode("append").parquet(path)
-    return _read_or(spark, path, schema, empty)
+    return read_cache(spark, path, schema)
+
 
+def read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The cache table with one ``ok`` row per key at most, whatever calls overlapped; failed rows stay.
 
-def _read_or(spark, path: str, schema: T.StructType, empty: DataFrame) -> DataFrame:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.schema(schema).parquet(path) if fs.exists(hadoop_path) else empty
+    Of several successes the one with the least call and attempt counts. Kept rows are found
+    by key, so the shuffle carries a key and two small values beside the record.
+    """
+    rows = spark.read.schema(schema).parquet(path)
+    ok = F.col("status") == "ok"
+    first = Window.partitionBy("cache_key").orderBy("call_id", "attempt", "elapsed_s")
+    good = rows.where(ok).withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") == 1).drop("__rn")
+    return good.unionByName(rows.where(~ok))
 
 
 # -- record checks ---------------------------------------------------------------------

@@ -8,9 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearfold.operators.profile import class_counts, label_index
-
-MAX_CATEGORIES = 10_000
+from clearfold.operators.profile import class_counts, exact_quantiles, label_index
 
 
 def join_labels(features: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFrame:
@@ -33,20 +31,20 @@ def categorical_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if types[c] == "string"]
 
 
-def fit_vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+def fit_vocabulary(df: DataFrame, columns: Sequence[str], max_values: int = 10_000) -> dict[str, list[str]]:
     """Observed values of every string column among ``columns``, sorted.
 
-    One distinct pass; more values than a matrix can have columns is an error, found
-    before anything is brought to the driver.
+    One distinct pass; more than ``max_values`` values, which would be as many matrix columns,
+    are an error, found before anything is brought to the driver.
     """
     cats = categorical_columns(df, columns)
     if not cats:
         return {}
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in cats])).alias("p")
     seen = df.select(pairs).select("p.*").where(F.col("value").isNotNull()).distinct()
-    rows = seen.limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} category values")
+    rows = seen.limit(max_values + 1).collect()
+    if len(rows) > max_values:
+        raise ValueError(f"more than {max_values} category values")
     vocab: dict[str, list[str]] = {c: [] for c in cats}
     for r in rows:
         vocab[r["name"]].append(r["value"])
@@ -87,16 +85,24 @@ def align_columns(matrix: DataFrame, train_columns: Sequence[str], keep: Sequenc
     return matrix.select(*keep, *cols)
 
 
-def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Add rows / (classes x rows of the class)."""
-    counts = class_counts(df.where(F.col(label).isNotNull()), label)
-    weights = counts.select(
-        label,
-        (
-            counts.agg(F.sum("n")).scalar() / (counts.agg(F.count(F.lit(1))).scalar() * F.col("n"))
-        ).alias(out),
-    )
-    return df.join(weights, label).select(*df.columns, out)
+def _by_label(label: str, values: dict) -> Column:
+    """Value of the row's label from a small literal map; null where it has none."""
+    pairs = [F.lit(x) for pair in values.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), F.col(label)) if pairs else F.lit(None)
+
+
+def class_weights(df: DataFrame, label: str, out: str = "weight", max_classes: int = 10_000) -> DataFrame:
+    """Add rows / (classes x rows of the class); rows without a label are left out.
+
+    The class counts, at most ``max_classes`` rows, become a literal, so the table is not
+    shuffled by its few labels.
+    """
+    rows = class_counts(df.where(F.col(label).isNotNull()), label).limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    n = sum(r["n"] for r in rows)
+    weight = _by_label(label, {r[label]: n / (len(rows) * r["n"]) for r in rows}).cast("double")
+    return df.where(F.col(label).isNotNull()).withColumn(out, weight).select(*df.columns, out)
 
 
 @dataclass(frozen=True)
@@ -113,17 +119,12 @@ class Scaler:
 
 
 def scaler_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column: median of what is there, then mean and population std after filling.
-
-    Matrix columns are small integers, so the exact median merges short value counts; for
-    free-valued columns use ``profile.exact_quantiles``.
-    """
+    """One row per column: median of what is there, then mean and population std after filling."""
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
         aggs += [
             F.count(x).alias(f"__c{i}"),
-            F.percentile(x, F.lit(0.5)).alias(f"__d{i}"),
             F.avg(x).alias(f"__m{i}"),
             F.var_pop(x).alias(f"__v{i}"),
         ]
@@ -135,7 +136,6 @@ def scaler_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                     F.lit(c).alias("column"),
                     F.col("__n").alias("n"),
                     F.col(f"__c{i}").alias("c"),
-                    F.col(f"__d{i}").alias("median"),
                     F.col(f"__m{i}").alias("m"),
                     F.col(f"__v{i}").alias("v"),
                 )
@@ -143,7 +143,8 @@ def scaler_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             ]
         )
     ).alias("s")
-    filled = one.select(rows).select("s.*").withColumn("f", F.col("c") / F.nullif(F.col("n"), F.lit(0)))
+    medians = exact_quantiles(df, columns, [0.5]).select("column", F.col("value").alias("median"))
+    filled = one.select(rows).select("s.*").join(medians, "column", "left").withColumn("f", F.col("c") / F.nullif(F.col("n"), F.lit(0)))
     mean = F.coalesce(F.col("m") * F.col("f") + F.col("median") * (1 - F.col("f")), F.lit(0.0))
     gap = F.col("m") - F.col("median")
     var = F.col("v") * F.col("f") + F.col("f") * (1 - F.col("f")) * gap * gap
@@ -170,9 +171,12 @@ def impute_scale(df: DataFrame, scaler: Scaler, columns: Sequence[str]) -> DataF
     return df.select(*keep, *[scaler.scaled(c).alias(c) for c in columns])
 
 
-def index_labels(df: DataFrame, label: str, labels: DataFrame, out: str = "label_idx") -> DataFrame:
-    """Attach the training label index; a label unknown to training gets null."""
-    return df.join(labels.withColumnRenamed("label_idx", out), label, "left")
+def index_labels(df: DataFrame, label: str, labels: DataFrame, out: str = "label_idx", max_classes: int = 10_000) -> DataFrame:
+    """Attach the training label index from a literal; a label unknown to training gets null."""
+    rows = labels.limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    return df.withColumn(out, _by_label(label, {r[label]: r["label_idx"] for r in rows}).cast("int"))
 
 
 def single_class_predictions(df: DataFrame, label: str) -> DataFrame:

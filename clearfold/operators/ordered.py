@@ -4,7 +4,7 @@ A plain window over a label or a session puts every row of that key into one tas
 Here each key is cut into chunks first: the chunk totals form a small table, a window
 over that table gives what precedes each chunk, and the row-level window runs inside
 one (key, chunk) only. Ranks by hash use the leading hex digits of the hash as the
-chunk, which splits any key evenly however large it is.
+chunk, which splits any key evenly; the counted rows say how many digits it takes.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearfold.functions.hashing import hash_order
+from clearfold.session import cut
 
-HEX_DIGITS = 3  # 4096 chunks per stratum
-SMALL_SORT = 100_000  # rows that one task may order in a final top-n
+CHUNK_ROWS = 20_000  # rows that one chunk should hold, about
 
 _H, _B, _N, _BEFORE = "__hash", "__chunk", "__n", "__before"
 
@@ -59,18 +59,36 @@ def running(
     return ranked.join(carry, cond, "left").withColumn(out, both).select(*df.columns, out)
 
 
+def hex_digits_for(n_rows: int) -> int:
+    """Leading hex digits that cut ``n_rows``, were they all of one key, into chunks of about ``CHUNK_ROWS``."""
+    digits = 1
+    while 16**digits * CHUNK_ROWS < n_rows:
+        digits += 1
+    return digits
+
+
+def _keyed(df: DataFrame, id_col: str, seed: int | Column) -> DataFrame:
+    """Add the hash and its chunk; counts the rows first."""
+    return df.withColumn(_H, hash_order(seed, id_col)).withColumn(_B, F.substring(_H, 1, hex_digits_for(df.count())))
+
+
 def _chunk_counts(keyed: DataFrame, strata: Sequence[str]) -> DataFrame:
     return keyed.groupBy(*strata, _B).agg(F.count(F.lit(1)).alias(_N))
 
 
-def hash_rank(
-    df: DataFrame, strata: Sequence[str], id_col: str, seed: int | Column, out: str = "rank", hex_digits: int = HEX_DIGITS
-) -> DataFrame:
+def _on(strata: Sequence[str], null_safe: bool) -> Column:
+    cond = F.lit(True)
+    for i, s in enumerate(strata):
+        cond = cond & (F.col(s).eqNullSafe(F.col(f"__s{i}")) if null_safe else F.col(s) == F.col(f"__s{i}"))
+    return cond
+
+
+def hash_rank(df: DataFrame, strata: Sequence[str], id_col: str, seed: int | Column, out: str = "rank") -> DataFrame:
     """Add the 0-based position of each row in the hash order of its stratum.
 
     ``id_col`` must be unique within a stratum. Null strata form a stratum of their own.
     """
-    keyed = df.withColumn(_H, hash_order(seed, id_col)).withColumn(_B, F.substring(_H, 1, hex_digits))
+    keyed = _keyed(df, id_col, seed)
     earlier = Window.partitionBy(*(strata or [F.lit(0)])).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = _chunk_counts(keyed, strata).select(
         *[F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)],
@@ -79,9 +97,7 @@ def hash_rank(
     )
     inside = Window.partitionBy(*strata, _B).orderBy(_H, id_col)
     ranked = keyed.withColumn("__in", F.row_number().over(inside))
-    cond = F.col(_B) == F.col("__sb")
-    for i, s in enumerate(strata):
-        cond = cond & F.col(s).eqNullSafe(F.col(f"__s{i}"))
+    cond = (F.col(_B) == F.col("__sb")) & _on(strata, True)
     return ranked.join(offsets, cond).withColumn(out, F.col(_BEFORE) + F.col("__in") - 1).select(*df.columns, out)
 
 
@@ -92,17 +108,18 @@ def hash_sample(
     seed: int | Column,
     quota: Column,
     total_over: Sequence[str] = (),
-    hex_digits: int = HEX_DIGITS,
+    null_strata: bool = False,
 ) -> DataFrame:
     """The first ``quota`` rows of every stratum in hash order.
 
     ``quota`` is an expression over ``n_stratum`` and ``n_total`` (rows of the stratum, rows
     of all strata that share ``total_over``). Rows of a null stratum count towards
-    ``n_total`` but are never drawn. The first pass reads key columns only and counts per
-    chunk; the second keeps the chunks the quota reaches into, so that about as many rows
-    are shuffled as are drawn.
+    ``n_total`` but are drawn only with ``null_strata``. A draw is a prefix of the hash
+    order, so one boundary chunk per stratum says it all: what lies before it is taken where
+    it is scanned, and only the boundary chunks are ordered. The boundaries are written
+    first, one row per stratum, so their size is known when the large side is planned.
     """
-    keyed = df.withColumn(_H, hash_order(seed, id_col)).withColumn(_B, F.substring(_H, 1, hex_digits))
+    keyed = _keyed(df, id_col, seed)
     counts = _chunk_counts(keyed, strata)
     part = list(strata) or [F.lit(0)]
     earlier = Window.partitionBy(*part).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
@@ -114,30 +131,20 @@ def hash_sample(
         sized = sized.join(totals, list(total_over))
     else:
         sized = sized.withColumn("n_total", counts.agg(F.sum(_N)).scalar())
-    admitted = (
-        sized.withColumn("__quota", quota.cast("bigint"))
-        .where(F.col(_BEFORE) < F.col("__quota"))
-        .select(*strata, _B, _BEFORE, "__quota")
-    )
+    reached = sized.withColumn("__quota", quota.cast("bigint")).where(F.col(_BEFORE) < F.col("__quota"))
+    last = F.max(F.struct(_B, (F.col("__quota") - F.col(_BEFORE)).alias("rest"))).alias("x")
+    ends = cut(reached.groupBy(*strata).agg(last).select(*strata, F.col(f"x.{_B}").alias("__last"), F.col("x.rest").alias("__rest")))
+    if strata:
+        named = ends.select(*[F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)], "__last", "__rest")
+        placed = keyed.join(named, _on(strata, null_strata))
+    else:
+        end = ends.first()
+        placed = keyed.withColumns({"__last": F.lit(end["__last"] if end else ""), "__rest": F.lit(end["__rest"] if end else 0)})
     inside = Window.partitionBy(*strata, _B).orderBy(_H, id_col)
-    return (
-        keyed.join(admitted, [*strata, _B])
-        .withColumn("__in", F.row_number().over(inside))
-        .where(F.col(_BEFORE) + F.col("__in") <= F.col("__quota"))
-        .select(*df.columns)
-    )
+    edge = placed.where(F.col(_B) == F.col("__last")).withColumn("__in", F.row_number().over(inside)).where(F.col("__in") <= F.col("__rest"))
+    return placed.where(F.col(_B) < F.col("__last")).select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def hash_head(df: DataFrame, id_col: str, seed: int | Column, n: int, per: Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` rows in hash order, per key of ``per`` when given.
-
-    Meant for inputs that are samples already: one small sort up to ``SMALL_SORT`` rows,
-    the chunked sample beyond it.
-    """
-    if n > SMALL_SORT:
-        return hash_sample(df, per, id_col, seed, F.lit(n))
-    keyed = df.withColumn(_H, hash_order(seed, id_col))
-    if not per:
-        return keyed.orderBy(_H, id_col).limit(n).select(*df.columns)
-    w = Window.partitionBy(*per).orderBy(_H, id_col)
-    return keyed.withColumn("__in", F.row_number().over(w)).where(F.col("__in") <= n).select(*df.columns)
+    """The first ``n`` rows in hash order, per key of ``per`` when given; a null key is a key like any other."""
+    return hash_sample(df, per, id_col, seed, F.lit(n), null_strata=True)

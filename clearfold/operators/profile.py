@@ -7,67 +7,67 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clearfold.operators.ordered import running
+
 QUARTILES = (0.25, 0.5, 0.75)
 _ACCURACY = 100_000
 _MARGIN = 1e-4
-_SMALL = 100_000
+_CHUNKS = 256  # of the values inside the bracket of one quantile
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _basics(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> list[dict]:
-    """Count, moments, range and rank brackets of every column, one row from one pass."""
-    near = [max(0.0, q - _MARGIN) for q in probs] + [min(1.0, q + _MARGIN) for q in probs]
+def _basics(df: DataFrame, columns: Sequence[str]) -> list[dict]:
+    """Count, moments and range of every column, one row from one pass."""
     aggs = []
     for i, c in enumerate(columns):
         v = F.col(c).cast("double")
-        aggs.append(
-            F.struct(
-                F.count(v).alias("n"),
-                F.avg(v).alias("mean"),
-                F.stddev_samp(v).alias("std"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-                F.percentile_approx(v, near, _ACCURACY).alias("near"),
-            ).alias(f"s{i}")
-        )
+        parts = {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
+        aggs.append(F.struct(*[x.alias(k) for k, x in parts.items()]).alias(f"s{i}"))
     row = df.agg(*aggs).first()
     return [row[f"s{i}"].asDict() for i in range(len(columns))]
 
 
+def _brackets(df: DataFrame, columns: Sequence[str], basics: list[dict], probs: Sequence[float]) -> list[tuple]:
+    """(column, quantile, low, high, rows below low) per column with values and quantile.
+
+    The margin covers the sketch's error and the two ranks that a quantile lies between.
+    """
+    near, held = [], [i for i, s in enumerate(basics) if s["n"]]
+    for i in held:
+        m = _MARGIN + 1.5 / basics[i]["n"]
+        near.append(F.percentile_approx(F.col(columns[i]).cast("double"), [p for q in probs for p in (max(0.0, q - m), min(1.0, q + m))], _ACCURACY).alias(f"p{i}"))
+    if not held:
+        return []
+    found = df.agg(*near).first()
+    ends = [(i, j, found[f"p{i}"][2 * j], found[f"p{i}"][2 * j + 1]) for i in held for j in range(len(probs))]
+    below = df.agg(*[F.count_if(F.col(columns[i]).cast("double") < lo).alias(f"b{k}") for k, (i, _, lo, _) in enumerate(ends)]).first()
+    return [(*e, below[f"b{k}"]) for k, e in enumerate(ends)]
+
+
 def _quantile_rows(df: DataFrame, columns: Sequence[str], basics: list[dict], probs: Sequence[float]) -> DataFrame:
-    k = len(probs)
-    brackets = {}
-    for i, s in enumerate(basics):
-        if s["n"] == 0:
-            continue
-        for j in range(k):
-            small = s["n"] < _SMALL
-            brackets[(i, j)] = (s["min"], s["max"]) if small else (s["near"][j], s["near"][k + j])
-    counted = [
-        F.count_if(F.col(columns[i]).cast("double") < lo).alias(f"b{i}_{j}") for (i, j), (lo, _) in brackets.items()
-    ]
-    below = df.agg(*counted).first() if counted else None
-    out = None
-    for i, c in enumerate(columns):
-        mine = [(j, *brackets[(i, j)], below[f"b{i}_{j}"]) for j in range(k) if (i, j) in brackets]
-        if not mine:
-            continue
-        v = F.col("v")
-        hits = [F.when(v.between(lo, hi), F.struct(F.lit(j).alias("j"), F.lit(n).alias("start"))) for j, lo, hi, n in mine]
-        values = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("v")).groupBy("v")
-        inside = values.agg(F.count(F.lit(1)).alias("n")).select("v", "n", F.explode(F.array_compact(F.array(*hits))).alias("h"))
-        upto = F.col("h.start") + F.sum("n").over(Window.partitionBy("h.j").orderBy("v"))
-        prob = F.element_at(F.array(*[F.lit(float(q)) for q in probs]), F.col("h.j") + 1)
-        rows = inside.select(
-            F.lit(c).alias("column"), "v", prob.alias("q"), upto.alias("upto"), (prob * (basics[i]["n"] - 1)).alias("p")
-        )
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        out = df.sparkSession.createDataFrame([], "column string, v double, q double, upto bigint, p double")
-    picked = out.groupBy("column", "q", "p").agg(
+    brackets = _brackets(df, columns, basics, probs)
+    if not brackets:
+        return df.sparkSession.createDataFrame([], "column string, q double, value double")
+    hits = []
+    for k, (i, _, lo, hi, _) in enumerate(brackets):
+        v = F.col(columns[i]).cast("double")
+        hits.append(F.when(v.between(lo, hi), F.struct(F.lit(k).alias("k"), v.alias("v"))))
+    values = df.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy("h.k", "h.v").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("k") + 1)
+    low, width = of([float(b[2]) for b in brackets]), of([float(b[3] - b[2]) for b in brackets])
+    chunk = F.when(width > 0, F.floor((F.col("v") - low) / width * _CHUNKS)).otherwise(F.lit(0))
+    ranked = running(values, ["k"], chunk, ["v"], F.col("n"), "ahead")
+    rows = ranked.select(
+        of([columns[b[0]] for b in brackets]).alias("column"),
+        of([float(probs[b[1]]) for b in brackets]).alias("q"),
+        "v",
+        (of([int(b[4]) for b in brackets]) + F.coalesce("ahead", F.lit(0)) + F.col("n")).alias("upto"),
+        (of([float(probs[b[1]]) for b in brackets]) * of([basics[b[0]]["n"] - 1 for b in brackets])).alias("p"),
+    )
+    picked = rows.groupBy("column", "q", "p").agg(
         F.min(F.when(F.col("upto") > F.floor("p"), F.col("v"))).alias("x0"),
         F.min(F.when(F.col("upto") > F.ceil("p"), F.col("v"))).alias("x1"),
     )
@@ -80,16 +80,16 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
     The built-in exact percentile keeps every distinct value in one buffer. Here a sketch
     brackets each wanted rank (its rank error is at most 1/accuracy, a tenth of the
-    margin), the rows below each bracket are counted, and only the distinct values inside
-    the brackets are ranked. Repeated values are collapsed to (value, count) beforehand,
-    so a value that fills a third of the rows is one row.
+    margin), the rows below each bracket are counted, and one pass for all columns takes the
+    values inside the brackets, collapsed to (value, count) before the shuffle; their running
+    counts go over chunks of each bracket.
     """
-    return _quantile_rows(df, columns, _basics(df, columns, probs), probs)
+    return _quantile_rows(df, columns, _basics(df, columns), probs)
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: count, mean, sample std, min, quartiles and max."""
-    basics = _basics(df, columns, QUARTILES)
+    basics = _basics(df, columns)
     quart = _quantile_rows(df, columns, basics, QUARTILES).groupBy("column").agg(
         *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(f"p{int(q * 100)}") for q in QUARTILES]
     )

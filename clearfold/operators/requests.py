@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearfold.functions.text import truncate
@@ -16,10 +16,6 @@ RESIDUAL_CHARS = 500
 RESIDUAL_EXAMPLES = 5
 BROAD_PATTERNS = 15
 
-# Layout of one rendered prediction and of one residual example.
-SAMPLE_LAYOUT = ("---\nTRUE: ", " | PREDICTED: ", " | CONFIDENCE: ", "\nTEXT: ", "\nFEATURES: ", "\n")
-RESIDUAL_LAYOUT = ("---\nTRUE LABEL: ", "\nPREDICTED: ", "\nTEXT: ", "\n")
-
 EXTRACTION_SYSTEM = (
     "Read the text and fill in the requested features. Judge only what is written and how; "
     "do not guess at the outcome.\n\nFeature set: {name}\n{description}"
@@ -57,20 +53,10 @@ def extraction_requests(
 
 
 def rendered_sample(features: Sequence[str], limit: int = SAMPLE_CHARS, prefix: str = "feat_") -> Column:
-    """One prediction as text: labels, confidence, shortened text and feature values."""
-    values = [
-        F.col("true_label"),
-        F.col("predicted_label"),
-        F.format_string("%.2f", F.col("confidence")),
-        truncate(F.col("text"), limit),
-        F.to_json(F.struct(*[F.col(prefix + c).alias(c) for c in features])),
-    ]
-    return _laid_out(SAMPLE_LAYOUT, values)
-
-
-def _laid_out(layout: Sequence[str], values: Sequence[Column]) -> Column:
-    pieces = [c for text, value in zip(layout, values) for c in (F.lit(text), value)]
-    return F.concat(*pieces, F.lit(layout[-1]))
+    """One prediction as a block of text: the shortened text, then its values, then what was said and what is so."""
+    values = F.to_json(F.struct(*[F.col(prefix + c).alias(c) for c in features]))
+    verdict = F.concat(F.col("predicted_label"), F.lit(" (sure to "), F.format_string("%.2f", F.col("confidence")), F.lit("), in truth "), F.col("true_label"))
+    return F.concat(F.lit("* "), truncate(F.col("text"), limit), F.lit("\n  values "), values, F.lit("\n  judged "), verdict)
 
 
 def joined_in_order(order: str, line: Column, sep: str = "\n") -> Column:
@@ -82,7 +68,7 @@ def joined_in_order(order: str, line: Column, sep: str = "\n") -> Column:
 def residual_request(wrong: DataFrame, feature_names: Sequence[str], order: str = "id") -> DataFrame:
     """One request from the misclassified examples chosen beforehand; no row when there are none."""
     shown = truncate(F.col("text"), RESIDUAL_CHARS, ellipsis=False)
-    line = _laid_out(RESIDUAL_LAYOUT, [F.col("true_label"), F.col("predicted_label"), shown])
+    line = F.concat(F.lit("* judged "), F.col("predicted_label"), F.lit(" instead of "), F.col("true_label"), F.lit(": "), shown)
     head = RESIDUAL_HEAD + ", ".join(feature_names) + "\n\n"
     joined = wrong.agg(F.count(F.lit(1)).alias("n_examples"), joined_in_order(order, line).alias("examples"))
     return joined.where(F.col("n_examples") > 0).select(
@@ -120,7 +106,7 @@ def sample_request(right: DataFrame, wrong: DataFrame, features: Sequence[str],
 
 def coefficient_lines(coefs: DataFrame) -> DataFrame:
     """All coefficients as one text, largest first; a model has a bounded number of them."""
-    line = F.format_string("  %s coef=%+.4f (OR=%.3f)", F.col("feature"), F.col("coefficient"), F.col("odds_ratio"))
+    line = F.format_string("%+.4f %s, odds x %.3f", F.col("coefficient"), F.col("feature"), F.col("odds_ratio"))
     keyed = coefs.select(F.struct((-F.col("abs_coef")).alias("a"), F.col("feature").alias("f")).alias("o"), line.alias("l"))
     return keyed.agg(joined_in_order("o", F.col("l")).alias("coefficient_lines"))
 
@@ -189,8 +175,10 @@ def feature_evaluations(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def weakest_first(evaluations: DataFrame) -> DataFrame:
-    return evaluations.orderBy("usefulness_score", "pos")
+def weakest_first(evaluations: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``place``: 1 for the weakest feature of a request, unscored ones first, equal ones by position."""
+    order = Window.partitionBy(*keys).orderBy(F.col("usefulness_score").asc_nulls_first(), "pos")
+    return evaluations.withColumn("place", F.row_number().over(order))
 
 
 def requested_removals(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -50,11 +50,14 @@ def build_corpus(
 
     ``posts(post_id, title, body, score)``, ``comments(post_id, comment_id, message, score)``.
     Bodies join last, onto the posts that got a verdict, so they take part in one shuffle
-    only. The trim reads the verdicts more than once; they are a narrow table of at most
+    only. The wanted ids are written before the comments are joined with them, so that their
+    size is known and the comments need not be shuffled for a small table. The trim reads the verdicts more than once; they are a narrow table of at most
     1.5 x ``sample_size`` rows, so writing them down spares further scans of the comments.
     """
     valid = ops.valid_posts(posts, "title", "body", patterns, min_chars)
     wanted = uniform_sample(valid.select("post_id"), int(sample_size * ops.OVERSAMPLE), "post_id", seed)
+    if materialise:
+        wanted = cut(wanted)
     votes = ops.comments_of(ops.labelled_votes(comments, "message", labels), wanted)
     verdicts = vote_consensus(votes, k, min_votes, min_score, order=order)
     if materialise:

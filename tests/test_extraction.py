@@ -52,9 +52,9 @@ def test_wait_only_between_failed_attempts():
     def refusing(text, ident):
         raise ex.Refused("x")
     note = lambda a: waits.append(a) or 0.0
-    ex._attempts(failing, "t", "i", 2, 0.0, note)
+    ex._attempts(failing, "t", "i", 2, ex.Pace(0.0), note)
     assert waits == [0, 1]
-    ex._attempts(refusing, "t", "i", 2, 0.0, note)
+    ex._attempts(refusing, "t", "i", 2, ex.Pace(0.0), note)
     assert waits == [0, 1]
 
 
@@ -130,3 +130,23 @@ def test_residual_request_without_errors_is_empty(spark):
     none = spark.createDataFrame([], "id int, true_label string, predicted_label string, text string")
     assert rq.residual_request(none, ["a"]).count() == 0
     assert rq.bullet_list([]) == "(none)"
+
+
+def test_pace_counts_the_time_of_calls():
+    pace, started = ex.Pace(0.05), time.monotonic()
+    for _ in range(6):
+        pace.wait()
+        time.sleep(0.03)
+    assert 0.27 <= time.monotonic() - started < 0.45
+
+
+def test_overlapping_calls_leave_one_row_per_key(spark, tmp_path):
+    keyed = ex.with_cache_key(spark.createDataFrame([(i, f"t{i % 3}") for i in range(6)], "id int, body string"), "h")
+    factory = lambda: lambda text, ident: ex.Extraction({"n": 1})
+    path = str(tmp_path / "cache")
+    first = ex.extract_into_cache(keyed, path, factory, REC, call_id="a", requests_per_minute=None)
+    once = first.collect()
+    assert len(once) == 3
+    spark.createDataFrame(once, first.schema).withColumn("call_id", F.lit("b")).write.mode("append").parquet(path)
+    again = ex.read_cache(spark, path, first.schema).collect()
+    assert len(again) == 3 and {r.call_id for r in again} == {"a"}

@@ -78,6 +78,6 @@ def test_run_through_a_service(spark, corpus, tmp_path):
     distinct = corpus.where(~F.col("body").endswith("x7")).select("body").distinct().count()
     assert cost.n_samples == distinct and cost.input_tokens == 100 * distinct
     assert report.evaluation.mean > 0.6 and report.coefficients.count() == 2
-    assert "TRUE LABEL" in report.residual_request.first().prompt
+    assert "instead of" in report.residual_request.first().prompt
     again, usage = service(corpus, DEFS[:2])
     assert again.count() == 160 - failed and usage.count() == 0

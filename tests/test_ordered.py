@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clearfold.operators import sampling as sp
-from clearfold.operators.ordered import hash_rank, hash_sample, running
+from clearfold.operators.ordered import hash_head, hash_rank, hash_sample, running
 from clearfold.operators.profile import describe, exact_quantiles, majority_label, safe_fold_counts
 
 
@@ -29,7 +29,7 @@ def test_rank_equals_window(skewed):
 def test_sample_does_not_depend_on_partitioning(skewed):
     quota = F.lit(20)
     a = {r.id for r in hash_sample(skewed, ["label"], "id", 1, quota).collect()}
-    b = {r.id for r in hash_sample(skewed.repartition(3), ["label"], "id", 1, quota, hex_digits=1).collect()}
+    b = {r.id for r in hash_sample(skewed.repartition(3), ["label"], "id", 1, quota).collect()}
     assert a == b and len(a) == 60
     by_hand = sorted((hashlib.md5(f"1:{r.id}".encode()).hexdigest(), r.id) for r in skewed.where("label = 'hot'").collect())[:20]
     assert {i for _, i in by_hand} <= a
@@ -83,12 +83,8 @@ def test_kfold_balance(skewed):
         assert max(sizes) - min(sizes) <= 1
 
 
-def test_quantiles_by_brackets(spark, monkeypatch):
-    """The bracketed way, forced on a small table with a value in half of the rows."""
-    from clearfold.operators import profile
-
-    monkeypatch.setattr(profile, "_SMALL", 0)
-    monkeypatch.setattr(profile, "_MARGIN", 0.01)
+def test_quantiles_by_brackets(spark):
+    """Brackets of a small table with a value in half of the rows."""
     rnd = random.Random(3)
     values = [7.0 if i % 2 else rnd.random() * 100 for i in range(20001)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
@@ -109,3 +105,31 @@ def test_majority_and_fold_counts(spark):
     df = spark.createDataFrame([("b",)] * 4 + [("a",)] * 4 + [("c",)], "label string")
     assert tuple(majority_label(df, "label").first()) == ("a", 4)
     assert tuple(safe_fold_counts(df, "label").first()) == (1, 9, 2, 2)
+
+
+def test_head_has_one_rule_for_every_size(spark, monkeypatch):
+    """Null keys and chunk sizes change nothing: the first rows of each key in hash order."""
+    rows = [(i, None if i % 4 == 0 else "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, k string")
+    by_hand = set()
+    for key in (None, "a", "b"):
+        own = sorted((hashlib.md5(f"7:{i}".encode()).hexdigest(), i) for i, k in rows if k == key)
+        by_hand |= {i for _, i in own[:5]}
+    assert {r.id for r in hash_head(df, "id", 7, 5, per=["k"]).collect()} == by_hand
+    monkeypatch.setattr("clearfold.operators.ordered.CHUNK_ROWS", 1)
+    assert {r.id for r in hash_head(df, "id", 7, 5, per=["k"]).collect()} == by_hand
+    assert hash_head(df, "id", 7, 100).count() == 40
+
+
+def test_sample_does_not_shuffle_the_large_side(spark):
+    """With a low broadcast threshold the final plan joins the boundaries by broadcast and orders boundary chunks only."""
+    df = spark.range(200_000).select(F.col("id"), (F.col("id") % 3).cast("string").alias("label"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        drawn = hash_sample(df, ["label"], "id", 1, F.lit(50))
+        assert drawn.count() == 150
+        plan = drawn._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
