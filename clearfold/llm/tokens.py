@@ -30,9 +30,10 @@ MAGIC = b"CFTOKEN1"
 BLOCK = 65_536
 TRAILER = struct.Struct("<IIQQQQ")  # bits, ids per block, documents, ids, start of the index, version
 TEXT_STEP = 1_000_000  # characters that are tokenized at once
-MEMO = 400_000  # words whose ids a worker remembers
+MEMO = 300_000  # words whose ids either half of a worker's memory holds
+MARK = "\x01"
 NO_ID = -(1 << 63)  # stands for a null document id
-SHARD_BYTES = 64 << 20  # text of one shard, about
+SHARD_BYTES = 32 << 20  # text of one shard, about
 
 
 # -- packing ---------------------------------------------------------------------------
@@ -148,25 +149,46 @@ class WordEncoder:
     """Encodes texts with a tokenizer whose tokens never span a blank or a line feed.
 
     Such a tokenizer gives the ids of a text as the ids of its blank-separated parts, so each
-    part is encoded once and remembered. The memory is cleared when it holds ``MEMO`` parts.
+    part is encoded once and remembered. New parts are encoded together, between control
+    characters that have an id of their own; parts that hold that character go one by one.
+    The memory has two halves of at most about ``MEMO`` parts: when the young one is full it
+    becomes the old one, and what is used again moves back.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        mark = self._ids([MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, parts: list[str]) -> None:
+        together = [] if self.mark is None else [p for p in parts if MARK not in p]
+        alone = parts if self.mark is None else [p for p in parts if MARK in p]
+        for start in range(0, len(together), 4096):
+            some = together[start : start + 4096]
+            ids = np.array(self._ids([f" {MARK} ".join(some)])[0], "<u4")
+            ends = np.flatnonzero(ids == self.mark).tolist() + [len(ids)]
+            data, at = ids.tobytes(), 0
+            for part, end in zip(some, ends):
+                self.young[part] = data[4 * at : 4 * end]
+                at = end + 1
+        for part, ids in zip(alone, self._ids(alone)):
+            self.young[part] = np.array(ids, "<u4").tobytes()
 
     def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list(set().union(*parts).difference(self.memo))
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.memo[part] = np.array(coded.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.memo.__getitem__, p)), "<u4") for p in parts]
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        new = set().union(*parts).difference(self.young)
+        for part in new.intersection(self.old):
+            self.young[part] = self.old[part]
+        self._encode(list(new.difference(self.old)))
+        return [np.frombuffer(b"".join(map(self.young.__getitem__, p)), "<u4") for p in parts]
 
 
 def _steps(texts: list[str]) -> Iterator[list[str]]:
