@@ -15,7 +15,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 
-HIDDEN, EMBEDDED = 24, 16
+HIDDEN, EMBEDDED = 16, 16
 PER_CLASS = 64  # named words of a class
 WINDOW = 32
 MAX_LANES = 256
@@ -126,25 +126,26 @@ def _forward(w: Weights, before: np.ndarray, first: np.ndarray, h: np.ndarray):
     return states, (x, kept, keep), h
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities in place and the log of the normaliser."""
-    top = logits.max(axis=1, keepdims=True)
-    np.exp(logits - top, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    logits /= total
-    return logits, (np.log(total) + top)[:, 0]
+def _exponentials(logits: np.ndarray) -> np.ndarray:
+    """``exp`` in place and the sums of the rows; logits above 60 are held there, far from overflow."""
+    if logits.max(initial=0.0) > 60:
+        np.minimum(logits, 60, out=logits)
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], logits.dtype)
 
 
 def _output(w: Weights, codes: Codes, states: np.ndarray, target: np.ndarray, live: np.ndarray, gradient: Weights | None):
     """Natural log-probability of each target code; with ``gradient``, adds to it and returns that of the states."""
     cls, place = codes.cls[target], codes.place[target]
     rows = np.arange(len(target))
-    logits = states @ w.C + w.c
-    own = logits[rows, cls]
-    p, norm = _softmax(logits)
-    logp = own - norm
+    p = states @ w.C
+    p += w.c
+    own = p[rows, cls]
+    total = _exponentials(p)
+    logp = own - np.log(total)
     back = None
     if gradient is not None:
+        p /= total[:, None]
         p[rows, cls] -= 1
         p *= live[:, None]
         gradient.C += states.T @ p
@@ -158,11 +159,13 @@ def _output(w: Weights, codes: Codes, states: np.ndarray, target: np.ndarray, li
         if not len(some):
             continue
         s, here = states[some], np.arange(len(some))
-        logits = s @ w.K[k] + w.k[k]
-        own = logits[here, place[some]]
-        q, norm = _softmax(logits)
-        logp[some] += own - norm
+        q = s @ w.K[k]
+        q += w.k[k]
+        own = q[here, place[some]]
+        total = _exponentials(q)
+        logp[some] += own - np.log(total)
         if gradient is not None:
+            q /= total[:, None]
             q[here, place[some]] -= 1
             gradient.K[k] += s.T @ q
             gradient.k[k] += q.sum(axis=0)

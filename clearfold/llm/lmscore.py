@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearfold.llm import gru
-from clearfold.llm.common import SPACED_WORD, ascii_lower, row_key
+from clearfold.llm.common import lower_words, row_key
 from clearfold.session import cut
 
-NAMED = 2048  # words with a code of their own
+NAMED = 1024  # words with a code of their own
 DICTIONARY = 300_000  # words whose counts the workers hold
 ENDINGS = 1024  # codes of all other words, by their last two bytes
-ENDING_CLASSES = 64
+ENDING_CLASSES = 32
 ROUNDS = 3
 RATE = 0.01
 BUFFER = 3_000_000  # codes that a task holds at once
@@ -42,7 +42,7 @@ def _training(id_col: str):
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``word``, ``c`` over the training documents, a written table; every document ends with ``END``."""
-    words = F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(SPACED_WORD), F.lit(0))
+    words = lower_words(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.where(_training(id_col)).select(F.explode(F.concat(words, F.array(F.lit(END)))).alias("word"))
     return cut(rows.groupBy("word").agg(F.count(F.lit(1)).alias("c")))
 
