@@ -141,7 +141,7 @@ def find_contamination(
     found = cut(per_doc)
     named = (
         found.select("__id", "__th", F.explode("cls").alias("cls")).join(bounded_broadcast(classes), "cls")
-        .groupBy("__id", "__th").agg(F.sort_array(F.flatten(F.collect_list("items"))).alias("item_ids"))
+        .groupBy("__id", "__th").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
     )
     a, b, c = scanned.drop("at").alias("a"), found.drop("cls").alias("b"), named.alias("c")
     same = lambda x, y: F.col(f"{x}.__id").eqNullSafe(F.col(f"{y}.__id")) & (F.col(f"{x}.__th") == F.col(f"{y}.__th"))
@@ -177,19 +177,16 @@ def decontaminate(
     ones fit a checked broadcast.
     """
     found = find_contamination(docs, items, n, id_col, text_col).where(F.size("spans") > 0)
-    hit = cut(found.select("__id", "__th", "spans").dropDuplicates(["__id", "__th"]))
-    key = row_key(id_col, text_col, "id", "th")
-    same = key[0].eqNullSafe(F.col("__id")) & (key[1] == F.col("__th"))
+    hit = bounded_broadcast(cut(found.select("__id", "__th", "spans").dropDuplicates(["__id", "__th"])))
+    same = docs[id_col].eqNullSafe(hit["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == hit["__th"])
     if remove == "documents":
-        return docs.join(bounded_broadcast(hit.drop("spans")), same, "left_anti")
+        return docs.join(hit, same, "left_anti")
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(docs[text_col], F.lit(""))
     pieces = F.regexp_extract_all(text, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0))
     first = F.when(text.rlike(r"^[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(0)).otherwise(F.lit(1))
-    inside = lambda j: F.exists("spans", lambda s: (j >= 2 * s["pos"] + first) & (j <= 2 * (s["pos"] + s["len"] - 1) + first))
+    inside = lambda j: F.exists(hit["spans"], lambda s: (j >= 2 * s["pos"] + first) & (j <= 2 * (s["pos"] + s["len"] - 1) + first))
     kept = F.array_join(F.filter(pieces, lambda p, j: ~inside(j)), "")
-    out = docs.join(bounded_broadcast(hit), same, "left")
-    return out.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
+    cleaned = F.when(hit["spans"].isNull(), docs[text_col]).otherwise(kept).alias(text_col)
+    return docs.join(hit, same, "left").select(*[cleaned if c == text_col else docs[c] for c in docs.columns])

@@ -107,9 +107,9 @@ def report(docs: DataFrame) -> DataFrame:
 def take(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix: every row of ``docs`` as often as it is taken, with its columns as they are."""
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    chosen = mix(docs, **options).where(F.col("times") > 0).groupBy("__id", "__th", F.col("source").alias("__source")).agg(F.max("times").alias("__times"))
+    chosen = mix(docs, **options).where(F.col("times") > 0).groupBy("__id", "__th", "source").agg(F.max("times").alias("times"))
     chosen = bounded_broadcast(cut(chosen))
-    key = row_key(id_col, text_col, "i", "t")
-    same = key[0].eqNullSafe(F.col("__id")) & (key[1] == F.col("__th")) & F.col(source_col).eqNullSafe(F.col("__source"))
-    out = docs.join(chosen, same).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = docs[id_col].eqNullSafe(chosen["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == chosen["__th"])
+    same = same & docs[source_col].eqNullSafe(chosen["source"])
+    turns = F.explode(F.sequence(F.lit(1), chosen["times"].cast("int"))).alias("__turn of the mix")
+    return docs.join(chosen, same).select(*[docs[c] for c in docs.columns], turns).drop("__turn of the mix")

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearfold.llm.common import HOT_KEYS, attach, bounded_broadcast, row_key
@@ -124,11 +124,9 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str,
     """The ``pairs`` (a, b) whose full shingle sets reach the threshold. Only texts that occur in a pair are shuffled."""
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     needed = cut(ids.join(reps.select("rep", "rep_th"), "rep"))
-    key = row_key(id_col, text_col, "i", "t")
-    texts = cut(
-        docs.join(bounded_broadcast(needed), (key[0] == F.col("rep")) & (key[1] == F.col("rep_th")))
-        .select("rep", F.col(text_col).alias("text")).dropDuplicates(["rep"])
-    )
+    wanted, own = bounded_broadcast(needed), docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    here = (own["__id"] == wanted["rep"]) & (own["__th"] == wanted["rep_th"])
+    texts = cut(own.join(wanted, here).select("rep", "text").dropDuplicates(["rep"]))
     of_b = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
     share = max(1, (of_b.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
     hot = of_b.where(F.col("n") > share).select("b", F.ceil(F.col("n") / share).cast("int").alias("salts"))  # fewer than HOT_KEYS rows
@@ -256,10 +254,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = cut(near_duplicates(docs, id_col, text_col, percent))
     dropped = cut(found.where(~F.col("kept")).select("__id").distinct())
     repeated = cut(found.where(F.col("kept") & F.col("__id").isNotNull()).groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
-    out = docs.join(bounded_broadcast(dropped), docs[id_col] == F.col("__id"), "left_anti")
+    gone = bounded_broadcast(dropped)
+    out = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
     if repeated.limit(1).count():
-        again = out.join(bounded_broadcast(repeated.select("__id")), out[id_col] == F.col("__id"), "left_semi")
-        rest = out.join(bounded_broadcast(repeated.select("__id")), out[id_col] == F.col("__id"), "left_anti")
-        first = again.withColumn("__t", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).repartition(F.col(id_col)).sortWithinPartitions(id_col, "__t")
-        out = rest.unionByName(first.dropDuplicates([id_col]).drop("__t"))
+        twice = bounded_broadcast(repeated.select("__id"))
+        again = out.join(twice, out[id_col] == twice["__id"], "left_semi")
+        rest = out.join(twice, out[id_col] == twice["__id"], "left_anti")
+        order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+        marked = again.withColumn("__first of its id", F.row_number().over(order))
+        out = rest.unionByName(marked.where(F.col("__first of its id") == 1).drop("__first of its id"))
     return out

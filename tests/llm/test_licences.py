@@ -22,7 +22,7 @@ TEXTS = [
     None, "", "nothing here", "Prose.\nLicensed under the Apache License, Version 2.0.\nMore.", "All rights reserved.", "Copyright (c) 2020 A Name. All rights reserved.",
     "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "licensed under cc by 4.0",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\nNeither the name of X nor Y may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "SPDX-License-Identifier: EPL-2.0", "He licensed under the table.", "word " * 100_000 + "\nAll rights reserved.", "Released under the MIT License. " * 50,
+    "SPDX-License-Identifier - EPL 2", "He licensed under the table.", "word " * 100_000 + "\nAll rights reserved.", "Released under the MIT License. " * 50,
 ]
 
 
