@@ -170,8 +170,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     key = row_key(id_col, text_col)
     source = docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = source.select("__id", "__th", F.lit(0).cast("bigint").alias("n_shingles"), F.lit(b"").alias("digest"), *[F.array().cast("array<bigint>").alias(c) for c in ("keys", "odd")]).schema
-    sketched = cut(source.mapInArrow(_sketches, schema))
+    kinds = f"`__id` {dict(source.dtypes)['__id']}, `__th` bigint, n_shingles bigint, digest binary, `keys` array<bigint>, odd array<bigint>"
+    sketched = cut(source.mapInArrow(_sketches, kinds))
     usable = sketched.where(F.col("digest").isNotNull() & F.col("__id").isNotNull())
     sets = cut(usable.groupBy("digest").agg(F.min("__id").alias("rep"), F.count(F.lit(1)).alias("n")))
     reps = cut(
