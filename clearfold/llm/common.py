@@ -11,7 +11,6 @@ SPACED_WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]"
 BROADCAST_ROWS = 1_000_000  # narrow rows that every executor may hold
-HOT_KEYS = 1000  # a key with more than 1/HOT_KEYS of the rows is hot, so there are fewer than this
 
 
 def ascii_lower(text: Column) -> Column:
@@ -48,17 +47,12 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
+def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join of ``rows`` with one row per key, where a few keys may hold most of the rows.
 
-    ``n`` is the column of ``per_key`` with the number of ``rows`` of the key. Keys that hold
-    more than a thousandth of all rows are fewer than a thousand whatever the size, so that
-    side is broadcast and their rows stay where they are; all others are shuffled. Both
-    inputs should be written tables, since they are read twice. Null keys match nothing.
+    Both inputs must be written tables. Neither then brings a partitioning along, so both sides
+    are shuffled for this join and adaptive execution splits the partition of a hot key, whose
+    other side is one row; a small ``per_key`` is broadcast by its file size. Null keys match
+    nothing.
     """
-    keys = list(keys)
-    limit = (per_key.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS
-    hot = F.broadcast(per_key.where(F.col(n) > limit))
-    rest = per_key.where(F.col(n) <= limit)
-    cold = rows.join(F.broadcast(per_key.where(F.col(n) > limit).select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(cold.join(rest, keys))
+    return rows.join(per_key, list(keys))

@@ -15,8 +15,8 @@ def _state(edges: DataFrame) -> tuple:
 
 def _stars(edges: DataFrame) -> DataFrame:
     """Of every node, its links and the least node it is linked with (``m``)."""
-    least = cut(edges.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n")))
-    return attach(edges, least, ["u"], "n").select("u", "v", F.least("u", "least").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("least")))
+    return attach(edges, least, ["u"]).select("u", "v", F.least("u", "least").alias("m"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,8 +24,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two contractions until nothing changes: every node links its larger neighbours
     to its least one, then its smaller neighbours and itself. The result is one star per
-    component. Nodes with a large part of all links are joined by broadcast of their single
-    row. Null nodes and self links are ignored; without links the result is empty.
+    component. Null nodes and self links are ignored; without links the result is empty.
     """
     edges = cut(
         links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()

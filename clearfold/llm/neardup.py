@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clearfold.llm.common import HOT_KEYS, attach, bounded_broadcast, row_key
+from clearfold.llm.common import attach, bounded_broadcast, row_key
 from clearfold.llm.graph import components
 from clearfold.session import cut
 
@@ -121,26 +121,18 @@ def _plausible(percent: int, na: Column, nb: Column, oa: Column, ob: Column) ->
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose full shingle sets reach the threshold. Only texts that occur in a pair are shuffled."""
+    """The ``pairs`` (a, b), a written table, whose full shingle sets reach the threshold.
+
+    Only texts that occur in a pair are shuffled. A leader of many pairs makes a skewed
+    partition, which adaptive execution splits.
+    """
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     needed = cut(ids.join(reps.select("rep", "rep_th"), "rep"))
     wanted, own = bounded_broadcast(needed), docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
     here = (own["__id"] == wanted["rep"]) & (own["__th"] == wanted["rep_th"])
     texts = cut(own.join(wanted, here).select("rep", "text").dropDuplicates(["rep"]))
-    of_b = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
-    share = max(1, (of_b.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
-    hot = of_b.where(F.col("n") > share).select("b", F.ceil(F.col("n") / share).cast("int").alias("salts"))  # fewer than HOT_KEYS rows
-    salted = pairs.join(F.broadcast(hot), "b", "left").select(
-        "a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"), F.lit(0)).alias("salt")
-    )
-    copies = texts.join(F.broadcast(hot), F.col("rep") == F.col("b"), "left").select(
-        F.col("rep").alias("b"), F.col("text").alias("text_b"),
-        F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"),
-    )
-    both = (
-        salted.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(copies, ["b", "salt"])
-        .select("a", "b", "text_a", "text_b")
-    )
+    text_of = lambda side: texts.select(F.col("rep").alias(side), F.col("text").alias(f"text_{side}"))
+    both = pairs.join(text_of("a"), "a").join(text_of("b"), "b").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, last, of_last = _WordHashes(), None, None
@@ -173,21 +165,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kinds = f"`__id` {dict(source.dtypes)['__id']}, `__th` bigint, n_shingles bigint, digest binary, `keys` array<bigint>, odd array<bigint>"
     sketched = cut(source.mapInArrow(_sketches, kinds))
     usable = sketched.where(F.col("digest").isNotNull() & F.col("__id").isNotNull())
-    sets = cut(usable.groupBy("digest").agg(F.min("__id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    sets = cut(usable.groupBy("digest").agg(F.min("__id").alias("rep")))
     reps = cut(
         usable.join(sets.select(F.col("rep").alias("__id"), "digest"), ["__id", "digest"])
         .select(F.col("__id").alias("rep"), F.col("__th").alias("rep_th"), "n_shingles", "keys", "odd").dropDuplicates(["rep"])
     )
     # one document may hold several sets only where rows share an id; its sets are then one node
     entries = cut(reps.select("rep", F.explode("keys").alias("key")).distinct())
-    bands = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where(F.col("n") > 1))
-    members = cut(attach(entries, bands, ["key"], "n").select("key", "rep", "leader"))
+    bands = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where(F.col("n") > 1).drop("n"))
+    members = cut(attach(entries, bands, ["key"]).select("key", "rep", "leader"))
     traits = reps.select("rep", "n_shingles", "odd", "keys")
 
     starred = cut(members.where(F.col("rep") != F.col("leader")).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
-    per_leader = starred.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    leaders = cut(per_leader.join(traits.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("odd").alias("ob")), "b"))
-    compared = attach(starred, leaders, ["b"], "n").join(traits.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("odd").alias("oa")), "a")
+    leaders = cut(starred.select("b").distinct().join(traits.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("odd").alias("ob")), "b"))
+    compared = attach(starred, leaders, ["b"]).join(traits.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("odd").alias("oa")), "a")
     near = cut(compared.where(_plausible(percent, F.col("na"), F.col("nb"), F.col("oa"), F.col("ob"))).select("a", "b"))
     links = _confirmed(near, reps, docs, id_col, text_col, percent)
     grouped = cut(components(links))
@@ -198,9 +189,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if more.limit(1).count():
             grouped = cut(components(links.unionByName(more)))
 
-    named = sets.select("digest", "n", "rep").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-    of_set = cut(named.select("digest", "n", F.coalesce("component", "rep").alias("component")))
-    linked = attach(sketched.where(F.col("__id").isNotNull()), of_set, ["digest"], "n")
+    named = sets.join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
+    of_set = cut(named.select("digest", F.coalesce("component", "rep").alias("component")))
+    linked = attach(sketched.where(F.col("__id").isNotNull()), of_set, ["digest"])
     alone = sketched.where(F.col("digest").isNull() | F.col("__id").isNull()).withColumn("component", F.col("__id"))
     columns = ["__id", "__th", "n_shingles", "component", F.coalesce(F.col("__id") == F.col("component"), F.lit(True)).alias("kept")]
     return linked.select(*columns).unionByName(alone.select(*columns))
@@ -222,7 +213,7 @@ def _crossing(members: DataFrame, grouped: DataFrame, traits: DataFrame, percent
         .where(F.col("labels") > 1)
         .select("key", "n", "main", F.ceil(F.col("n") / TILE).cast("int").alias("across"), F.ceil((F.col("n") - F.col("most")) / TILE).cast("int").alias("down"))
     )
-    rows = attach(labelled, mixed, ["key"], "n").join(traits, "rep")
+    rows = attach(labelled, mixed, ["key"]).join(traits, "rep")
     left = rows.select(
         "key", F.col("rep").alias("a"), F.col("label").alias("la"), "main", F.col("n_shingles").alias("na"), F.col("odd").alias("oa"), F.col("keys").alias("ka"),
         F.pmod(F.xxhash64("rep"), F.col("across")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"),

@@ -117,13 +117,13 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     """``id``, ``payload`` and ``refers_to``: the largest id with the same payload, null for that one itself.
 
     Digests and ids are all that is shuffled. A payload that a third of all pages share is one
-    row per task after partial aggregation and is joined by broadcast. A null payload is
+    row per task after partial aggregation, and its partition of the join is split by adaptive execution. A null payload is
     empty; a page without an id is always a response.
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     hashed = cut(pages.select(F.col(id_col).cast("bigint").alias("id"), F.sha1(payload.cast("binary")).alias("sha")))
-    shared = hashed.groupBy("sha").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    again = attach(hashed, cut(shared), ["sha"], "n").where(F.col("id") != F.col("refers_to"))
+    shared = hashed.groupBy("sha").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    again = attach(hashed, cut(shared), ["sha"]).where(F.col("id") != F.col("refers_to"))
     revisits = cut(again.select("id", "sha", "refers_to").distinct())
     own = pages.select(F.col(id_col).cast("bigint").alias("id"), "url", payload.alias("payload")).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
     return own.join(bounded_broadcast(revisits), ["id", "sha"], "left").select("id", "url", "payload", "refers_to")
