@@ -187,6 +187,12 @@ def _shuffled_head(spark, d):
     return hash_head(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus"), "id", 42, 100)
 
 
+def _session_cost(spark, d):
+    cost = F.when(F.col("o_orderstatus") != "P", F.floor("o_totalprice") / F.lit(64.0))
+    runs = b.table(spark, d, "orders").select(F.col("o_custkey").alias("session"), cost.alias("extraction_cost"))
+    return m.session_cost(runs, ["session"])
+
+
 def _history_summary(spark, d):
     return m.history_summary(b.history(spark, d), ["session"])
 
@@ -349,6 +355,12 @@ SELECT round(avg(s), 9) AS mean, round(stddev_pop(s), 9) AS std, count(*) AS n_f
   CAST(any_value(input_price) AS DOUBLE) AS ip, CAST(any_value(output_price) AS DOUBLE) AS op FROM priced GROUP BY model)
 SELECT model, n_samples, i AS input_tokens, o AS output_tokens, i + o AS total_tokens, round(i * ip / 1e6, 6) AS input_cost_usd, round(o * op / 1e6, 6) AS output_cost_usd,
   round(i * ip / 1e6 + o * op / 1e6, 6) AS total_cost_usd FROM t""",
+    ),
+    Check(
+        "d13_session_cost",
+        _session_cost,
+        """SELECT o_custkey AS session, coalesce(sum(floor(o_totalprice) / CAST(64 AS DOUBLE)) FILTER (o_orderstatus <> 'P'), CAST(0 AS DOUBLE)) AS total_cost_usd,
+  count(*) FILTER (o_orderstatus <> 'P') AS n_costed FROM orders GROUP BY 1""",
     ),
     Check(
         "d13_cost_per_sample",

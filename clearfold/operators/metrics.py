@@ -225,6 +225,11 @@ def cost_per_sample(costs: DataFrame, target: int = 5000) -> DataFrame:
     )
 
 
+def session_cost(history: DataFrame, keys: list[str], cost: str = "extraction_cost") -> DataFrame:
+    """What the iterations of a session cost together; an iteration without a cost adds nothing."""
+    return history.groupBy(*keys).agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("total_cost_usd"), F.count(cost).alias("n_costed"))
+
+
 # -- history ---------------------------------------------------------------------------
 
 

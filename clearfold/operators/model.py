@@ -45,8 +45,7 @@ C_GRID = (0.01, 0.1, 1.0, 10.0)
 L1_RATIO = 0.5
 MAX_ITER = 5000
 SEED = 42
-TOL = 1e-6  # of fits whose coefficients are reported
-TOL_SELECT = 1e-4  # of fits that only rank C or score a fold
+TOL = 1e-6
 PARALLEL_FITS = 8
 ROWS_PER_PARTITION = 50_000  # collapsed rows one task of a fit works on
 
@@ -250,12 +249,8 @@ class NestedFit:
         if len(sizes) < 2:
             return [next(iter(sizes))] * len(grid)
         slots = self._slots(self.layout.train_slots(f, g), self.scalers[(f, g)])
-        data = _weighted(slots, sizes).select("label_idx", "weight", "features").persist()
-        try:
-            tol = TOL if (f, g) == (FULL, FULL) else TOL_SELECT
-            return [fit_logistic(data, c, float(sum(sizes.values())), tol=tol) for c in grid]
-        finally:
-            data.unpersist()
+        data = _weighted(slots, sizes).select("label_idx", "weight", "features")
+        return [fit_logistic(data, c, float(sum(sizes.values()))) for c in grid]
 
     def score(self, models: Sequence[LogisticRegressionModel | int], f: int, g: int) -> list[float]:
         return _accuracies(models, self._slots(self.layout.score_slots(f, g), self.scalers[(f, g)]))
@@ -374,13 +369,16 @@ def ablation(
 ) -> DataFrame:
     """Cross-validated accuracy of all features and without each of ``leave_out``, one by one.
 
-    Features whose coefficients are all zero are the usual candidates.
+    C is chosen from ``grid`` with all features and stays the same without one of them, so that
+    rows differ in features only. Features whose coefficients are all zero are the usual
+    candidates.
     """
     rows = []
     for gone in (None, *leave_out):
         kept = [c for c in raw_columns if c != gone]
         e = fit_and_evaluate(features, labels, kept, label, n_folds, grid)
         rows.append((gone, e.mean, e.std, e.fitted.c))
+        grid = (e.fitted.c,)
     ddl = "left_out string, cv_accuracy double, cv_std double, c double"
     return features.sparkSession.createDataFrame(rows, ddl)
 
@@ -433,11 +431,13 @@ def in_sample_predictions(
     Only rows with features, a label and a text take part; none at all is an error. Where
     they carry a single class there is nothing to fit, and that class is predicted.
     """
-    rows = align(features, labels.select("id", label), texts.select("id", "text"), check=True).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = align(features, labels.select("id", label), texts.select("id", "text"), check=True)
     names = rows.where(F.col(label).isNotNull()).select(label).distinct().limit(2).collect()
-    own = rows.select("id", *raw_columns)
     if len(names) < 2:
         only = single_class_predictions(rows.select("id", "text", label), label).withColumnRenamed(label, "true_label")
-        return attach_features(only, own)
+        return attach_features(only, rows.select("id", *raw_columns))
     fitted = fit_fixed_c(rows.select("id", *raw_columns, label), None, raw_columns, label, c)
-    return detailed_predictions(fitted, own, rows.select("id", label), rows.select("id", "text"), label)
+    shown = [f"feat_{r}" for r in raw_columns]
+    own = rows.select("*", *[F.col(r).alias(n) for r, n in zip(raw_columns, shown)]).where(F.col(label).isNotNull())
+    scored = predict(fitted, own, ("id", label, "text", *shown)).withColumnRenamed(label, "true_label")
+    return scored.withColumn("correct", F.col("true_label") == F.col("predicted_label"))

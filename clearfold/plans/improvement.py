@@ -20,7 +20,7 @@ from clearfold.operators.sampling import SEED, SEED_BROAD, make_splits, stratifi
 from clearfold.plans.feature_run import Extract
 from clearfold.session import cut
 from clearfold.sources.configs import write_configs
-from clearfold.sources.results import HISTORY_DDL, append_history
+from clearfold.sources.results import HISTORY_DDL, append_history, write_results
 
 # Defaults of the loop.
 MAX_SWAPS = 3
@@ -51,6 +51,9 @@ class Context:
 Proposer = Callable[[Context], Changes]
 
 
+TEST_RESULT_DDL = "test_accuracy double, n_test bigint, best_val_accuracy double, best_features array<string>"
+
+
 @dataclass
 class Outcome:
     history: DataFrame
@@ -144,6 +147,7 @@ def improve(
         except Exception:
             patterns = []
 
+    classes = cut(class_counts(splits, label).where(F.col(label).isNotNull()).select(F.col(label).alias("class")))
     tried = [d["name"] for d in defs]
     best: tuple[float, list[dict] | None, md.Fitted | None] = (0.0, None, None)
     records_log: list[tuple] = []
@@ -153,13 +157,15 @@ def improve(
             fold = (i - 1) % n_train_folds if split else 0
             train_rows = rows_of("train", fold)
             held_rows = rows_of("validation") if split else train_rows
-            wanted = train_rows.unionByName(held_rows) if split else train_rows
+            in_use = (F.col("role") == "train") & (F.col("fold") == fold)
+            in_use = in_use | (F.col("role") == "validation") if split else in_use
+            labels = splits.where(in_use).select("id", label).distinct()
+            wanted = texts.join(labels.select("id"), "id", "left_semi")
             found, usage = extract(wanted, defs)
             found = cut(found)
             names = [d["name"] for d in defs]
             train = found.join(train_rows.select("id"), "id", "left_semi")
             held = found.join(held_rows.select("id"), "id", "left_semi")
-            labels = splits.select("id", label).distinct()
             evaluation = md.fit_and_evaluate(train, labels, names, label, grid=grid)
             fitted = evaluation.fitted
             scored = fitted if split else md.fit_fixed_c(train, labels, names, label)
@@ -167,7 +173,6 @@ def improve(
             preds = cut(md.detailed_predictions(scored, held, labels, held_texts, label))
             summary = m.accuracy_summary(preds).first()
             score = summary["accuracy"] if split else evaluation.mean
-            classes = class_counts(labels, label).select(F.col(label).alias("class"))
             per_class = [r.asDict() for r in m.per_class_metrics(preds, classes).orderBy("class").collect()]
             effective = len(encoded_columns(names, fitted.vocabulary))
             budget = spark.range(1).select(fd.column_budget(F.lit(evaluation.n_rows)).alias("b")).first()["b"]
@@ -222,8 +227,10 @@ def improve(
         labels = splits.where(F.col("role") == "test").select("id", F.col(label).alias("true_label"))
         preds = cut(md.predict(best[2], found).join(labels, "id"))
         test_accuracy = m.accuracy_summary(preds).first()["accuracy"]
-        classes = class_counts(splits, label).select(F.col(label).alias("class"))
         test_metrics = m.per_class_metrics(preds, classes)
+        if out_path:
+            row = (float(test_accuracy), preds.count(), float(best[0]), [d["name"] for d in best[1]])
+            write_results(spark.createDataFrame([row], TEST_RESULT_DDL), f"{out_path}/test_results", session_id)
     if out_path and best[1]:
         write_configs(fd.defs_table(spark, {"name": "best", "features": best[1]}), f"{out_path}/configs/{session_id}/best")
     return Outcome(history, best[1], best[0], test_accuracy, test_metrics, error)
