@@ -13,9 +13,11 @@ the start of the file. The trailer has the bits, the block length and the counts
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,8 +32,12 @@ MAGIC = b"CFTOKEN1"
 BLOCK = 65_536
 TRAILER = struct.Struct("<IIQQQQ")  # bits, ids per block, documents, ids, start of the index, version
 TEXT_STEP = 1_000_000  # characters that are tokenized at once
-MEMO = 300_000  # words whose ids either half of a worker's memory holds
+MEMO = 400_000  # words whose ids either half of a worker's memory holds
 MARK = "\x01"
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")  # lower-cased the same way everywhere, and in normal form
+PROBES = ["the", "Anan", "\u00e9lan", "stra\u00dfe", "\u00d1and\u00fa", "\u00e0" * 9, "x" * 40]  # a tokenizer that differs on these goes its own way
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}  # byte-level models write other bytes so
 NO_ID = -(1 << 63)  # stands for a null document id
 SHARD_BYTES = 32 << 20  # text of one shard, about
 
@@ -152,7 +158,7 @@ class WordEncoder:
     part is encoded once and remembered. New parts are encoded together, between control
     characters that have an id of their own; parts that hold that character go one by one.
     The memory has two halves of at most about ``MEMO`` parts: when the young one is full it
-    becomes the old one, and what is used again moves back.
+    becomes the old one, and what is used again moves back. The tokenizer must lower-case.
     """
 
     def __init__(self, path: str):
@@ -160,13 +166,27 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.marks = {m: np.array(i, "<u4").tobytes() for m, i in zip(".,", self._ids([".", ","]))}
         mark = self._ids([MARK])[0]
         self.mark = mark[0] if len(mark) == 1 else None
+        self.model = self.tokenizer.model
+        self.direct = all(self._word(p) == np.array(i, "<u4").tobytes() for p, i in zip(PROBES, self._ids(PROBES)))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of plain letters, which is one piece for the model, without the tokenizer's other steps."""
+        letters = word.lower()
+        letters = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def _encode(self, parts: list[str]) -> None:
+        if self.direct:
+            words = [p for p in parts if LETTERS.fullmatch(p)]
+            for p in words:
+                self.young[p] = self._word(p)
+            parts = [p for p in parts if p not in self.young] if len(words) < len(parts) else []
         together = [] if self.mark is None else [p for p in parts if MARK not in p]
         alone = parts if self.mark is None else [p for p in parts if MARK in p]
         for start in range(0, len(together), 4096):
@@ -185,12 +205,29 @@ class WordEncoder:
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
         new = set().union(*parts).difference(self.young)
-        for part in new.intersection(self.old):
+        stems = {part: _stem(part) for part in new.difference(self.old)}
+        for part in {s for s, _ in stems.values()}.union(new).intersection(self.old):
             self.young[part] = self.old[part]
-        self._encode(list(new.difference(self.old)))
+        self._encode(list({s for s, _ in stems.values()}.difference(self.young)))
+        for part, (stem, end) in stems.items():
+            self.young[part] = self.young[stem] + (self.marks[end] if end else b"")
         return [np.frombuffer(b"".join(map(self.young.__getitem__, p)), "<u4") for p in parts]
 
 
+def _stem(part: str) -> tuple[str, str]:
+    """A part with the same ids, and a full stop or comma that follows it on its own.
+
+    The tokenizer lower-cases, so A-Z may be a-z, except in what could be a special token; a
+    mark after an ASCII letter or digit is a word of its own.
+    """
+    if "<|" in part:
+        return part, ""
+    end = ""
+    if part[-1:] in (".", ",") and part[-2:-1].isascii() and part[-2:-1].isalnum():
+        part, end = part[:-1], part[-1]
+    return (part.lower() if part.isascii() else part), end
+
+
 def _steps(texts: list[str]) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:

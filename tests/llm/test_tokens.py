@@ -46,11 +46,15 @@ def test_shard_random_access(lengths, bits):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["a", "\x01", " ", "<|startoftext|>", "The.", "e\u0301", "'s", "\t"])).map("".join)))
+@given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["a", "\x01", " ", "<|startoftext|>", "The.", "X,", "..", ".", "<|ENDOFTEXT|>", "\u00c9t\u00e9", "stra\u00dfe", "\u00aa", "na\u00efve.", "\u0130", "9.", "\u00e9.", "e\u0301", "'s", "\t"])).map("".join)))
 def test_word_encoder_equals_whole_text(text):
     assert list(ENCODER([text])[0]) == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_words_go_to_the_model_directly():
+    assert ENCODER.direct
+
+
 TOKENIZER, ENCODER = Tokenizer.from_file(PATH), t.WordEncoder(PATH)
 
 
