@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +47,11 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Arrow batches to Python workers hold few rows, since a row may be a long text; the setting stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join of ``rows`` with one row per key, where a few keys may hold most of the rows.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clearfold.llm.common import attach, bounded_broadcast, row_key
+from clearfold.llm.common import attach, bounded_broadcast, row_key, small_batches
 from clearfold.llm.graph import components
 from clearfold.session import cut
 
@@ -30,7 +30,7 @@ BANDS, ROWS = 24, 5  # a pair at 0.85 shares no band with probability (1 - 0.85*
 SAMPLES = 512  # MinHash samples folded into the sketch; the bands use the first 120
 SKETCH_BITS = 2048
 TILE = 1024  # members of a band that one tile holds on either side
-MEMO = 400_000  # words whose hash a worker remembers
+MEMO = 200_000  # words whose hash a worker remembers
 _U = np.uint64
 _FOLD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 _MULTIPLIERS = np.random.default_rng(20240229).integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -160,6 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id count as one document. A null id cannot be a component: such rows are never linked and
     are kept. Extra columns are not read.
     """
+    small_batches(docs.sparkSession)
     key = row_key(id_col, text_col)
     source = docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     kinds = f"`__id` {dict(source.dtypes)['__id']}, `__th` bigint, n_shingles bigint, digest binary, `keys` array<bigint>, odd array<bigint>"

@@ -26,13 +26,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clearfold.llm.common import small_batches
 from clearfold.session import cut, shared_dir
 
 MAGIC = b"CFTOKEN1"
 BLOCK = 65_536
 TRAILER = struct.Struct("<IIQQQQ")  # bits, ids per block, documents, ids, start of the index, version
 TEXT_STEP = 1_000_000  # characters that are tokenized at once
-MEMO = 400_000  # words whose ids either half of a worker's memory holds
+MEMO = 150_000  # words whose ids either half of a worker's memory holds
 MARK = "\x01"
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")  # lower-cased the same way everywhere, and in normal form
 PROBES = ["the", "Anan", "\u00e9lan", "stra\u00dfe", "\u00d1and\u00fa", "\u00e0" * 9, "x" * 40]  # a tokenizer that differs on these goes its own way
@@ -275,6 +276,7 @@ def write_shards(
     pyarrow can write (default: a new one in the shared folder); extra columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     fs, path = pafs.FileSystem.from_uri(folder)

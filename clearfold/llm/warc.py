@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearfold.llm.common import attach, bounded_broadcast
+from clearfold.llm.common import attach, bounded_broadcast, small_batches
 from clearfold.session import cut, shared_dir
 
 VERSION = b"WARC/1.1"
@@ -141,6 +141,7 @@ def write_archives(
     failed leave nothing that is read. An empty table gives no archives. ``folder`` is a URI
     that pyarrow can write (default: a new one in the shared folder).
     """
+    small_batches(pages.sparkSession)
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     fs, path = pafs.FileSystem.from_uri(folder)
