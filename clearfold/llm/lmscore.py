@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearfold.llm import gru
-from clearfold.llm.common import lower_words, row_key
+from clearfold.llm.common import lower_words, row_key, small_batches
 from clearfold.session import cut
 
 NAMED = 1024  # words with a code of their own
@@ -204,6 +204,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as often as they occur and get equal scores. Without training documents every token is
     unknown. Extra columns are not read.
     """
+    small_batches(docs.sparkSession)
     counts = word_counts(docs, id_col, text_col)
     vocabulary = Vocabulary(counts)
     encoded = encode(docs, vocabulary, id_col, text_col)
