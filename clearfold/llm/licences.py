@@ -1,8 +1,10 @@
 """Licence scans by sentences: known sentences become identifiers, and rules match their sequences.
 
-A text is cut into sentences, each is normalised and looked up in a table of known licence
-sentences. The identifiers of a text in order form a sequence, and the first of an ordered
-list of rules whose identifiers occur in it, one after the other, names the licence.
+A text is normalised with marks where a sentence ends or may end, and known licence sentences
+are looked up from mark to mark. A sentence may run over marks of the second kind: single line
+feeds with or without comment prefixes, colons, semicolons, abbreviations. The identifiers of a
+text in order form a sequence, and the first of an ordered list of rules whose identifiers occur
+in it, one after the other, names the licence.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearfold.llm.common import ascii_lower, let
+from clearfold.llm.common import ascii_lower
 
 # An identifier and the pattern of the normalised sentences that bear it. Normalised
 # means a-z, 0-9 and single blanks; "{}" stands for a version or a name of at most 40 characters.
@@ -66,7 +68,10 @@ RULES = (
     ("proprietary", ("reserved",)),
 )
 NAME = "[a-z0-9 ]{1,40}"
-END = r"\n|[.!?;:](\s|$)"  # sentences end at a line feed or at a mark followed by white space
+# Marks are upper-case letters, which a lowered text does not have: H ends a sentence, S may lie within one.
+BLANK_LINE = r"\n[^a-z0-9\n]*\n"  # comment prefixes may stand on it
+SHORTENED = r"(?<![a-z0-9])(v|inc|ltd|corp|co)\.\s"
+MARKS = ((BLANK_LINE, "H"), (SHORTENED, "$1S"), (r"[.!?](\s|$)", "H"), (r"\n|[;:](\s|$)", "S"), ("[^a-z0-9HS]+", " "))
 HINT = "licen|licensed|rights|copyright|spdx|redistribut|permission is|the software|mozilla|free software|neither the name"
 
 
@@ -74,9 +79,23 @@ def _pattern(form: str) -> str:
     return "^(" + form.replace("{}", NAME).replace("( |, )", " ") + ")$"
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, and every run of other characters than letters and digits as one blank."""
-    return F.trim(F.regexp_replace(ascii_lower(sentence), "[^a-z0-9]+", " "))
+def _running(form: str) -> str:
+    """``form`` over marked text: blanks, versions and names may hold the mark S, text of any length at the end may not.
+
+    A form that is little more than any text, as that of copyright lines, stays on its line.
+    """
+    if form.endswith(".{1,80}"):
+        return form.replace(".{1,80}", "[a-z0-9 ]{1,80}")
+    form = form.replace("( |, )", " ").replace("[0-9] [0-9]", "[0-9]{}[0-9]").replace(" ", "[ S]+").replace("[0-9]{}[0-9]", "[0-9][ S]+[0-9]")
+    return form.replace("{}", "[a-z0-9 S]{1,40}?").replace(".{1,80}", "[a-z0-9 S]{1,80}?").replace(".*", "[a-z0-9 ]*")
+
+
+def marked(text: Column) -> Column:
+    """Lower case, with marks, and every run of other characters than letters and digits as one blank."""
+    out = ascii_lower(text)
+    for pattern, mark in MARKS:
+        out = F.regexp_replace(out, pattern, mark)
+    return out
 
 
 def _identifier(sentence: Column, sentences: Sequence[tuple[str, str]]) -> Column:
@@ -87,10 +106,14 @@ def _identifier(sentence: Column, sentences: Sequence[tuple[str, str]]) -> Colum
 
 
 def identifiers(text: Column, sentences: Sequence[tuple[str, str]] = SENTENCES) -> Column:
-    """Identifiers of the known sentences of a text, in order. Only sentences with a word of licences are normalised."""
-    parts = F.split(F.coalesce(text, F.lit("")), END, -1)
-    hinted = F.filter(parts, lambda s: ascii_lower(s).rlike(HINT))
-    return F.filter(F.transform(hinted, lambda s: let(normalised(s), lambda x: _identifier(x, sentences))), lambda x: x.isNotNull())
+    """Identifiers of the known sentences of a text, in order. Only texts with a word of licences are searched.
+
+    Each mark is a start of its own, so a sentence within the lines of another one counts too.
+    """
+    forms = "|".join(f"(?:{_running(form)})" for _, form in sentences).replace("(?:", "(").replace("(", "(?:")
+    hinted = F.when(ascii_lower(text).rlike(HINT), text).otherwise(F.lit(""))
+    found = F.regexp_extract_all(marked(hinted), F.lit(f"(?:^|[HS]) ?(?=({forms}) ?(?:[HS]|$))"), F.lit(1))
+    return F.transform(found, lambda s: _identifier(F.trim(F.regexp_replace(s, "[ S]+", " ")), sentences))
 
 
 def first_rule(ids: Column, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> Column:

@@ -35,3 +35,64 @@ def test_equals_brute_force(spark, documents):
 def test_empty_table_and_repeated_rows(spark, documents):
     assert lic.scan(documents([]).limit(0)).count() == 0
     assert lic.report(documents([(None, "All rights reserved.", None)] * 2)).count() == 2
+
+
+# Usual headers, wrapped as in source files.
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, and to permit persons
+to whom the Software is furnished to do so, subject to the following
+conditions:
+
+The above copyright notice and this permission notice shall be included
+in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS
+OR IMPLIED."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+3. Neither the name of Some Firm Inc. nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+HEADERS = [
+    ("SPDX-License-Identifier: MIT", ["spdx"], "declared"),
+    (GPL.format(":", ",", 3), ["gpl-free"], "GPL"), (GPL.format(";", ";", 2), ["gpl-free"], "GPL"), (MPL, ["mpl2"], "MPL-2.0"),
+    (MIT, ["mit-grant", "mit-notice", "as-is"], "MIT"), (BSD, ["bsd-grant", "bsd-source", "bsd-names"], "BSD-3-Clause"),
+    (APACHE, ["apache2", "apache2-use", "apache2-copy"], "Apache-2.0"), ("Licensed under the\nMIT License.", ["mit"], "MIT"),
+    ("Licensed under Creative Commons Attribution\nShareAlike 4.0", ["cc-by-sa"], "CC-BY-SA"),
+    ("Copyright 2020 Some Firm Inc. All rights reserved.", ["copyright", "reserved"], "proprietary"),
+]
+NOT_ONE_SENTENCE = ["Licensed under the\n\nMIT License.", "Licensed under the. MIT License.", "# Licensed under the\n#\n# MIT License."]
+
+
+def test_wrapped_and_commented_headers(spark, documents):
+    styles = [lambda t, p=p, e=e: e.join(p + line for line in t.split("\n")) for p in ("", "# ", " * ", "// ", "; ", "> ", "-- ") for e in ("\n", "\r\n")]
+    docs = [(style(text), ids, licence) for text, ids, licence in HEADERS for style in styles]
+    docs += [("Some code.\n\n" + text + "\n\nMore code.", ids, licence) for text, ids, licence in HEADERS] + [(t, [], None) for t in NOT_ONE_SENTENCE]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licence"]) for r in lic.scan(documents([(i, t, "s") for i, (t, _, _) in enumerate(docs)])).collect()}
+    assert [got[i] for i in range(len(docs))] == [(ids, licence) for _, ids, licence in docs]
+
+
+def test_many_marks_in_a_row(spark, documents):
+    texts = [x * 50_000 + "\nAll rights reserved." for x in (": ", "\n", " \n", "v. ", "permission is hereby granted\n")]
+    got = lic.scan(documents([(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert all(r["sentence_ids"] == ["reserved"] for r in got)
