@@ -9,6 +9,7 @@ in it, one after the other, names the licence.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -72,7 +73,6 @@ NAME = "[a-z0-9 ]{1,40}"
 BLANK_LINE = r"\n[^a-z0-9\n]*\n"  # comment prefixes may stand on it
 SHORTENED = r"(?<![a-z0-9])(v|inc|ltd|corp|co)\.\s"
 MARKS = ((BLANK_LINE, "H"), (SHORTENED, "$1S"), (r"[.!?](\s|$)", "H"), (r"\n|[;:](\s|$)", "S"), ("[^a-z0-9HS]+", " "))
-HINT = "licen|licensed|rights|copyright|spdx|redistribut|permission is|the software|mozilla|free software|neither the name"
 
 
 def _pattern(form: str) -> str:
@@ -90,6 +90,36 @@ def _running(form: str) -> str:
     return form.replace("{}", "[a-z0-9 S]{1,40}?").replace(".{1,80}", "[a-z0-9 S]{1,80}?").replace(".*", "[a-z0-9 ]*")
 
 
+def _hint(form: str) -> set[str]:
+    """Words of which every text of ``form`` holds one, as long as possible; empty if it has none.
+
+    Only what stands outside of groups counts, and groups of alternatives that are not optional.
+    """
+    groups, depth, start, plain = [], 0, 0, ""
+    for i, c in enumerate(form):
+        if c == "(":
+            start = start if depth else i
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                plain += "|"
+                if form[i + 1 : i + 2] not in ("?", "*", "{"):
+                    groups.append(form[start + 1 : i].split("|"))
+        elif not depth:
+            if c == "|":
+                return {""}
+            plain += c
+    longest = lambda t: max(re.findall("[a-z]+(?![?*{])", re.sub(r"\[.*?\]|\{.*?\}", "|", t)), key=len, default="")
+    found = [{longest(plain)}] + [{longest(t) for t in group} for group in groups if not any("(" in t for t in group)]
+    return max(found, key=lambda words: min(map(len, words)))
+
+
+def hint(sentences: Sequence[tuple[str, str]] = SENTENCES) -> str:
+    """Pattern of words of which a text with any of ``sentences`` holds one. Words have letters only, so normalisation keeps them."""
+    return "|".join(sorted(set().union(*(_hint(form) for _, form in sentences))))
+
+
 def marked(text: Column) -> Column:
     """Lower case, with marks, and every run of other characters than letters and digits as one blank."""
     out = ascii_lower(text)
@@ -111,7 +141,7 @@ def identifiers(text: Column, sentences: Sequence[tuple[str, str]] = SENTENCES)
     Each mark is a start of its own, so a sentence within the lines of another one counts too.
     """
     forms = "|".join(f"(?:{_running(form)})" for _, form in sentences).replace("(?:", "(").replace("(", "(?:")
-    hinted = F.when(ascii_lower(text).rlike(HINT), text).otherwise(F.lit(""))
+    hinted = F.when(ascii_lower(text).rlike(hint(sentences)), text).otherwise(F.lit(""))
     found = F.regexp_extract_all(marked(hinted), F.lit(f"(?:^|[HS]) ?(?=({forms}) ?(?:[HS]|$))"), F.lit(1))
     return F.transform(found, lambda s: _identifier(F.trim(F.regexp_replace(s, "[ S]+", " ")), sentences))
 

@@ -1,5 +1,7 @@
 import re
 
+import duckdb
+
 from clearfold.llm import licences as lic
 
 
@@ -96,3 +98,38 @@ def test_many_marks_in_a_row(spark, documents):
     texts = [x * 50_000 + "\nAll rights reserved." for x in (": ", "\n", " \n", "v. ", "permission is hereby granted\n")]
     got = lic.scan(documents([(i, t, "s") for i, t in enumerate(texts)])).collect()
     assert all(r["sentence_ids"] == ["reserved"] for r in got)
+
+
+def samples(form):
+    """Shortest texts of a form, with each alternative of its first group, and the longest one of the first alternatives."""
+    form = form.replace("{}", "4 0").replace(".{1,80}", "Some Name").replace(".*", "").replace("[0-9]", "4").replace("( |, )", ", ")
+    short = re.sub(r"\([^()]*(\([^()]*\)[^()]*)*\)\?", "", form)
+    whole = re.sub(r"\(([^()|]*)(\|[^()]*)?\)\??", r"\1", re.sub(r"\(([^()|]*)(\|[^()]*)?\)\??", r"\1", form))
+    group = re.search(r"\(([^()]*)\)", short)
+    words = group[1].split("|") if group else [""]
+    texts = [short[: group.start()] + w + short[group.end() :] for w in words] if group else [short]
+    return [re.sub(r"\(([^()|]*)(\|[^()]*)?\)\??", r"\1", t).strip() for t in texts + [whole]]
+
+
+def test_every_sentence_equals_the_sql(spark, documents):
+    """The search of candidates leaves none out, whatever the blanks and the case."""
+    texts, names = [], []
+    for name, form in lic.SENTENCES:
+        for t in samples(form):
+            variants = [t, t.upper() + ".", t.replace(" ", "  "), f"Before. {t.title()}! After"]
+            texts += variants
+            names += [name] * len(variants)
+    texts += ["Released under CC0 1.0.", "This work is released under CC BY-SA 4.0."]
+    names += ["cc0", "cc-by-sa"]
+    got = {r["doc_id"]: r["sentences"] for r in lic.report(documents([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 's')", list(enumerate(texts)))
+    assert got == {r[0]: r[2] for r in con.execute(lic.SQL).fetchall()}
+    assert [got[i] for i in range(len(texts))] == names
+
+
+def test_sentences_of_the_caller(spark, documents):
+    docs = documents([(0, "Free for\nall.", "s"), (1, "Yours or mine", "s"), (2, "All rights reserved.", "s")])
+    got = lic.scan(docs, sentences=(("free", "free for (all|some)"), ("own", "yours or mine|ours")), rules=(("X", ("free",)),)).collect()
+    assert {r["doc_id"]: (r["sentence_ids"], r["licence"]) for r in got} == {0: (["free"], "X"), 1: (["own"], None), 2: ([], None)}
