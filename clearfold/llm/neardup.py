@@ -26,8 +26,9 @@ from clearfold.llm.graph import components
 from clearfold.session import cut
 
 SHINGLE = 5
-BANDS, ROWS = 24, 5  # a pair at 0.85 shares no band with probability (1 - 0.85**5)**24 = 8e-7
-SAMPLES = 512  # MinHash samples folded into the sketch; the bands use the first 120
+MOST_ROWS = 5
+MISS = 1e-6  # chance that a pair at the threshold shares no band, at most
+SAMPLES = 512  # MinHash samples folded into the sketch; the bands use the first of them
 SKETCH_BITS = 2048
 TILE = 1024  # members of a band that one tile holds on either side
 MEMO = 200_000  # words whose hash a worker remembers
@@ -36,6 +37,22 @@ _FOLD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 _MULTIPLIERS = np.random.default_rng(20240229).integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 
 
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and rows of a band by which a pair at ``percent`` shares no band with a probability of at most ``MISS``.
+
+    That is (1 - s**rows)**bands: 24 bands of 5 at 85, 35 of 5 at 80. Lower thresholds take
+    fewer rows as soon as the samples do not suffice.
+    """
+    s = percent / 100
+    if not 0 < s <= 1:
+        raise ValueError(f"percent must be from 3 to 100, not {percent}")
+    for rows in range(MOST_ROWS, 0, -1):
+        bands = 1 if s == 1 else math.ceil(math.log(MISS) / math.log1p(-(s**rows)))
+        if bands * rows <= SAMPLES:
+            return bands, rows
+    raise ValueError(f"{SAMPLES} samples are too few to find pairs at {percent} percent")
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)
@@ -63,22 +80,23 @@ def shingle_set(text: str | None, memo: dict) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def sketch(shingles: np.ndarray, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and odd sketch (both as int64) of a set that is not empty."""
+def sketch(shingles: np.ndarray, buffer: np.ndarray, percent: int = 85) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys for pairs at ``percent`` and odd sketch (both as int64) of a set that is not empty."""
+    bands, width = bands_for(percent)
     x = (shingles >> _U(32)).astype(np.uint32)
     least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
     for start in range(0, len(x), len(buffer)):
         part = x[start : start + len(buffer), None]
         np.minimum(least, np.multiply(part, _MULTIPLIERS, out=buffer[: len(part)]).min(axis=0), out=least)
     wide = least.astype(_U)
-    rows = wide[: BANDS * ROWS].reshape(BANDS, ROWS)
-    keys = _mixed((_mixed(rows + _FOLD[:ROWS]) * _FOLD[:ROWS]).sum(axis=1, dtype=_U) + np.arange(BANDS, dtype=_U) * _U(0x9FB21C651E98DF25))
+    rows = wide[: bands * width].reshape(bands, width)
+    keys = _mixed((_mixed(rows + _FOLD[:width]) * _FOLD[:width]).sum(axis=1, dtype=_U) + np.arange(bands, dtype=_U) * _U(0x9FB21C651E98DF25))
     places = (_mixed(wide + np.arange(SAMPLES, dtype=_U) * _U(0x9FB21C651E98DF25)) >> _U(65 - SKETCH_BITS.bit_length())).astype(np.int64)
     odd = np.packbits((np.bincount(places, minlength=SKETCH_BITS) & 1).astype(np.uint8))
     return keys.view(np.int64), odd.view(np.int64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     memo, buffer = _WordHashes(), np.empty((512, SAMPLES), np.uint32)
     for batch in batches:
         if len(memo) > MEMO:
@@ -88,7 +106,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = shingle_set(text.as_py(), memo)
             sizes.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            k, o = sketch(s, buffer) if len(s) else (None, None)
+            k, o = sketch(s, buffer, percent) if len(s) else (None, None)
             keys.append(k)
             odds.append(o)
         arrays = [batch.column("__id"), batch.column("__th"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
@@ -154,7 +172,9 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str,
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per input row: ``__id``, ``__th``, ``n_shingles``, ``component``, ``kept``.
 
-    Two documents are linked if 100 * |A and B| >= percent * |A or B| over their shingle sets;
+    Two documents are linked if 100 * |A and B| >= percent * |A or B| over their shingle sets,
+    but for pairs that share no band or whose sketches look too far apart, about one in a
+    million each at the threshold (``bands_for``, ``most_different_bits``);
     ``component`` is the least id reachable and ``kept`` marks the row that has it. Null and
     empty texts, and texts without words, have an empty set and no links. Rows that share an
     id count as one document. A null id cannot be a component: such rows are never linked and
@@ -164,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = row_key(id_col, text_col)
     source = docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     kinds = f"`__id` {dict(source.dtypes)['__id']}, `__th` bigint, n_shingles bigint, digest binary, `keys` array<bigint>, odd array<bigint>"
-    sketched = cut(source.mapInArrow(_sketches, kinds))
+    sketched = cut(source.mapInArrow(lambda batches: _sketches(batches, percent), kinds))
     usable = sketched.where(F.col("digest").isNotNull() & F.col("__id").isNotNull())
     sets = cut(usable.groupBy("digest").agg(F.min("__id").alias("rep")))
     reps = cut(
@@ -233,7 +253,7 @@ def _crossing(members: DataFrame, grouped: DataFrame, traits: DataFrame, percent
 
 def report(docs: DataFrame) -> DataFrame:
     """``near_duplicates`` of ``documents`` at 0.85, under the names of that table."""
-    return near_duplicates(docs).select(F.col("__id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+    return near_duplicates(docs, percent=85).select(F.col("__id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:

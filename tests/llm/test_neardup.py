@@ -112,3 +112,35 @@ def test_components(spark):
     linked = {x for a, b in links if a is not None and a != b for x in (a, b)}
     assert got == {i: root(i) for i in linked}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def between(low, high, n):
+    """Pairs of texts whose similarity in percent is at least ``low`` and less than ``high``."""
+    r, out = random.Random(11), []
+    while len(out) < n:
+        w = [f"w{r.random()}" for _ in range(r.randint(60, 300))]
+        v = list(w)
+        for _ in range(r.randint(1, 12)):
+            v[r.randrange(len(v))] = f"e{r.random()}"
+        x, y = shingles(" ".join(w)), shingles(" ".join(v))
+        if low * len(x | y) <= 100 * len(x & y) < high * len(x | y):
+            out.append((" ".join(w), " ".join(v)))
+    return out
+
+
+def test_bands_follow_the_threshold():
+    assert n.bands_for(85) == (24, 5)
+    for percent in range(3, 101):
+        bands, rows = n.bands_for(percent)
+        assert bands * rows <= n.SAMPLES and (1 - (percent / 100) ** rows) ** bands <= n.MISS
+    for percent in (0, 2, 101):
+        with pytest.raises(ValueError):
+            n.bands_for(percent)
+
+
+@pytest.mark.parametrize("percent", [80, 50])
+def test_pairs_just_over_a_threshold(spark, documents, percent):
+    pairs = between(percent, percent + 5, 40)
+    docs = documents([(2 * i + k, t, "s") for i, pair in enumerate(pairs) for k, t in enumerate(pair)])
+    assert sorted(r["doc_id"] for r in n.deduplicate(docs, percent=percent).select("doc_id").collect()) == list(range(0, 80, 2))
+    assert n.deduplicate(docs, percent=percent + 5).count() == 80
