@@ -169,7 +169,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str,
     return cut(both.mapInArrow(check, pairs.select("a", "b").schema))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row per input row: ``__id``, ``__th``, ``n_shingles``, ``component``, ``kept``.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| over their shingle sets,
@@ -256,7 +256,7 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, percent=85).select(F.col("__id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates; repeated rows of an id are dropped too.
 
     Which of several rows of one id stays is the one with the least text hash. Rows without

@@ -42,3 +42,10 @@ def test_stages_over_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_near_dedup_links_from_eighty_percent(spark, documents, sf_dir):
+    from test_neardup import between
+
+    docs = documents([(2 * i + k, t, "s") for i, pair in enumerate(between(80, 85, 30)) for k, t in enumerate(pair)])
+    assert sorted(r["doc_id"] for r in dict(p.STAGES)["near_dedup"](spark, docs, sf_dir).select("doc_id").collect()) == list(range(0, 60, 2))
