@@ -1,8 +1,8 @@
 """Scoring documents with a recurrent language model that is trained on the corpus itself.
 
-Words of all training documents are counted by Spark. The most frequent ones, up to fixed
-numbers, go to the workers: the named words of the model and a dictionary of counts; rarer
-words are looked up by a join. Documents become codes once; the model is trained in rounds,
+Words of all training documents are counted by Spark. The most frequent ones go to the workers:
+the named words of the model, as many as cover half of the tokens, and a dictionary of counts up
+to a fixed number; rarer words are looked up by a join. Documents become codes once; the model is trained in rounds,
 in each of which every partition trains a replica from the common weights and the replicas
 are averaged in a tree; then every document is scored whole.
 """
@@ -24,10 +24,11 @@ from clearfold.llm import gru
 from clearfold.llm.common import lower_words, row_key, small_batches
 from clearfold.session import cut
 
-NAMED = 1024  # words with a code of their own
+NAMED = 2048  # words with a code of their own, at least
+MASS = 0.5  # share of the training tokens that named words cover at least
 DICTIONARY = 300_000  # words whose counts the workers hold
 ENDINGS = 1024  # codes of all other words, by their last two bytes
-ENDING_CLASSES = 32
+ENDING_CLASSES = 64
 ROUNDS = 3
 RATE = 0.01
 BUFFER = 3_000_000  # codes that a task holds at once
@@ -76,7 +77,8 @@ class Vocabulary:
         top = _most_frequent(counts, DICTIONARY)
         self.words = [w.encode() for w, _ in top]
         self.counts = np.array([c for _, c in top], float)
-        self.n_named = min(NAMED, len(top))
+        covering = int(np.searchsorted(np.cumsum(self.counts), MASS * self.tokens)) + 1
+        self.n_named = min(max(NAMED, covering), len(top), 2**16 - ENDINGS)  # codes have 16 bits
         classes = -(-self.n_named // gru.PER_CLASS)
         ending = F.crc32(F.substring(F.encode("word", "utf-8"), -2, 2)) % ENDINGS % ENDING_CLASSES
         mass, types = np.zeros(ENDING_CLASSES), np.zeros(ENDING_CLASSES)

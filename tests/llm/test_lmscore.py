@@ -96,3 +96,13 @@ def test_beats_the_unigram_base_on_held_out_documents(spark, sf_dir):
 
 def test_empty_table(spark, documents):
     assert lmscore.score_documents(documents([]).limit(0)).count() == 0
+
+
+def test_named_words_follow_the_counts(spark):
+    """As many words have codes of their own as cover half of the tokens; the rest is in 64 ending classes."""
+    counts = spark.createDataFrame([("\n", 10), *[(f"w{i}", 3) for i in range(9000)]], "word string, c bigint")
+    v = lmscore.Vocabulary(counts)
+    assert v.counts[: v.n_named].sum() >= v.tokens / 2 > v.counts[: v.n_named - 1].sum()
+    assert len(v.ending_total) == 64 and v.codes.n_named_classes == -(-v.n_named // gru.PER_CLASS)
+    few = lmscore.Vocabulary(counts.where("word = '\\n' OR word < 'w4'"))
+    assert few.n_named == 2048
