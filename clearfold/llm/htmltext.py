@@ -25,9 +25,12 @@ from clearfold.llm.common import small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var "
+    "math semantics mrow mi mn mo ms mtext mspace msub msup msubsup munder mover munderover mmultiscripts mprescripts none mfrac msqrt mroot mstyle merror "
+    "mpadded mphantom menclose mfenced mtable mtr mtd maction annotation annotation-xml "
+    "svg g path rect circle ellipse line polyline polygon text tspan textpath defs use image lineargradient radialgradient stop symbol marker desc".split()
 )
-SILENT = frozenset("head title script style noscript template svg math iframe object audio video canvas select".split())
+SILENT = frozenset("head title script style noscript template desc annotation annotation-xml iframe object audio video canvas select".split())
 CLOSED_BY = {  # an opening tag that ends an open one of the same kind
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"},
@@ -85,6 +88,8 @@ class _Blocks(HTMLParser):
                 self.parts.append(" ")
                 return
             self._flush()
+        if tag in ("text", "mtr", "mtd"):
+            self.parts.append(" ")
         if tag == "body":
             self._close({"head"})
         if tag in ENDS_P:

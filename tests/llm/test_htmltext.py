@@ -42,3 +42,10 @@ def test_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert {r["text"] for r in got if r["page_id"] in (2, None)} == {""}
     assert h.extract(df.limit(0)).count() == 0
+
+
+def test_formulas_and_drawings_are_text():
+    formula = '<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="application/x-tex">x=2</annotation></semantics></math>'
+    drawing = "<svg><desc>hidden</desc><style>g{}</style><g><path d='M0 0'/><text>one</text><text>two</text></g></svg>"
+    assert [b.text for b in h.blocks(f"<article><p>Since {formula} holds.</p></article>")] == ["Since x=2 holds."]
+    assert " ".join(b.text for b in h.blocks(f"<p>See {drawing} here.</p>")) == "See one two here."
