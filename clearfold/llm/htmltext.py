@@ -2,8 +2,9 @@
 
 A page becomes the sequence of its text blocks. Each block has features of its ancestors
 (tags, words of their classes and ids) and of its text; neighbouring labels share a
-transition score. Weights are trained on labelled pages by the gradient of the conditional
-likelihood (forward-backward), and Viterbi gives the labels of a page.
+transition score. Weights are trained by the gradient of the conditional likelihood
+(forward-backward) on pages that are generated here with their labels, none of them real, and
+Viterbi gives the labels of a page.
 """
 
 from __future__ import annotations

@@ -49,3 +49,20 @@ def test_formulas_and_drawings_are_text():
     drawing = "<svg><desc>hidden</desc><style>g{}</style><g><path d='M0 0'/><text>one</text><text>two</text></g></svg>"
     assert [b.text for b in h.blocks(f"<article><p>Since {formula} holds.</p></article>")] == ["Since x=2 holds."]
     assert " ".join(b.text for b in h.blocks(f"<p>See {drawing} here.</p>")) == "See one two here."
+
+
+PARAGRAPHS = ["The river rose in the night and by morning the lower road was under water.", "Nobody in the village had seen it so high since the old bridge was built.", "The council meets on Monday to decide what is to be done."]
+BODY = "".join(f"<p>{t}</p>" for t in PARAGRAPHS)
+LAYOUTS = {  # written by hand; labelled_page makes none of them
+    "role": f'<body><div class="topbar"><a href="/">Home</a> <a href="/n">News</a></div><div role="main"><h1>High water</h1>{BODY}</div><div class="bottom footer"><p>Imprint</p></div></body>',
+    "deep": f'<body><div id="page"><nav><a href="/">Home</a></nav><div id="wrap"><div class="col"><article><div class="inner"><h1>High water</h1>{BODY}</div></article></div></div></div><footer>Contact</footer></body>',
+    "table": f'<body><table><tr><td><a href="/">Home</a><br><a href="/n">News</a></td><td><h1>High water</h1>{BODY}</td></tr></table></body>',
+    "bare": f"<body><h1>High water</h1>{BODY}</body>",
+}
+
+
+def test_layouts_that_are_not_generated():
+    model = h.default_model()
+    got = {name: h.main_text(html, model).split("\n\n") for name, html in LAYOUTS.items()}
+    assert {name: [t for t in PARAGRAPHS if t not in found] for name, found in got.items()} == {name: [] for name in LAYOUTS}
+    assert not any(t in found for found in got.values() for t in ("Imprint", "Contact", "Home"))
