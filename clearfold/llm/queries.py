@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearfold.checks.base import Check, table
-from clearfold.llm import chat, decontaminate, htmltext, licences, lmscore, mixing, neardup, quality, tokens, warc
+from clearfold.llm import chat, counts, decontaminate, htmltext, licences, lmscore, mixing, neardup, quality, repair, tokens, trie, warc
+from clearfold.session import cut
 
 
 def op1_token_output(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +146,103 @@ def op10_recurrent_lm(spark: SparkSession, d: str) -> DataFrame:
     return lmscore.report(table(spark, d, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return counts.count_tokens(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return trie.trie(cut(trie.rebuild(cut(trie.sequences(table(spark, d, "conversations"))))))
+
+
+CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+OP12_SQL = f"""
+WITH own AS (SELECT conv_id, list({{'d': md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')),
+    'b': octet_length(encode(coalesce(text, '')))}} ORDER BY turn NULLS FIRST,
+    md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+heads AS (SELECT o.conv_id, o.s, b.s AS head, {CRC32_SQL.format("CAST(o.conv_id AS VARCHAR)")} % 9 AS h
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+rebuilt AS (SELECT conv_id, list_concat(coalesce(head, [])[1:h], s[h + 1:]) AS s FROM heads),
+cells AS (SELECT conv_id, len(s) AS n, d, array_to_string([x.d for x in s[1:d]], '') AS k, CASE WHEN d > 0 THEN s[d].b ELSE 0 END AS b
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM cells GROUP BY 1, 2),
+linked AS (SELECT c.k, c.d, c.conv_id, c.n_convs, c.b, c.ends, p.conv_id AS parent_conv_id, p.k AS pk, p.d AS pd
+  FROM nodes c LEFT JOIN nodes p ON p.d = c.d - 1 AND p.k = substr(c.k, 1, CAST(32 * (c.d - 1) AS BIGINT))),
+children AS (SELECT pk AS k, pd AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY 1, 2),
+counted AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children c ON c.k = l.k AND c.d = l.d),
+subtree AS (SELECT p.k, p.d, CAST(sum(CASE WHEN y.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((y.n_convs - 1) * y.b) AS BIGINT) AS saved
+  FROM counted y JOIN cells p ON p.conv_id = y.conv_id AND p.d <= y.d GROUP BY 1, 2)
+SELECT c.conv_id, CAST(c.d AS BIGINT) AS depth, parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children, n_leaves, saved AS saved_tokens, sha256(ends) AS ends_sha256
+FROM counted c JOIN subtree s ON s.k = c.k AND s.d = c.d
+"""
+
+
+def _edit_sql(cost: str, letter: str, line: str, after: str) -> str:
+    return f"{{'c': {cost} + {after}.c, 'a': '{letter}' || {after}.a, 'r': {line} || {after}.r}}"
+
+
+def _row_sql(state: int) -> str:
+    """Cheapest edit of a row in a state; states count from 1, the order of the vector."""
+    follows = {1: (3, "user"), 2: (3, "user"), 3: (4, "assistant"), 4: (3, "user")}[state]
+    kept = {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}[state]
+    line = "chr(10) || role || ':' || text"
+    keep = " ".join(f"WHEN '{i}' THEN {_edit_sql('cut', 'K', line, f'b[{to}]')}" for i, to in kept.items())
+    rerole = _edit_sql("2 + cut", "R", f"chr(10) || '{follows[1]}:' || text", f"b[{follows[0]}]")
+    return f"least({_edit_sql('3', 'D', repr(''), f'b[{state}]')}, CASE WHEN NOT gone THEN {rerole} END, CASE WHEN NOT gone THEN CASE left(role, 1) {keep} END END)"
+
+
+def _with_inserts_sql(state: int) -> str:
+    u, a = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    one, two, first, second = (4, 3, a, u) if state == 3 else (3, 4, u, a)
+    return f"least(e[{state}], {_edit_sql('2', 'I', first, f'e[{one}]')}, {_edit_sql('4', 'II', f'{first} || {second}', f'e[{two}]')})"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE coded AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC32_SQL.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS code FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM coded, range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (SELECT *, row_number() OVER o AS i, lag(role) OVER o AS prior, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen
+  FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(role)) || ':' || role || text))),
+judged AS (SELECT *, seen = '' AS blank, seen <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate FROM placed),
+faults AS (SELECT *, blank OR duplicate AS gone, CASE WHEN blank OR duplicate OR right(seen, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS cut FROM judged),
+steps AS (SELECT conv_id, count(*) + 1 AS i, [{{'c': 0, 'a': '', 'r': ''}}, {{'c': 4, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}},
+    {{'c': 2, 'a': 'I', 'r': chr(10) || 'assistant:'}}, {{'c': 0, 'a': '', 'r': ''}}] AS b FROM faults GROUP BY 1
+  UNION ALL SELECT conv_id, i, [{", ".join(_with_inserts_sql(k) for k in (1, 2, 3, 4))}] FROM (
+    SELECT f.conv_id, f.i, [{", ".join(_row_sql(k) for k in (1, 2, 3, 4))}] AS e FROM steps s JOIN faults f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i - 1)),
+best AS (SELECT conv_id, b[1] AS x FROM steps WHERE i = 1),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, sum(cut) AS truncated,
+    count(*) FILTER (i > 1 AND left(prior, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY 1)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(x.c, 0) AS BIGINT) AS cost,
+  coalesce(x.a, '') AS audit, sha256(coalesce(substr(x.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversation rows with faults that a checksum of id and turn deals out."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn"))) % 20
+    coded = turns.select("conv_id", "turn", spaced("role").alias("role"), spaced("text").alias("text"), code.alias("code")).where(F.col("code") != 0)
+    text = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("code") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("code") == 3, 2).otherwise(1)))
+    return coded.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+def op13_structure_repair(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations")
+    rows = damaged(turns)
+    return repair.report(rows, repair.repair(rows), ids=turns)
+
+
 CHECKS = [
     Check("op1_token_output", op1_token_output),
     Check("op2_warc", op2_warc, OP2_SQL),
@@ -156,4 +254,7 @@ CHECKS = [
     Check("op8_license_scan", op8_license_scan, licences.SQL),
     Check("op9_weighted_fair_mix", op9_weighted_fair_mix, OP9_SQL),
     Check("op10_recurrent_lm", op10_recurrent_lm),
+    Check("op11_token_counts", op11_token_counts),
+    Check("op12_prefix_trie", op12_prefix_trie, OP12_SQL),
+    Check("op13_structure_repair", op13_structure_repair, OP13_SQL),
 ]
