@@ -223,8 +223,9 @@ def learn_rules(
     """A decision list from the documents that ``labels`` covers.
 
     The first ``max_labelled`` labels in hash order are the sample: at most that many narrow
-    rows are broadcast to the scan and come back as statistics. Rows with a null id, label or
-    text teach nothing. Of several labels of one id the smallest counts.
+    rows are broadcast to the scan, and one row of statistics comes back for each. Rows with a
+    null id, label or text teach nothing. Of several labels of one id the smallest counts, of
+    several texts that with the least hash.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull())
     sample = (
@@ -233,7 +234,9 @@ def learn_rules(
     )
     own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     joined = with_statistics(own.join(F.broadcast(sample), "__id"), "__text")
-    rows = joined.select("__id", "__q", *[F.col(f"stats.{f}").cast("double") for f in FEATURES]).collect()
+    values = F.struct(F.xxhash64("__text").alias("h"), *[F.col(f"stats.{f}").cast("double").alias(f) for f in FEATURES])
+    least = joined.select("__id", "__q", values.alias("v")).groupBy("__id", "__q").agg(F.min("v").alias("v"))
+    rows = least.select("__id", "__q", *[F.col(f"v.{f}") for f in FEATURES]).collect()
     rows.sort(key=lambda r: tuple(r))
     x = np.array([r[2:] for r in rows], float).reshape(len(rows), len(FEATURES))
     return learn(x, np.array([int(r[1] == 0) for r in rows], int))
@@ -250,3 +253,9 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFra
         with_statistics(docs, text_col).withColumn("base_failed", failed).withColumn("rule", first_rule(rules, s))
         .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
     )
+
+
+def keep(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that neither the base rule nor a rule rejects, with all of their columns, whatever their names."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return judge(packed, rules).where(F.col("kept")).select("row.*")

@@ -69,6 +69,14 @@ def test_empty_tables_and_nulls(spark, documents):
     assert q.judge(docs.limit(0), []).count() == 0
 
 
+def test_one_row_per_label_comes_back(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q, "learn", lambda x, y: seen.append((len(x), len(y))) or [])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 1)], "doc_id bigint, quality int")
+    q.learn_rules(documents([(i % 2 + 1, f"text {i % 7}", "s") for i in range(400)]), labels, max_labelled=2)
+    assert seen[0][0] == seen[0][1] <= 2
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet"), spark.read.parquet(f"{sf_dir}/../sf0.1/labels.parquet")
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2))
