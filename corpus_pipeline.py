@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from clearfold.checks.base import Check, table
 from clearfold.llm import decontaminate, mixing, neardup, quality, tokens
@@ -14,7 +13,7 @@ from clearfold.session import cut
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor a learned rule rejects."""
     rules = quality.learn_rules(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, rules).where(F.col("kept")).select(*docs.columns)
+    return quality.keep(docs, rules)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
