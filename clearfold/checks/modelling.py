@@ -1,11 +1,14 @@
-"""Model fits and the end-to-end runs. SQL cannot fit models; the tests check them by property."""
+"""Model fits and the end-to-end runs, against optima that SQL reaches on its own way (``fits``). Coefficients and
+confidences are rounded to three places on both sides."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from clearfold.checks import base as b
+from clearfold.checks import fits as ft
 from clearfold.checks.base import Check
+from clearfold.checks.sampling import split_sql
 from clearfold.operators import metrics as m
 from clearfold.operators import model as md
 from clearfold.operators.ordered import hash_rank
@@ -35,6 +38,14 @@ def line_records(spark, d):
     )
 
 
+def _rounded(df, *columns, places=3):
+    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
+
+
+def _shown(coefs):
+    return _rounded(m.coefficient_table(coefs), "coefficient", "abs_coef", "odds_ratio")
+
+
 def _docs(spark, d):
     return b.records(spark, d), b.quality_labels(spark, d)
 
@@ -42,7 +53,14 @@ def _docs(spark, d):
 def _fixed_c(spark, d):
     feats = line_records(spark, d)
     fitted = md.fit_fixed_c(feats, None, LINE_FEATURES)
-    return m.coefficient_table(md.coefficients(fitted, feats))
+    return _shown(md.coefficients(fitted, feats))
+
+
+def _optimality(spark, d):
+    """Subgradient conditions of the fit, per column, from one aggregate over all rows."""
+    feats = line_records(spark, d)
+    fitted = md.fit_fixed_c(feats, None, LINE_FEATURES)
+    return _rounded(md.optimality(fitted, feats), "coefficient").select("feature", "coefficient", "optimal")
 
 
 def _nested(spark, d):
@@ -55,19 +73,18 @@ def _nested(spark, d):
 def _select_c(spark, d):
     feats = line_records(spark, d)
     e = md.fit_and_evaluate(feats, None, LINE_FEATURES, outer=False)
-    table = m.coefficient_table(md.coefficients(e.fitted, feats))
-    return table.withColumn("c", F.lit(e.fitted.c))
+    return _shown(md.coefficients(e.fitted, feats)).withColumn("c", F.lit(e.fitted.c))
 
 
 def _top_of_model(spark, d):
     feats, labels = _docs(spark, d)
     fitted = md.fit_fixed_c(feats, labels, b.SIGNAL_NAMES)
-    return m.coefficient_table(md.coefficients(fitted, feats))
+    return _shown(md.coefficients(fitted, feats))
 
 
 def _predicted(spark, d):
     feats = line_records(spark, d)
-    return md.predict(md.fit_fixed_c(feats, None, LINE_FEATURES), feats)
+    return _rounded(md.predict(md.fit_fixed_c(feats, None, LINE_FEATURES), feats), "confidence")
 
 
 def _split_sets(spark, d):
@@ -111,7 +128,7 @@ def _test_evaluation(spark, d):
 def _detailed(spark, d):
     feats, labels = _docs(spark, d)
     texts = b.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
-    return md.in_sample_predictions(feats, labels, texts, b.SIGNAL_NAMES)
+    return _rounded(md.in_sample_predictions(feats, labels, texts, b.SIGNAL_NAMES), "confidence")
 
 
 def corpus_of(spark, d):
@@ -122,7 +139,8 @@ def corpus_of(spark, d):
 
 def _run(spark, d):
     report = run(corpus_of(spark, d), b.SIGNAL_DEFS, signal_extraction(b.SIGNALS))
-    return report.coefficients.withColumn("cv_accuracy", F.lit(report.evaluation.mean))
+    shown = _rounded(report.coefficients, "coefficient", "abs_coef", "odds_ratio")
+    return _rounded(shown.withColumn("cv_accuracy", F.lit(report.evaluation.mean)), "cv_accuracy", places=9)
 
 
 def planned(context) -> Changes:
@@ -142,15 +160,14 @@ def _loop(spark, d):
     if out.error:
         raise RuntimeError(out.error)
     keep = ["iteration", "train_fold", "train_cv_accuracy", "val_accuracy", "n_train", "n_val", "effective_dimensionality", "is_best"]
-    return out.history.select(*keep, F.array_join("features_used", ",").alias("features_used")).withColumn(
-        "test_accuracy", F.lit(out.test_accuracy)
-    )
+    shown = out.history.select(*keep, F.array_join("features_used", ",").alias("features_used"))
+    return _rounded(shown.withColumn("test_accuracy", F.lit(out.test_accuracy)), "train_cv_accuracy", "val_accuracy", "test_accuracy", places=9)
 
 
 def _ablation(spark, d):
     """The full feature set against the sets without one feature each."""
     feats, labels = _docs(spark, d)
-    return md.ablation(feats, labels, b.SIGNAL_NAMES, b.SIGNAL_NAMES)
+    return _rounded(md.ablation(feats, labels, b.SIGNAL_NAMES, b.SIGNAL_NAMES), "cv_accuracy", "cv_std", places=9)
 
 
 def _slots(spark, d):
@@ -164,17 +181,111 @@ def _slots(spark, d):
 SLOTS = """SELECT o_orderkey AS id, o_orderstatus AS label, CAST((row_number() OVER (PARTITION BY o_orderstatus
   ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1) % 15 AS INTEGER) AS slot FROM orders"""
 
+LINES = """rows AS (SELECT 0 AS grp, md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
+    CAST(l_linenumber AS VARCHAR), CAST(l_quantity AS VARCHAR), CAST(l_extendedprice AS VARCHAR), CAST(l_discount AS VARCHAR), CAST(l_tax AS VARCHAR),
+    l_returnflag, l_linestatus, CAST(l_shipdate AS VARCHAR))) AS id,
+  CAST(least(4, floor(l_quantity / 11)) AS INTEGER) + 1 AS quantity_level, CAST(least(4, floor(l_discount * 50)) AS INTEGER) + 1 AS discount_level,
+  l_linenumber AS line_no, l_tax > 0.04 AS tax_high, l_linestatus AS status,
+  CASE WHEN l_quantity + length(l_returnflag) + l_extendedprice % 37 > 40 THEN 'high' ELSE 'low' END AS label FROM lineitem)"""
+LINE_COLUMNS = {c: c for c in LINE_FEATURES[:4]} | {"status_O": "status = 'O'"}
+TONGUES = ("french", "german", "other", "spanish")
+DOC_COLUMNS = {c: c for c in b.SIGNAL_NAMES[:5]} | {f"tongue_{t}": f"tongue = '{t}'" for t in TONGUES}
+DOC_ROWS = f"{b.RECORDS}, {b.QUALITY}, rows AS (SELECT 0 AS grp, r.*, label FROM records r JOIN quality q ON r.id = q.id)"
+
+
+def _start(rows, columns, positive, **how):
+    expressions = [f"CAST({x} AS INTEGER)" for x in columns.values()]
+    return f"WITH RECURSIVE {rows}, {ft.slots_sql()}, {ft.collapsed_sql(expressions, positive)}, {ft.fits_sql(len(columns), **how)}"
+
+
+def _coefs(columns, picked):
+    """Coefficient rows of the fits that ``picked`` gives; a category that no labelled row has is no column."""
+    names = ", ".join(f"'{c}'" for c in columns)
+    known = "WHERE feature NOT LIKE 'tongue%' OR feature IN (SELECT 'tongue_' || tongue FROM rows)" if "tongue_other" in columns else ""
+    return f"""listed AS (SELECT p.*, unnest([{names}]) AS feature, unnest(b[1:{len(columns)}]) AS w FROM ({picked}) p),
+coefs AS (SELECT *, round(w, 3) + 0.0 AS coefficient, round(abs(w), 3) + 0.0 AS abs_coef, round(exp(w), 3) + 0.0 AS odds_ratio FROM listed {known})"""
+
+
+FIXED = {"grid": (1.0,), "outer": False, "inner": False}
+LINE_FIT = _start(LINES, LINE_COLUMNS, "low", **FIXED)
+DOC_FIT = _start(DOC_ROWS, DOC_COLUMNS, "poor", **FIXED)
+BEST = "SELECT t.*, h.c AS best_c FROM chosen h JOIN fits t ON t.grp = h.grp AND t.f = h.f AND t.c = h.c AND t.g = -1 WHERE h.f = -1"
+OUTER_SCORES = "SELECT s.grp, s.f, s.score FROM scores s JOIN chosen h ON h.grp = s.grp AND h.f = s.f AND h.c = s.c WHERE s.g = -1"
+NESTED = f"{_start(DOC_ROWS, DOC_COLUMNS, 'poor')}, {ft.chosen_sql(9)}"
+
+
+def _scored(n, fits, rows="slotted"):
+    """Rows of a group with the chance of the second class under that group's fit."""
+    return f"scored AS (SELECT r.*, 1.0 / (1.0 + exp(-({ft.margin_sql(n)}))) AS p FROM (SELECT *, {'{x}'} AS x FROM {rows}) r JOIN ({fits}) t ON t.grp = r.grp)"
+
+
+def _x(columns):
+    return "[" + ", ".join(f"CAST(CAST({e} AS INTEGER) AS DOUBLE)" for e in columns.values()) + "]"
+
+
+K9 = f"""{LINE_FIT}, {_scored(5, "SELECT * FROM fits").format(x=_x(LINE_COLUMNS))}
+SELECT id, CASE WHEN p > 0.5 THEN 'low' ELSE 'high' END AS predicted_label, round(greatest(p, 1 - p), 3) AS confidence FROM scored"""
+K14 = f"""{DOC_FIT}, {_scored(9, "SELECT * FROM fits").format(x=_x(DOC_COLUMNS))}
+SELECT CAST(s.id AS VARCHAR) AS id, label AS true_label, text, CASE WHEN p > 0.5 THEN 'poor' ELSE 'good' END AS predicted_label,
+  round(greatest(p, 1 - p), 3) AS confidence, label = CASE WHEN p > 0.5 THEN 'poor' ELSE 'good' END AS correct,
+  {", ".join(f"{c} AS feat_{c}" for c in b.SIGNAL_NAMES)} FROM scored s JOIN documents d ON d.doc_id = s.id"""
+
+# Rows of every training fold as a group of their own; the other roles are scored under each group's fit.
+LABELLED = "docs AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS verdict FROM labels)"
+SPLIT_ROWS = f"""{b.RECORDS}, {b.QUALITY}, roles AS MATERIALIZED ({split_sql(LABELLED, 5)}),
+rows AS (SELECT fold AS grp, r.*, label FROM roles s JOIN records r ON r.id = s.id JOIN quality q ON q.id = s.id WHERE role = 'train')"""
+HELD = """(SELECT f.grp, role, r.*, label FROM (SELECT DISTINCT grp FROM rows) f, roles s JOIN records r ON r.id = s.id JOIN quality q ON q.id = s.id
+  WHERE role IN ('validation', 'test'))"""
+SPLIT_FITS = f"{_start(SPLIT_ROWS, DOC_COLUMNS, 'poor', outer=False)}, {ft.chosen_sql(9)}, {_scored(9, BEST, HELD).format(x=_x(DOC_COLUMNS))}"
+GUESSED = ", guessed AS (SELECT *, CASE WHEN p > 0.5 THEN 'poor' ELSE 'good' END AS guess FROM scored)"
+K13 = f"""{SPLIT_FITS}{GUESSED}
+SELECT count(*) AS n, count(*) FILTER (guess = label) AS n_correct, count(*) FILTER (guess <> label) AS n_wrong,
+  count(*) FILTER (guess = label) / count(*) AS accuracy, count(*) FILTER (guess <> label) / count(*) * 100.0::DOUBLE AS pct_wrong, grp AS train_fold
+FROM guessed WHERE role = 'validation' GROUP BY grp"""
+K15 = f"""{SPLIT_FITS}{GUESSED},
+best AS (SELECT grp FROM guessed WHERE role = 'validation' GROUP BY grp ORDER BY count(*) FILTER (guess = label) DESC, grp LIMIT 1),
+t AS (SELECT label, guess FROM guessed WHERE role = 'test' AND grp = (SELECT grp FROM best)),
+c AS (SELECT class, count(*) FILTER (label = class) AS support, count(*) FILTER (guess = class) AS predicted, count(*) FILTER (label = class AND guess = class) AS hit
+  FROM t, (SELECT DISTINCT label AS class FROM quality) GROUP BY class)
+SELECT class, CASE WHEN predicted > 0 THEN hit / predicted ELSE 0.0::DOUBLE END AS precision, CASE WHEN support > 0 THEN hit / support ELSE 0.0::DOUBLE END AS recall,
+  CASE WHEN predicted + support > 0 THEN 2.0::DOUBLE * hit / (predicted + support) ELSE 0.0::DOUBLE END AS f1, support FROM c"""
+
+# One group per feature that is left out, whose columns are then zero everywhere and get no coefficient.
+LEFT_OUT = (None, *b.SIGNAL_NAMES)
+ABLATED = f"{b.RECORDS}, {b.QUALITY}, rows AS (SELECT grp, r.*, label FROM range({len(LEFT_OUT)}) v(grp), records r JOIN quality q ON r.id = q.id)"
+ABLATED_COLUMNS = {
+    c: f"CASE WHEN grp = {next(i for i, f in enumerate(LEFT_OUT) if f and c.startswith(f))} THEN 0 ELSE CAST({x} AS INTEGER) END" for c, x in DOC_COLUMNS.items()
+}
+P4 = f"""{_start(ABLATED, ABLATED_COLUMNS, 'poor')}, {ft.chosen_sql(9)},
+final AS (SELECT c FROM chosen WHERE grp = 0 AND f = -1),
+kept AS (SELECT s.grp, s.score FROM scores s JOIN chosen h ON h.grp = s.grp AND h.f = s.f
+  WHERE s.g = -1 AND s.c = CASE WHEN s.grp = 0 THEN h.c ELSE (SELECT c FROM final) END)
+SELECT [{", ".join(f"'{f}'" if f else "NULL" for f in LEFT_OUT)}][CAST(grp + 1 AS BIGINT)] AS left_out, round(avg(score), 9) + 0.0 AS cv_accuracy,
+  round(stddev_pop(score), 9) + 0.0 AS cv_std, (SELECT c FROM final) AS c FROM kept GROUP BY grp"""
+
+COEF_LIST = "feature, coefficient, abs_coef, odds_ratio"
 CHECKS = [
-    Check("k5_elastic_net_fit", _fixed_c),
-    Check("k6_select_c", _select_c),
-    Check("k7_nested_cross_validation", _nested),
-    Check("k8_coefficient_table", _top_of_model),
-    Check("k9_predictions", _predicted),
-    Check("k13_split_evaluation", _split_evaluation),
-    Check("k14_detailed_predictions", _detailed),
-    Check("k15_test_evaluation", _test_evaluation),
-    Check("k16_feature_run", _run),
+    Check("k5_elastic_net_fit", _fixed_c, f"{LINE_FIT}, {_coefs(LINE_COLUMNS, 'SELECT * FROM fits')} SELECT {COEF_LIST} FROM coefs"),
+    Check("k5_optimality", _optimality, f"{LINE_FIT}, {_coefs(LINE_COLUMNS, 'SELECT * FROM fits')} SELECT feature, coefficient, true AS optimal FROM coefs"),
+    Check(
+        "k6_select_c",
+        _select_c,
+        f"""{_start(LINES, LINE_COLUMNS, 'low', outer=False)}, {ft.chosen_sql(5)}, {_coefs(LINE_COLUMNS, BEST)}
+SELECT {COEF_LIST}, best_c AS c FROM coefs""",
+    ),
+    Check("k7_nested_cross_validation", _nested, f"{NESTED} SELECT CAST(f AS INTEGER) AS fold, score FROM ({OUTER_SCORES})"),
+    Check("k8_coefficient_table", _top_of_model, f"{DOC_FIT}, {_coefs(DOC_COLUMNS, 'SELECT * FROM fits')} SELECT {COEF_LIST} FROM coefs"),
+    Check("k9_predictions", _predicted, K9),
+    Check("k13_split_evaluation", _split_evaluation, K13),
+    Check("k14_detailed_predictions", _detailed, K14),
+    Check("k15_test_evaluation", _test_evaluation, K15),
+    Check(
+        "k16_feature_run",
+        _run,
+        f"""{NESTED}, {_coefs(DOC_COLUMNS, BEST)}
+SELECT {COEF_LIST}, (SELECT round(avg(score), 9) + 0.0 FROM ({OUTER_SCORES})) AS cv_accuracy FROM coefs""",
+    ),
     Check("k17_improvement_loop", _loop),
-    Check("p4_ablation", _ablation),
+    Check("p4_ablation", _ablation, P4),
     Check("k7_fold_slots", _slots, SLOTS),
 ]

@@ -74,11 +74,12 @@ def split_roles(spark, d):
     return sp.make_splits(docs, "verdict", n // 5, n // 10, n // 4, 5)
 
 
-def split_sql() -> str:
+def split_sql(docs: str = DOCS, held_out: int = 10) -> str:
+    """Roles of ``docs(id, verdict)``: a fifth for the test, one ``held_out``-th for validation, a quarter in each training fold."""
     folds = "(SELECT count(*) FROM docs) // 4"
-    return f"""WITH {DOCS}, {strat_sql("docs", "((SELECT count(*) FROM docs) // 5)", 42, "test")},
+    return f"""WITH {docs}, {strat_sql("docs", "((SELECT count(*) FROM docs) // 5)", 42, "test")},
 rest AS (SELECT * FROM docs WHERE id NOT IN (SELECT id FROM test)),
-{strat_sql("rest", "((SELECT count(*) FROM docs) // 10)", 43, "val")},
+{strat_sql("rest", f"((SELECT count(*) FROM docs) // {held_out})", 43, "val")},
 pool AS (SELECT * FROM rest WHERE id NOT IN (SELECT id FROM val)),
 wide AS (SELECT id, verdict, CAST(fold AS INTEGER) AS fold, md5(CAST(100 + fold AS VARCHAR) || ':' || CAST(id AS VARCHAR)) AS h
   FROM pool, range(5) r(fold)),

@@ -19,13 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clearfold.operators.batchfit import MAX_COLUMNS, LinearModel, Part, fit_all, hits, rows_for
 from clearfold.operators.matrix import (
     Scaler,
     align,
@@ -56,7 +55,7 @@ FULL = -1  # outer part that holds every row; inner part that holds its whole tr
 class Fitted:
     """A fitted classifier with everything needed to score new records."""
 
-    model: LogisticRegressionModel
+    model: LinearModel
     columns: list[str]
     raw_columns: list[str]
     vocabulary: dict[str, list[str]]
@@ -155,130 +154,103 @@ def part_statistics(collapsed: DataFrame, columns: Sequence[str], layout: FoldLa
     return scalers, sizes
 
 
-def raw_vectors(df: DataFrame, columns: Sequence[str], fill: dict[str, float], keep: Sequence[str]) -> DataFrame:
-    """The columns as one vector, gaps filled with ``fill``."""
-    plain = [F.coalesce(F.col(c).cast("double"), F.lit(float(fill[c]))).alias(f"__f{i}") for i, c in enumerate(columns)]
-    names = [f"__f{i}" for i in range(len(columns))]
-    assembler = VectorAssembler(inputCols=names, outputCol="raw", handleInvalid="keep")
-    return assembler.transform(df.select(*keep, *plain)).select(*keep, "raw")
-
-
-def scaled_vectors(df: DataFrame, columns: Sequence[str], scaler: Scaler) -> DataFrame:
-    """Add ``features``: the raw vector over the spread of each column.
-
-    The mean is not taken off: the intercept is free of any penalty, so a shift of a column
-    moves the intercept and leaves coefficients and predictions as they are.
-    """
-    factors = Vectors.dense([1.0 / scaler.std[c] for c in columns])
-    return ElementwiseProduct(scalingVec=factors, inputCol="raw", outputCol="features").transform(df)
-
-
-def fit_logistic(
-    train: DataFrame, c: float, total_weight: float, weight: str = "weight", tol: float = TOL
-) -> LogisticRegressionModel:
-    """Minimise ``c * sum(weight * loss) + penalty`` with an even L1/L2 mix.
+def fit_several_classes(rows: DataFrame, part: Part, c: float, total_weight: float) -> LinearModel:
+    """Minimise ``c * sum(weight * loss) + penalty`` with an even L1/L2 mix by Spark's own optimiser.
 
     Spark minimises the weighted mean loss plus ``regParam`` times the penalty, hence
-    ``regParam = 1 / (c * total weight)``.
+    ``regParam = 1 / (c * total weight)``. Columns are divided by their spread and not centred:
+    the intercept is free of any penalty, so a shift of a column moves the intercept alone.
     """
-    lr = LogisticRegression(
-        featuresCol="features",
-        labelCol="label_idx",
-        weightCol=weight,
-        regParam=1.0 / (c * total_weight),
-        elasticNetParam=L1_RATIO,
-        maxIter=MAX_ITER,
-        tol=tol,
-        standardization=False,
+    filled = F.zip_with("x", F.lit(part.fill.tolist()), lambda x, f: F.coalesce(x, f))
+    features = F.zip_with(filled, F.lit(part.std.tolist()), lambda x, s: x / s)
+    data = rows.where(F.element_at(F.lit(part.slots.tolist()), F.col("slot") + 1)).select(
+        "label_idx", (F.col("n") * F.element_at(F.lit(part.weights.tolist()), F.col("label_idx") + 1)).alias("weight"), array_to_vector(features).alias("features")
     )
-    return lr.fit(train)
-
-
-def _weighted(df: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    total, k = sum(sizes.values()), len(sizes)
-    per_class = [total / (k * sizes[i]) if i in sizes else 0.0 for i in range(max(sizes) + 1)]
-    return df.withColumn("weight", F.col("n") * F.element_at(F.lit(per_class), F.col("label_idx") + 1))
-
-
-def _accuracies(models: Sequence[LogisticRegressionModel | int], rows: DataFrame) -> list[float]:
-    """Accuracy of several models on the same rows, read once."""
-    hits = []
-    for i, model in enumerate(models):
-        name = f"__p{i}"
-        if isinstance(model, int):
-            rows = rows.withColumn(name, F.lit(float(model)))
-        else:
-            scorer = model.copy().setPredictionCol(name).setProbabilityCol("").setRawPredictionCol("")
-            rows = scorer.transform(rows)
-        hits.append(F.sum(F.when(F.col(name) == F.col("label_idx"), F.col("n")).otherwise(0)).alias(name))
-    r = rows.agg(F.sum("n").alias("n"), *hits).first()
-    return [(r[f"__p{i}"] or 0) / r["n"] if r["n"] else 0.0 for i in range(len(models))]
+    lr = LogisticRegression(
+        featuresCol="features", labelCol="label_idx", weightCol="weight", regParam=1.0 / (c * total_weight),
+        elasticNetParam=L1_RATIO, maxIter=MAX_ITER, tol=TOL, standardization=False,
+    )
+    model = lr.fit(data)
+    return LinearModel(model.coefficientMatrix.toArray(), model.interceptVector.toArray())
 
 
 class NestedFit:
-    """Runs the fits of one collapsed matrix; independent fits share a small thread pool.
+    """All fits of one collapsed matrix.
 
-    What differs between fits (slots, weights, spreads) goes in as array and vector values,
-    so that all of them run the same generated code.
+    Two classes and up to ``batchfit.MAX_COLUMNS`` columns: every part and every C is fitted in
+    the same passes over the rows. Otherwise each is a fit of its own by Spark ML, and
+    independent ones share a small thread pool.
     """
 
     def __init__(self, collapsed: DataFrame, columns: list[str], layout: FoldLayout):
         self.columns, self.layout = columns, layout
         self.scalers, self.sizes = part_statistics(collapsed, columns, layout)
-        self.collapsed = collapsed
-        gaps = collapsed.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(columns)], F.count(F.lit(1)).alias("n"))
-        row = gaps.first()
-        self.complete = all(row[f"g{i}"] == 0 for i in range(len(columns)))
-        self.partitions = max(1, row["n"] // ROWS_PER_PARTITION)
-        self.rows = self._vectors(dict.fromkeys(columns, 0.0)).persist() if self.complete else None
+        self.tasks = max(1, collapsed.count() // ROWS_PER_PARTITION)
+        self.rows = rows_for(collapsed, columns).coalesce(self.tasks).persist()
 
     def unpersist(self) -> None:
-        if self.rows is not None:
-            self.rows.unpersist()
-
-    def _vectors(self, fill: dict[str, float]) -> DataFrame:
-        return raw_vectors(self.collapsed, self.columns, fill, ["label_idx", "slot", "n"]).coalesce(self.partitions)
-
-    def _slots(self, slots: list[int], scaler: Scaler) -> DataFrame:
-        rows = self.rows if self.complete else self._vectors(scaler.median)
-        return scaled_vectors(rows.where(F.array_contains(F.lit(slots), F.col("slot"))), self.columns, scaler)
-
-    def train(self, f: int, g: int, grid: Sequence[float]) -> list[LogisticRegressionModel | int]:
-        """One fitted model per C, or the only class where the part has just one."""
-        sizes = self.sizes[(f, g)]
-        if len(sizes) < 2:
-            return [next(iter(sizes))] * len(grid)
-        slots = self._slots(self.layout.train_slots(f, g), self.scalers[(f, g)])
-        data = _weighted(slots, sizes).select("label_idx", "weight", "features")
-        return [fit_logistic(data, c, float(sum(sizes.values()))) for c in grid]
-
-    def score(self, models: Sequence[LogisticRegressionModel | int], f: int, g: int) -> list[float]:
-        return _accuracies(models, self._slots(self.layout.score_slots(f, g), self.scalers[(f, g)]))
-
-    def inner_scores(self, outers: Sequence[int], grid: Sequence[float] = C_GRID) -> dict[int, dict[float, float]]:
-        """Mean inner accuracy per outer part and C."""
-        jobs = [(f, g) for f in outers for g in range(self.layout.inner)]
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            done = dict(zip(jobs, pool.map(lambda j: self.score(self.train(*j, grid), *j), jobs)))
-        folds = range(self.layout.inner)
-        return {f: {c: float(np.mean([done[(f, g)][i] for g in folds])) for i, c in enumerate(grid)} for f in outers}
+        self.rows.unpersist()
+
+    def _part(self, f: int, g: int) -> Part:
+        scaler, sizes = self.scalers[(f, g)], self.sizes[(f, g)]
+        flags = np.zeros(self.layout.n_slots, bool)
+        flags[self.layout.train_slots(f, g)] = True
+        total, k = sum(sizes.values()), len(sizes)
+        weights = np.array([total / (k * sizes[i]) if i in sizes else 0.0 for i in range(max(sizes) + 1)])
+        of = lambda values: np.array([values[c] for c in self.columns], float)
+        return Part(flags, of(scaler.median), of(scaler.mean), of(scaler.std), weights)
+
+    def train(self, jobs: Sequence[tuple[int, int, float]]) -> list[LinearModel | int]:
+        """One model per (outer part, inner part, C), or the only class where the part has just one."""
+        parts = {(f, g): self._part(f, g) for f, g, _ in jobs}
+        done: list[LinearModel | int | None] = [next(iter(self.sizes[(f, g)])) if len(self.sizes[(f, g)]) < 2 else None for f, g, _ in jobs]
+        todo = [i for i, m in enumerate(done) if m is None]
+        if not todo:
+            return done
+        totals = {fg: float(sum(self.sizes[fg].values())) for fg in parts}
+        two = all(max(s, default=0) <= 1 for s in self.sizes.values())
+        if two and len(self.columns) <= MAX_COLUMNS:
+            keys = list(parts)
+            place = {fg: i for i, fg in enumerate(keys)}
+            fitted = fit_all(self.rows, len(self.columns), [parts[k] for k in keys], [(place[jobs[i][:2]], jobs[i][2]) for i in todo], [totals[k] for k in keys], self.tasks)
+        else:
+            with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+                one = lambda i: fit_several_classes(self.rows, parts[jobs[i][:2]], jobs[i][2], totals[jobs[i][:2]])
+                fitted = list(pool.map(one, todo))
+        for i, model in zip(todo, fitted):
+            done[i] = model
+        return done
+
+    def score(self, jobs: Sequence[tuple[int, int, float]], models: Sequence[LinearModel | int]) -> list[float]:
+        """Accuracy of each job's model on the slots held out from its part, all in one pass."""
+        tests = []
+        for (f, g, _), model in zip(jobs, models):
+            held = np.zeros(self.layout.n_slots, bool)
+            held[self.layout.score_slots(f, g)] = True
+            tests.append((held, self._part(f, g), model))
+        return [hit / n if n else 0.0 for hit, n in hits(self.rows, tests)]
 
     def best_c(self, scores: dict[float, float]) -> float:
         """The best C; the smallest of equals."""
         return min(scores, key=lambda c: (-round(scores[c], 12), c))
 
-    def run(self, grid: Sequence[float] = C_GRID, outer: bool = True) -> tuple[list[float], LogisticRegressionModel, float]:
-        """(outer fold scores, model refitted on all rows, its C)."""
+    def run(self, grid: Sequence[float] = C_GRID, outer: bool = True) -> tuple[list[float], LinearModel, float]:
+        """(outer fold scores, model of all rows, its C).
+
+        Where C has to be chosen, the fits on whole training parts are made for every C along with
+        those of the inner parts, which costs no pass of its own.
+        """
         outers = [FULL] + (list(range(self.layout.outer)) if outer else [])
-        if len(grid) == 1:
-            chosen = dict.fromkeys(outers, grid[0])
-        else:
-            chosen = {f: self.best_c(s) for f, s in self.inner_scores(outers, grid).items()}
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            models = dict(zip(outers, pool.map(lambda f: self.train(f, FULL, [chosen[f]])[0], outers)))
-            held = [f for f in outers if f != FULL]
-            scores = list(pool.map(lambda f: self.score([models[f]], f, FULL)[0], held))
-        return scores, models[FULL], chosen[FULL]
+        inner = range(self.layout.inner) if len(grid) > 1 else []
+        jobs = [(f, g, c) for f in outers for g in (FULL, *inner) for c in grid]
+        models = dict(zip(jobs, self.train(jobs)))
+        tested = [j for j in jobs if j[0] != FULL or j[1] != FULL]
+        scores = dict(zip(tested, self.score(tested, [models[j] for j in tested]))) if tested else {}
+        chosen = {}
+        for f in outers:
+            means = {c: float(np.mean([scores[(f, g, c)] for g in inner])) for c in grid} if len(grid) > 1 else {grid[0]: 0.0}
+            chosen[f] = self.best_c(means)
+        return [scores[(f, FULL, chosen[f])] for f in outers if f != FULL], models[(FULL, FULL, chosen[FULL])], chosen[FULL]
 
 
 def _training_rows(features: DataFrame, labels: DataFrame | None, raw_columns: Sequence[str], label: str) -> DataFrame:
@@ -350,7 +322,7 @@ def fit_fixed_c(
         columns = encoded_columns(raw_columns, vocabulary)
         indexed = counted.withColumn("label_idx", _index_of(names, label))
         nested = NestedFit(encode(indexed, raw_columns, vocabulary, ["label_idx", "slot", "n"]), columns, FoldLayout(1, 1))
-        model = nested.train(FULL, FULL, [c])[0]
+        model = nested.train([(FULL, FULL, c)])[0]
     finally:
         for held in (nested, counted):
             if held is not None:
@@ -397,15 +369,51 @@ def predict(fitted: Fitted, features: DataFrame, keep: Sequence[str] = ("id",))
     extra = [c for c in fitted.columns if c not in matrix.columns]
     if extra:
         matrix = with_interactions(matrix, [tuple(c.split("__x__", 1)) for c in extra])
-    data = scaled_vectors(
-        raw_vectors(matrix, fitted.columns, fitted.scaler.median, list(keep)), fitted.columns, fitted.scaler
-    )
+    scaler = fitted.scaler
+    scaled = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float(scaler.median[c]))) / F.lit(float(scaler.std[c])) for c in fitted.columns])
     names = F.array(*[F.lit(n) for n in fitted.labels])
-    return fitted.model.transform(data).select(
+    shares = fitted.model.probabilities(F.col("__x"))
+    scored = matrix.select(*keep, scaled.alias("__x"))
+    if len(fitted.labels) == 2:
+        scored = scored.select(*keep, F.array(1 - shares, shares).alias("__p"))
+    else:
+        scored = scored.select(*keep, shares.alias("__p"))
+    best = F.array_max("__p")
+    return scored.select(
         *keep,
-        F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted_label"),
-        F.array_max(vector_to_array("probability")).alias("confidence"),
+        F.element_at(names, F.array_position("__p", best).cast("int")).alias("predicted_label"),
+        best.alias("confidence"),
+    )
+
+
+def optimality(fitted: Fitted, records: DataFrame, label: str = "label", tolerance: float = 1e-7) -> DataFrame:
+    """``feature, coefficient, slope, limit, optimal`` of a two-class fit on the rows it was fitted on.
+
+    ``slope`` is the derivative of the weighted mean loss with the L2 part of the penalty, from one
+    aggregate over the rows. At the optimum it is the L1 limit against the sign of a coefficient
+    that is not zero, within the limit for one that is, and zero for the intercept, which must
+    hold as well for any column to count as optimal.
+    """
+    scaler, names = fitted.scaler, fitted.labels
+    matrix = encode(records.where(F.col(label).isNotNull()), fitted.raw_columns, fitted.vocabulary, [label])
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(float(scaler.median[c]))) / F.lit(float(scaler.std[c])) for c in fitted.columns]
+    rows = matrix.select((F.col(label) == names[1]).cast("double").alias("y"), F.array(*filled).alias("x"))
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = float(sum(sizes.values()))
+    weight = F.when(F.col("y") == 1, total / (2 * sizes[1.0])).otherwise(total / (2 * sizes[0.0]))
+    off = weight * (fitted.model.probabilities(F.col("x")) - F.col("y"))
+    sums = rows.select("x", off.alias("r")).agg(F.sum("r").alias("b"), *[F.sum(F.col("r") * F.col("x")[i]).alias(f"s{i}") for i in range(len(filled))])
+    share = 0.5 / (fitted.c * total)
+    level = F.abs(F.col("b") / total) <= tolerance
+    terms = [
+        F.struct(F.lit(c).alias("feature"), F.lit(float(w)).alias("coefficient"), (F.col(f"s{i}") / total + share * float(w)).alias("slope"))
+        for i, (c, w) in enumerate(zip(fitted.columns, fitted.model.matrix[0]))
+    ]
+    rows = sums.select(level.alias("level"), F.explode(F.array(*terms)).alias("t")).select("level", "t.*").withColumn("limit", F.lit(share))
+    held = F.when(F.col("coefficient") == 0, F.abs("slope") <= F.col("limit") + tolerance).otherwise(
+        F.abs(F.col("slope") + F.col("limit") * F.signum("coefficient")) <= tolerance
     )
+    return rows.withColumn("optimal", held & F.col("level")).drop("level")
 
 
 def coefficients(fitted: Fitted, features: DataFrame, class_index: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from compare import difference, duck
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
-LIGHT_ROWS_ONLY = ["k5_elastic_net_fit", "k9_predictions", "k14_detailed_predictions"]
+LIGHT_ROWS_ONLY = ["k17_improvement_loop"]
 
 
 @pytest.fixture(scope="module")
