@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from clearfold.checks import base as b
 from clearfold.checks.base import Check
+from clearfold.operators import association as assoc
 from clearfold.operators import matrix as mx
 from clearfold.operators import metrics as m
+from clearfold.operators import resampling as rsm
 from clearfold.operators.ordered import hash_head
 from clearfold.operators.profile import class_counts
 from clearfold.operators.sampling import kfold
@@ -176,6 +178,86 @@ s AS (SELECT *, CASE WHEN only_before + only_after > 0 THEN power(greatest(abs(o
 SELECT n, both_right, only_before, only_after, both_wrong, round(chi, 9) AS chi2, chi > 3.841458820694124 AND only_before > only_after AS significantly_worse FROM s"""
 
 
+def _paired_exact(spark, d):
+    """Two fixed rules compared on the lines of every quantity."""
+    li = b.table(spark, d, "lineitem")
+    wins = [F.count_if(c).alias(n) for n, c in (("only_before", _before() & ~_after()), ("only_after", ~_before() & _after()))]
+    return rounded(rsm.exact_paired_test(li.groupBy("l_quantity").agg(*wins)), 9)
+
+
+def _before():
+    return (F.col("l_tax") > 0.03) == (F.col("l_returnflag") == "R")
+
+
+def _after():
+    return (F.col("l_discount") > 0.06) == (F.col("l_returnflag") == "R")
+
+
+P3_EXACT = """WITH x AS (SELECT l_quantity, (l_tax > 0.03) = (l_returnflag = 'R') AS a, (l_discount > 0.06) = (l_returnflag = 'R') AS b FROM lineitem),
+c AS (SELECT l_quantity, count(*) FILTER (a AND NOT b) AS only_before, count(*) FILTER (NOT a AND b) AS only_after FROM x GROUP BY 1),
+t AS (SELECT *, only_before + only_after AS n, least(only_before, only_after) AS k FROM c),
+p AS (SELECT *, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, k + 1),
+  lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE))))) END AS v FROM t)
+SELECT l_quantity, only_before, only_after, round(v, 9) AS p_value, v < 0.05 AND only_before > only_after AS worse FROM p"""
+
+
+def _bootstrap(spark, d):
+    hit = (F.col("true_label") == F.col("predicted_label")).cast("double")
+    return rounded(rsm.bootstrap_interval(b.predictions(spark, d), hit))
+
+
+BOOTSTRAP = f"""WITH {b.PREDICTIONS}, draws AS (SELECT true_label = predicted_label AS hit, k * 8 + j AS r,
+    CAST('0x' || substr(md5('42:' || CAST(id AS VARCHAR) || ':' || CAST(k AS VARCHAR)), CAST(1 + 4 * j AS BIGINT), 4) AS INTEGER) AS u
+  FROM preds, range({rsm.REPLICATES // rsm.PER_DIGEST}) a(k), range({rsm.PER_DIGEST}) o(j)),
+weighted AS (SELECT r, hit, len(list_filter({list(rsm.POISSON)}, lambda t: t <= u)) AS w FROM draws),
+scores AS (SELECT r, sum(CASE WHEN hit THEN w ELSE 0 END) / sum(w) AS score FROM weighted GROUP BY r)
+SELECT count(*) AS n_replicates, round(quantile_cont(score, 0.025), 9) AS low, round(quantile_cont(score, 0.5), 9) AS median,
+  round(quantile_cont(score, 0.975), 9) AS high, round(stddev_samp(score), 9) AS std FROM scores"""
+
+ALL_SIGNALS = [*b.SIGNAL_NAMES, "lang"]
+
+
+def _associations(spark, d):
+    docs = b.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang")
+    return _labelled(spark, d).join(docs, "id")
+
+
+def _association(spark, d):
+    return rounded(assoc.label_association(_associations(spark, d), ALL_SIGNALS, "label"), 6)
+
+
+def _examples(spark, d):
+    return assoc.value_examples(_associations(spark, d), ALL_SIGNALS, "label")
+
+
+CELLS = f"""{{labelled}}, wide AS (SELECT l.*, lang FROM labelled l JOIN documents d ON l.id = CAST(d.doc_id AS VARCHAR)),
+cells AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value, label, id FROM wide" for c in ALL_SIGNALS)})"""
+ASSOCIATION = f"""WITH {CELLS.format(labelled=LABELLED)}, c AS (SELECT feature, value, label, count(*) AS c FROM cells GROUP BY ALL),
+m AS (SELECT *, sum(c) OVER (PARTITION BY feature, value) AS r, sum(c) OVER (PARTITION BY feature, label) AS k, sum(c) OVER (PARTITION BY feature) AS n FROM c),
+s AS (SELECT feature, any_value(n) AS n, count(DISTINCT value) AS v, count(DISTINCT label) AS l, sum(power(c - r * k / n, 2) / (r * k / n)) + any_value(n) - sum(r * k / n) AS chi2,
+  sum(c / n * ln(c * n / (r * k))) AS mi FROM m GROUP BY feature)
+SELECT feature, CAST(n AS BIGINT) AS n, v AS n_values, l AS n_labels, round(chi2, 6) AS chi2,
+  round(CASE WHEN least(v - power(v - 1, 2) / (n - 1), l - power(l - 1, 2) / (n - 1)) > 1 THEN
+    sqrt(greatest(0.0, chi2 / n - (v - 1) * (l - 1) / (n - 1)) / (least(v - power(v - 1, 2) / (n - 1), l - power(l - 1, 2) / (n - 1)) - 1)) ELSE 0.0 END, 6) AS cramers_v,
+  round(greatest(mi, 0.0), 6) AS mutual_information FROM s"""
+EXAMPLES = f"""WITH {CELLS.format(labelled=LABELLED)}, r AS (SELECT *, row_number() OVER (PARTITION BY feature, value, label ORDER BY md5('42:' || id), id) AS i,
+  count(*) OVER (PARTITION BY feature, value, label) AS n FROM cells)
+SELECT feature, value, label, any_value(n) AS n, string_agg(id, ',' ORDER BY i) AS examples FROM r WHERE i <= 3 GROUP BY feature, value, label"""
+
+
+def _line_correlations(spark, d):
+    """Every pair of the numeric columns of the lines, some with gaps."""
+    li = b.table(spark, d, "lineitem").withColumn("l_tax", F.when(F.col("l_discount") < 0.09, F.col("l_tax")))
+    return rounded(assoc.correlations(li, LINE_NUMBERS), 6)
+
+
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_CORRELATIONS = "WITH li AS (SELECT * REPLACE (CASE WHEN l_discount < 0.09 THEN l_tax END AS l_tax) FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{x}' AS feature_a, '{y}' AS feature_b, count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) AS n, round(corr({x}, {y}), 6) AS r FROM li"
+    for i, x in enumerate(LINE_NUMBERS) for y in LINE_NUMBERS[i + 1 :]
+)
+
+
 def _fold_scores(spark, d):
     """Accuracy per fold of a fixed rule, then mean and population std."""
     p = kfold(b.predictions(spark, d), "true_label", 5)
@@ -210,11 +292,11 @@ def _quality(spark, d):
 
 
 def _redundant(spark, d):
-    return rounded(m.redundant_pairs(_numeric_records(spark, d), SIG_NUM), 6)
+    return rounded(assoc.redundant_pairs(_numeric_records(spark, d), SIG_NUM), 6)
 
 
 def _rank_corr(spark, d):
-    return rounded(m.rank_correlation(_numeric_records(spark, d), SIG_NUM, "y"), 6)
+    return rounded(assoc.rank_correlation(_numeric_records(spark, d), SIG_NUM, "y"), 6)
 
 
 def _rank_sql() -> str:
@@ -419,7 +501,12 @@ SELECT round(c, 6) AS total_cost_usd, n AS n_samples, round(c / n, 6) AS cost_pe
 SELECT n, k AS n_correct, round(p, 9) AS accuracy, round(((p + z * z / (2 * n)) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS low,
   round(((p + z * z / (2 * n)) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS high FROM z""",
     ),
+    Check("p2_bootstrap_interval", _bootstrap, BOOTSTRAP),
     Check("p3_paired_comparison", _paired, PAIRED),
+    Check("p3_exact", _paired_exact, P3_EXACT),
+    Check("p5_line_correlations", _line_correlations, LINE_CORRELATIONS),
+    Check("p6_label_association", _association, ASSOCIATION),
+    Check("p6_value_examples", _examples, EXAMPLES),
     Check(
         "p5_feature_quality",
         _quality,

@@ -1,5 +1,6 @@
 import pytest
 
+from clearfold.operators import association as assoc
 from clearfold.operators import metrics as m
 
 
@@ -60,5 +61,5 @@ def test_wilson(spark):
 
 def test_redundant_constant_is_not_flagged(spark):
     df = spark.createDataFrame([(1, 2, 5), (2, 4, 5), (3, 6, 5)], "a int, b int, c int")
-    got = {(r.feature_a, r.feature_b): r.redundant for r in m.redundant_pairs(df, ["a", "b", "c"]).collect()}
+    got = {(r.feature_a, r.feature_b): r.redundant for r in assoc.redundant_pairs(df, ["a", "b", "c"]).collect()}
     assert got == {("a", "b"): True, ("a", "c"): False, ("b", "c"): False}
