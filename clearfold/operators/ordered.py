@@ -23,7 +23,6 @@ _H, _B, _N, _BEFORE = "__hash", "__chunk", "__n", "__before"
 
 
 
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -67,9 +66,11 @@ def hex_digits_for(n_rows: int) -> int:
     return digits
 
 
-def _keyed(df: DataFrame, id_col: str, seed: int | Column) -> DataFrame:
-    """Add the hash and its chunk; counts the rows first."""
-    return df.withColumn(_H, hash_order(seed, id_col)).withColumn(_B, F.substring(_H, 1, hex_digits_for(df.count())))
+def _written(df: DataFrame, columns: Sequence[str], id_col: str, seed: int | Column) -> tuple[DataFrame, int]:
+    """(written table of ``columns`` with the hash and its chunk, rows); the input is read once."""
+    narrow = cut(df.select(*columns, hash_order(seed, id_col).alias(_H)))
+    n = narrow.count()
+    return narrow.withColumn(_B, F.substring(_H, 1, hex_digits_for(n))), n
 
 
 def _chunk_counts(keyed: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -86,9 +87,10 @@ def _on(strata: Sequence[str], null_safe: bool) -> Column:
 def hash_rank(df: DataFrame, strata: Sequence[str], id_col: str, seed: int | Column, out: str = "rank") -> DataFrame:
     """Add the 0-based position of each row in the hash order of its stratum.
 
-    ``id_col`` must be unique within a stratum. Null strata form a stratum of their own.
+    ``id_col`` must be unique within a stratum. Null strata form a stratum of their own. ``df`` is
+    written once with its hashes, so it should hold narrow columns only.
     """
-    keyed = _keyed(df, id_col, seed)
+    keyed, _ = _written(df, df.columns, id_col, seed)
     earlier = Window.partitionBy(*(strata or [F.lit(0)])).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = _chunk_counts(keyed, strata).select(
         *[F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)],
@@ -101,25 +103,11 @@ def hash_rank(df: DataFrame, strata: Sequence[str], id_col: str, seed: int | Col
     return ranked.join(offsets, cond).withColumn(out, F.col(_BEFORE) + F.col("__in") - 1).select(*df.columns, out)
 
 
-def hash_sample(
-    df: DataFrame,
-    strata: Sequence[str],
-    id_col: str,
-    seed: int | Column,
-    quota: Column,
-    total_over: Sequence[str] = (),
-    null_strata: bool = False,
-) -> DataFrame:
-    """The first ``quota`` rows of every stratum in hash order.
+def _last_rows(keyed: DataFrame, strata: Sequence[str], id_col: str, quota: Column, total_over: Sequence[str]) -> DataFrame:
+    """Written table of one row per stratum: hash and id of the last row that its quota takes, and how many it takes.
 
-    ``quota`` is an expression over ``n_stratum`` and ``n_total`` (rows of the stratum, rows
-    of all strata that share ``total_over``). Rows of a null stratum count towards
-    ``n_total`` but are drawn only with ``null_strata``. A draw is a prefix of the hash
-    order, so one boundary chunk per stratum says it all: what lies before it is taken where
-    it is scanned, and only the boundary chunks are ordered. The boundaries are written
-    first, one row per stratum, so their size is known when the large side is planned.
+    Chunk counts name the chunk in which a quota ends; only the rows of that chunk are ordered.
     """
-    keyed = _keyed(df, id_col, seed)
     counts = _chunk_counts(keyed, strata)
     part = list(strata) or [F.lit(0)]
     earlier = Window.partitionBy(*part).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
@@ -133,16 +121,59 @@ def hash_sample(
         sized = sized.withColumn("n_total", counts.agg(F.sum(_N)).scalar())
     reached = sized.withColumn("__quota", quota.cast("bigint")).where(F.col(_BEFORE) < F.col("__quota"))
     last = F.max(F.struct(_B, (F.col("__quota") - F.col(_BEFORE)).alias("rest"))).alias("x")
-    ends = cut(reached.groupBy(*strata).agg(last).select(*strata, F.col(f"x.{_B}").alias("__last"), F.col("x.rest").alias("__rest")))
-    if strata:
-        named = ends.select(*[F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)], "__last", "__rest")
-        placed = keyed.join(named, _on(strata, null_strata))
-    else:
-        end = ends.first()
-        placed = keyed.withColumns({"__last": F.lit(end["__last"] if end else ""), "__rest": F.lit(end["__rest"] if end else 0)})
+    taken = F.max(F.least("__quota", "n_stratum")).alias("__taken")
+    ends = reached.groupBy(*strata).agg(last, taken).select(*[F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)], "x.*", "__taken")
+    ends = ends.withColumnRenamed(_B, "__last")
     inside = Window.partitionBy(*strata, _B).orderBy(_H, id_col)
-    edge = placed.where(F.col(_B) == F.col("__last")).withColumn("__in", F.row_number().over(inside)).where(F.col("__in") <= F.col("__rest"))
-    return placed.where(F.col(_B) < F.col("__last")).select(*df.columns).unionByName(edge.select(*df.columns))
+    edge = keyed.join(ends, (F.col(_B) == F.col("__last")) & _on(strata, True)).withColumn("__in", F.row_number().over(inside))
+    top = F.max(F.struct(F.col(_H).alias("h"), F.col(id_col).alias("i"))).alias("__top")
+    kept = edge.where(F.col("__in") <= F.col("rest")).groupBy(*[F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)])
+    return cut(kept.agg(top, F.max("__taken").alias("__taken")))
+
+
+def _up_to(hashed: DataFrame, strata: Sequence[str], id_col: str, last: DataFrame, null_strata: bool) -> DataFrame:
+    """Rows that do not come after the last row of their stratum: a filter of the scan next to one row per stratum."""
+    place = F.struct(F.col(_H).alias("h"), F.col(id_col).alias("i"))
+    if strata:
+        return hashed.join(last, _on(strata, null_strata)).where(place <= F.col("__top")).select(*hashed.columns)
+    end = last.first()
+    if end is None:
+        return hashed.limit(0)
+    kind = hashed.schema[id_col].dataType
+    return hashed.where(place <= F.struct(F.lit(end["__top"]["h"]).alias("h"), F.lit(end["__top"]["i"]).cast(kind).alias("i")))
+
+
+def hash_sample(
+    df: DataFrame,
+    strata: Sequence[str],
+    id_col: str,
+    seed: int | Column,
+    quota: Column,
+    total_over: Sequence[str] = (),
+    null_strata: bool = False,
+    head: int | None = None,
+    head_per: Sequence[str] = (),
+) -> DataFrame:
+    """The first ``quota`` rows of every stratum in hash order, and of these the first ``head`` per key of ``head_per``.
+
+    ``quota`` is an expression over ``n_stratum`` and ``n_total`` (rows of the stratum, rows
+    of all strata that share ``total_over``). Rows of a null stratum count towards
+    ``n_total`` but are drawn only with ``null_strata``. A draw is a prefix of the hash
+    order, so the last row of every stratum says it all. Those are found in a written table of
+    ids, strata and hashes. The input is read once for that table, and once more, as a filter
+    of its scan, if it has columns that the table lacks.
+    """
+    wanted = list(dict.fromkeys([*strata, *total_over, *head_per, id_col]))
+    keyed, _ = _written(df, wanted, id_col, seed)
+    rounds = [(strata, _last_rows(keyed, strata, id_col, quota, total_over), null_strata)]
+    if head is not None:
+        drawn = _up_to(keyed, strata, id_col, rounds[0][1], null_strata)
+        if head_per or (rounds[0][1].agg(F.sum("__taken")).first()[0] or 0) > head:
+            rounds.append((head_per, _last_rows(drawn, head_per, id_col, F.lit(head), ()), True))
+    rows = keyed if set(df.columns) <= set(wanted) else df.withColumn(_H, hash_order(seed, id_col))
+    for keys, last, nulls in rounds:
+        rows = _up_to(rows, keys, id_col, last, nulls)
+    return rows.select(*df.columns)
 
 
 def hash_head(df: DataFrame, id_col: str, seed: int | Column, n: int, per: Sequence[str] = ()) -> DataFrame:

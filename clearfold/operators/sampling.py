@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearfold.operators.ordered import hash_head, hash_rank, hash_sample
+from clearfold.operators.ordered import hash_rank, hash_sample
 from clearfold.session import cut
 
 # Seeds of the split steps.
@@ -28,22 +28,20 @@ def uniform_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = SEED)
 
 def stratified_sample(df: DataFrame, label: str, size: int, id_col: str = "id", seed: int = SEED) -> DataFrame:
     """Proportional draw per label, cut to ``size`` when the at-least-one rule overshoots."""
-    drawn = hash_sample(df, [label], id_col, seed, proportional_quota(size))
-    return hash_head(drawn, id_col, seed, size)
+    return hash_sample(df, [label], id_col, seed, proportional_quota(size), head=size)
 
 
 def stratified_trim(df: DataFrame, label: str, size: int, id_col: str = "id", seed: int = SEED) -> DataFrame:
     """The proportional draw where ``df`` has more than ``size`` rows, else ``df`` itself; 0 keeps all.
 
     The choice is part of the plan: with no more rows than ``size`` every quota is the
-    whole stratum, null labels included.
+    whole stratum, null labels included; else a null label has no quota.
     """
     if size <= 0:
         return df
-    quota = F.when(F.col("n_total") > size, proportional_quota(size)).otherwise(F.col("n_stratum"))
-    drawn = hash_sample(df, [label], id_col, seed, quota)
-    unlabelled = df.where(F.col(label).isNull() & (df.agg(F.count(F.lit(1))).scalar() <= size))
-    return hash_head(drawn.unionByName(unlabelled), id_col, seed, size)
+    share = F.when(F.col(label).isNotNull(), proportional_quota(size)).otherwise(0)
+    quota = F.when(F.col("n_total") > size, share).otherwise(F.col("n_stratum"))
+    return hash_sample(df, [label], id_col, seed, quota, null_strata=True, head=size)
 
 
 def without(df: DataFrame, taken: DataFrame, id_col: str = "id") -> DataFrame:
@@ -63,13 +61,11 @@ def stratified_split(
 def train_folds(pool: DataFrame, label: str, size: int, n_folds: int, id_col: str = "id") -> DataFrame:
     """``n_folds`` independent draws from ``pool``; a row can be in several folds.
 
-    All folds are drawn in one pass: the pool is expanded by fold before the map-side
-    count, and the second pass keeps only what each fold's quota admits.
+    All folds are drawn in one pass: the pool is expanded by fold when its ids are written.
     """
     expanded = pool.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
     seed = F.lit(SEED_FOLDS) + F.col("fold")
-    drawn = hash_sample(expanded, ["fold", label], id_col, seed, proportional_quota(size), total_over=["fold"])
-    return hash_head(drawn, id_col, seed, size, per=["fold"])
+    return hash_sample(expanded, ["fold", label], id_col, seed, proportional_quota(size), total_over=["fold"], head=size, head_per=["fold"])
 
 
 def make_splits(
@@ -84,11 +80,11 @@ def make_splits(
 ) -> DataFrame:
     """One table ``(id, label, role, fold)``: test, validation, train_pool and the train folds.
 
-    Test and validation are small next to the pool; writing them down once keeps the later
-    draws from repeating the earlier ones.
+    The keys are written down once, and so are test and validation, which are small next to the
+    pool: that keeps the later draws from repeating the earlier ones.
     """
     keep = cut if materialise else (lambda d: d)
-    keys = df.select(id_col, label)
+    keys = keep(df.select(id_col, label))
     test = keep(stratified_sample(keys, label, test_size, id_col, SEED))
     rest = without(keys, test, id_col)
     validation = keep(stratified_sample(rest, label, validation_size, id_col, SEED_VALIDATION))

@@ -133,3 +133,25 @@ def test_sample_does_not_shuffle_the_large_side(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_draws_read_their_input_at_most_twice(spark):
+    """Counted in the tasks that make the input's rows."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(pdf):
+        reads.add(len(pdf))
+        return pdf
+
+    n = 2000
+    df = spark.range(n).select("id", (F.col("id") % 3).cast("string").alias("label"), F.lit("a long text").alias("body"))
+    df = df.mapInPandas(lambda it: (counted(p) for p in it), df.schema)
+    draws = {
+        "uniform": lambda d: sp.uniform_sample(d, 100), "stratified": lambda d: sp.stratified_sample(d, "label", 100),
+        "trim": lambda d: sp.stratified_trim(d, "label", 100), "splits": lambda d: sp.make_splits(d, "label", 100, 100, 50, 3),
+        "rank": lambda d: hash_rank(d.select("id", "label"), ["label"], "id", 1), "folds": lambda d: sp.train_folds(d, "label", 50, 3),
+    }
+    for name, draw in draws.items():
+        reads.value = 0
+        assert draw(df).collect()
+        assert reads.value <= 2 * n, (name, reads.value / n)
