@@ -12,7 +12,7 @@ from clearfold.functions.text import clean_phrases, keep_mark, score_stars
 from clearfold.operators import extraction as ex
 from clearfold.operators import metrics as m
 from clearfold.operators import requests as rq
-from clearfold.operators.featuredefs import record_schema
+from clearfold.operators.featuredefs import column_cost, record_schema
 from clearfold.operators.ordered import hash_head
 from clearfold.operators.sampling import stratified_sample
 
@@ -144,8 +144,82 @@ def _budget_lines(spark, d):
     return rq.budget_lines(budgets).select("o_orderkey", "budget_lines")
 
 
+def _config_coefs(spark, d):
+    """The coefficients of one model per configuration, under the configuration's id."""
+    of_part = F.concat(F.lit("c"), F.floor(F.substring("feature", 2, 20).cast("bigint") / 12).cast("string"))
+    odds = m.coefficient_table(b.coefs(spark, d))
+    return odds.withColumn("config_id", of_part)
+
+
 def _coefficient_lines(spark, d):
-    return rq.coefficient_lines(m.coefficient_table(b.coefs(spark, d)))
+    return rq.coefficient_lines(_config_coefs(spark, d))
+
+
+def _sample_answers(spark, d):
+    """One sample analysis per configuration as JSON; some lack a part, some are no JSON."""
+    p = b.table(spark, d, "part").withColumn("config_id", F.concat(F.lit("c"), F.floor(F.col("p_partkey") / 12).cast("string")))
+    parts = p.groupBy("config_id").agg(
+        F.sum("p_size").alias("s"), F.min("p_type").alias("a"), F.max("p_type").alias("w"), F.array_sort(F.collect_set("p_brand")).alias("m"), F.min("p_name").alias("k")
+    )
+    answer = F.to_json(
+        F.struct(
+            F.col("a").alias("correct_patterns"), F.when(F.col("s") % 7 != 0, F.col("w")).alias("incorrect_patterns"),
+            F.col("m").alias("missing_signals"), F.col("k").alias("key_insight"),
+        )
+    )
+    return parts.select("config_id", "s", F.when(F.col("s") % 11 == 0, F.lit("sorry, no")).otherwise(answer).alias("response"))
+
+
+def _insights(spark, d):
+    return rq.sample_insights(rq.parse_answers(_sample_answers(spark, d), rq.SAMPLE_DDL), ["config_id"])
+
+
+def _insight_rows(spark, d):
+    return _insights(spark, d).withColumn("missing_signals", F.array_join("missing_signals", ","))
+
+
+def _broad_patterns(spark, d):
+    """Patterns of one broad answer per configuration, with blanks to trim and blank entries."""
+    defs = b.definitions(spark, d)
+    padded = F.when(F.col("pos") % 4 == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), "description", F.lit(" ")))
+    lists = defs.groupBy("config_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", padded.alias("t")))), lambda x: x["t"]).alias("patterns"))
+    answers = lists.select("config_id", F.to_json(F.struct("patterns")).alias("response"))
+    return rq.broad_patterns(rq.parse_answers(answers, rq.BROAD_DDL), ["config_id"], keep=6)
+
+
+def _proposal(spark, d):
+    """The whole request of every configuration."""
+    defs = b.definitions(spark, d)
+    s = F.col("s")
+    standing = _sample_answers(spark, d).select(
+        "config_id", (s % 8 / F.lit(8.0)).alias("cv_accuracy"), (s % 3 / F.lit(8.0)).alias("cv_std"), (s % 5).cast("int").alias("n_nonzero"),
+        F.lit(12).alias("n_columns"), (s % 40).cast("int").alias("effective_dim"), F.lit(18).alias("budget"),
+    )
+    costs = defs.select("config_id", "name", column_cost().cast("bigint").alias("n_columns"))
+    tried = b.proposals(spark, d).where(F.col("pos") < 3)
+    return rq.proposal_requests(standing, _config_coefs(spark, d), defs, costs, _insights(spark, d), tried, ["one", "two"], 4)
+
+
+CONFIG_COEFS = f"{b.COEFS}, config_coefs AS (SELECT 'c' || CAST(CAST(substr(feature, 2) AS BIGINT) // 12 AS VARCHAR) AS config_id, * FROM coefs)"
+COEF_LINES = """SELECT config_id, string_agg(CASE WHEN coefficient >= 0 THEN '+' ELSE '' END || printf('%.4f', coefficient) || ' ' || feature || ', odds x ' ||
+  printf('%.3f', exp(coefficient)), chr(10) ORDER BY abs(coefficient) DESC, feature) AS coefficient_lines FROM config_coefs GROUP BY config_id"""
+DEF_LINES = "SELECT config_id, string_agg(name || ' (' || type || ') ' || description, chr(10) ORDER BY pos) AS definition_lines FROM defs GROUP BY config_id"
+INSIGHTS = """parts AS (SELECT 'c' || CAST(p_partkey // 12 AS VARCHAR) AS config_id, CAST(sum(p_size) AS BIGINT) AS s, min(p_type) AS a, max(p_type) AS w,
+  string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS m, string_agg(DISTINCT p_brand, '; ' ORDER BY p_brand) AS signals, min(p_name) AS k FROM part GROUP BY 1),
+insights AS (SELECT *, s % 11 <> 0 AS valid, s % 7 <> 0 AS whole FROM parts)"""
+PROPOSAL_SQL = f"""WITH {CONFIG_COEFS}, {b.DEFINITIONS}, {b.PROPOSALS}, {INSIGHTS}, cl AS ({COEF_LINES}), dl AS ({DEF_LINES}),
+costs AS (SELECT config_id, name || ' ' || c AS t, row_number() OVER (PARTITION BY config_id ORDER BY c DESC, name) AS i FROM
+  (SELECT config_id, name, CASE WHEN type = 'categorical' THEN greatest(len(values) - 1, 0) ELSE 1 END AS c FROM defs)),
+dear AS (SELECT config_id, string_agg(t, ', ' ORDER BY i) AS dearest FROM costs WHERE i <= 10 GROUP BY 1),
+past AS (SELECT config_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS tried FROM proposals WHERE pos < 3 GROUP BY 1)
+SELECT i.config_id, {{head}} || 'Accuracy over folds ' || printf('%.3f', s % 8 / 8.0::DOUBLE) || ', spread ' || printf('%.3f', s % 3 / 8.0::DOUBLE) || '; ' ||
+  CAST(s % 5 AS VARCHAR) || ' of 12 columns carry weight.' || chr(10) || 'Columns left: ' || CASE WHEN 18 - s % 40 >= 0 THEN '+' ELSE '' END || CAST(18 - s % 40 AS VARCHAR) ||
+  ' of 18, ' || CAST(s % 40 AS VARCHAR) || ' taken.' || chr(10) || 'Dearest: ' || dearest || chr(10) || chr(10) || 'Lessons of the samples:' || chr(10) ||
+  CASE WHEN valid THEN 'above all: ' || k || chr(10) || 'lacking: ' || signals || chr(10) || CASE WHEN whole THEN 'where wrong: ' || w || chr(10) ELSE '' END || 'where right: ' || a
+    ELSE '(none)' END || chr(10) || chr(10) || 'Known patterns:' || chr(10) || '- one' || chr(10) || '- two' || chr(10) || chr(10) || 'Features:' || chr(10) || definition_lines ||
+  chr(10) || chr(10) || 'Coefficients:' || chr(10) || coefficient_lines || chr(10) || chr(10) || 'Remove up to 4 features and add up to 4. Not to be named again: ' ||
+  coalesce(tried, '(none)') AS prompt
+FROM insights i JOIN dear USING (config_id) JOIN cl USING (config_id) JOIN dl USING (config_id) LEFT JOIN past USING (config_id)"""
 
 
 def _definition_lines(spark, d):
@@ -305,19 +379,23 @@ FROM x WHERE rn <= 5""",
     Check(
         "j11_budget_lines",
         _budget_lines,
-        """SELECT o_orderkey, '- Columns in use: ' || e || chr(10) || '- Column budget: 18' || chr(10) || '- Columns left: ' || CASE WHEN 18 - e >= 0 THEN '+' ELSE '' END ||
-  (18 - e) || chr(10) AS budget_lines FROM (SELECT o_orderkey, o_custkey % 40 AS e FROM orders)""",
+        """SELECT o_orderkey, 'Columns left: ' || CASE WHEN 18 - e >= 0 THEN '+' ELSE '' END || (18 - e) || ' of 18, ' || e || ' taken.' AS budget_lines
+FROM (SELECT o_orderkey, o_custkey % 40 AS e FROM orders)""",
     ),
+    Check("j11_coefficient_lines", _coefficient_lines, f"WITH {CONFIG_COEFS} {COEF_LINES}"),
+    Check("j11_definition_lines", _definition_lines, f"WITH {b.DEFINITIONS} {DEF_LINES}"),
+    Check("j11_proposal_request", _proposal, PROPOSAL_SQL.format(head=_sql_text(rq.PROPOSAL_HEAD))),
     Check(
-        "j11_coefficient_lines",
-        _coefficient_lines,
-        f"""WITH {b.COEFS} SELECT string_agg(CASE WHEN coefficient >= 0 THEN '+' ELSE '' END || printf('%.4f', coefficient) || ' ' || feature || ', odds x ' ||
-  printf('%.3f', exp(coefficient)), chr(10) ORDER BY abs(coefficient) DESC, feature) AS coefficient_lines FROM coefs""",
+        "j12_parse_broad",
+        _broad_patterns,
+        f"""WITH {b.DEFINITIONS}, kept AS (SELECT config_id, trim(description) AS pattern, CAST(row_number() OVER (PARTITION BY config_id ORDER BY pos) - 1 AS INTEGER) AS pos
+  FROM defs WHERE pos % 4 <> 3 AND trim(description) <> '') SELECT config_id, pos, pattern FROM kept WHERE pos < 6""",
     ),
     Check(
-        "j11_definition_lines",
-        _definition_lines,
-        f"WITH {b.DEFINITIONS} SELECT config_id, string_agg('  ' || name || ': ' || description, chr(10) ORDER BY pos) AS definition_lines FROM defs GROUP BY config_id",
+        "j12_parse_sample",
+        _insight_rows,
+        f"""WITH {INSIGHTS} SELECT config_id, CASE WHEN valid THEN a END AS correct_patterns, CASE WHEN valid AND whole THEN w END AS incorrect_patterns,
+  CASE WHEN valid THEN m END AS missing_signals, CASE WHEN valid THEN k END AS key_insight, valid AND whole AS complete FROM insights""",
     ),
     Check("j12_parse_evaluations", _evaluations, EVAL_SQL),
     Check(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clearfold.functions.text import truncate
+from clearfold.functions.text import clean_phrases, truncate
 
 # Text lengths and sample counts of the requests.
 SAMPLE_CHARS = 400
@@ -104,47 +104,70 @@ def sample_request(right: DataFrame, wrong: DataFrame, features: Sequence[str],
     )
 
 
-def coefficient_lines(coefs: DataFrame) -> DataFrame:
-    """All coefficients as one text, largest first; a model has a bounded number of them."""
+def coefficient_lines(coefs: DataFrame, keys: Sequence[str] = ("config_id",)) -> DataFrame:
+    """The coefficients of each model as one text, largest first; a model has a bounded number of them."""
     line = F.format_string("%+.4f %s, odds x %.3f", F.col("coefficient"), F.col("feature"), F.col("odds_ratio"))
-    keyed = coefs.select(F.struct((-F.col("abs_coef")).alias("a"), F.col("feature").alias("f")).alias("o"), line.alias("l"))
-    return keyed.agg(joined_in_order("o", F.col("l")).alias("coefficient_lines"))
+    keyed = coefs.select(*keys, F.struct((-F.col("abs_coef")).alias("a"), F.col("feature").alias("f")).alias("o"), line.alias("l"))
+    return keyed.groupBy(*keys).agg(joined_in_order("o", F.col("l")).alias("coefficient_lines"))
 
 
-def definition_lines(defs: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("  "), F.col("name"), F.lit(": "), F.coalesce("description", F.lit("")))
-    return defs.groupBy("config_id").agg(joined_in_order("pos", line).alias("definition_lines"))
+def definition_lines(defs: DataFrame, keys: Sequence[str] = ("config_id",)) -> DataFrame:
+    line = F.concat(F.col("name"), F.lit(" ("), F.col("type"), F.lit(") "), F.coalesce("description", F.lit("")))
+    return defs.groupBy(*keys).agg(joined_in_order("pos", line).alias("definition_lines"))
 
 
-def budget_lines(budgets: DataFrame) -> DataFrame:
-    """Columns in use, the cap and what is left, per row of ``(effective_dim, budget)``."""
-    return budgets.withColumn(
-        "budget_lines",
-        F.format_string(
-            "- Columns in use: %d\n- Column budget: %d\n- Columns left: %+d\n",
-            F.col("effective_dim"),
-            F.col("budget"),
-            F.col("budget") - F.col("effective_dim"),
-        ),
-    )
+def cost_lines(costs: DataFrame, keys: Sequence[str] = ("config_id",), top: int = 10) -> DataFrame:
+    """The ``top`` dearest features of each configuration with their matrix columns, equal ones by name."""
+    entry = F.struct((-F.col("n_columns")).alias("c"), F.col("name").alias("n"))
+    shown = lambda e: F.concat(e["n"], F.lit(" "), (-e["c"]).cast("string"))
+    return costs.groupBy(*keys).agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(entry)), 1, top), shown), ", ").alias("cost_lines"))
 
 
-def proposal_prompt(
-    coefficient_text: str, definition_text: str, budget_text: str, tried: Sequence[str], patterns: Sequence[str], max_swaps: int
-) -> str:
-    """Text of a proposal request from its parts."""
-    return (
-        PROPOSAL_HEAD
-        + budget_text
-        + "\nKnown patterns:\n"
-        + bullet_list(patterns)
-        + "\n\nCoefficients:\n"
-        + coefficient_text
-        + "\n\nDefinitions:\n"
-        + definition_text
-        + f"\n\nRemove up to {max_swaps}, add up to {max_swaps}. Names already tried: "
-        + (", ".join(tried) or "none")
+def budget_lines(budgets: DataFrame) -> DataFrame:
+    """What is left of the column budget, per row of ``(effective_dim, budget)``."""
+    left = F.col("budget") - F.col("effective_dim")
+    return budgets.withColumn("budget_lines", F.format_string("Columns left: %+d of %d, %d taken.", left, F.col("budget"), F.col("effective_dim")))
+
+
+def insight_lines(insights: DataFrame) -> DataFrame:
+    """The parsed sample analyses as texts, one part to a line; parts that are missing are left out."""
+    part = lambda head, text: F.when(F.length(text) > 0, F.concat(F.lit(head), text))
+    lines = F.array_compact(
+        F.array(
+            part("above all: ", F.col("key_insight")), part("lacking: ", F.array_join("missing_signals", "; ")),
+            part("where wrong: ", F.col("incorrect_patterns")), part("where right: ", F.col("correct_patterns")),
+        )
+    )
+    return insights.withColumn("insight_lines", F.array_join(lines, "\n"))
+
+
+def proposal_requests(
+    standing: DataFrame, coefs: DataFrame, defs: DataFrame, costs: DataFrame, insights: DataFrame, tried: DataFrame,
+    patterns: Sequence[str] = (), max_swaps: int = 3, key: str = "config_id",
+) -> DataFrame:
+    """One request per row of ``standing``: ``key, prompt``.
+
+    ``standing`` has ``cv_accuracy, cv_std, n_nonzero, n_columns, effective_dim, budget``; the others
+    hold rows of the same key: coefficients, definitions, matrix columns per feature (``name,
+    n_columns``), parsed sample analyses and names tried before. A key may be missing in any of them.
+    """
+    names = tried.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("tried"))
+    seen = insight_lines(insights).select(key, "insight_lines")
+    rows = budget_lines(standing)
+    for part in (coefficient_lines(coefs, [key]), definition_lines(defs, [key]), cost_lines(costs, [key]), seen, names):
+        rows = rows.join(part, key, "left")
+    score = F.format_string(
+        "Accuracy over folds %.3f, spread %.3f; %d of %d columns carry weight.", F.col("cv_accuracy"), F.col("cv_std"), F.col("n_nonzero"), F.col("n_columns")
     )
+    shown = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(none)"))
+    rules = f"Remove up to {max_swaps} features and add up to {max_swaps}. Not to be named again: "
+    prompt = F.concat(
+        F.lit(PROPOSAL_HEAD), score, F.lit("\n"), F.col("budget_lines"), F.lit("\nDearest: "), shown("cost_lines"),
+        F.lit("\n\nLessons of the samples:\n"), shown("insight_lines"), F.lit("\n\nKnown patterns:\n" + bullet_list(patterns)),
+        F.lit("\n\nFeatures:\n"), shown("definition_lines"), F.lit("\n\nCoefficients:\n"), shown("coefficient_lines"),
+        F.lit("\n\n" + rules), shown("tried"),
+    )
+    return rows.select(key, prompt.alias("prompt"))
 
 
 # -- answers ---------------------------------------------------------------------------
@@ -155,6 +178,20 @@ def parse_answers(df: DataFrame, ddl: str, column: str = "response") -> DataFram
     return df.withColumn("answer", F.from_json(column, ddl))
 
 
+def broad_patterns(parsed: DataFrame, keys: Sequence[str], keep: int = BROAD_PATTERNS) -> DataFrame:
+    """Patterns of broad answers in order: trimmed, blank ones left out, the first ``keep``; ``keys, pos, pattern``."""
+    return parsed.select(*keys, F.posexplode(clean_phrases(F.col("answer.patterns"), keep)).alias("pos", "pattern"))
+
+
+def sample_insights(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sample analyses as columns; ``complete`` is false where the answer is no JSON or lacks a part."""
+    fields = ("correct_patterns", "incorrect_patterns", "missing_signals", "key_insight")
+    complete = F.lit(True)
+    for f in fields:
+        complete = complete & F.col(f"answer.{f}").isNotNull()
+    return parsed.select(*keys, *[F.col(f"answer.{f}").alias(f) for f in fields], F.coalesce(complete, F.lit(False)).alias("complete"))
+
+
 def _lax_int(c: Column) -> Column:
     return c.try_cast("int")
 

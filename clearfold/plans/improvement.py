@@ -16,6 +16,7 @@ from clearfold.operators import requests as rq
 from clearfold.operators.matrix import encoded_columns
 from clearfold.operators.ordered import hash_head
 from clearfold.operators.profile import class_counts
+from clearfold.operators.resampling import exact_paired_test
 from clearfold.operators.sampling import SEED, SEED_BROAD, make_splits, stratified_sample
 from clearfold.plans.feature_run import Extract
 from clearfold.session import cut
@@ -46,9 +47,11 @@ class Context:
     sample_prompt: str
     proposal_prompt: str
     tried: list[str]
+    insights: dict | None = None
+    reverted: bool = False
 
 
-Proposer = Callable[[Context], Changes]
+Proposer = Callable[[Context], Changes | str]  # changes, or an answer in JSON
 
 
 TEST_RESULT_DDL = "test_accuracy double, n_test bigint, best_val_accuracy double, best_features array<string>"
@@ -62,6 +65,33 @@ class Outcome:
     test_accuracy: float | None
     test_metrics: DataFrame | None
     error: str | None
+    broad_error: str | None = None
+
+
+def answered_changes(spark, answer: str) -> Changes:
+    """The changes an iteration answer in JSON asks for; nothing where it cannot be read."""
+    parsed = rq.parse_answers(spark.createDataFrame([(0, answer)], "k int, response string"), rq.ITERATION_DDL)
+    remove = rq.requested_removals(parsed, ["k"]).orderBy("pos").collect()  # one answer
+    add = rq.requested_additions(parsed, ["k"]).orderBy("pos").collect()
+    fields = ("name", "feature_type", "description", "min_val", "max_val", "values")
+    return Changes([r["name"] for r in remove], [{f: r[f] for f in fields} for r in add])
+
+
+def answered_patterns(spark, answer: str | Sequence[str]) -> list[str]:
+    """Cleaned patterns of a broad answer, in JSON or as a list."""
+    if isinstance(answer, str):
+        rows = spark.createDataFrame([(0, answer)], "k int, response string")
+    else:
+        rows = spark.createDataFrame([(0, list(answer))], "k int, patterns array<string>").select("k", F.to_json(F.struct("patterns")).alias("response"))
+    return [r["pattern"] for r in rq.broad_patterns(rq.parse_answers(rows, rq.BROAD_DDL), ["k"]).orderBy("pos").collect()]
+
+
+def proposal_prompt(spark, standing: tuple, coefs: DataFrame, table: DataFrame, costs: DataFrame, insights: DataFrame, tried: list[str], patterns: list[str], max_swaps: int) -> str:
+    """The request of one configuration, named ``c`` in all parts."""
+    ddl = "config_id string, cv_accuracy double, cv_std double, n_nonzero int, n_columns int, effective_dim int, budget int"
+    names = spark.createDataFrame([("c", n) for n in tried], "config_id string, name string")
+    named = [df.withColumn("config_id", F.lit("c")) for df in (coefs, table, costs, insights)]
+    return rq.proposal_requests(spark.createDataFrame([("c", *standing)], ddl), *named, names, patterns, max_swaps).first()["prompt"]
 
 
 def _rows(defs: DataFrame) -> list[dict]:
@@ -106,7 +136,10 @@ def improve(
     n_train_folds: int = 5,
     max_swaps: int = MAX_SWAPS,
     split: bool = True,
-    broad: Callable[[str], Sequence[str]] | None = None,
+    broad: Callable[[str], Sequence[str] | str] | None = None,
+    analyst: Callable[[str], str] | None = None,
+    select_by: str = "accuracy",
+    gate: float | None = None,
     grid: Sequence[float] = md.C_GRID,
     out_path: str | None = None,
     session_id: str | None = None,
@@ -117,7 +150,15 @@ def improve(
     at the end; without it one sample is cross-validated. Each iteration reads written
     tables only, so plans do not grow with the number of iterations. The first error ends
     the loop; what was reached so far is kept.
+
+    ``analyst`` answers a sample request in JSON before the proposal is asked for, and what it
+    found goes into the proposal request. The best configuration is that of the best validation
+    accuracy, or macro F1 (``select_by="macro_f1"``). With ``gate`` and ``split``, a configuration
+    whose predictions of the validation set are worse than those of the best one, by the exact
+    paired test at that level, is undone: the next changes go on from the best configuration.
     """
+    if select_by not in ("accuracy", "macro_f1"):
+        raise ValueError(f"no measure named {select_by}")
     spark = corpus.sparkSession
     session_id = session_id or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
     texts = corpus.withColumn("id", F.col("id").cast("string"))
@@ -137,19 +178,20 @@ def improve(
         return texts.join(ids.select("id"), "id", "left_semi")
 
     patterns: list[str] = []
+    broad_error = None
     if broad is not None:
         try:
             pool = splits.where(F.col("role") == ("train_pool" if split else "train")).select("id", label)
             drawn = stratified_sample(pool, label, BROAD_SAMPLE, seed=SEED_BROAD)
             sample = texts.join(drawn.select("id"), "id", "left_semi")
-            answer = broad(rq.broad_request(sample, label, "body").first()["prompt"])
-            patterns = [p.strip() for p in answer if p and p.strip()][: rq.BROAD_PATTERNS]
-        except Exception:
-            patterns = []
+            patterns = answered_patterns(spark, broad(rq.broad_request(sample, label, "body").first()["prompt"]))
+        except Exception as exc:  # the loop goes on without patterns
+            broad_error = f"broad step: {exc}"
 
     classes = cut(class_counts(splits, label).where(F.col(label).isNotNull()).select(F.col(label).alias("class")))
     tried = [d["name"] for d in defs]
     best: tuple[float, list[dict] | None, md.Fitted | None] = (0.0, None, None)
+    best_score, best_preds = 0.0, None
     records_log: list[tuple] = []
     error = None
     for i in range(1, n_iterations + 1):
@@ -174,28 +216,37 @@ def improve(
             summary = m.accuracy_summary(preds).first()
             score = summary["accuracy"] if split else evaluation.mean
             per_class = [r.asDict() for r in m.per_class_metrics(preds, classes).orderBy("class").collect()]
+            macro = sum(c["f1"] for c in per_class) / len(per_class)
             effective = len(encoded_columns(names, fitted.vocabulary))
             budget = spark.range(1).select(fd.column_budget(F.lit(evaluation.n_rows)).alias("b")).first()["b"]
-            is_best = score > best[0]
+            p_value, reverted = None, False
+            if split and gate is not None and best_preds is not None:
+                test = exact_paired_test(m.paired_comparison(best_preds, preds), gate).first()
+                p_value, reverted = test["p_value"], test["worse"]
+            measure = score if select_by == "accuracy" else macro
+            is_best = measure > best[0]
             if is_best:
-                best = (score, defs, fitted)
+                best, best_score, best_preds = (measure, defs, fitted), score, preds
+            base = best[1] if reverted and best[1] is not None else defs
 
             right = hash_head(m.correctly_classified(preds), "id", SEED, SAMPLES_PER_SIDE)
             wrong = hash_head(m.misclassified(preds), "id", SEED, SAMPLES_PER_SIDE)
             sample_prompt = rq.sample_request(right, wrong, names, patterns).first()["prompt"]
             coefs = m.coefficient_table(md.coefficients(fitted, found))
             surviving = m.surviving_features(coefs).first()["n_nonzero"]
-            table = fd.defs_table(spark, {"name": "c", "features": defs})
-            line = rq.budget_lines(
-                spark.range(1).select(F.lit(effective).alias("effective_dim"), F.lit(budget).alias("budget"))
-            ).first()["budget_lines"]
-            prompt = rq.proposal_prompt(
-                rq.coefficient_lines(coefs).first()["coefficient_lines"],
-                rq.definition_lines(table).first()["definition_lines"],
-                line, tried, patterns, max_swaps,
-            )
-            changes = proposer(Context(i, defs, score, sample_prompt, prompt, list(tried)))
-            following, pruned = next_config(spark, defs, changes, max_swaps, budget, f"iter{i}")
+            table = fd.defs_table(spark, {"name": "c", "features": base})
+            observed = [(c, v) for c, values in fitted.vocabulary.items() for v in values]
+            costs = fd.encoded_costs(table, spark.createDataFrame(observed, "name string, value string"))
+            answer = [] if analyst is None else [("c", analyst(sample_prompt))]
+            parsed = rq.parse_answers(spark.createDataFrame(answer, "config_id string, response string"), rq.SAMPLE_DDL)
+            insights = rq.sample_insights(parsed, ["config_id"])
+            lesson = insights.first()
+            standing = (float(evaluation.mean), float(evaluation.std), int(surviving), len(fitted.columns), effective, int(budget))
+            prompt = proposal_prompt(spark, standing, coefs, table, costs, insights, tried, patterns, max_swaps)
+            context = Context(i, base, score, sample_prompt, prompt, list(tried), lesson.asDict() if lesson else None, reverted)
+            changes = proposer(context)
+            changes = answered_changes(spark, changes) if isinstance(changes, str) else changes
+            following, pruned = next_config(spark, base, changes, max_swaps, budget, f"iter{i}")
             kept_names = {d["name"] for d in following} | set(pruned)
             tried += [p["name"] for p in changes.add[:max_swaps] if p["name"] in kept_names and p["name"] not in tried]
             tried += [n for n in pruned if n not in tried]
@@ -207,6 +258,7 @@ def improve(
                 pruned,
                 [(c["class"], c["precision"], c["recall"], c["f1"], c["support"]) for c in per_class],
                 float(cost), changes.remove, [(p["name"], p.get("feature_type", p.get("type"))) for p in changes.add], is_best,
+                float(macro), p_value, reverted,
             )
             records_log.append(record)
             if out_path:
@@ -229,8 +281,8 @@ def improve(
         test_accuracy = m.accuracy_summary(preds).first()["accuracy"]
         test_metrics = m.per_class_metrics(preds, classes)
         if out_path:
-            row = (float(test_accuracy), preds.count(), float(best[0]), [d["name"] for d in best[1]])
+            row = (float(test_accuracy), preds.count(), float(best_score), [d["name"] for d in best[1]])
             write_results(spark.createDataFrame([row], TEST_RESULT_DDL), f"{out_path}/test_results", session_id)
     if out_path and best[1]:
         write_configs(fd.defs_table(spark, {"name": "best", "features": best[1]}), f"{out_path}/configs/{session_id}/best")
-    return Outcome(history, best[1], best[0], test_accuracy, test_metrics, error)
+    return Outcome(history, best[1], best_score, test_accuracy, test_metrics, error, broad_error)

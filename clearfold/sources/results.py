@@ -13,7 +13,8 @@ HISTORY_DDL = (
     "auto_removed array<string>, "
     "per_class_metrics array<struct<class:string,precision:double,recall:double,f1:double,support:bigint>>, "
     "extraction_cost double, features_removed array<string>, "
-    "features_added array<struct<name:string,feature_type:string>>, is_best boolean"
+    "features_added array<struct<name:string,feature_type:string>>, is_best boolean, "
+    "macro_f1 double, p_value double, reverted boolean"
 )
 
 
@@ -51,4 +52,5 @@ def append_history(df: DataFrame, path: str, session_id: str) -> None:
 
 
 def read_history(spark: SparkSession, path: str, session_id: str) -> DataFrame:
-    return spark.read.schema(HISTORY_DDL).parquet(f"{path}/session_id={session_id}").orderBy("iteration")
+    """The iterations of one session, in no order; columns that older sessions lack are null."""
+    return spark.read.schema(HISTORY_DDL).parquet(f"{path}/session_id={session_id}")
