@@ -17,11 +17,11 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,13 +32,16 @@ from clearfold.session import cut, shared_dir
 MAGIC = b"CFTOKEN1"
 BLOCK = 65_536
 TRAILER = struct.Struct("<IIQQQQ")  # bits, ids per block, documents, ids, start of the index, version
-TEXT_STEP = 1_000_000  # characters that are tokenized at once
+TEXT_STEP = 4_000_000  # characters that are tokenized at once
 MEMO = 150_000  # words whose ids either half of a worker's memory holds
 MARK = "\x01"
+TAILS, TAIL = ".,", "[0-9a-z][.,]$"
+LOWER_ASCII = {b: b + 32 for b in range(65, 91)}
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")  # lower-cased the same way everywhere, and in normal form
-PROBES = ["the", "Anan", "\u00e9lan", "stra\u00dfe", "\u00d1and\u00fa", "\u00e0" * 9, "x" * 40]  # a tokenizer that differs on these goes its own way
+PROBES = ["the", "Anan", "\u00e9lan", "stra\u00dfe", "\u00d1and\u00fa", "\u00e0" * 9, "x" * 40, "A", "3", "3.14", "it's", "$$$", "", "(so)", "\u4f60\u597d", "X9"]  # a tokenizer that differs on these goes its own way
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}  # byte-level models write other bytes so
+BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE))) if b != 32}  # byte-level models write other bytes so
+BYTE_CODES = np.array([ord(BYTE_CHARACTERS.get(b, chr(b))) for b in range(256)], "<u2")
 NO_ID = -(1 << 63)  # stands for a null document id
 SHARD_BYTES = 32 << 20  # text of one shard, about
 
@@ -156,38 +159,72 @@ class WordEncoder:
     """Encodes texts with a tokenizer whose tokens never span a blank or a line feed.
 
     Such a tokenizer gives the ids of a text as the ids of its blank-separated parts, so each
-    part is encoded once and remembered. New parts are encoded together, between control
-    characters that have an id of their own; parts that hold that character go one by one.
-    The memory has two halves of at most about ``MEMO`` parts: when the young one is full it
-    becomes the old one, and what is used again moves back. The tokenizer must lower-case.
+    distinct part is encoded once and remembered, and new parts are encoded many at a time. The memory has
+    two halves of at most about ``MEMO`` parts: when the young one is full it becomes the old one,
+    and what is used again moves back.
+
+    What a tokenizer allows is probed at the start, never assumed. ``apart``: parts give the ids of
+    the text; else whole texts are encoded. ``folds``: A-Z are a-z, and a full stop or comma after
+    a letter or digit is a token of its own. ``direct``: a word of plain letters is one piece for
+    the model, which ends in a token that ends words; then new words go to the model in one call
+    without the other steps, and such tokens tell where each word ends.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
-        self.marks = {m: np.array(i, "<u4").tobytes() for m, i in zip(".,", self._ids([".", ","]))}
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or None
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         mark = self._ids([MARK])[0]
         self.mark = mark[0] if len(mark) == 1 else None
-        self.model = self.tokenizer.model
-        self.direct = all(self._word(p) == np.array(i, "<u4").tobytes() for p, i in zip(PROBES, self._ids(PROBES)))
+        self.apart = self._same(PROBES + [f"{a}{s}{b}" for s in (" ", "\n", "  ", " \n") for a in PROBES for b in PROBES], lambda t: t.replace("\n", " ").split(" "))
+        self.folds = self.apart and self._same([p + e for p in PROBES for e in ("", ".", ",", "..", ".,")], lambda t: [x for x in _stem(t) if x])
+        tails = self._ids(list(TAILS))
+        self.folds = self.folds and all(len(x) == 1 for x in tails)
+        self.tails = np.array([x[0] for x in tails if x], "<u4")
+        letters = [p for p in PROBES if LETTERS.fullmatch(p)]
+        self.direct = bool(self.folds and suffix) and self._pieces(letters) == [np.array(i, "<u4").tobytes() for i in self._ids(letters)]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word of plain letters, which is one piece for the model, without the tokenizer's other steps."""
-        letters = word.lower()
-        letters = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+    def _same(self, texts: list[str], parts: Callable[[str], list[str]]) -> bool:
+        """Whether each text has the ids of its parts, one after the other."""
+        split = [parts(t) for t in texts]
+        ids = iter(self._ids([p for s in split for p in s]))
+        return all(whole == [i for _ in s for i in next(ids)] for whole, s in zip(self._ids(texts), split))
+
+    def _pieces(self, words: list[str]) -> list[bytes] | None:
+        """Ids of words of plain letters straight from the model; None if their ends cannot be told."""
+        text = " ".join(words)
+        if not text.isascii():
+            octets = np.frombuffer(text.lower().encode(), np.uint8)
+            text = BYTE_CODES[octets].tobytes().decode("utf-16-le")
+        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(words) or len(words) and ends[-1] != 4 * len(ids):
+            return None
+        data, ends = ids.tobytes(), ends.tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def _encode(self, parts: list[str]) -> None:
+        young = self.young
         if self.direct:
             words = [p for p in parts if LETTERS.fullmatch(p)]
-            for p in words:
-                self.young[p] = self._word(p)
-            parts = [p for p in parts if p not in self.young] if len(words) < len(parts) else []
+            for start in range(0, len(words), 4096):
+                some = words[start : start + 4096]
+                found = self._pieces(some)
+                if found is not None:
+                    young.update(zip(some, found))
+            parts = [p for p in parts if p not in young] if words else parts
         together = [] if self.mark is None else [p for p in parts if MARK not in p]
         alone = parts if self.mark is None else [p for p in parts if MARK in p]
         for start in range(0, len(together), 4096):
@@ -196,37 +233,65 @@ class WordEncoder:
             ends = np.flatnonzero(ids == self.mark).tolist() + [len(ids)]
             data, at = ids.tobytes(), 0
             for part, end in zip(some, ends):
-                self.young[part] = data[4 * at : 4 * end]
+                young[part] = data[4 * at : 4 * end]
                 at = end + 1
         for part, ids in zip(alone, self._ids(alone)):
-            self.young[part] = np.array(ids, "<u4").tobytes()
+            young[part] = np.array(ids, "<u4").tobytes()
 
-    def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts, from memory or encoded now."""
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
-        new = set().union(*parts).difference(self.young)
-        stems = {part: _stem(part) for part in new.difference(self.old)}
-        for part in {s for s, _ in stems.values()}.union(new).intersection(self.old):
-            self.young[part] = self.old[part]
-        self._encode(list({s for s, _ in stems.values()}.difference(self.young)))
-        for part, (stem, end) in stems.items():
-            self.young[part] = self.young[stem] + (self.marks[end] if end else b"")
-        return [np.frombuffer(b"".join(map(self.young.__getitem__, p)), "<u4") for p in parts]
+        young, old = self.young, self.old
+        missing = []
+        for p in [p for p in parts if p not in young]:
+            if p in old:
+                young[p] = old[p]
+            else:
+                missing.append(p)
+        self._encode(missing)
+        return list(map(young.__getitem__, parts))
+
+    def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """Ids of each text. Arrow splits the texts and numbers their parts, numpy gathers the ids."""
+        whole = [i for i, t in enumerate(texts) if not self.apart or "<|" in t]  # what could be a special token is not taken apart
+        if whole:
+            out = dict(zip(whole, (np.array(x, "<u4") for x in self._ids([texts[i] for i in whole]))))
+            rest = [t for i, t in enumerate(texts) if i not in out]
+            others = iter(self(rest) if rest else [])
+            return [out[i] if i in out else next(others) for i in range(len(texts))]
+        column = pa.array(texts, pa.large_string())
+        column = pc.ascii_lower(column) if self.folds else column
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        numbered = lists.flatten().dictionary_encode()
+        parts, codes = numbered.dictionary, numbered.indices.to_numpy()
+        tail = np.zeros(len(parts), np.int64)  # 1, 2: the part is a stem and the first, second of TAILS
+        if self.folds:
+            marked = pc.match_substring_regex(parts, TAIL)
+            for k, mark in enumerate(TAILS):
+                tail[pc.and_(marked, pc.ends_with(parts, mark)).to_numpy(zero_copy_only=False)] = k + 1
+            numbered = pc.if_else(marked, pc.utf8_slice_codeunits(parts, 0, -1), parts).dictionary_encode()
+            parts, stem = numbered.dictionary, numbered.indices.to_numpy()
+            tail, codes = tail[codes], stem[codes]
+        else:
+            tail = tail[codes]
+        table = self._known(parts.to_numpy(zero_copy_only=False).tolist())
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        first = np.cumsum(lengths) - lengths
+        n = lengths[codes] + (tail > 0)
+        upto = np.cumsum(n)
+        places = np.repeat(first[codes] - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)
+        held = np.frombuffer(b"".join([*table, b"\0\0\0\0"]), "<u4")
+        flat = held[places]
+        flat[upto[tail > 0] - 1] = self.tails[tail[tail > 0] - 1]
+        ends = np.concatenate([[0], upto])[lists.offsets.to_numpy()]
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def _stem(part: str) -> tuple[str, str]:
-    """A part with the same ids, and a full stop or comma that follows it on its own.
-
-    The tokenizer lower-cases, so A-Z may be a-z, except in what could be a special token; a
-    mark after an ASCII letter or digit is a word of its own.
-    """
-    if "<|" in part:
-        return part, ""
-    end = ""
-    if part[-1:] in (".", ",") and part[-2:-1].isascii() and part[-2:-1].isalnum():
-        part, end = part[:-1], part[-1]
-    return (part.lower() if part.isascii() else part), end
+    """A part with A-Z as a-z, and a full stop or comma that follows a letter or digit at its end."""
+    part = part.translate(LOWER_ASCII)
+    return (part[:-1], part[-1]) if re.search(TAIL, part) else (part, "")
 
 
 def _steps(texts: list[str]) -> Iterator[list[str]]:

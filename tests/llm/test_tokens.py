@@ -52,7 +52,27 @@ def test_word_encoder_equals_whole_text(text):
 
 
 def test_words_go_to_the_model_directly():
-    assert ENCODER.direct
+    assert ENCODER.apart and ENCODER.folds and ENCODER.direct
+
+
+BYTES = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+BYTE_ENCODER = t.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["a", " ", "\n", "The", "X,", "<|endoftext|>", "\u00c9t\u00e9", "9."])).map("".join)))
+def test_a_tokenizer_that_tells_case_and_blanks_apart(text):
+    assert not BYTE_ENCODER.apart
+    assert list(BYTE_ENCODER([text, "The cat. Sat, 3.14 times.", ""])[0]) == BYTES.encode(text, add_special_tokens=False).ids
+
+
+def test_many_texts_at_once_and_a_small_memory(monkeypatch):
+    monkeypatch.setattr(t, "MEMO", 5)
+    encoder = t.WordEncoder(PATH)
+    texts = ["One two. Three, four", "", "<|endoftext|> x", "two. two.. THREE\nfour", "", "\u00c9t\u00e9. \u00e9t\u00e9, na\u00efve"] * 3
+    for _ in range(3):
+        assert [list(x) for x in encoder(texts)] == [TOKENIZER.encode(x, add_special_tokens=False).ids for x in texts]
+    assert encoder([]) == []
 
 
 TOKENIZER, ENCODER = Tokenizer.from_file(PATH), t.WordEncoder(PATH)
