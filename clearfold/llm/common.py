@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,3 +63,23 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFram
     nothing.
     """
     return rows.join(per_key, list(keys))
+
+
+def one_blas_thread() -> bool:
+    """Let numpy's matrix products use one thread in this process, as a task has one core; True if that could be set.
+
+    Workers get as many threads as an executor has cores, and for small matrices these mostly wait for each other.
+    """
+    if not os.path.exists("/proc/self/maps"):
+        return False
+    with open("/proc/self/maps") as lines:
+        paths = {line.split()[-1] for line in lines if "openblas" in line}
+    done = False
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                done = True
+                break
+    return done

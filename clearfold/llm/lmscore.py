@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearfold.llm import gru
-from clearfold.llm.common import lower_words, row_key, small_batches
+from clearfold.llm.common import lower_words, one_blas_thread, row_key, small_batches
 from clearfold.session import cut
 
 NAMED = 2048  # words with a code of their own, at least
@@ -162,16 +162,19 @@ def _buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarr
 def fit(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> gru.Weights:
     """Train on every training document once, a third of them (by hash) in each round.
 
-    A round gives one replica per partition; replicas are averaged by tokens, ``FAN_IN`` at a
-    time, until at most that many are left for the driver.
+    A round gives one replica per partition; replicas are averaged by tokens, about ``FAN_IN`` at
+    a time, until one is left for the driver. Weights travel as a broadcast, whose size is that of
+    the bounded vocabulary. The partitions are those of the encoded table, so another layout of
+    it gives slightly other weights; a repeated task gives the same.
     """
     codes, first = vocabulary.codes, gru.initial(vocabulary.codes, vocabulary.class_share, vocabulary.within)
     weights = first
     for r in range(rounds):
-        data, rate = weights.flat(), RATE / (1 + r)
+        data, rate = encoded.sparkSession.sparkContext.broadcast(weights.flat()), RATE / (1 + r)
 
         def run(batches: Iterator[pa.RecordBatch], data=data, rate=rate) -> Iterator[pa.RecordBatch]:
-            own, seen = first.like(data), 0
+            one_blas_thread()
+            own, seen = first.like(data.value), 0
             for docs, _ in _buffered(batches):
                 seen += gru.train(own, codes, docs, rate)
             if seen:
@@ -179,8 +182,8 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> gru
 
         part = encoded.where(F.col("train") & (F.pmod(F.xxhash64("__id", "__th"), F.lit(rounds)) == r)).select("codes")
         replicas = cut(part.mapInArrow(run, "tokens double, weights binary"))
-        while (n := replicas.count()) > FAN_IN:
-            grouped = replicas.withColumn("g", F.pmod(F.xxhash64("weights"), F.lit(math.ceil(n / FAN_IN) * 2)))
+        while (n := replicas.count()) > 1:
+            grouped = replicas.withColumn("g", F.pmod(F.xxhash64("weights"), F.lit(1 if n <= FAN_IN else 2 * math.ceil(n / FAN_IN))))
             replicas = cut(grouped.groupBy("g").applyInPandas(_averaged_group, "tokens double, weights binary"))
         rows = sorted((x["tokens"], bytes(x["weights"])) for x in replicas.collect())
         if rows:
@@ -211,11 +214,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vocabulary = Vocabulary(counts)
     encoded = encode(docs, vocabulary, id_col, text_col)
     weights = fit(encoded, vocabulary, rounds)
-    codes, totals, data = vocabulary.codes, np.log10(vocabulary.ending_total), weights.flat()
+    codes, totals = vocabulary.codes, np.log10(vocabulary.ending_total)
+    data = docs.sparkSession.sparkContext.broadcast(weights.flat())
     n_named = vocabulary.n_named
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = weights.like(data)
+        one_blas_thread()
+        own = weights.like(data.value)
         for texts, held in _buffered(batches):
             log10p = gru.score(own, codes, texts)
             fixed = np.array([totals[(t[t >= n_named] - n_named) % ENDING_CLASSES].sum() for t in texts])

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from clearfold.llm import gru, lmscore
@@ -78,6 +79,61 @@ def test_base_score_and_counts(spark, documents):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def plain_log10(w, codes, document):
+    """One document by loops over its codes: the recurrence and both softmax steps as formulas."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n, h, before, total = gru.HIDDEN, np.zeros(gru.HIDDEN), len(codes.cls), 0.0
+    for code in document:
+        x, g = w.E[before].astype(float) @ w.W + w.b, h @ w.U
+        z, r = sigmoid(x[:n] + g[:n]), sigmoid(x[n : 2 * n] + g[n : 2 * n])
+        h = (1 - z) * np.tanh(x[2 * n :] + r * g[2 * n :]) + z * h
+        k = codes.cls[code]
+        logits = h @ w.C + w.c
+        total += logits[k] - np.log(np.exp(logits).sum())
+        if codes.place[code] >= 0:
+            inner = h @ w.K[k] + w.k[k]
+            total += inner[codes.place[code]] - np.log(np.exp(inner).sum())
+        before = code
+    return total / math.log(10)
+
+
+def test_score_equals_a_loop_over_the_document():
+    codes, w = tiny()
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, 7, n) for n in (1, 31, 32, 33, 150)]
+    gru.train(w, codes, docs, 0.05)
+    assert np.allclose(gru.score(w, codes, docs), [plain_log10(w, codes, d) for d in docs], rtol=1e-4, atol=1e-3)
+
+
+def test_scores_of_a_table_equal_loops(spark, documents, monkeypatch):
+    monkeypatch.setattr(lmscore, "NAMED", 8)
+    monkeypatch.setattr(lmscore, "MASS", 0.0)
+    texts = [" ".join(f"w{(i * j) % (5 + i % 9)}" for j in range(1, 30 + i)) for i in range(30)]
+    df = documents([(i, t, "s") for i, t in enumerate(texts)])
+    counts = lmscore.word_counts(df, "doc_id", "text")
+    v = lmscore.Vocabulary(counts)
+    w = lmscore.fit(lmscore.encode(df, v, "doc_id", "text"), v, rounds=0)
+    number = {x.decode(): i for i, x in enumerate(v.words)}
+    of = {r["word"]: r["c"] for r in counts.collect()}
+    got = {r["__id"]: r["score"] for r in lmscore.score_documents(df, rounds=0).collect()}
+    for i, t in enumerate(texts):
+        want, coded = 0.0, []
+        for word in [*t.split(), "\n"]:
+            place = number.get(word, v.n_named)
+            if place >= v.n_named:
+                ending = lmscore._ending(word.encode())
+                want += math.log10((of.get(word, 0) + 0.1) / v.ending_total[ending % lmscore.ENDING_CLASSES])
+                place = v.n_named + ending
+            coded.append(place)
+        assert got[i] == pytest.approx(want + plain_log10(w, v.codes, coded), rel=1e-4)
+
+
+def test_replicas_meet_in_one(spark, documents, monkeypatch):
+    monkeypatch.setattr(lmscore, "FAN_IN", 2)
+    df = documents([(i, "a b c d " * 20, "s") for i in range(60)]).repartition(7)
+    assert all(math.isfinite(r["score"]) for r in lmscore.score_documents(df).collect())
+
+
 def test_rare_words_are_joined(spark, documents, monkeypatch):
     """With a dictionary of a few words the rest comes from the join, to the same base score."""
     docs = documents([(i, " ".join(f"w{j % (3 + i)}" for j in range(40)), "s") for i in range(30)])
