@@ -183,7 +183,7 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> gru
         part = encoded.where(F.col("train") & (F.pmod(F.xxhash64("__id", "__th"), F.lit(rounds)) == r)).select("codes")
         replicas = cut(part.mapInArrow(run, "tokens double, weights binary"))
         while (n := replicas.count()) > 1:
-            grouped = replicas.withColumn("g", F.pmod(F.xxhash64("weights"), F.lit(1 if n <= FAN_IN else 2 * math.ceil(n / FAN_IN))))
+            grouped = replicas.withColumn("g", F.pmod(F.xxhash64("weights"), F.lit(math.ceil(n / FAN_IN))))
             replicas = cut(grouped.groupBy("g").applyInPandas(_averaged_group, "tokens double, weights binary"))
         rows = sorted((x["tokens"], bytes(x["weights"])) for x in replicas.collect())
         if rows:
