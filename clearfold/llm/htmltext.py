@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -31,16 +31,19 @@ INLINE = frozenset(
     "mpadded mphantom menclose mfenced mtable mtr mtd maction annotation annotation-xml "
     "svg g path rect circle ellipse line polyline polygon text tspan textpath defs use image lineargradient radialgradient stop symbol marker desc".split()
 )
-SILENT = frozenset("head title script style noscript template desc annotation annotation-xml iframe object audio video canvas select".split())
+SILENT = frozenset("head title script style noscript template desc annotation annotation-xml iframe select".split())
+IN_HEAD = frozenset("title script style noscript template meta link base basefont bgsound html head".split())
+IN_SELECT = frozenset("option optgroup script template hr".split())
 CLOSED_BY = {  # an opening tag that ends an open one of the same kind
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"},
+    "option": {"option"}, "optgroup": {"option", "optgroup"},
 }
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
 SCOPE = frozenset("article aside body div footer header html main nav section table td th ul ol form".split())
 _NAME_WORD = re.compile(r"[a-z]+")
+_SILENT_END = re.compile(r"</(" + "|".join(sorted(SILENT, key=len, reverse=True)) + r")\b", re.IGNORECASE)
 
 
 @dataclass
@@ -52,13 +55,18 @@ class Block:
 
 
 class _Blocks(HTMLParser):
-    def __init__(self):
+    """Blocks of one page. What a silent element holds is left out only if it is closed somewhere: an element
+    that is never closed is read as if it were not there, so that it cannot swallow the rest of the page."""
+
+    def __init__(self, html: str = ""):
         super().__init__(convert_charrefs=True)
+        self.ends = Counter(m.lower() for m in _SILENT_END.findall(html))
         self.stack: list[tuple[str, frozenset[str]]] = []
         self.found: list[Block] = []
         self.parts: list[str] = []
         self.linked = 0
         self.links = self.silent = 0
+        self.quiet: list[str] = []  # silent elements that are open
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -70,7 +78,9 @@ class _Blocks(HTMLParser):
     def _pop(self, depth: int) -> None:
         while len(self.stack) > depth:
             tag, _ = self.stack.pop()
-            self.silent -= tag in SILENT
+            self.silent -= tag in self.quiet
+            if tag in self.quiet:
+                self.quiet.remove(tag)
             self.links -= tag == "a"
 
     def _close(self, kinds: frozenset[str] | set[str]) -> None:
@@ -91,8 +101,10 @@ class _Blocks(HTMLParser):
             self._flush()
         if tag in ("text", "mtr", "mtd"):
             self.parts.append(" ")
-        if tag == "body":
-            self._close({"head"})
+        if "head" in self.quiet and tag not in IN_HEAD:
+            self._end("head")
+        if "select" in self.quiet and tag not in IN_SELECT:
+            self._end("select")
         if tag in ENDS_P:
             self._close({"p"})
         if tag in CLOSED_BY:
@@ -101,15 +113,27 @@ class _Blocks(HTMLParser):
             return
         words = frozenset(w for k, v in attrs if k in ("class", "id", "role") and v for w in _NAME_WORD.findall(v.lower()))
         self.stack.append((tag, words))
-        self.silent += tag in SILENT
+        if tag in SILENT and (tag == "head" or self.ends[tag] > 0):
+            self.silent += 1
+            self.quiet.append(tag)
         self.links += tag == "a"
 
+    def _end(self, tag: str) -> None:
+        """End the innermost open ``tag`` and all that opened in it."""
+        self._flush()
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth][0] == tag:
+                self._pop(depth)
+                return
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in SILENT:
+            self.ends[tag] -= 1
         if tag not in INLINE and tag != "br":
             self._flush()
         for depth in range(len(self.stack) - 1, -1, -1):
@@ -118,6 +142,8 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._end("head")
         if not self.silent:
             self.parts.append(data)
             if self.links:
@@ -125,8 +151,11 @@ class _Blocks(HTMLParser):
 
 
 def blocks(html: str | None) -> list[Block]:
-    """Text blocks of a page in order; scripts, styles, comments and the head have none. Broken markup is read as far as it goes."""
-    parser = _Blocks()
+    """Text blocks of a page in order; scripts, styles, comments and the head have none. Broken markup is read as far as it goes.
+
+    The head ends where anything begins that cannot be in it. Fallback text of objects, videos and drawings is text.
+    """
+    parser = _Blocks(html or "")
     parser.feed(html or "")
     parser.close()
     parser._flush()

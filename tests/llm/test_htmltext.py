@@ -66,3 +66,52 @@ def test_layouts_that_are_not_generated():
     got = {name: h.main_text(html, model).split("\n\n") for name, html in LAYOUTS.items()}
     assert {name: [t for t in PARAGRAPHS if t not in found] for name, found in got.items()} == {name: [] for name in LAYOUTS}
     assert not any(t in found for found in got.values() for t in ("Imprint", "Contact", "Home"))
+
+
+def test_an_open_head_ends_at_the_first_element_of_the_body():
+    for start in ("<html><head><title>t</title>", "<head><title>t</title><meta name=x>", "<title>t</title>", "<html><head><title>t</title><style>p{}</style>"):
+        assert [b.text for b in h.blocks(f"{start}<article><h1>A</h1>{BODY}</article>")] == ["A", *PARAGRAPHS]
+    assert [b.text for b in h.blocks("<head><title>t</title>Loose text.<p>More.")] == ["Loose text.", "More."]
+
+
+def test_elements_that_are_never_closed_swallow_nothing():
+    for tag in ("object", "noscript", "template", "iframe", "video", "audio", "canvas", "select"):
+        first, *rest = PARAGRAPHS
+        page = f"<article><p>{first}</p><{tag}>" + "".join(f"<p>{t}</p>" for t in rest) + "</article>"
+        assert [b.text for b in h.blocks(page)] == PARAGRAPHS, tag
+        closed = f"<article><p>{first}</p><{tag}>x</{tag}>" + "".join(f"<p>{t}</p>" for t in rest) + "</article>"
+        assert [b.text for b in h.blocks(closed) if b.text != "x"] == PARAGRAPHS, tag
+
+
+def test_fallback_text_stays():
+    page = "<article><p>Before.</p><video src=a><p>See <a href=b>the film</a>.</p></video><object><p>A map.</p></object><p>After.</p></article>"
+    assert [b.text for b in h.blocks(page)] == ["Before.", "See the film.", "A map.", "After."]
+    assert [b.text for b in h.blocks("<p>a</p><noscript><p>turn it on</p></noscript><select><option>x</select><p>b</p>")] == ["a", "b"]
+
+
+def page_of(head, foot, wrap="{}", title="High water"):
+    return f"<!doctype html><html><head><title>{title}</title></head><body>{head}{wrap.format(f'<h1>{title}</h1>{BODY}')}{foot}</body></html>"
+
+
+MENU, NOTE, SIDE = '<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>', '<div class="cookie-banner"><p>We use cookies.</p></div>', '<aside><h3>Related</h3><ul><li><a href="/x">Other story</a></li></ul></aside>'
+FOOT, AD, TALK = '<footer><p>&copy; 2020 The Paper</p></footer>', '<div class="ad"><p>Buy one, get one free!</p></div>', '<section id="comments"><h2>Comments</h2><div class="comment"><p>Nice piece.</p></div></section>'
+FORM = '<form><label>Your mail</label><input name=m><button>Sign up</button></form>'
+WHOLE = ["High water", *PARAGRAPHS]
+HAND_PAGES = [  # written by hand: a page, and all of its main blocks
+    page_of(MENU, FOOT, "<main><article>{}</article></main>"), page_of(MENU + NOTE, SIDE + FOOT, "<article>{}</article>"), page_of(f"<header><p>The Paper</p>{MENU}</header>", TALK + FOOT, '<div class="content">{}</div>'),
+    page_of(MENU, AD + FOOT, '<div id="main"><div class="post">{}</div></div>'), page_of(NOTE, FORM + FOOT, "<main>{}</main>"), page_of('<div class="menu"><a href="/">Home</a></div>', '<div class="footer">Imprint</div>', '<div class="entry">{}</div>'),
+    page_of(MENU, FOOT, "<section><article>{}</article></section>"), page_of(MENU + AD, TALK, "<article>{}</article>"), page_of("", FOOT, "<article>{}</article>"), page_of(MENU, "", "<article>{}</article>"),
+    page_of(f'<div class="sidebar">{MENU}</div>', FOOT, '<div class="article">{}</div>'), page_of(MENU, SIDE, '<div role="main"><div>{}</div></div>'), page_of(f"<header>{MENU}</header>", FORM, '<article class="post"><div>{}</div></article>'),
+    f"<html><head><title>t</title><article><h1>High water</h1>{BODY}</article>{FOOT}", f"<body>{MENU}<article><h1>High water</h1>{BODY}{AD}</article>{TALK}{FOOT}</body>", f"<body><article><header><h1>High water</h1></header>{BODY}</article>{SIDE}</body>",
+]
+
+
+def test_precision_and_recall_of_hand_written_pages():
+    model = h.default_model()
+    hit = found = wanted = 0
+    for page in HAND_PAGES:
+        got = h.main_text(page, model).split("\n\n")
+        hit += len(set(got) & set(WHOLE))
+        found, wanted = found + len(got), wanted + len(WHOLE)
+        assert all(t in got for t in PARAGRAPHS)
+    assert hit / found > 0.95 and hit / wanted > 0.95, (hit / found, hit / wanted)
