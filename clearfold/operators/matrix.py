@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearfold.operators.profile import class_counts, exact_quantiles, label_index
+from clearfold.operators.profile import basics, class_counts, label_index, quantile_rows
 
 
 def join_labels(features: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFrame:
@@ -119,32 +119,12 @@ class Scaler:
 
 
 def scaler_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column: median of what is there, then mean and population std after filling."""
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        aggs += [
-            F.count(x).alias(f"__c{i}"),
-            F.avg(x).alias(f"__m{i}"),
-            F.var_pop(x).alias(f"__v{i}"),
-        ]
-    one = df.agg(*aggs)
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.col("__n").alias("n"),
-                    F.col(f"__c{i}").alias("c"),
-                    F.col(f"__m{i}").alias("m"),
-                    F.col(f"__v{i}").alias("v"),
-                )
-                for i, c in enumerate(columns)
-            ]
-        )
-    ).alias("s")
-    medians = exact_quantiles(df, columns, [0.5]).select("column", F.col("value").alias("median"))
-    filled = one.select(rows).select("s.*").join(medians, "column", "left").withColumn("f", F.col("c") / F.nullif(F.col("n"), F.lit(0)))
+    """One row per column: median of what is there, then mean and population std after filling; two passes."""
+    known = basics(df, columns, [0.5])
+    medians = quantile_rows(df, columns, known, [0.5]).select("column", F.col("value").alias("median"))
+    rows = [(c, s["rows"], s["n"], s["mean"], s["var"]) for c, s in zip(columns, known)]
+    one = df.sparkSession.createDataFrame(rows, "column string, n bigint, c bigint, m double, v double")
+    filled = one.join(medians, "column", "left").withColumn("f", F.col("c") / F.nullif(F.col("n"), F.lit(0)))
     mean = F.coalesce(F.col("m") * F.col("f") + F.col("median") * (1 - F.col("f")), F.lit(0.0))
     gap = F.col("m") - F.col("median")
     var = F.col("v") * F.col("f") + F.col("f") * (1 - F.col("f")) * gap * gap

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearfold.operators.batchfit import MAX_COLUMNS, LinearModel, Part, fit_all, hits, rows_for
@@ -38,6 +38,7 @@ from clearfold.operators.matrix import (
 from clearfold.operators.metrics import attach_features, attach_texts
 from clearfold.operators.ordered import hash_rank
 from clearfold.operators.profile import label_index, safe_fold_counts
+from clearfold.session import cut
 
 # Grid, mix of the penalties, iteration cap and seed.
 C_GRID = (0.01, 0.1, 1.0, 10.0)
@@ -46,6 +47,7 @@ MAX_ITER = 5000
 SEED = 42
 TOL = 1e-6
 PARALLEL_FITS = 8
+RANGES = 64  # ranges of a column's values in which the rows of a slot are counted
 ROWS_PER_PARTITION = 50_000  # collapsed rows one task of a fit works on
 
 FULL = -1  # outer part that holds every row; inner part that holds its whole training part
@@ -116,41 +118,69 @@ def collapse(matrix: DataFrame, columns: Sequence[str], layout: FoldLayout, id_c
 
 
 def part_statistics(collapsed: DataFrame, columns: Sequence[str], layout: FoldLayout) -> tuple[dict, dict]:
-    """Scaler and class sizes of every training part, from two passes over the collapsed rows.
+    """Scaler and class sizes of every training part.
 
-    Values are counted per slot and column first; parts overlap, so each count is then
-    spread over the parts its slot belongs to. Only parts x columns rows are collected.
+    Counts and sums are taken per slot and column, and the parts, which overlap, are sums of
+    their slots. Medians come from counts per slot in value ranges between approximate quantiles: they
+    name the range in which a part's median lies, and only the values of such ranges are ranked,
+    per part. Rows collected: slots x columns x ``RANGES``, and one per part and column.
     """
     parts = layout.parts()
-    of_slot = [[p for p, (f, g) in enumerate(parts) if s in layout.train_slots(f, g)] for s in range(layout.n_slots)]
+    members = [layout.train_slots(f, g) for f, g in parts]
     sizes: dict = {part: {} for part in parts}
     for r in collapsed.groupBy("slot", "label_idx").agg(F.sum("n").alias("n")).collect():
-        for p in of_slot[r["slot"]]:
-            size = sizes[parts[p]]
-            size[r["label_idx"]] = size.get(r["label_idx"], 0) + r["n"]
+        for part, slots in zip(parts, members):
+            if r["slot"] in slots:
+                sizes[part][r["label_idx"]] = sizes[part].get(r["label_idx"], 0) + r["n"]
 
     pairs = [F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
-    values = collapsed.select("slot", "n", F.explode(F.array(*pairs)).alias("p")).groupBy("slot", "p.i", "p.v")
-    member = F.element_at(F.array(*[F.lit(x).cast("array<int>") for x in of_slot]), F.col("slot") + 1)
-    spread = values.agg(F.sum("n").alias("n")).select("i", "v", "n", F.explode(member).alias("part"))
-    known = F.col("v").isNotNull()
-    stats = spread.groupBy("part", "i").agg(
-        F.percentile("v", F.lit(0.5), F.col("n")).alias("median"),
-        F.coalesce(F.sum(F.when(known, F.col("v") * F.col("n"))), F.lit(0.0)).alias("s1"),
-        F.coalesce(F.sum(F.when(known, F.col("v") * F.col("v") * F.col("n"))), F.lit(0.0)).alias("s2"),
-        F.sum("n").alias("n"),
-        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("gaps"),
-    )
+    values = cut(collapsed.select("slot", "n", F.explode(F.array(*pairs)).alias("p")).groupBy("slot", "p.i", "p.v").agg(F.sum("n").alias("n")))
+    known = values.where(F.col("v").isNotNull())
+    ps = [k / RANGES for k in range(1, RANGES)]
+    edges = {r["i"]: sorted(set(r["e"])) for r in known.groupBy("i").agg(F.percentile_approx("v", ps, 10 * RANGES).alias("e")).collect()}
+    wide = F.lit([edges.get(i, []) + [float("inf")] * (RANGES - len(edges.get(i, []))) for i in range(len(columns))]) if columns else F.array(F.array(F.lit(0.0)))
+    at = F.size(F.filter(F.element_at(wide, F.col("i") + 1), lambda x: x < F.col("v")))
+    placed = values.withColumn("at", F.when(F.col("v").isNotNull(), at).otherwise(-1))
+
+    sums = np.zeros((layout.n_slots, len(columns), 4))  # rows, known rows, sum, sum of squares
+    held = np.zeros((layout.n_slots, len(columns), RANGES + 1))
+    v, n = F.col("v"), F.col("n")
+    for r in placed.groupBy("slot", "i", "at").agg(F.sum("n").alias("n"), F.sum(v * n).alias("s"), F.sum(v * v * n).alias("ss")).collect():
+        seen = r["s"] is not None
+        sums[r["slot"], r["i"]] += (r["n"], r["n"] if seen else 0, r["s"] or 0.0, r["ss"] or 0.0)
+        if seen:
+            held[r["slot"], r["i"], r["at"]] += r["n"]
+    wanted = []
+    for p, slots in enumerate(members):
+        per_range = held[slots].sum(axis=0)
+        for i in range(len(columns)):
+            upto = np.cumsum(per_range[i])
+            if upto[-1] > 0:
+                for rank in {int(upto[-1] - 1) // 2, int(upto[-1]) // 2}:
+                    at = int(np.searchsorted(upto, rank, side="right"))
+                    wanted.append((p, i, at, rank - int(upto[at] - per_range[i][at])))
+    medians: dict = {}
+    if wanted:
+        spark = collapsed.sparkSession
+        ranks = F.broadcast(spark.createDataFrame(sorted(set(wanted)), "part int, i int, at int, rank bigint"))  # two per part and column
+        of_part = F.element_at(F.lit([np.isin(np.arange(layout.n_slots), m).tolist() for m in members]), F.col("part") + 1)
+        near = placed.where(F.col("v").isNotNull()).join(ranks.select("part", "i", "at").distinct(), ["i", "at"])
+        counted = near.where(F.element_at(of_part, F.col("slot") + 1)).groupBy("part", "i", "at", "v").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("part", "i", "at").orderBy("v"))
+        picked = counted.withColumn("upto", upto).join(ranks, ["part", "i", "at"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        for r in picked.groupBy("part", "i").agg(F.avg("v").alias("m")).collect():
+            medians[(r["part"], r["i"])] = r["m"]
     scalers: dict = {}
-    for r in stats.collect():
-        median = 0.0 if r["median"] is None else r["median"]
-        total, total2 = r["s1"] + r["gaps"] * median, r["s2"] + r["gaps"] * median * median
-        mean = total / r["n"]
-        var = max(total2 / r["n"] - mean * mean, 0.0)
-        std = var**0.5 if var > 1e-12 * max(1.0, mean * mean) else 1.0
-        sc = scalers.setdefault(parts[r["part"]], Scaler({}, {}, {}))
-        name = columns[r["i"]]
-        sc.median[name], sc.mean[name], sc.std[name] = median, mean, std
+    for p, (part, slots) in enumerate(zip(parts, members)):
+        sc = scalers.setdefault(part, Scaler({}, {}, {}))
+        for i, name in enumerate(columns):
+            total_n, seen_n, s1, s2 = sums[slots, i].sum(axis=0)
+            median = float(medians.get((p, i), 0.0))
+            gaps = total_n - seen_n
+            mean = (s1 + gaps * median) / total_n if total_n else 0.0
+            var = max((s2 + gaps * median * median) / total_n - mean * mean, 0.0) if total_n else 0.0
+            std = var**0.5 if var > 1e-12 * max(1.0, mean * mean) else 1.0
+            sc.median[name], sc.mean[name], sc.std[name] = median, float(mean), float(std)
     return scalers, sizes
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearfold.operators.ordered import running
+from clearfold.session import cut
 
 QUARTILES = (0.25, 0.5, 0.75)
 _ACCURACY = 100_000
 _MARGIN = 1e-4
+_MARGINS = (1.1e-4, 1.5e-4, 4e-4, 2e-3, 1e-2, 0.05, 0.3, 1.0)
 _CHUNKS = 256  # of the values inside the bracket of one quantile
 
 
@@ -19,53 +21,61 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _basics(df: DataFrame, columns: Sequence[str]) -> list[dict]:
-    """Count, moments and range of every column, one row from one pass."""
+def basics(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = ()) -> list[dict]:
+    """Count, moments and range of every column, and brackets of ``probs`` for every margin, one row from one pass.
+
+    A bracket's margin covers the sketch's error and the two ranks that a quantile lies between.
+    It depends on the count, which the same pass gives, so the sketch is asked for all of ``_MARGINS``.
+    """
     aggs = []
     for i, c in enumerate(columns):
         v = F.col(c).cast("double")
-        parts = {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
+        parts = {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "var": F.var_pop(v), "min": F.min(v), "max": F.max(v)}
+        asked = [x for q in probs for m in _MARGINS for x in (max(0.0, q - m), min(1.0, q + m))]
+        if asked:
+            parts["near"] = F.percentile_approx(v, asked, _ACCURACY)
         aggs.append(F.struct(*[x.alias(k) for k, x in parts.items()]).alias(f"s{i}"))
-    row = df.agg(*aggs).first()
-    return [row[f"s{i}"].asDict() for i in range(len(columns))]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
+    return [row[f"s{i}"].asDict() | {"rows": row["rows"]} for i in range(len(columns))]
+
+
+def _brackets(known: list[dict], probs: Sequence[float]) -> list[tuple[int, int, float, float]]:
+    """(column, quantile, low, high) per column with values and quantile."""
+    out = []
+    for i, s in enumerate(known):
+        if s["n"]:
+            m = next((k for k, m in enumerate(_MARGINS) if m >= _MARGIN + 1.5 / s["n"]), len(_MARGINS) - 1)
+            for j in range(len(probs)):
+                at = 2 * (j * len(_MARGINS) + m)
+                out.append((i, j, s["near"][at], s["near"][at + 1]))
+    return out
 
 
-def _brackets(df: DataFrame, columns: Sequence[str], basics: list[dict], probs: Sequence[float]) -> list[tuple]:
-    """(column, quantile, low, high, rows below low) per column with values and quantile.
+def quantile_rows(df: DataFrame, columns: Sequence[str], known: list[dict], probs: Sequence[float]) -> DataFrame:
+    """``column, q, value`` from the ``basics`` of the same columns and quantiles, in one more pass.
 
-    The margin covers the sketch's error and the two ranks that a quantile lies between.
+    The pass counts the rows below each bracket along with the distinct values inside it.
     """
-    near, held = [], [i for i, s in enumerate(basics) if s["n"]]
-    for i in held:
-        m = _MARGIN + 1.5 / basics[i]["n"]
-        near.append(F.percentile_approx(F.col(columns[i]).cast("double"), [p for q in probs for p in (max(0.0, q - m), min(1.0, q + m))], _ACCURACY).alias(f"p{i}"))
-    if not held:
-        return []
-    found = df.agg(*near).first()
-    ends = [(i, j, found[f"p{i}"][2 * j], found[f"p{i}"][2 * j + 1]) for i in held for j in range(len(probs))]
-    below = df.agg(*[F.count_if(F.col(columns[i]).cast("double") < lo).alias(f"b{k}") for k, (i, _, lo, _) in enumerate(ends)]).first()
-    return [(*e, below[f"b{k}"]) for k, e in enumerate(ends)]
-
-
-def _quantile_rows(df: DataFrame, columns: Sequence[str], basics: list[dict], probs: Sequence[float]) -> DataFrame:
-    brackets = _brackets(df, columns, basics, probs)
+    brackets = _brackets(known, probs)
     if not brackets:
         return df.sparkSession.createDataFrame([], "column string, q double, value double")
     hits = []
-    for k, (i, _, lo, hi, _) in enumerate(brackets):
+    for k, (i, _, lo, hi) in enumerate(brackets):
         v = F.col(columns[i]).cast("double")
-        hits.append(F.when(v.between(lo, hi), F.struct(F.lit(k).alias("k"), v.alias("v"))))
-    values = df.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy("h.k", "h.v").agg(F.count(F.lit(1)).alias("n"))
+        inside = F.struct(F.lit(k).alias("k"), F.when(v >= lo, v).alias("v"))
+        hits.append(F.when(v <= hi, inside))
+    values = cut(df.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy("h.k", "h.v").agg(F.count(F.lit(1)).alias("n")))
+    below = {r["k"]: r["n"] for r in values.where(F.col("v").isNull()).collect()}  # one row per bracket
     of = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("k") + 1)
     low, width = of([float(b[2]) for b in brackets]), of([float(b[3] - b[2]) for b in brackets])
     chunk = F.when(width > 0, F.floor((F.col("v") - low) / width * _CHUNKS)).otherwise(F.lit(0))
-    ranked = running(values, ["k"], chunk, ["v"], F.col("n"), "ahead")
+    ranked = running(values.where(F.col("v").isNotNull()), ["k"], chunk, ["v"], F.col("n"), "ahead")
     rows = ranked.select(
         of([columns[b[0]] for b in brackets]).alias("column"),
         of([float(probs[b[1]]) for b in brackets]).alias("q"),
         "v",
-        (of([int(b[4]) for b in brackets]) + F.coalesce("ahead", F.lit(0)) + F.col("n")).alias("upto"),
-        (of([float(probs[b[1]]) for b in brackets]) * of([basics[b[0]]["n"] - 1 for b in brackets])).alias("p"),
+        (of([int(below.get(k, 0)) for k in range(len(brackets))]) + F.coalesce("ahead", F.lit(0)) + F.col("n")).alias("upto"),
+        (of([float(probs[b[1]]) for b in brackets]) * of([known[b[0]]["n"] - 1 for b in brackets])).alias("p"),
     )
     picked = rows.groupBy("column", "q", "p").agg(
         F.min(F.when(F.col("upto") > F.floor("p"), F.col("v"))).alias("x0"),
@@ -76,27 +86,26 @@ def _quantile_rows(df: DataFrame, columns: Sequence[str], basics: list[dict], pr
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = QUARTILES) -> DataFrame:
-    """Linear-interpolated quantiles as rows ``(column, q, value)``, exact and without a global sort.
+    """Linear-interpolated quantiles as rows ``(column, q, value)``, exact, from two passes and without a global sort.
 
-    The built-in exact percentile keeps every distinct value in one buffer. Here a sketch
-    brackets each wanted rank (its rank error is at most 1/accuracy, a tenth of the
-    margin), the rows below each bracket are counted, and one pass for all columns takes the
-    values inside the brackets, collapsed to (value, count) before the shuffle; their running
-    counts go over chunks of each bracket.
+    The built-in exact percentile keeps every distinct value in one buffer. Here the first pass
+    brackets each wanted rank by a sketch (its rank error is at most 1/accuracy, a tenth of the
+    margin); the second counts the rows below each bracket and takes the values inside, collapsed
+    to (value, count) before the shuffle; their running counts go over chunks of each bracket.
     """
-    return _quantile_rows(df, columns, _basics(df, columns), probs)
+    return quantile_rows(df, columns, basics(df, columns, probs), probs)
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column: count, mean, sample std, min, quartiles and max."""
-    basics = _basics(df, columns)
-    quart = _quantile_rows(df, columns, basics, QUARTILES).groupBy("column").agg(
+    """One row per column: count, mean, sample std, min, quartiles and max, from two passes."""
+    known = basics(df, columns, QUARTILES)
+    quart = quantile_rows(df, columns, known, QUARTILES).groupBy("column").agg(
         *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(f"p{int(q * 100)}") for q in QUARTILES]
     )
-    rows = [(c, s["n"], s["mean"], s["std"], s["min"], s["max"]) for c, s in zip(columns, basics)]
+    rows = [(c, s["n"], s["mean"], s["std"], s["min"], s["max"]) for c, s in zip(columns, known)]
     ddl = "column string, count bigint, mean double, std double, min double, max double"
-    known = F.broadcast(df.sparkSession.createDataFrame(rows, ddl))  # one row per profiled column
-    return known.join(quart, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, ddl))  # one row per profiled column
+    return table.join(quart, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def label_index(df: DataFrame, label: str) -> DataFrame:
