@@ -102,7 +102,7 @@ def test_many_marks_in_a_row(spark, documents):
 
 def samples(form):
     """Shortest texts of a form, with each alternative of its first group, and the longest one of the first alternatives."""
-    form = form.replace("{}", "4 0").replace(".{1,80}", "Some Name").replace(".*", "").replace("[0-9]", "4").replace("( |, )", ", ")
+    form = form.replace("{}", "4 0").replace(".+", "Some Name").replace(".*", "").replace("[0-9]", "4").replace("( |, )", ", ")
     short = re.sub(r"\([^()]*(\([^()]*\)[^()]*)*\)\?", "", form)
     whole = re.sub(r"\(([^()|]*)(\|[^()]*)?\)\??", r"\1", re.sub(r"\(([^()|]*)(\|[^()]*)?\)\??", r"\1", form))
     group = re.search(r"\(([^()]*)\)", short)
@@ -133,3 +133,32 @@ def test_sentences_of_the_caller(spark, documents):
     docs = documents([(0, "Free for\nall.", "s"), (1, "Yours or mine", "s"), (2, "All rights reserved.", "s")])
     got = lic.scan(docs, sentences=(("free", "free for (all|some)"), ("own", "yours or mine|ours")), rules=(("X", ("free",)),)).collect()
     assert {r["doc_id"]: (r["sentence_ids"], r["licence"]) for r in got} == {0: (["free"], "X"), 1: (["own"], None), 2: ([], None)}
+
+
+USUAL = [
+    ("This project is licensed under the terms of the MIT license.", "MIT"), ("Licensed under GPLv3", "GPL-3.0"), ("Released under the MIT licence.", "MIT"),
+    ("Released under the ISC license.", "ISC"), ("Licensed under the EPL-2.0.", "EPL-2.0"), ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    ("Licensed under the GNU LGPL v2.1 or later", "LGPL-2.1"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA"), ("Licensed under the Mozilla Public License 2.0", "MPL-2.0"), ("Licensed under the European Union Public License, version 1.2", "EUPL-1.2"),
+]
+
+
+def test_usual_sentences(spark, documents):
+    got = {r["doc_id"]: r["licence"] for r in lic.scan(documents([(i, t, "s") for i, (t, _) in enumerate(USUAL)])).collect()}
+    assert [got[i] for i in range(len(USUAL))] == [licence for _, licence in USUAL]
+    assert sum(form.count('|') + 1 for _, form in lic.SENTENCES) >= 300 and len({licence for licence, _ in lic.RULES}) >= 40
+
+
+def test_no_length_caps(spark, documents):
+    long = "Copyright 2020 " + "A Very Long Name " * 30 + ". All rights reserved."
+    names = "Neither the name of " + "Some Firm and " * 20 + "others may be used to endorse or promote products derived from this software without specific prior written permission."
+    got = {r["doc_id"]: r["sentence_ids"] for r in lic.scan(documents([(0, long, "s"), (1, names, "s")])).collect()}
+    assert got == {0: ["copyright", "reserved"], 1: ["bsd-names"]}
+
+
+def test_declared_expressions(spark, documents):
+    texts = ["// SPDX-License-Identifier: MIT", "# spdx-license-identifier: (GPL-2.0-only  OR MIT)\ncode", "/* SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception */", "SPDX", None, "SPDX-License-Identifier:"]
+    got = {r["doc_id"]: r["spdx"] for r in lic.scan(documents([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(6)] == ["MIT", "(GPL-2.0-only OR MIT)", "Apache-2.0 WITH LLVM-exception", None, None, None]
