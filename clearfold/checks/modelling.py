@@ -263,6 +263,30 @@ kept AS (SELECT s.grp, s.score FROM scores s JOIN chosen h ON h.grp = s.grp AND
 SELECT [{", ".join(f"'{f}'" if f else "NULL" for f in LEFT_OUT)}][CAST(grp + 1 AS BIGINT)] AS left_out, round(avg(score), 9) + 0.0 AS cv_accuracy,
   round(stddev_pop(score), 9) + 0.0 AS cv_std, (SELECT c FROM final) AS c FROM kept GROUP BY grp"""
 
+# The iterations of the loop as groups: iteration i trains on fold i - 1 with the features that the fixed plan leaves it.
+LOOP_SETS = (b.SIGNAL_NAMES[:4], ["comma_level", "length_level", "has_digit", "has_symbol", "tongue"], ["comma_level", "length_level", "has_symbol", "tongue"])
+LOOP_ROWS = SPLIT_ROWS.replace("WHERE role = 'train'", f"WHERE role = 'train' AND fold < {len(LOOP_SETS)}")
+
+
+def _in_use(column, expression):
+    groups = ", ".join(str(i) for i, names in enumerate(LOOP_SETS) if any(column == n or column.startswith(f"{n}_") for n in names))
+    return f"CASE WHEN grp IN ({groups}) THEN CAST({expression} AS INTEGER) ELSE 0 END"
+
+
+LOOP_COLUMNS = {c: _in_use(c, x) for c, x in DOC_COLUMNS.items()}
+DIMENSIONS = " ".join(f"WHEN {i} THEN {len(names)}" + (" + k - 2" if "tongue" in names else "") for i, names in enumerate(LOOP_SETS))
+USED = " ".join(f"WHEN {i} THEN '{','.join(names)}'" for i, names in enumerate(LOOP_SETS))
+K17 = f"""{_start(LOOP_ROWS, LOOP_COLUMNS, 'poor')}, {ft.chosen_sql(9)}, {_scored(9, BEST, HELD).format(x=_x(LOOP_COLUMNS))}{GUESSED},
+cv AS (SELECT grp, avg(score) AS a FROM ({OUTER_SCORES}) GROUP BY grp),
+held AS (SELECT grp, role, count(*) AS n, count(*) FILTER (guess = label) / count(*) AS v FROM guessed GROUP BY grp, role),
+val AS (SELECT *, v > coalesce(max(v) OVER (ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS is_best FROM held WHERE role = 'validation'),
+best AS (SELECT grp FROM val ORDER BY v DESC, grp LIMIT 1),
+seen AS (SELECT grp, count(*) AS n_train, count(DISTINCT tongue) AS k FROM rows GROUP BY grp)
+SELECT CAST(val.grp + 1 AS INTEGER) AS iteration, CAST(val.grp AS INTEGER) AS train_fold, round(a, 9) + 0.0 AS train_cv_accuracy, round(v, 9) + 0.0 AS val_accuracy,
+  n_train, n AS n_val, CAST(CASE val.grp {DIMENSIONS} END AS INTEGER) AS effective_dimensionality, is_best, CASE val.grp {USED} END AS features_used,
+  (SELECT round(h.v, 9) + 0.0 FROM held h WHERE role = 'test' AND grp = (SELECT grp FROM best)) AS test_accuracy
+FROM val JOIN cv ON cv.grp = val.grp JOIN seen ON seen.grp = val.grp"""
+
 COEF_LIST = "feature, coefficient, abs_coef, odds_ratio"
 CHECKS = [
     Check("k5_elastic_net_fit", _fixed_c, f"{LINE_FIT}, {_coefs(LINE_COLUMNS, 'SELECT * FROM fits')} SELECT {COEF_LIST} FROM coefs"),
@@ -285,7 +309,7 @@ SELECT {COEF_LIST}, best_c AS c FROM coefs""",
         f"""{NESTED}, {_coefs(DOC_COLUMNS, BEST)}
 SELECT {COEF_LIST}, (SELECT round(avg(score), 9) + 0.0 FROM ({OUTER_SCORES})) AS cv_accuracy FROM coefs""",
     ),
-    Check("k17_improvement_loop", _loop),
+    Check("k17_improvement_loop", _loop, K17),
     Check("p4_ablation", _ablation, P4),
     Check("k7_fold_slots", _slots, SLOTS),
 ]

@@ -169,7 +169,7 @@ def extract_into_cache(
     call_id: str = "",
     **options,
 ) -> DataFrame:
-    """Extract what the cache table at ``path`` lacks and return the table.
+    """Extract what the cache table at ``path`` lacks and return the table's rows of the wanted keys.
 
     With several ``batches`` the distinct misses are written once, cut by key, and worked
     off slice by slice; each slice's results are written when done, so a lost executor or
@@ -193,16 +193,20 @@ def extract_into_cache(
     for part in slices:
         out = run_extractor(part, factory, record, "cache_key", text_col, **options)
         out.withColumnRenamed("id", "cache_key").withColumn("call_id", F.lit(call_id)).write.mode("append").parquet(path)
-    return read_cache(spark, path, schema)
+    return read_cache(spark, path, schema, keyed)
 
 
-def read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_cache(spark: SparkSession, path: str, schema: T.StructType, wanted: DataFrame | None = None) -> DataFrame:
     """The cache table with one ``ok`` row per key at most, whatever calls overlapped; failed rows stay.
 
     Of several successes the one with the least call and attempt counts. Kept rows are found
-    by key, so the shuffle carries a key and two small values beside the record.
+    by key, so the shuffle carries a key and two small values beside the record. With ``wanted``
+    only the rows of its keys are looked at: a small key set goes to the scan, and records of
+    other keys are not shuffled.
     """
     rows = spark.read.schema(schema).parquet(path)
+    if wanted is not None:
+        rows = rows.join(wanted.select("cache_key").distinct(), "cache_key", "left_semi")
     ok = F.col("status") == "ok"
     first = Window.partitionBy("cache_key").orderBy("call_id", "attempt", "elapsed_s")
     good = rows.where(ok).withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") == 1).drop("__rn")

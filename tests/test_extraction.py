@@ -76,6 +76,18 @@ def test_cache_extracts_each_text_once(spark, tmp_path):
     assert again.where("status = 'ok' and call_id = 'two'").count() == 0
 
 
+def test_a_call_reads_the_records_of_its_own_keys(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    factory = lambda: lambda text, ident: ex.Extraction({"n": 1})
+    every = ex.with_cache_key(docs(spark, *[f"t{i}" for i in range(200)]), "h")
+    ex.extract_into_cache(every, path, factory, REC, **FAST)
+    few = ex.extract_into_cache(every.where(F.col("id").isin("1", "2", "3")), path, factory, REC, **FAST)
+    assert few.count() == 3
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("Window")  # below the window that ranks the rows of a key
+    assert ex.read_cache(spark, path, few.schema).count() == 200
+
+
 def test_cache_is_scoped_by_config(spark):
     df = docs(spark, "text")
     a = ex.with_cache_key(df, "abc123").first().cache_key

@@ -6,7 +6,6 @@ import __spark_entry__ as entry
 from compare import difference, duck
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
-LIGHT_ROWS_ONLY = ["k17_improvement_loop"]
 
 
 @pytest.fixture(scope="module")
@@ -20,11 +19,6 @@ def test_matches_sql(spark, sf_dir, con, name):
     assert problem is None, problem
 
 
-@pytest.mark.parametrize("name", LIGHT_ROWS_ONLY)
-def test_rows_only_queries_run(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
-
-
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
