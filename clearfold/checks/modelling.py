@@ -11,6 +11,8 @@ from clearfold.checks.base import Check
 from clearfold.checks.sampling import split_sql
 from clearfold.operators import metrics as m
 from clearfold.operators import model as md
+from clearfold.operators import sparsefit as sf
+from clearfold.operators.matrix import fit_vocabulary
 from clearfold.operators.ordered import hash_rank
 from clearfold.operators.profile import class_counts
 from clearfold.operators.sampling import make_splits
@@ -63,6 +65,35 @@ def _optimality(spark, d):
     return _rounded(md.optimality(fitted, feats), "coefficient").select("feature", "coefficient", "optimal")
 
 
+ORDER_FEATURES = ["price_level", "status", "customer"]
+
+
+def order_records(spark, d):
+    """Records of every order; the customer is a category with thousands of values."""
+    o = b.table(spark, d, "orders")
+    dear = F.col("o_totalprice") + 100_000 * (F.col("o_custkey") % 3) > 350_000
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.floor(F.col("o_totalprice") / 100_000).cast("int").alias("price_level"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_custkey").cast("string").alias("customer"),
+        F.when(dear, "dear").otherwise("cheap").alias("label"),
+    )
+
+
+def _sparse_cells(spark, d):
+    """Every cell of the orders' matrix that is not 0, in long form."""
+    feats = order_records(spark, d)
+    return sf.cells(feats, ORDER_FEATURES, fit_vocabulary(feats, ORDER_FEATURES, sf.MAX_VALUES), ["id"])
+
+
+def _wide_optimality(spark, d):
+    """Subgradient conditions of a fit with a column per customer, to a fifth of the L1 limit."""
+    feats = order_records(spark, d)
+    fitted = md.fit_fixed_c(feats, None, ORDER_FEATURES)
+    return md.optimality(fitted, feats, tolerance=0.2 * 0.5 / feats.count()).select("feature", "optimal")
+
+
 def _nested(spark, d):
     feats, labels = _docs(spark, d)
     e = md.fit_and_evaluate(feats, labels, b.SIGNAL_NAMES)
@@ -287,10 +318,21 @@ SELECT CAST(val.grp + 1 AS INTEGER) AS iteration, CAST(val.grp AS INTEGER) AS tr
   (SELECT round(h.v, 9) + 0.0 FROM held h WHERE role = 'test' AND grp = (SELECT grp FROM best)) AS test_accuracy
 FROM val JOIN cv ON cv.grp = val.grp JOIN seen ON seen.grp = val.grp"""
 
+ORDERS = """o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(floor(o_totalprice / 100000) AS INTEGER) AS price_level, o_orderstatus AS status,
+  CAST(o_custkey AS VARCHAR) AS customer FROM orders)"""
+CELLS = f"""WITH {ORDERS} SELECT id, 'price_level' AS name, CAST(price_level AS DOUBLE) AS value FROM o WHERE price_level <> 0
+UNION ALL SELECT id, 'status_' || status, 1.0::DOUBLE FROM o WHERE status <> (SELECT min(status) FROM o)
+UNION ALL SELECT id, 'customer_' || customer, 1.0::DOUBLE FROM o WHERE customer <> (SELECT min(customer) FROM o)"""
+WIDE_COLUMNS = f"""WITH {ORDERS} SELECT 'price_level' AS feature, true AS optimal
+UNION ALL SELECT DISTINCT 'status_' || status, true FROM o WHERE status <> (SELECT min(status) FROM o)
+UNION ALL SELECT DISTINCT 'customer_' || customer, true FROM o WHERE customer <> (SELECT min(customer) FROM o)"""
+
 COEF_LIST = "feature, coefficient, abs_coef, odds_ratio"
 CHECKS = [
     Check("k5_elastic_net_fit", _fixed_c, f"{LINE_FIT}, {_coefs(LINE_COLUMNS, 'SELECT * FROM fits')} SELECT {COEF_LIST} FROM coefs"),
     Check("k5_optimality", _optimality, f"{LINE_FIT}, {_coefs(LINE_COLUMNS, 'SELECT * FROM fits')} SELECT feature, coefficient, true AS optimal FROM coefs"),
+    Check("k1_sparse_cells", _sparse_cells, CELLS),
+    Check("k5_wide_categories", _wide_optimality, WIDE_COLUMNS),
     Check(
         "k6_select_c",
         _select_c,

@@ -70,14 +70,17 @@ class LinearModel:
             products = F.zip_with(features, F.lit(weights.tolist()), lambda x, w: x * w)
             return F.aggregate(products, zero, lambda acc, x: acc + x) + F.lit(float(bias))
 
-        margins = F.array(*[margin(w, b) for w, b in zip(self.matrix, self.bias)])
-        return margins if len(self.matrix) > 1 else F.transform(margins, lambda m: F.when(F.abs(m) > TIE, m).otherwise(zero))
+        return F.array(*[margin(w, b) for w, b in zip(self.matrix, self.bias)])
 
     def probabilities(self, features: Column) -> Column:
-        """Class probabilities, in the order of the label index."""
-        z = self.margins(features)
+        """Class probabilities, in the order of the label index; of two classes that of the second."""
+        return self.shares(self.margins(features))
+
+    def shares(self, z: Column) -> Column:
+        """Class probabilities of an array of margins."""
         if len(self.matrix) == 1:
-            return F.transform(z, lambda m: 1 / (1 + F.exp(-m))).getItem(0)
+            m = F.when(F.abs(z[0]) > TIE, z[0]).otherwise(F.lit(0.0))
+            return 1 / (1 + F.exp(-m))
         top = F.array_max(z)
         shifted = F.transform(z, lambda m: F.exp(m - top))
         return F.transform(shifted, lambda e: e / F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x))

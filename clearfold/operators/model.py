@@ -24,6 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clearfold.operators import sparsefit
 from clearfold.operators.batchfit import MAX_COLUMNS, LinearModel, Part, fit_all, hits, rows_for
 from clearfold.operators.matrix import (
     Scaler,
@@ -37,7 +38,7 @@ from clearfold.operators.matrix import (
 )
 from clearfold.operators.metrics import attach_features, attach_texts
 from clearfold.operators.ordered import hash_rank
-from clearfold.operators.profile import label_index, safe_fold_counts
+from clearfold.operators.profile import class_counts, label_index, safe_fold_counts
 from clearfold.session import cut
 
 # Grid, mix of the penalties, iteration cap and seed.
@@ -264,6 +265,10 @@ class NestedFit:
         """The best C; the smallest of equals."""
         return min(scores, key=lambda c: (-round(scores[c], 12), c))
 
+    def scaler(self) -> Scaler:
+        """Of all rows."""
+        return self.scalers[(FULL, FULL)]
+
     def run(self, grid: Sequence[float] = C_GRID, outer: bool = True) -> tuple[list[float], LinearModel, float]:
         """(outer fold scores, model of all rows, its C).
 
@@ -283,6 +288,79 @@ class NestedFit:
         return [scores[(f, FULL, chosen[f])] for f in outers if f != FULL], models[(FULL, FULL, chosen[FULL])], chosen[FULL]
 
 
+class SparseNestedFit(NestedFit):
+    """The same fits where categories have many values: sparse rows, and Spark ML for every fit."""
+
+    def __init__(self, raw: DataFrame, raw_columns: Sequence[str], vocabulary: dict[str, list[str]], layout: FoldLayout, terms: Sequence[tuple[str, str]] = ()):
+        names, plain = _plain(raw, raw_columns, vocabulary, terms)
+        self.layout, self.columns = layout, _matrix_columns(raw_columns, vocabulary, terms)
+        self.plain = names
+        numbers = raw.select("label_idx", "slot", "n", *[p.alias(c) for c, p in zip(names, plain)])
+        self.scalers, self.sizes = part_statistics(numbers, names, layout)
+        self.ordered = {c: vocabulary[c] for c in raw_columns if c in vocabulary}
+        self.counts = sparsefit.value_counts(raw, self.ordered, layout.n_slots)
+        self.tasks = max(1, raw.count() // ROWS_PER_PARTITION)
+        rows = sparsefit.sparse_rows(raw, plain, self.ordered, ["label_idx", "slot", "n"])
+        self.rows = rows.coalesce(self.tasks).persist(StorageLevel.MEMORY_AND_DISK)
+        self.fits, self.models = sparsefit.SparseFits(self.rows, len(names)), {}
+
+    def _part(self, f: int, g: int) -> Part:
+        scaler, sizes = self.scalers[(f, g)], self.sizes[(f, g)]
+        flags = np.zeros(self.layout.n_slots, bool)
+        flags[self.layout.train_slots(f, g)] = True
+        total, k = sum(sizes.values()), len(sizes)
+        weights = np.array([total / (k * sizes[i]) if i in sizes else 0.0 for i in range(max(max(s, default=0) for s in self.sizes.values()) + 1)])
+        share, deviation = sparsefit.spread(self.counts[flags].sum(axis=0), total)
+        of = lambda values, more: np.concatenate([np.array([values[c] for c in self.plain], float), more])
+        return Part(flags, of(scaler.median, np.zeros_like(share)), of(scaler.mean, share), of(scaler.std, deviation), weights)
+
+    def train(self, jobs: Sequence[tuple[int, int, float]]) -> list[LinearModel | int]:
+        todo = [j for j in jobs if len(self.sizes[j[:2]]) > 1]
+        fitted = self.fits.fit_all([(self._part(f, g), c, float(sum(self.sizes[(f, g)].values()))) for f, g, c in todo])
+        self.models = dict(zip(todo, fitted))
+        return [sparsefit.linear(self.models[j]) if j in self.models else next(iter(self.sizes[j[:2]])) for j in jobs]
+
+    def score(self, jobs: Sequence[tuple[int, int, float]], models: Sequence[LinearModel | int]) -> list[float]:
+        tests = []
+        for (f, g, c), model in zip(jobs, models):
+            held = np.zeros(self.layout.n_slots, bool)
+            held[self.layout.score_slots(f, g)] = True
+            tests.append((held, self._part(f, g), self.models.get((f, g, c), model)))
+        return self.fits.accuracy(tests)
+
+    def scaler(self) -> Scaler:
+        """Of all rows, over every matrix column."""
+        part = self._part(FULL, FULL)
+        return Scaler(*[dict(zip(self.columns, values.tolist())) for values in (part.fill, part.mean, part.std)])
+
+
+def _factor(df: DataFrame, columns: Sequence[str], vocabulary: dict[str, list[str]], name: str) -> Column:
+    """A single matrix column as an expression."""
+    if name in columns and name not in vocabulary:
+        return F.col(name).cast("int") if dict(df.dtypes)[name] == "boolean" else F.col(name)
+    c, v = next((c, v) for c in columns if c in vocabulary for v in vocabulary[c][1:] if f"{c}_{v}" == name)
+    return F.when(F.col(c) == v, F.lit(1)).otherwise(F.lit(0))
+
+
+def _plain(df: DataFrame, columns: Sequence[str], vocabulary: dict[str, list[str]], terms: Sequence[tuple[str, str]]) -> tuple[list[str], list[Column]]:
+    """Names and expressions of the plain matrix columns and of the products."""
+    numbers = [c for c in columns if c not in vocabulary]
+    names = numbers + [f"{a}__x__{b}" for a, b in terms]
+    one = lambda name: _factor(df, columns, vocabulary, name)
+    return names, [one(c) for c in numbers] + [one(a) * one(b) for a, b in terms]
+
+
+def _matrix_columns(columns: Sequence[str], vocabulary: dict[str, list[str]], terms: Sequence[tuple[str, str]]) -> list[str]:
+    """Matrix columns of a sparse fit: plain ones, products, then categories."""
+    n = len([c for c in columns if c not in vocabulary])
+    every = encoded_columns(columns, vocabulary)
+    return every[:n] + [f"{a}__x__{b}" for a, b in terms] + every[n:]
+
+
+def _is_wide(vocabulary: dict[str, list[str]]) -> bool:
+    return sum(len(v) - 1 for v in vocabulary.values() if v) > MAX_COLUMNS
+
+
 def _training_rows(features: DataFrame, labels: DataFrame | None, raw_columns: Sequence[str], label: str) -> DataFrame:
     rows = features if labels is None else join_labels(features, labels.select("id", label))
     return rows.select("id", *raw_columns, label).where(F.col(label).isNotNull())
@@ -319,21 +397,24 @@ def fit_and_evaluate(
         layout = FoldLayout(int(counts["outer_folds"]), int(counts["inner_folds"]))
         indexed = rows.withColumn("label_idx", _index_of(names, label))
         raw = collapse(indexed, raw_columns, layout).persist()
-        vocabulary = fit_vocabulary(raw, raw_columns)
-        columns = encoded_columns(raw_columns, vocabulary)
-        matrix = encode(raw, raw_columns, vocabulary, ["label_idx", "slot", "n"])
-        if terms:
-            matrix = with_interactions(matrix, terms)
-            columns = columns + [f"{a}__x__{b}" for a, b in terms]
         collapsed = raw
-        nested = NestedFit(matrix, columns, layout)
+        vocabulary = fit_vocabulary(raw, raw_columns, sparsefit.MAX_VALUES)
+        if _is_wide(vocabulary):
+            nested = SparseNestedFit(raw, raw_columns, vocabulary, layout, terms)
+            columns = nested.columns
+        else:
+            columns = encoded_columns(raw_columns, vocabulary)
+            matrix = encode(raw, raw_columns, vocabulary, ["label_idx", "slot", "n"])
+            if terms:
+                matrix = with_interactions(matrix, terms)
+                columns = columns + [f"{a}__x__{b}" for a, b in terms]
+            nested = NestedFit(matrix, columns, layout)
         scores, model, c = nested.run(grid, outer)
     finally:
         for held in (nested, collapsed, rows):
             if held is not None:
                 held.unpersist()
-    scaler = nested.scalers[(FULL, FULL)]
-    fitted = Fitted(model, columns, list(raw_columns), vocabulary, scaler, names, c)
+    fitted = Fitted(model, columns, list(raw_columns), vocabulary, nested.scaler(), names, c)
     return Evaluation(scores, fitted, int(counts["n_rows"]))
 
 
@@ -348,16 +429,19 @@ def fit_fixed_c(
         names = [r[label] for r in label_index(counted, label).orderBy("label_idx").collect()]
         if len(names) < 2:
             raise ValueError("a classifier needs at least two classes")
-        vocabulary = fit_vocabulary(counted, raw_columns)
-        columns = encoded_columns(raw_columns, vocabulary)
+        vocabulary = fit_vocabulary(counted, raw_columns, sparsefit.MAX_VALUES)
         indexed = counted.withColumn("label_idx", _index_of(names, label))
-        nested = NestedFit(encode(indexed, raw_columns, vocabulary, ["label_idx", "slot", "n"]), columns, FoldLayout(1, 1))
+        if _is_wide(vocabulary):
+            nested = SparseNestedFit(indexed, raw_columns, vocabulary, FoldLayout(1, 1))
+        else:
+            matrix = encode(indexed, raw_columns, vocabulary, ["label_idx", "slot", "n"])
+            nested = NestedFit(matrix, encoded_columns(raw_columns, vocabulary), FoldLayout(1, 1))
         model = nested.train([(FULL, FULL, c)])[0]
     finally:
         for held in (nested, counted):
             if held is not None:
                 held.unpersist()
-    return Fitted(model, columns, list(raw_columns), vocabulary, nested.scalers[(FULL, FULL)], names, c)
+    return Fitted(model, nested.columns, list(raw_columns), vocabulary, nested.scaler(), names, c)
 
 
 def ablation(
@@ -393,17 +477,37 @@ def zeroed_features(fitted: Fitted, threshold: float = 1e-6) -> list[str]:
     return [c for c, mine in columns_of.items() if not alive & set(mine)]
 
 
+def _filled(fitted: Fitted, name: str, value: Column) -> Column:
+    scaler = fitted.scaler
+    return F.coalesce(value.cast("double"), F.lit(float(scaler.median[name]))) / F.lit(float(scaler.std[name]))
+
+
+def _terms(fitted: Fitted) -> list[tuple[str, str]]:
+    """The products among the matrix columns."""
+    own = set(encoded_columns(fitted.raw_columns, fitted.vocabulary))
+    return [tuple(c.split("__x__", 1)) for c in fitted.columns if c not in own]
+
+
+def _margins(fitted: Fitted, features: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and ``__z``, the margins of every record."""
+    if _is_wide(fitted.vocabulary):
+        names, plain = _plain(features, fitted.raw_columns, fitted.vocabulary, _terms(fitted))
+        scaled = [_filled(fitted, c, p) for c, p in zip(names, plain)]
+        scale = np.array([fitted.scaler.std[c] for c in fitted.columns])
+        ordered = {c: fitted.vocabulary[c] for c in fitted.raw_columns if c in fitted.vocabulary}
+        return sparsefit.margins(features, scaled, ordered, fitted.model, scale, keep)
+    matrix = encode(features, fitted.raw_columns, fitted.vocabulary, keep)
+    if terms := _terms(fitted):
+        matrix = with_interactions(matrix, terms)
+    scaled = F.array(*[_filled(fitted, c, F.col(c)) for c in fitted.columns])
+    return matrix.select(*keep, scaled.alias("__x")).select(*keep, fitted.model.margins(F.col("__x")).alias("__z"))
+
+
 def predict(fitted: Fitted, features: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:
     """``predicted_label`` and ``confidence``, the largest class probability, per record."""
-    matrix = encode(features, fitted.raw_columns, fitted.vocabulary, keep)
-    extra = [c for c in fitted.columns if c not in matrix.columns]
-    if extra:
-        matrix = with_interactions(matrix, [tuple(c.split("__x__", 1)) for c in extra])
-    scaler = fitted.scaler
-    scaled = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float(scaler.median[c]))) / F.lit(float(scaler.std[c])) for c in fitted.columns])
     names = F.array(*[F.lit(n) for n in fitted.labels])
-    shares = fitted.model.probabilities(F.col("__x"))
-    scored = matrix.select(*keep, scaled.alias("__x"))
+    shares = fitted.model.shares(F.col("__z"))
+    scored = _margins(fitted, features, keep)
     if len(fitted.labels) == 2:
         scored = scored.select(*keep, F.array(1 - shares, shares).alias("__p"))
     else:
@@ -424,22 +528,26 @@ def optimality(fitted: Fitted, records: DataFrame, label: str = "label", toleran
     that is not zero, within the limit for one that is, and zero for the intercept, which must
     hold as well for any column to count as optimal.
     """
-    scaler, names = fitted.scaler, fitted.labels
-    matrix = encode(records.where(F.col(label).isNotNull()), fitted.raw_columns, fitted.vocabulary, [label])
-    filled = [F.coalesce(F.col(c).cast("double"), F.lit(float(scaler.median[c]))) / F.lit(float(scaler.std[c])) for c in fitted.columns]
-    rows = matrix.select((F.col(label) == names[1]).cast("double").alias("y"), F.array(*filled).alias("x"))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names, scaler = fitted.labels, fitted.scaler
+    known = records.where(F.col(label).isNotNull())
+    sizes = {r[label]: r["n"] for r in class_counts(known, label).collect()}
     total = float(sum(sizes.values()))
-    weight = F.when(F.col("y") == 1, total / (2 * sizes[1.0])).otherwise(total / (2 * sizes[0.0]))
-    off = weight * (fitted.model.probabilities(F.col("x")) - F.col("y"))
-    sums = rows.select("x", off.alias("r")).agg(F.sum("r").alias("b"), *[F.sum(F.col("r") * F.col("x")[i]).alias(f"s{i}") for i in range(len(filled))])
+    weight = F.when(F.col(label) == names[1], total / (2 * sizes[names[1]])).otherwise(total / (2 * sizes[names[0]]))
+    numbers, plain = _plain(known, fitted.raw_columns, fitted.vocabulary, _terms(fitted))
+    cats = [c for c in fitted.raw_columns if c in fitted.vocabulary]
+    xs = [F.struct(F.lit(c).alias("feature"), _filled(fitted, c, p).alias("x")) for c, p in zip(numbers, plain)]
+    xs += [F.struct(F.concat(F.lit(f"{c}_"), F.col(c)).alias("feature"), F.lit(1.0).alias("x")) for c in cats]
+    xs.append(F.struct(F.lit("").alias("feature"), F.lit(1.0).alias("x")))  # the intercept; a missing category's cell has no name
+    rows = _margins(fitted, known.select("*", F.array(*xs).alias("__xs"), weight.alias("__w")), (label, "__xs", "__w"))
+    off = F.col("__w") * (fitted.model.shares(F.col("__z")) - (F.col(label) == names[1]).cast("double"))
+    cells = rows.select(off.alias("r"), F.inline("__xs"))
+    sums = cut(cells.groupBy("feature").agg(F.sum(F.col("r") * F.col("x")).alias("s")))
+    level = sums.where(F.col("feature") == "").select((F.abs(F.col("s") / total) <= tolerance).alias("level")).scalar()
     share = 0.5 / (fitted.c * total)
-    level = F.abs(F.col("b") / total) <= tolerance
-    terms = [
-        F.struct(F.lit(c).alias("feature"), F.lit(float(w)).alias("coefficient"), (F.col(f"s{i}") / total + share * float(w)).alias("slope"))
-        for i, (c, w) in enumerate(zip(fitted.columns, fitted.model.matrix[0]))
-    ]
-    rows = sums.select(level.alias("level"), F.explode(F.array(*terms)).alias("t")).select("level", "t.*").withColumn("limit", F.lit(share))
+    known_columns = [(c, float(w), 1.0 if c in numbers else float(scaler.std[c])) for c, w in zip(fitted.columns, fitted.model.matrix[0])]
+    columns = records.sparkSession.createDataFrame(known_columns, "feature string, coefficient double, std double")
+    slope = F.coalesce(F.col("s"), F.lit(0.0)) / F.col("std") / total + share * F.col("coefficient")
+    rows = columns.join(sums, "feature", "left").select("feature", "coefficient", slope.alias("slope"), F.lit(share).alias("limit"), level.alias("level"))
     held = F.when(F.col("coefficient") == 0, F.abs("slope") <= F.col("limit") + tolerance).otherwise(
         F.abs(F.col("slope") + F.col("limit") * F.signum("coefficient")) <= tolerance
     )
