@@ -12,6 +12,7 @@ from clearfold.operators import profile as pf
 from clearfold.plans.corpus_build import build_corpus, vote_consensus
 from clearfold.session import cut
 from clearfold.sources.corpora import read_comments, read_corpus, read_posts, write_corpus
+from clearfold.streaming.votes import follow_top_votes, followed_verdicts
 
 
 def _line_order():
@@ -173,7 +174,17 @@ def describe_sql(source: str, column: str) -> str:
   round(quantile_cont(CAST({column} AS DOUBLE), 0.75), 6) AS p75, round(max(CAST({column} AS DOUBLE)), 6) AS max FROM {source}"""
 
 
+def _followed(spark, d):
+    """Verdicts of the best five votes, after a stream over files of all events."""
+    votes, folder = b.event_votes(spark, d), b.scratch(spark, "stream")
+    votes.repartition(6).write.parquet(f"{folder}/votes")
+    stream = spark.readStream.schema(votes.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/votes")
+    follow_top_votes(stream, f"{folder}/best", f"{folder}/checkpoint", 5).awaitTermination()
+    return _votes_out(followed_verdicts(spark, f"{folder}/best", votes.schema, 5))
+
+
 CHECKS = [
+    Check("stream_top_vote_verdicts", _followed, consensus_sql(b.EVENT_VOTES, 5, 3, 5, "score DESC, comment_id")),
     Check(
         "vote_consensus_events",
         lambda s, d: _votes_out(vote_consensus(b.event_votes(s, d))),

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clearfold.functions.text import LABELS
-from clearfold.operators.corpus import MIN_TOTAL_SCORE, MIN_VOTES, clamped_score, confidence
+from clearfold.operators.corpus import MIN_TOTAL_SCORE, MIN_VOTES, TOP_K, clamped_score, confidence, top_votes, vote_totals, winners
+
+SALTS = 16  # states that the votes of a post are dealt to
 
 
 def running_verdicts(
@@ -22,7 +29,7 @@ def running_verdicts(
 
     The state of a post is two numbers per label, and the winner is worked out from them
     row by row; write it in update mode. The same function on a table gives the same
-    verdicts as ``winners`` without a top-k limit, which a stream cannot have.
+    verdicts as ``winners`` without a top-k limit; ``follow_top_votes`` has one.
     """
     score = clamped_score(F.col("score"))
     sums = []
@@ -56,3 +63,67 @@ def running_verdicts(
             confidence(-F.col("__best")["s"], F.col("total_score")).alias("confidence"),
         )
     )
+
+
+# -- verdicts of the best k votes ------------------------------------------------------
+
+
+def best_votes(votes: DataFrame, k: int = TOP_K, key: str = "post_id", vote_id: str = "comment_id", salts: int = SALTS) -> DataFrame:
+    """``salt`` and the columns of ``votes``: the best ``k`` votes of every (post, salt) that a batch changed.
+
+    The state of a (post, salt) is its best ``k`` votes so far, by score and then by id, so a post's
+    memory is bounded by ``salts * k`` votes whatever it receives, and one with a third of all votes
+    is spread over ``salts`` groups. A vote that comes again changes nothing, as it is either held
+    or worse than all that are; of copies of an id with different scores the best counts. Votes
+    without an id are left out. ``score`` and ``label`` may be null, as in ``top_votes``.
+    """
+    columns = votes.columns
+
+    def update(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = pickle.loads(state.get[0]) if state.exists else None
+        held = before
+        for pdf in batches:
+            every = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            ordered = every.sort_values(["score", vote_id], ascending=[False, True], na_position="last")
+            held = ordered.drop_duplicates(vote_id).head(k).reset_index(drop=True)
+        if held is not None and (before is None or not held.equals(before)):
+            state.update((pickle.dumps(held),))
+            yield held
+
+    salted = votes.where(F.col(vote_id).isNotNull()).select("*", F.pmod(F.xxhash64(vote_id), F.lit(salts)).cast("int").alias("salt"))
+    shape = T.StructType([*votes.schema.fields, T.StructField("salt", T.IntegerType())])
+    grouped = salted.select(*columns, "salt").groupBy(key, "salt")
+    return grouped.applyInPandasWithState(update, shape, "votes binary", "update", GroupStateTimeout.NoTimeout)
+
+
+def follow_top_votes(
+    votes: DataFrame, path: str, checkpoint: str, k: int = TOP_K, key: str = "post_id", vote_id: str = "comment_id", salts: int = SALTS, **trigger
+) -> StreamingQuery:
+    """Start writing what ``best_votes`` changes to ``path``, a folder per batch.
+
+    A batch that is run again after a failure overwrites its own folder, so nothing counts twice.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    changed = best_votes(votes, k, key, vote_id, salts)
+    votes.sparkSession.createDataFrame([], changed.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")  # so that there is a table to read
+    return changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def current_top_votes(spark: SparkSession, path: str, schema: T.StructType, k: int = TOP_K, key: str = "post_id", vote_id: str = "comment_id") -> DataFrame:
+    """The best ``k`` votes of every post after the batches that are written: exactly those of ``top_votes`` over all votes."""
+    more = [T.StructField("salt", T.IntegerType()), T.StructField("batch", T.LongType())]
+    rows = spark.read.schema(T.StructType([*schema.fields, *more])).parquet(path)
+    last = rows.groupBy(F.col(key).alias("__key"), F.col("salt").alias("__salt")).agg(F.max("batch").alias("__batch"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("salt") == F.col("__salt")) & (F.col("batch") == F.col("__batch"))
+    latest = rows.join(last, same, "left_semi").select(*schema.fieldNames())
+    return top_votes(latest, k, key, [F.desc("score"), F.asc(vote_id)])
+
+
+def followed_verdicts(
+    spark: SparkSession, path: str, schema: T.StructType, k: int = TOP_K, key: str = "post_id", min_votes: int = MIN_VOTES, min_score: float = MIN_TOTAL_SCORE
+) -> DataFrame:
+    """Winning label per post after the batches that are written."""
+    return winners(vote_totals(current_top_votes(spark, path, schema, k, key), key), key, min_votes=min_votes, min_score=min_score)
