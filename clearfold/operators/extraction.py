@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clearfold.functions.hashing import cache_key
-from clearfold.session import shared_dir
+from clearfold.session import cut, shared_dir
 
 # Defaults of the extraction job.
 MAX_RETRIES = 2
@@ -92,12 +92,15 @@ def run_extractor(
     max_concurrent: int = MAX_CONCURRENT,
     requests_per_minute: float | None = REQUESTS_PER_MINUTE,
     backoff: Callable[[int], float] = lambda attempt: 2.0**attempt,
+    by_prefix: bool = False,
 ) -> DataFrame:
     """One row per input with ``status``, ``attempt``, ``error``, token counts and ``record``.
 
     ``factory`` builds one client per task. At most ``max_concurrent`` tasks run, each
     paced at its share of the rate cap, so the caps hold across the cluster without any
-    coordination. Without a rate cap (None) the partitions stay as they are. Write the result before using it twice: every evaluation calls the
+    coordination. Without a rate cap (None) the partitions stay as they are, unless ``by_prefix``
+    deals ids that are md5 digests to tasks by their leading digits, which is even and keeps
+    neighbouring ids together. Write the result before using it twice: every evaluation calls the
     service again. For a paid service leave ``spark.speculation`` off, since a speculative
     copy of a task calls it again too.
     """
@@ -119,6 +122,9 @@ def run_extractor(
 
     tasks = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     dealt = tasks.repartition(max_concurrent) if requests_per_minute else tasks
+    if by_prefix:
+        n = max_concurrent if requests_per_minute else min(CACHE_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        dealt = tasks.repartitionById(n, _place(F.col("id"), n))
     return dealt.mapInPandas(task, output_schema(record))
 
 
@@ -142,6 +148,24 @@ def extraction_log(extracted: DataFrame, model: str) -> DataFrame:
 # -- cache -----------------------------------------------------------------------------
 
 
+CACHE_BUCKETS = 256  # folders of a cache table, by the first two digits of the key
+
+
+def _place(key: Column, n: int) -> Column:
+    """Which of ``n`` equal ranges of digests a key is in; 0 for a missing one."""
+    digits = F.conv(F.substring(key, 1, 4), 16, 10).cast("bigint")
+    return F.coalesce(F.floor(digits * n / 65536), F.lit(0)).cast("int")
+
+
+def _bucket(key: Column) -> Column:
+    return F.concat(F.lit("k"), F.coalesce(F.substring(key, 1, 2), F.lit("")))
+
+
+def append_cache(rows: DataFrame, path: str) -> None:
+    """Add rows to the cache table at ``path``, a folder per key prefix."""
+    rows.withColumn("bucket", _bucket(F.col("cache_key"))).write.mode("append").partitionBy("bucket").parquet(path)
+
+
 def with_cache_key(df: DataFrame, config_hash: str | Column, text_col: str = "body") -> DataFrame:
     return df.withColumn("cache_key", cache_key(config_hash, F.col(text_col)))
 
@@ -180,8 +204,9 @@ def extract_into_cache(
     spark = keyed.sparkSession
     key, call = T.StructField("cache_key", T.StringType()), T.StructField("call_id", T.StringType())
     schema = T.StructType([key, *output_schema(record).fields[1:], call])
-    spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(path)  # so that there is a table to read
-    done = read_cache(spark, path, schema).where(F.col("status") == "ok")
+    append_cache(spark.createDataFrame([], schema), path)  # so that there is a table to read
+    keys = cut(keyed.select("cache_key").distinct())
+    done = read_cache(spark, path, schema, keys).where(F.col("status") == "ok")
     todo = cache_misses(keyed, done, text_col)
     slices = [todo]
     if batches > 1:
@@ -191,28 +216,42 @@ def extract_into_cache(
         waiting = spark.read.schema(f"cache_key string, {text_col} string, slice int").parquet(folder)
         slices = [waiting.where(F.col("slice") == b) for b in range(batches)]
     for part in slices:
-        out = run_extractor(part, factory, record, "cache_key", text_col, **options)
-        out.withColumnRenamed("id", "cache_key").withColumn("call_id", F.lit(call_id)).write.mode("append").parquet(path)
-    return read_cache(spark, path, schema, keyed)
+        out = run_extractor(part, factory, record, "cache_key", text_col, by_prefix=True, **options)
+        append_cache(out.withColumnRenamed("id", "cache_key").withColumn("call_id", F.lit(call_id)), path)
+    return read_cache(spark, path, schema, keys)
 
 
 def read_cache(spark: SparkSession, path: str, schema: T.StructType, wanted: DataFrame | None = None) -> DataFrame:
     """The cache table with one ``ok`` row per key at most, whatever calls overlapped; failed rows stay.
 
     Of several successes the one with the least call and attempt counts. Kept rows are found
-    by key, so the shuffle carries a key and two small values beside the record. With ``wanted``
-    only the rows of its keys are looked at: a small key set goes to the scan, and records of
+    by key, so the shuffle carries a key and two small values beside the record. With ``wanted``,
+    best a written table of keys, only the folders of its key prefixes are read, and records of
     other keys are not shuffled.
     """
-    rows = spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.StringType())])).parquet(path)
     if wanted is not None:
+        prefixes = sorted(r[0] for r in wanted.select(_bucket(F.col("cache_key"))).distinct().collect())  # CACHE_BUCKETS and one at most
+        if len(prefixes) < CACHE_BUCKETS:
+            rows = rows.where(F.col("bucket").isin(prefixes))
         rows = rows.join(wanted.select("cache_key").distinct(), "cache_key", "left_semi")
+    rows = rows.select(*schema.fieldNames())
     ok = F.col("status") == "ok"
     first = Window.partitionBy("cache_key").orderBy("call_id", "attempt", "elapsed_s")
     good = rows.where(ok).withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") == 1).drop("__rn")
     return good.unionByName(rows.where(~ok))
 
 
+def compact_cache(spark: SparkSession, path: str, schema: T.StructType, out: str) -> None:
+    """Write the cache table anew under ``out``, a file per key prefix: one row per key, a success where there is one.
+
+    The old table stays as it is, for calls that still read it.
+    """
+    ok_first = Window.partitionBy("cache_key").orderBy((F.col("status") != "ok").cast("int"), "call_id", "attempt", "elapsed_s")
+    rows = spark.read.schema(schema).parquet(path).withColumn("__rn", F.row_number().over(ok_first)).where(F.col("__rn") == 1).drop("__rn")
+    append_cache(rows.repartitionById(CACHE_BUCKETS, _place(F.col("cache_key"), CACHE_BUCKETS)), out)
+
+
 # -- record checks ---------------------------------------------------------------------
 
 

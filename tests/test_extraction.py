@@ -159,6 +159,35 @@ def test_overlapping_calls_leave_one_row_per_key(spark, tmp_path):
     first = ex.extract_into_cache(keyed, path, factory, REC, call_id="a", requests_per_minute=None)
     once = first.collect()
     assert len(once) == 3
-    spark.createDataFrame(once, first.schema).withColumn("call_id", F.lit("b")).write.mode("append").parquet(path)
+    ex.append_cache(spark.createDataFrame(once, first.schema).withColumn("call_id", F.lit("b")), path)
     again = ex.read_cache(spark, path, first.schema).collect()
     assert len(again) == 3 and {r.call_id for r in again} == {"a"}
+
+
+def test_a_call_reads_the_folders_of_its_prefixes(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    factory = lambda: lambda text, ident: ex.Extraction({"n": len(text)})
+    every = ex.with_cache_key(docs(spark, *[f"t{i}" for i in range(300)], None), "h")
+    ex.extract_into_cache(every, path, lambda: lambda text, ident: ex.Extraction({"n": len(text or "")}), REC, call_id="a", **FAST)
+    few = every.where(F.col("id").isin("1", "2", "3"))
+    got = ex.extract_into_cache(few, path, factory, REC, call_id="b", **FAST)
+    assert {r.call_id for r in got.collect()} == {"a"} and got.count() == 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    assert "bucket" in filters and all(f"k{r.cache_key[:2]}" in filters for r in few.collect())
+    assert ex.read_cache(spark, path, got.schema).where("cache_key is not null").count() == 300
+
+
+def test_compaction_keeps_the_answers(spark, tmp_path):
+    path, out = str(tmp_path / "cache"), str(tmp_path / "compact")
+    texts = ex.with_cache_key(docs(spark, "bad", *[f"t{i}" for i in range(40)]), "h")
+    for call in ("a", "b"):
+        got = ex.extract_into_cache(texts, path, counting(str(tmp_path / "calls")), REC, call_id=call, **FAST)
+    doubled = got.where("status = 'ok'").withColumn("call_id", F.lit("c"))
+    ex.append_cache(spark.createDataFrame(doubled.collect(), got.schema), path)
+    ex.compact_cache(spark, path, got.schema, out)
+    same = lambda p: sorted(map(str, ex.read_cache(spark, p, got.schema).where("status = 'ok'").collect()))
+    assert same(path) == same(out) and len(same(out)) == 40
+    assert spark.read.parquet(out).count() == 41 and ex.read_cache(spark, out, got.schema).where("status <> 'ok'").count() == 1
+    folders = [f for f in (tmp_path / "compact").iterdir() if f.is_dir()]
+    assert all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
