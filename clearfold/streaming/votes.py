@@ -5,17 +5,22 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clearfold.functions.text import LABELS
 from clearfold.operators.corpus import MIN_TOTAL_SCORE, MIN_VOTES, TOP_K, clamped_score, confidence, top_votes, vote_totals, winners
 
-SALTS = 16  # states that the votes of a post are dealt to
+SALTS = 16  # parts that the votes of a post in a batch are dealt to
+CUT_ROWS = 100_000  # votes that a task takes in before it cuts them to the best
 
 
 def running_verdicts(
@@ -68,32 +73,78 @@ def running_verdicts(
 # -- verdicts of the best k votes ------------------------------------------------------
 
 
-def best_votes(votes: DataFrame, k: int = TOP_K, key: str = "post_id", vote_id: str = "comment_id", salts: int = SALTS) -> DataFrame:
-    """``salt`` and the columns of ``votes``: the best ``k`` votes of every (post, salt) that a batch changed.
+def _cut_to_best(rows: pa.Table, k: int, key: str, vote_id: str) -> pa.Table:
+    """The best ``k`` different votes of every post among ``rows``."""
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("score", "descending"), (vote_id, "ascending")], null_placement="at_end"))
+    code = lambda name: rows[name].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype("int64")
+    post, vote = code(key), code(vote_id)
+    first = np.sort(np.unique(post * (len(rows) + 1) + vote, return_index=True)[1])  # the best of the copies of an id
+    grouped = first[np.argsort(post[first], kind="stable")]
+    starts = np.r_[0, np.flatnonzero(np.diff(post[grouped])) + 1]
+    place = np.arange(len(grouped)) - np.repeat(starts, np.diff(np.r_[starts, len(grouped)]))
+    return rows.take(pa.array(np.sort(grouped[place < k])))
+
 
-    The state of a (post, salt) is its best ``k`` votes so far, by score and then by id, so a post's
-    memory is bounded by ``salts * k`` votes whatever it receives, and one with a third of all votes
-    is spread over ``salts`` groups. A vote that comes again changes nothing, as it is either held
-    or worse than all that are; of copies of an id with different scores the best counts. Votes
-    without an id are left out. ``score`` and ``label`` may be null, as in ``top_votes``.
+def best_votes(votes: DataFrame, k: int = TOP_K, key: str = "post_id", vote_id: str = "comment_id", salts: int = SALTS) -> DataFrame:
+    """The columns of ``votes`` and ``salt``, always 0: the best ``k`` votes of every post that a batch changed.
+
+    The votes of a batch are dealt by post and one of ``salts`` remainders of their id, so one with a third of
+    all votes is spread, and cut to the best ``k`` of a post, many posts at a time. What is left, at
+    most ``salts * k`` votes of a post, meets its state: the best ``k`` votes so far, by score and then by id.
+    A vote that comes again changes nothing, as it is either held or worse than all that
+    are; of copies of an id with different scores the best counts. Votes without an
+    id are left out. ``score`` and ``label`` may be null, as in ``top_votes``.
     """
     columns = votes.columns
-
-    def update(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = pickle.loads(state.get[0]) if state.exists else None
-        held = before
+    at_key, at_score, at_id = (columns.index(c) for c in (key, "score", vote_id))
+    arrow = to_arrow_schema(votes.schema)
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, more, n = [], [], 0
+        for batch in batches:
+            more.append(batch)
+            n += len(batch)
+            if n > CUT_ROWS + sum(map(len, held)):
+                held, more, n = _cut_to_best(pa.Table.from_batches([*held, *more]), k, key, vote_id).to_batches(), [], 0
+        if not held and not more:
+            return
+        of_post: dict = {}
+        for batch in _cut_to_best(pa.Table.from_batches([*held, *more]), k, key, vote_id).to_batches():
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                of_post.setdefault(row[at_key], []).append(row)
+        posts = pa.array(list(of_post), more[0].schema.field(key).type if more else held[0].schema.field(key).type)
+        for part in pa.table({key: posts, "best": pa.array([pickle.dumps(r) for r in of_post.values()], pa.binary())}).to_batches(10_000):
+            yield part
+
+    def update(post: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = pickle.loads(state.get[0]) if state.exists else []
+        every = list(before)
         for pdf in batches:
-            every = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            ordered = every.sort_values(["score", vote_id], ascending=[False, True], na_position="last")
-            held = ordered.drop_duplicates(vote_id).head(k).reset_index(drop=True)
-        if held is not None and (before is None or not held.equals(before)):
-            state.update((pickle.dumps(held),))
-            yield held
-
-    salted = votes.where(F.col(vote_id).isNotNull()).select("*", F.pmod(F.xxhash64(vote_id), F.lit(salts)).cast("int").alias("salt"))
-    shape = T.StructType([*votes.schema.fields, T.StructField("salt", T.IntegerType())])
-    grouped = salted.select(*columns, "salt").groupBy(key, "salt")
-    return grouped.applyInPandasWithState(update, shape, "votes binary", "update", GroupStateTimeout.NoTimeout)
+            for packed in pdf["best"].tolist():
+                every += pickle.loads(packed)
+        every.sort(key=lambda r: r[at_id])
+        every.sort(key=lambda r: (r[at_score] is not None, r[at_score]), reverse=True)
+        first: dict = {}
+        for r in every:
+            first.setdefault(r[at_id], r)
+        held = list(first.values())[:k]
+        if held != before:
+            packed = pickle.dumps(held)
+            state.update((packed,))
+            yield pd.DataFrame({"best": [packed]})
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for packed in batch.column("best").to_pylist() for r in pickle.loads(packed)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    salt = F.pmod(F.xxhash64(vote_id), F.lit(salts))
+    dealt = votes.where(F.col(vote_id).isNotNull()).repartition(F.col(key), salt)
+    packed = T.StructType([votes.schema[key], T.StructField("best", T.BinaryType())])
+    grouped = dealt.mapInArrow(of_task, packed).groupBy(key)
+    changed = grouped.applyInPandasWithState(update, "best binary", "votes binary", "update", GroupStateTimeout.NoTimeout)
+    return changed.mapInArrow(unpacked, votes.schema).withColumn("salt", F.lit(0))
 
 
 def follow_top_votes(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from clearfold.operators.corpus import top_votes
 from clearfold.plans.corpus_build import vote_consensus
+from clearfold.streaming import votes as votes_module
 from clearfold.streaming.votes import current_top_votes, follow_top_votes, followed_verdicts
 
 VOTES = "post_id string, comment_id string, label string, score int"
@@ -39,3 +40,17 @@ def test_empty_stream(spark, tmp_path):
     empty.write.parquet(source)
     follow_top_votes(spark.readStream.schema(VOTES).parquet(source), best, cp).awaitTermination()
     assert followed_verdicts(spark, best, empty.schema).count() == 0
+
+
+def test_few_and_light_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(votes_module, "CUT_ROWS", 50)  # tasks cut their votes several times
+    rows = some(3, 400) + [("big", f"b{i}", "NTA", s) for i, s in enumerate([None, 7, 2**31 - 1])]
+    source, best, cp = (str(tmp_path / n) for n in ("votes", "best", "cp"))
+    df = spark.createDataFrame(rows + rows[:50], VOTES)
+    df.repartition(4).write.parquet(source)
+    follow_top_votes(spark.readStream.schema(VOTES).option("maxFilesPerTrigger", 2).parquet(source), best, cp, k=3).awaitTermination()
+    held = spark.read.parquet(best)
+    assert held.groupBy("post_id", "batch").count().agg(F.max("count")).first()[0] == 3  # before: 3 in each of 16 states
+    expected = top_votes(spark.createDataFrame(rows, VOTES), 3)
+    got = current_top_votes(spark, best, df.schema, 3).select(*df.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
