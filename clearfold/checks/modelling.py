@@ -12,7 +12,6 @@ from clearfold.checks.sampling import split_sql
 from clearfold.operators import metrics as m
 from clearfold.operators import model as md
 from clearfold.operators import sparsefit as sf
-from clearfold.operators.matrix import fit_vocabulary
 from clearfold.operators.ordered import hash_rank
 from clearfold.operators.profile import class_counts
 from clearfold.operators.sampling import make_splits
@@ -84,7 +83,7 @@ def order_records(spark, d):
 def _sparse_cells(spark, d):
     """Every cell of the orders' matrix that is not 0, in long form."""
     feats = order_records(spark, d)
-    return sf.cells(feats, ORDER_FEATURES, fit_vocabulary(feats, ORDER_FEATURES, sf.MAX_VALUES), ["id"])
+    return sf.cells(feats, ORDER_FEATURES, sf.value_tables(feats, ORDER_FEATURES), ["id"])
 
 
 def _wide_optimality(spark, d):

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearfold.operators.batchfit import L1_RATIO, LinearModel, Part
+from clearfold.operators.matrix import categorical_columns
 from clearfold.session import cut
 
 MAX_VALUES = 200_000  # category values of a fit; their coefficients and counts are on the driver
@@ -44,6 +45,21 @@ def value_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return cut(spark.createDataFrame(rows, "name string, value string, at int"))
 
 
+def value_tables(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """``value`` of every value that has a matrix column, as a written table per string column.
+
+    The vocabulary of ``fit_vocabulary`` for any number of values: nothing of it but the first value of
+    each column comes to the driver.
+    """
+    cats = categorical_columns(df, columns)
+    if not cats:
+        return {}
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in cats]))
+    seen = cut(df.select(pairs).where(F.col("value").isNotNull()).distinct())
+    firsts = {r["name"]: r["first"] for r in seen.groupBy("name").agg(F.min("value").alias("first")).collect()}
+    return {c: cut(seen.where((F.col("name") == c) & (F.col("value") > F.lit(firsts.get(c)))).select("value")) for c in cats}
+
+
 def look_up(df: DataFrame, table: DataFrame, columns: Sequence[str], out: str, value: str) -> DataFrame:
     """Add ``value`` of the row's entry of ``table`` per category column as ``out + column``; null where it has none."""
     for i, c in enumerate(columns):
@@ -52,15 +68,22 @@ def look_up(df: DataFrame, table: DataFrame, columns: Sequence[str], out: str, v
     return df
 
 
-def cells(df: DataFrame, columns: Sequence[str], vocabulary: Vocabulary, keep: Sequence[str]) -> DataFrame:
+def cells(df: DataFrame, columns: Sequence[str], vocabulary: Vocabulary | dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
     """``keep, name, value`` with one row per matrix cell that is not 0: the matrix of ``encode`` in long form.
 
-    Plain columns give a row unless they are 0 or null; a category gives at most one.
+    Plain columns give a row unless they are 0 or null; a category gives at most one. The
+    vocabulary is that of ``fit_vocabulary`` or, for any number of values, of ``value_tables``.
     """
     types = dict(df.dtypes)
     cats = [c for c in columns if c in vocabulary]
     number = lambda c: F.col(c).cast("int") if types[c] == "boolean" else F.col(c)
-    found = look_up(df, value_table(df.sparkSession, vocabulary), cats, "__at_", "at")
+    tables = [c for c in cats if isinstance(vocabulary[c], DataFrame)]
+    found = df
+    for i, c in enumerate(tables):
+        mine = vocabulary[c].select(F.col("value").alias(f"__t{i}"), F.lit(1).alias(f"__at_{c}"))
+        found = found.join(mine, F.col(c) == F.col(f"__t{i}"), "left").drop(f"__t{i}")
+    if lists := [c for c in cats if c not in tables]:
+        found = look_up(found, value_table(df.sparkSession, {c: vocabulary[c] for c in lists}), lists, "__at_", "at")
     parts = [F.struct(F.lit(c).alias("name"), number(c).cast("double").alias("value")) for c in columns if c not in vocabulary]
     parts += [F.struct(F.concat(F.lit(f"{c}_"), F.col(c)).alias("name"), F.when(F.col(f"__at_{c}").isNotNull(), 1.0).alias("value")) for c in cats]
     return found.select(*keep, F.inline(F.filter(F.array(*parts), lambda p: p["value"] != 0)))

@@ -78,6 +78,15 @@ def test_cells_are_the_matrix(spark):
     assert {tuple(r) for r in sparsefit.cells(df, RAW, vocabulary, ["id"]).collect()} == expected
 
 
+def test_cells_of_more_values_than_a_fit_may_have(spark, monkeypatch):
+    monkeypatch.setattr(sparsefit, "MAX_VALUES", 5)
+    df = records(spark, 50).unionByName(spark.createDataFrame([("n", None, None, None, None, None)], DDL))
+    expected = sorted(map(str, sparsefit.cells(df, RAW, fit_vocabulary(df, RAW), ["id"]).collect()))
+    assert sorted(map(str, sparsefit.cells(df, RAW, sparsefit.value_tables(df, RAW), ["id"]).collect())) == expected
+    none = df.withColumn("town", F.lit(None).cast("string"))
+    assert sparsefit.cells(none, ["town"], sparsefit.value_tables(none, ["town"]), ["id"]).count() == 0
+
+
 def test_ten_thousand_values_and_a_plan_of_constant_size(spark):
     sizes = []
     for n in (300, 10_001):
