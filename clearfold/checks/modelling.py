@@ -118,7 +118,9 @@ def _predicted(spark, d):
 
 
 def _split_sets(spark, d):
+    """Records of a role and fold, and the labels; the texts are read once, for all roles and folds."""
     feats, labels = _docs(spark, d)
+    feats = cut(feats.withColumn("id", F.col("id").cast("string")))
     keys = labels.withColumn("id", F.col("id").cast("string"))
     n = keys.count()
     splits = cut(make_splits(keys, "label", n // 5, n // 5, n // 4, N_FOLDS))
@@ -126,7 +128,7 @@ def _split_sets(spark, d):
     def rows(role, fold=None):
         s = splits.where(F.col("role") == role)
         s = s if fold is None else s.where(F.col("fold") == fold)
-        return feats.withColumn("id", F.col("id").cast("string")).join(s.select("id"), "id", "left_semi")
+        return feats.join(s.select("id"), "id", "left_semi")
 
     return rows, keys
 
