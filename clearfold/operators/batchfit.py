@@ -86,10 +86,10 @@ class LinearModel:
         return F.transform(shifted, lambda e: e / F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x))
 
 
-def rows_for(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``x, label_idx, slot, n``: the matrix columns as one array."""
+def rows_for(matrix: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``x, label_idx, slot, n, keep``: the matrix columns as one array."""
     x = F.array(*[F.col(c).cast("double") for c in columns]) if columns else F.array().cast("array<double>")
-    return matrix.select(x.alias("x"), F.col("label_idx").cast("int").alias("label_idx"), F.col("slot").cast("int").alias("slot"), F.col("n").cast("double").alias("n"))
+    return matrix.select(x.alias("x"), F.col("label_idx").cast("int").alias("label_idx"), F.col("slot").cast("int").alias("slot"), F.col("n").cast("double").alias("n"), *keep)
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ def _shrink(v: np.ndarray, by: np.ndarray) -> np.ndarray:
     return np.sign(v) * np.maximum(np.abs(v) - by, 0.0)
 
 
-def _steps(point: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, l1: np.ndarray, l2: np.ndarray, sweeps: int = 500) -> np.ndarray:
+def newton_steps(point: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, l1: np.ndarray, l2: np.ndarray, sweeps: int = 500) -> np.ndarray:
     """Minimiser of each fit's quadratic model with its penalties, by coordinate descent over all fits at once."""
     m, d = point.shape
     new, slope = point.copy(), gradient.copy()
@@ -207,14 +207,14 @@ def fit_all(rows: DataFrame, n_columns: int, parts: Sequence[Part], jobs: Sequen
         i = index[on]
         best[i], origin[i] = value[on], at[on]
         if len(i):
-            step[i] = _steps(at[on], gradient[on], curvature[on], l1[i], l2[i]) - at[on]
+            step[i] = newton_steps(at[on], gradient[on], curvature[on], l1[i], l2[i]) - at[on]
             point[i] = origin[i] + step[i]
         if not live.any():
-            return [_model(point[j], parts[owner[j]]) for j in range(len(jobs))]
+            return [model_of(point[j], parts[owner[j]]) for j in range(len(jobs))]
     raise RuntimeError(f"{int(live.sum())} fits did not settle in {MAX_PASSES} passes")
 
 
-def _model(point: np.ndarray, part: Part) -> LinearModel:
+def model_of(point: np.ndarray, part: Part) -> LinearModel:
     """The model over columns that are scaled but not centred."""
     return LinearModel(point[:-1], point[-1] - point[:-1] @ (part.mean / part.std))
 

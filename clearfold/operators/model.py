@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark import StorageLevel
@@ -24,11 +25,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clearfold.operators import sparsefit
+from clearfold.operators import batchfit, groupfit, sparsefit
 from clearfold.operators.batchfit import MAX_COLUMNS, LinearModel, Part, fit_all, hits, rows_for
 from clearfold.operators.matrix import (
     Scaler,
     align,
+    categorical_columns,
     encode,
     encoded_columns,
     fit_vocabulary,
@@ -67,10 +69,63 @@ class Fitted:
     c: float
 
 
+@dataclass
+class WideFitted:
+    """A fitted classifier one of whose category columns has any number of values, which stay in a table.
+
+    ``few`` is the model of all other matrix columns, among them values that very many rows have.
+    The attributes of ``Fitted`` bring the table to the driver, up to ``sparsefit.MAX_VALUES`` rows of it.
+    """
+
+    few: Fitted
+    wide: str
+    table: DataFrame  # value, coefficient, mean, std, written
+
+    def __post_init__(self):
+        self.raw_columns, self.labels, self.c = self.few.raw_columns, self.few.labels, self.few.c
+
+    @cached_property
+    def _values(self) -> dict:
+        rows = self.table.limit(sparsefit.MAX_VALUES + 1).collect()
+        if len(rows) > sparsefit.MAX_VALUES:
+            raise ValueError(f"more than {sparsefit.MAX_VALUES} category values; use the table")
+        return {r["value"]: (r["coefficient"], r["mean"], r["std"]) for r in rows}
+
+    @cached_property
+    def vocabulary(self) -> dict[str, list[str]]:
+        few = self.few.vocabulary
+        return {c: few[c][:1] + sorted([*few[c][1:], *self._values]) if c == self.wide else few[c] for c in few}
+
+    @cached_property
+    def columns(self) -> list[str]:
+        return _matrix_columns(self.raw_columns, self.vocabulary, _terms(self.few))
+
+    def _column(self, name: str) -> tuple[float, float, float, float]:
+        """Median, mean, spread and coefficient."""
+        scaler = self.few.scaler
+        if name in scaler.std:
+            return scaler.median[name], scaler.mean[name], scaler.std[name], float(self.few.model.matrix[0, self.few.columns.index(name)])
+        coefficient, mean, std = self._values[name[len(self.wide) + 1 :]]
+        return 0.0, mean, std, coefficient
+
+    @cached_property
+    def scaler(self) -> Scaler:
+        rows = {c: self._column(c) for c in self.columns}
+        return Scaler(*[{c: r[i] for c, r in rows.items()} for i in range(3)])
+
+    @cached_property
+    def model(self) -> LinearModel:
+        return LinearModel(np.array([self._column(c)[3] for c in self.columns]), self.few.model.bias)
+
+    def values(self) -> DataFrame:
+        """``feature, coefficient, std`` of the table's matrix columns."""
+        return self.table.select(F.concat(F.lit(f"{self.wide}_"), "value").alias("feature"), "coefficient", "std")
+
+
 @dataclass
 class Evaluation:
     fold_scores: list[float]
-    fitted: Fitted
+    fitted: Fitted | WideFitted
     n_rows: int
 
     @property
@@ -134,6 +189,8 @@ def part_statistics(collapsed: DataFrame, columns: Sequence[str], layout: FoldLa
             if r["slot"] in slots:
                 sizes[part][r["label_idx"]] = sizes[part].get(r["label_idx"], 0) + r["n"]
 
+    if not columns:
+        return {part: Scaler({}, {}, {}) for part in parts}, sizes
     pairs = [F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
     values = cut(collapsed.select("slot", "n", F.explode(F.array(*pairs)).alias("p")).groupBy("slot", "p.i", "p.v").agg(F.sum("n").alias("n")))
     known = values.where(F.col("v").isNotNull())
@@ -288,6 +345,60 @@ class NestedFit:
         return [scores[(f, FULL, chosen[f])] for f in outers if f != FULL], models[(FULL, FULL, chosen[FULL])], chosen[FULL]
 
 
+class GroupedNestedFit(NestedFit):
+    """The same fits of two classes where one category has any number of values and all other columns are few.
+
+    Every part and every C is fitted in the same passes. ``terms`` may name values of the wide column.
+    """
+
+    def __init__(self, raw: DataFrame, raw_columns: Sequence[str], wide: str, first: str, narrow: dict[str, list[str]], layout: FoldLayout, terms: Sequence[tuple[str, str]] = ()):
+        self.layout, self.raw_columns, self.wide = layout, list(raw_columns), wide
+        often = [v for v in groupfit.often(raw, wide) if v != first]
+        named = [t[len(wide) + 1 :] for pair in terms for t in pair if t.startswith(f"{wide}_") and t not in raw_columns]
+        known = [r[0] for r in raw.where(F.col(wide).isin(named) & (F.col(wide) != first)).select(wide).distinct().collect()] if named else []
+        self.vocabulary = {c: [first, *often] if c == wide else narrow[c] for c in raw_columns if c in narrow or c == wide}
+        names, plain = _plain(raw, raw_columns, self.vocabulary | {wide: [first, *known]}, terms)
+        cats = [(c, v) for c, values in self.vocabulary.items() for v in values[1:]]
+        self.names = names + [f"{c}_{v}" for c, v in cats]
+        dummies = [F.when(F.col(c) == v, F.lit(1)).otherwise(F.lit(0)) for c, v in cats]
+        self.columns = [f"__d{i}" for i in range(len(self.names))]
+        own = F.when(~F.col(wide).isin([first, *often]), F.col(wide)).alias("value")
+        cells = raw.select("label_idx", "slot", "n", own, *[x.alias(c) for c, x in zip(self.columns, plain + dummies)])
+        self.scalers, self.sizes = part_statistics(cells, self.columns, layout)
+        self.tasks = max(1, raw.count() // groupfit.BLOCK)
+        self.rows = groupfit.packed(rows_for(cells, self.columns, ["value"]), self.tasks)
+        self.points: dict[tuple[int, int, float], np.ndarray] = {}
+
+    def train(self, jobs: Sequence[tuple[int, int, float]]) -> list[LinearModel | int]:
+        parts = {(f, g): self._part(f, g) for f, g, _ in jobs}
+        todo = [j for j in jobs if len(self.sizes[j[:2]]) > 1]
+        keys = list(dict.fromkeys(j[:2] for j in todo))
+        if todo:
+            points = groupfit.fit_all(
+                self.rows, self.tasks, len(self.columns), [parts[k] for k in keys], [(keys.index(j[:2]), j[2]) for j in todo], [self._total(k) for k in keys]
+            )
+            self.points |= dict(zip(todo, points))
+        return [batchfit.model_of(self.points[j], parts[j[:2]]) if j in self.points else next(iter(self.sizes[j[:2]])) for j in jobs]
+
+    def _total(self, part: tuple[int, int]) -> float:
+        return float(sum(self.sizes[part].values()))
+
+    def score(self, jobs: Sequence[tuple[int, int, float]], models: Sequence[LinearModel | int]) -> list[float]:
+        tests = []
+        for (f, g, c), model in zip(jobs, models):
+            held = np.zeros(self.layout.n_slots, bool)
+            held[self.layout.score_slots(f, g)] = True
+            tests.append((held, self._part(f, g), self._total((f, g)), c, self.points.get((f, g, c), model)))
+        return [hit / n if n else 0.0 for hit, n in groupfit.hits(self.rows, self.tasks, tests)]
+
+    def fitted(self, model: LinearModel, labels: list[str], c: float) -> WideFitted:
+        """The fit of all rows at ``c`` with the written table of its values."""
+        part, job = self._part(FULL, FULL), (FULL, FULL, c)
+        table = cut(groupfit.coefficients(self.rows, part, self._total(job[:2]), c, self.points[job]))
+        scaler = Scaler(*[dict(zip(self.names, values.tolist())) for values in (part.fill, part.mean, part.std)])
+        return WideFitted(Fitted(model, self.names, self.raw_columns, self.vocabulary, scaler, labels, c), self.wide, table)
+
+
 class SparseNestedFit(NestedFit):
     """The same fits where categories have many values: sparse rows, and Spark ML for every fit."""
 
@@ -361,6 +472,21 @@ def _is_wide(vocabulary: dict[str, list[str]]) -> bool:
     return sum(len(v) - 1 for v in vocabulary.values() if v) > MAX_COLUMNS
 
 
+def _wide_column(df: DataFrame, columns: Sequence[str], sizes: dict[str, tuple[int, str]], n_classes: int, terms: Sequence = ()) -> str | None:
+    """The category column for ``GroupedNestedFit``, if the fit needs and suits it."""
+    own = {c: n - 1 for c, (n, _) in sizes.items()}
+    if n_classes != 2 or sum(own.values()) <= MAX_COLUMNS:
+        return None
+    wide = max(own, key=lambda c: (own[c], c))
+    rest = len(columns) - len(categorical_columns(df, columns)) + len(terms) + sum(own.values()) - own[wide]
+    return wide if rest <= batchfit.MAX_COLUMNS else None
+
+
+def _grouped(raw: DataFrame, columns: Sequence[str], sizes: dict[str, tuple[int, str]], wide: str, layout: FoldLayout, terms: Sequence[tuple[str, str]] = ()) -> GroupedNestedFit:
+    narrow = fit_vocabulary(raw, [c for c in columns if c != wide])
+    return GroupedNestedFit(raw, columns, wide, sizes[wide][1], narrow, layout, terms)
+
+
 def _training_rows(features: DataFrame, labels: DataFrame | None, raw_columns: Sequence[str], label: str) -> DataFrame:
     rows = features if labels is None else join_labels(features, labels.select("id", label))
     return rows.select("id", *raw_columns, label).where(F.col(label).isNotNull())
@@ -398,6 +524,12 @@ def fit_and_evaluate(
         indexed = rows.withColumn("label_idx", _index_of(names, label))
         raw = collapse(indexed, raw_columns, layout).persist()
         collapsed = raw
+        sizes = sparsefit.value_sizes(raw, raw_columns)
+        wide = _wide_column(raw, raw_columns, sizes, len(names), terms)
+        if wide is not None:
+            nested = _grouped(raw, raw_columns, sizes, wide, layout, terms)
+            scores, model, c = nested.run(grid, outer)
+            return Evaluation(scores, nested.fitted(model, names, c), int(counts["n_rows"]))
         vocabulary = fit_vocabulary(raw, raw_columns, sparsefit.MAX_VALUES)
         if _is_wide(vocabulary):
             nested = SparseNestedFit(raw, raw_columns, vocabulary, layout, terms)
@@ -420,7 +552,7 @@ def fit_and_evaluate(
 
 def fit_fixed_c(
     features: DataFrame, labels: DataFrame | None, raw_columns: Sequence[str], label: str = "label", c: float = 1.0
-) -> Fitted:
+) -> Fitted | WideFitted:
     """One fit at a given C on all rows, without cross-validation; the input is read once."""
     rows = _training_rows(features, labels, raw_columns, label)
     counted = rows.groupBy(*raw_columns, label).agg(F.count(F.lit(1)).alias("n")).withColumn("slot", F.lit(0)).persist()
@@ -429,8 +561,13 @@ def fit_fixed_c(
         names = [r[label] for r in label_index(counted, label).orderBy("label_idx").collect()]
         if len(names) < 2:
             raise ValueError("a classifier needs at least two classes")
-        vocabulary = fit_vocabulary(counted, raw_columns, sparsefit.MAX_VALUES)
         indexed = counted.withColumn("label_idx", _index_of(names, label))
+        sizes = sparsefit.value_sizes(counted, raw_columns)
+        wide = _wide_column(counted, raw_columns, sizes, len(names))
+        if wide is not None:
+            nested = _grouped(indexed, raw_columns, sizes, wide, FoldLayout(1, 1))
+            return nested.fitted(nested.train([(FULL, FULL, c)])[0], names, c)
+        vocabulary = fit_vocabulary(counted, raw_columns, sparsefit.MAX_VALUES)
         if _is_wide(vocabulary):
             nested = SparseNestedFit(indexed, raw_columns, vocabulary, FoldLayout(1, 1))
         else:
@@ -469,8 +606,11 @@ def ablation(
     return features.sparkSession.createDataFrame(rows, ddl)
 
 
-def zeroed_features(fitted: Fitted, threshold: float = 1e-6) -> list[str]:
+def zeroed_features(fitted: Fitted | WideFitted, threshold: float = 1e-6) -> list[str]:
     """Raw features none of whose matrix columns kept a coefficient."""
+    if isinstance(fitted, WideFitted):
+        alive = not fitted.table.where(F.abs("coefficient") > threshold).isEmpty()
+        return [c for c in zeroed_features(fitted.few, threshold) if c != fitted.wide or not alive]
     size = np.abs(fitted.model.coefficientMatrix.toArray()).max(axis=0)
     alive = {c for c, s in zip(fitted.columns, size) if s > threshold}
     columns_of = {c: [f"{c}_{v}" for v in fitted.vocabulary[c][1:]] if c in fitted.vocabulary else [c] for c in fitted.raw_columns}
@@ -488,8 +628,27 @@ def _terms(fitted: Fitted) -> list[tuple[str, str]]:
     return [tuple(c.split("__x__", 1)) for c in fitted.columns if c not in own]
 
 
-def _margins(fitted: Fitted, features: DataFrame, keep: Sequence[str]) -> DataFrame:
+def _few(fitted: WideFitted, features: DataFrame) -> list[Column]:
+    """Scaled matrix columns of the model without the values of its table."""
+    few = fitted.few
+    own = set(encoded_columns(few.raw_columns, few.vocabulary))
+    terms = _terms(few)
+    named = [t[len(fitted.wide) + 1 :] for pair in terms for t in pair if t not in own and t.startswith(f"{fitted.wide}_")]
+    vocabulary = few.vocabulary | {fitted.wide: few.vocabulary[fitted.wide] + named}
+    names, plain = _plain(features, few.raw_columns, vocabulary, terms)
+    dummies = [_factor(features, few.raw_columns, few.vocabulary, c) for c in few.columns[len(names) :]]
+    return [_filled(few, c, x) for c, x in zip(few.columns, plain + dummies)]
+
+
+def _margins(fitted: Fitted | WideFitted, features: DataFrame, keep: Sequence[str]) -> DataFrame:
     """``keep`` and ``__z``, the margins of every record."""
+    if isinstance(fitted, WideFitted):
+        few, c = fitted.few, fitted.wide
+        moves = fitted.table.where(F.col("coefficient") != 0).select(F.col("value").alias("__value"), (F.col("coefficient") / F.col("std")).alias("__move"))
+        x, bias = _few(fitted, features), float(few.model.bias[0])
+        z = F.aggregate(F.zip_with(F.array(*x), F.lit(few.model.matrix[0].tolist()), lambda a, w: a * w), F.lit(0.0), lambda acc, v: acc + v) if x else F.lit(0.0)
+        found = features.join(moves, F.col(c) == F.col("__value"), "left")
+        return found.select(*keep, F.array(z + F.lit(bias) + F.coalesce("__move", F.lit(0.0))).alias("__z"))
     if _is_wide(fitted.vocabulary):
         names, plain = _plain(features, fitted.raw_columns, fitted.vocabulary, _terms(fitted))
         scaled = [_filled(fitted, c, p) for c, p in zip(names, plain)]
@@ -503,10 +662,15 @@ def _margins(fitted: Fitted, features: DataFrame, keep: Sequence[str]) -> DataFr
     return matrix.select(*keep, scaled.alias("__x")).select(*keep, fitted.model.margins(F.col("__x")).alias("__z"))
 
 
-def predict(fitted: Fitted, features: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:
+def _few_model(fitted: Fitted | WideFitted) -> LinearModel:
+    """A model of the fit's classes that is on the driver."""
+    return fitted.few.model if isinstance(fitted, WideFitted) else fitted.model
+
+
+def predict(fitted: Fitted | WideFitted, features: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:
     """``predicted_label`` and ``confidence``, the largest class probability, per record."""
     names = F.array(*[F.lit(n) for n in fitted.labels])
-    shares = fitted.model.shares(F.col("__z"))
+    shares = _few_model(fitted).shares(F.col("__z"))
     scored = _margins(fitted, features, keep)
     if len(fitted.labels) == 2:
         scored = scored.select(*keep, F.array(1 - shares, shares).alias("__p"))
@@ -520,7 +684,7 @@ def predict(fitted: Fitted, features: DataFrame, keep: Sequence[str] = ("id",))
     )
 
 
-def optimality(fitted: Fitted, records: DataFrame, label: str = "label", tolerance: float = 1e-7) -> DataFrame:
+def optimality(fitted: Fitted | WideFitted, records: DataFrame, label: str = "label", tolerance: float = 1e-7) -> DataFrame:
     """``feature, coefficient, slope, limit, optimal`` of a two-class fit on the rows it was fitted on.
 
     ``slope`` is the derivative of the weighted mean loss with the L2 part of the penalty, from one
@@ -528,24 +692,31 @@ def optimality(fitted: Fitted, records: DataFrame, label: str = "label", toleran
     that is not zero, within the limit for one that is, and zero for the intercept, which must
     hold as well for any column to count as optimal.
     """
-    names, scaler = fitted.labels, fitted.scaler
+    names, few = fitted.labels, fitted.few if isinstance(fitted, WideFitted) else fitted
     known = records.where(F.col(label).isNotNull())
     sizes = {r[label]: r["n"] for r in class_counts(known, label).collect()}
     total = float(sum(sizes.values()))
     weight = F.when(F.col(label) == names[1], total / (2 * sizes[names[1]])).otherwise(total / (2 * sizes[names[0]]))
-    numbers, plain = _plain(known, fitted.raw_columns, fitted.vocabulary, _terms(fitted))
-    cats = [c for c in fitted.raw_columns if c in fitted.vocabulary]
-    xs = [F.struct(F.lit(c).alias("feature"), _filled(fitted, c, p).alias("x")) for c, p in zip(numbers, plain)]
+    cats = [c for c in few.raw_columns if c in few.vocabulary]
+    if isinstance(fitted, WideFitted):
+        numbers = few.columns[: len(few.columns) - sum(len(few.vocabulary[c]) - 1 for c in cats)]
+        scaled = _few(fitted, known)[: len(numbers)]
+    else:
+        numbers, plain = _plain(known, fitted.raw_columns, fitted.vocabulary, _terms(fitted))
+        scaled = [_filled(fitted, c, p) for c, p in zip(numbers, plain)]
+    xs = [F.struct(F.lit(c).alias("feature"), x.alias("x")) for c, x in zip(numbers, scaled)]
     xs += [F.struct(F.concat(F.lit(f"{c}_"), F.col(c)).alias("feature"), F.lit(1.0).alias("x")) for c in cats]
     xs.append(F.struct(F.lit("").alias("feature"), F.lit(1.0).alias("x")))  # the intercept; a missing category's cell has no name
     rows = _margins(fitted, known.select("*", F.array(*xs).alias("__xs"), weight.alias("__w")), (label, "__xs", "__w"))
-    off = F.col("__w") * (fitted.model.shares(F.col("__z")) - (F.col(label) == names[1]).cast("double"))
+    off = F.col("__w") * (_few_model(fitted).shares(F.col("__z")) - (F.col(label) == names[1]).cast("double"))
     cells = rows.select(off.alias("r"), F.inline("__xs"))
     sums = cut(cells.groupBy("feature").agg(F.sum(F.col("r") * F.col("x")).alias("s")))
     level = sums.where(F.col("feature") == "").select((F.abs(F.col("s") / total) <= tolerance).alias("level")).scalar()
     share = 0.5 / (fitted.c * total)
-    known_columns = [(c, float(w), 1.0 if c in numbers else float(scaler.std[c])) for c, w in zip(fitted.columns, fitted.model.matrix[0])]
+    known_columns = [(c, float(w), 1.0 if c in numbers else float(few.scaler.std[c])) for c, w in zip(few.columns, few.model.matrix[0])]
     columns = records.sparkSession.createDataFrame(known_columns, "feature string, coefficient double, std double")
+    if isinstance(fitted, WideFitted):
+        columns = columns.unionByName(fitted.values())
     slope = F.coalesce(F.col("s"), F.lit(0.0)) / F.col("std") / total + share * F.col("coefficient")
     rows = columns.join(sums, "feature", "left").select("feature", "coefficient", slope.alias("slope"), F.lit(share).alias("limit"), level.alias("level"))
     held = F.when(F.col("coefficient") == 0, F.abs("slope") <= F.col("limit") + tolerance).otherwise(
@@ -554,8 +725,10 @@ def optimality(fitted: Fitted, records: DataFrame, label: str = "label", toleran
     return rows.withColumn("optimal", held & F.col("level")).drop("level")
 
 
-def coefficients(fitted: Fitted, features: DataFrame, class_index: int = 0) -> DataFrame:
+def coefficients(fitted: Fitted | WideFitted, features: DataFrame, class_index: int = 0) -> DataFrame:
     """``feature, coefficient`` of the second class against the first, or of one class of several."""
+    if isinstance(fitted, WideFitted):
+        return coefficients(fitted.few, features).unionByName(fitted.values().drop("std"))
     matrix = fitted.model.coefficientMatrix.toArray()
     values = matrix[0 if len(fitted.labels) == 2 else class_index]
     rows = [(n, float(v)) for n, v in zip(fitted.columns, values)]

@@ -45,6 +45,17 @@ def value_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return cut(spark.createDataFrame(rows, "name string, value string, at int"))
 
 
+def value_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, str]]:
+    """Number of values and first value of every string column among ``columns`` that has any."""
+    cats = categorical_columns(df, columns)
+    if not cats:
+        return {}
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in cats]))
+    seen = df.select(pairs).where(F.col("value").isNotNull()).distinct()
+    found = seen.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first"))
+    return {r["name"]: (r["n"], r["first"]) for r in found.collect()}
+
+
 def value_tables(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
     """``value`` of every value that has a matrix column, as a written table per string column.
 
