@@ -20,12 +20,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def lower_words(text: Column) -> Column:
-    """Words between white space, with A-Z as a-z, by one translation and a split at single blanks."""
-    plain = F.translate(text, UPPER + "\t\n\x0b\f\r", LOWER + " " * 5)
-    return F.array_remove(F.split(plain, " ", -1), "")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value``, which is computed once however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]

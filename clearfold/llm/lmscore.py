@@ -11,17 +11,17 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearfold.llm import gru
-from clearfold.llm.common import lower_words, one_blas_thread, row_key, small_batches
+from clearfold.llm.common import one_blas_thread, row_key, small_batches
 from clearfold.session import cut
 
 NAMED = 2048  # words with a code of their own, at least
@@ -32,6 +32,7 @@ ENDING_CLASSES = 64
 ROUNDS = 3
 RATE = 0.01
 BUFFER = 3_000_000  # codes that a task holds at once
+PORTION = 16_000_000  # bytes of texts that a task splits into words at once
 FAN_IN = 32  # replicas that one step of the tree averages
 END = "\n"  # stands for the end of a document; no word contains it
 SMOOTH = 0.1
@@ -42,10 +43,45 @@ def _training(id_col: str):
 
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``word``, ``c`` over the training documents, a written table; every document ends with ``END``."""
-    words = lower_words(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.where(_training(id_col)).select(F.explode(F.concat(words, F.array(F.lit(END)))).alias("word"))
-    return cut(rows.groupBy("word").agg(F.count(F.lit(1)).alias("c")))
+    """``word``, ``c`` over the training documents, a written table; every document ends with ``END``.
+
+    Tasks count the words of a portion of texts in Arrow; the counts of the portions meet by word.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for portion in _portions(batches):
+            yield _counted(portion.column(0))
+
+    texts = docs.where(_training(id_col)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return cut(texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c")))
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, put together to portions of about ``PORTION`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PORTION:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _counted(texts: pa.Array) -> pa.RecordBatch:
+    """Words with their counts; ``END`` once per text."""
+    found = pc.value_counts(_split(texts).flatten())
+    values, counts = found.field("values"), found.field("counts")
+    real = pc.not_equal(values, "")
+    values = pa.concat_arrays([values.filter(real), pa.array([END])])
+    counts = pa.concat_arrays([counts.filter(real), pa.array([len(texts)], pa.int64())])
+    return pa.RecordBatch.from_arrays([values, counts], names=["word", "n"])
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    """Words of each text between white space, with A-Z as a-z, and an empty one where a text begins or ends with white space."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts))
 
 
 def _most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
@@ -102,11 +138,10 @@ class Vocabulary:
         )
 
 
-class _Places(dict):
-    """Place of a word in the dictionary, or -1 minus its ending."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1 - _ending(word)
+def _endings(words: pa.Array) -> np.ndarray:
+    """``_ending`` of each word, computed once for equal ends."""
+    last = pc.binary_slice(words.cast(pa.binary()), -2).dictionary_encode()
+    return np.array([_ending(x) for x in last.dictionary.to_pylist()], np.int64)[last.indices.to_numpy(zero_copy_only=False)]
 
 
 ENCODED = "n_tokens bigint, known bigint, log_all double, log_rest double, codes binary, words array<string>, times array<int>"
@@ -115,29 +150,46 @@ ENCODED = "n_tokens bigint, known bigint, log_all double, log_rest double, codes
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> DataFrame:
     """Documents as codes, a written table, with sums of log10(c + 0.1) over the words the dictionary holds and the words it does not."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary.words, vocabulary.counts, vocabulary.n_named))
+    n_named, logs = vocabulary.n_named, np.log10(vocabulary.counts + SMOOTH)
+    own = np.array([i if i < n_named else n_named + _ending(w) for i, w in enumerate(vocabulary.words)], "<u2")
+    end_known = int(vocabulary.counts[0] > 0)  # END is the first word
+    shared = spark.sparkContext.broadcast((pa.array(vocabulary.words, pa.binary()).cast(pa.string()), logs, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, n_named = shared.value
-        places = _Places(zip(words, range(len(words))))
-        logs = np.log10(counts + SMOOTH)
-        code = np.array([i if i < n_named else n_named + _ending(w) for i, w in enumerate(words)], np.int64)
-        for batch in batches:
-            out = [[] for _ in range(7)]
-            for text in batch.column("__text"):
-                parts = text.as_py().encode().lower().split()
-                parts.append(END.encode())
-                at = np.fromiter(map(places.__getitem__, parts), np.int64, len(parts))
-                held = at >= 0
-                missing = Counter(parts[i] for i in np.flatnonzero(~held))
-                coded = np.where(held, code[np.maximum(at, 0)], n_named - 1 - at).astype("<u2")
-                row = (len(parts), int((held & (counts[np.maximum(at, 0)] > 0)).sum()), logs[at[held]].sum(), logs[at[at >= n_named]].sum(), coded.tobytes(), [w.decode() for w in missing], list(missing.values()))
-                for column, value in zip(out, row):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
-            names = [c.split()[0] for c in ENCODED.split(", ")]
-            arrays = [batch.column(c) for c in ("__id", "__th", "train")] + [pa.array(c, k) for c, k in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["__id", "__th", "train", *names])
+        dictionary, logs, own = shared.value
+        names = ["__id", "__th", "train", *(c.split()[0] for c in ENCODED.split(", "))]
+        for batch in _portions(batches):
+            lists = _split(batch.column("__text"))
+            n, words = len(lists), lists.flatten()
+            doc = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            real = pc.not_equal(words, "")
+            if not pc.all(real).as_py():
+                words, doc = words.filter(real), doc[real.to_numpy(zero_copy_only=False)]
+            at = pc.fill_null(pc.index_in(words, value_set=dictionary), -1).to_numpy(zero_copy_only=False)
+            missing = np.flatnonzero(at < 0)
+            others = words.take(pa.array(missing)).dictionary_encode()
+            which = others.indices.to_numpy(zero_copy_only=False)
+            coded, log = own[at], logs[at]
+            coded[missing], log[missing] = n_named + _endings(others.dictionary)[which], 0.0
+            lengths = np.bincount(doc, minlength=n) + 1
+            ends = np.cumsum(lengths)
+            codes = np.full(len(at) + n, own[0], "<u2")
+            inside = np.ones(len(codes), bool)
+            inside[ends - 1] = False
+            codes[inside] = coded
+            types = max(1, len(others.dictionary))
+            pairs, times = np.unique(doc[missing] * types + which, return_counts=True)
+            bounds = pa.array(np.searchsorted(pairs, np.arange(n + 1) * types), pa.int32())
+            out = [
+                pa.array(lengths, pa.int64()),
+                pa.array(lengths - 1 - np.bincount(doc[missing], minlength=n) + end_known, pa.int64()),
+                pa.array(np.bincount(doc, log, n) + logs[0]),
+                pa.array(np.bincount(doc, np.where(at >= n_named, log, 0.0), n)),
+                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(codes)]),
+                pa.ListArray.from_arrays(bounds, others.dictionary.take(pa.array(pairs % types))),
+                pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *out], names=names)
 
     source = docs.select(*row_key(id_col, text_col), _training(id_col).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in source.drop("__text").dtypes)

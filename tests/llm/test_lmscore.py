@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,34 @@ def test_named_words_follow_the_counts(spark):
     assert len(v.ending_total) == 64 and v.codes.n_named_classes == -(-v.n_named // gru.PER_CLASS)
     few = lmscore.Vocabulary(counts.where("word = '\\n' OR word < 'w4'"))
     assert few.n_named == 2048
+
+
+def test_scoring_takes_the_softmax_of_many_windows_at_once(monkeypatch):
+    """A long document, alone in its lane, does not cost a softmax per window; 100 calls before."""
+    codes, w = tiny()
+    document, calls, real = np.random.default_rng(4).integers(0, 7, 3200), [], gru._output
+    monkeypatch.setattr(gru, "_output", lambda *a: calls.append(len(a[2])) or real(*a))
+    got = gru.score(w, codes, [document, document[:40]])
+    assert calls == [3240]
+    assert got == pytest.approx([plain_log10(w, codes, document), plain_log10(w, codes, document[:40])], rel=1e-4)
+
+
+def test_scores_with_weights_that_allow_large_logits():
+    """The biases are added to the logits where these may leave the range of a factored exponential."""
+    codes, w = tiny()
+    w.C[:, 0], w.K[0, :, 1] = 3.0, -3.0
+    assert gru._factors(w.C[None], w.c[None])[0].min() < 0 and gru._factors(w.K, w.k)[0].min() < 0  # the biases themselves
+    docs = [np.random.default_rng(6).integers(0, 7, n) for n in (5, 70)]
+    assert np.allclose(gru.score(w, codes, docs), [plain_log10(w, codes, d) for d in docs], rtol=1e-4, atol=1e-3)
+
+
+def test_words_of_a_portion_are_those_of_its_texts():
+    texts = ["", " a\tB\n", "x\x0by\x0cz\rA", "\x1c \x85 \xa0\u3000\x00", "É é  É", "a a A"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 2])], names=["t"]) for i in (0, 2, 4)]
+    (portion,) = lmscore._portions(iter(batches))
+    plain = [t.encode().lower().split() for t in texts]
+    assert [[w.encode() for w in words if w] for words in lmscore._split(portion.column(0)).to_pylist()] == plain
+    counted = lmscore._counted(portion.column(0)).to_pydict()
+    assert dict(zip(counted["word"], counted["n"])) == Counter(w.decode() for ws in plain for w in [*ws, b"\n"])
+    words = pa.array(["a", "ab", "xab", "é", "\U0001f600"])
+    assert lmscore._endings(words).tolist() == [lmscore._ending(w.encode()) for w in words.to_pylist()]
