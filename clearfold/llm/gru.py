@@ -176,11 +176,11 @@ def _few(n: int) -> int:
     return max(1, min(WINDOW, ROWS // max(1, n)))
 
 
-def _softmax(s: np.ndarray, weights: np.ndarray, bias: np.ndarray, factor: np.ndarray, target: np.ndarray):
+def _softmax(s: np.ndarray, weights: np.ndarray, bias: np.ndarray, factor: np.ndarray | None, target: np.ndarray):
     """Logit of the target, sum of all exponentials, and the exponentials but for ``factor``, which multiplies each column."""
     p = s @ weights
     own = p[np.arange(len(s)), target]
-    if factor is bias:  # logits may be large: the bias is added, and above 60 they are held there, far from overflow
+    if factor is None:  # logits may be large: the bias is added, and above 60 they are held there, far from overflow
         p += bias
         np.minimum(p, 60, out=p)
         np.exp(p, out=p)
@@ -189,11 +189,11 @@ def _softmax(s: np.ndarray, weights: np.ndarray, bias: np.ndarray, factor: np.nd
     return own + bias[target], p @ factor, p
 
 
-def _factors(weights: np.ndarray, bias: np.ndarray) -> list[np.ndarray]:
-    """Exponentials of the biases of each softmax; the bias itself where logits may leave (-60, 60), as no part of a state is beyond 1."""
+def _factors(weights: np.ndarray, bias: np.ndarray) -> list[np.ndarray | None]:
+    """Exponentials of the biases of each softmax; None where logits may leave (-60, 60), as no part of a state is beyond 1."""
     plain = (np.abs(weights).sum(axis=1).max(axis=1) < 59) & (np.abs(bias).max(axis=1) < 59)
     with np.errstate(over="ignore"):
-        return [f if small else b for f, b, small in zip(np.exp(bias), bias, plain.tolist())]
+        return [f if small else None for f, small in zip(np.exp(bias), plain.tolist())]
 
 
 def _add_gradient(s, p, total, live, factor, bias, target, weights, to_weights, to_bias, to_states) -> None:
@@ -201,7 +201,7 @@ def _add_gradient(s, p, total, live, factor, bias, target, weights, to_weights,
 
     Rows of ``p`` lack the division by their total and columns their factor: both are made up for on the narrow results.
     """
-    factor = np.ones_like(bias) if factor is bias else factor
+    factor = np.ones_like(bias) if factor is None else factor
     p[np.arange(len(s)), target] -= total / factor[target]
     share = live / total
     turned = np.empty(s.shape[::-1], s.dtype)
